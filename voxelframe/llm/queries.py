@@ -3,11 +3,25 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import media, quality
+from . import language, line_dedup, media, quality
 from .common import table
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = language.identify(docs, language.train(docs))
+    return found.select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score", "n_labelled")
+
+
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    cleaned = line_dedup.LineIndex.build(docs, min_docs=5, min_chars=40).apply(docs)
+    digest = F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)
+    return cleaned.select("doc_id", "n_lines", "n_dropped", digest.alias("kept_sha256"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"))
 
@@ -17,6 +31,25 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digests(media.media_index(stored))
 
 
-QUERIES = {f.__name__: f for f in (op6_quality_rules, op10_media_columns)}
-
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op2_language_id, op4_line_dedup, op6_quality_rules, op10_media_columns)}
+
+ORACLES: dict[str, str] = {
+    "op4_line_dedup": r"""
+with lines as (
+    select doc_id, i, string_split(coalesce(text, ''), chr(10))[i] as line
+    from documents, range(1, 1 + len(string_split(coalesce(text, ''), chr(10)))) r(i)
+), keyed as (
+    select doc_id, i, line,
+        translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'),
+            'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as k
+    from lines
+), held as (
+    select k, max(doc_id) as last from keyed where length(k) >= 40 group by k having count(distinct doc_id) >= 5
+), marked as (
+    select doc_id, i, line, held.k is not null and doc_id <> last as gone from keyed left join held on keyed.k = held.k
+)
+select doc_id, cast(count(*) as bigint) as n_lines, cast(count(*) filter (where gone) as bigint) as n_dropped,
+    sha256(coalesce(string_agg(line, chr(10) order by i) filter (where not gone), '')) as kept_sha256
+from marked group by doc_id
+""",
+}
