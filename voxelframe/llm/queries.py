@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, line_dedup, media, quality
+from . import language, line_dedup, media, ngram_join, quality
 from .common import table
 
 
@@ -26,12 +26,16 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"))
 
 
+def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_copies(table(spark, sf_dir, "documents"))
+
+
 def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = media.to_media(table(spark, sf_dir, "documents"))
     return media.media_digests(media.media_index(stored))
 
 
-QUERIES = {f.__name__: f for f in (op2_language_id, op4_line_dedup, op6_quality_rules, op10_media_columns)}
+QUERIES = {f.__name__: f for f in (op2_language_id, op4_line_dedup, op6_quality_rules, op8_ngram_jaccard_join, op10_media_columns)}
 
 ORACLES: dict[str, str] = {
     "op4_line_dedup": r"""
