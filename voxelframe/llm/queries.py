@@ -5,10 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, line_dedup, media, ngram_join, quality
+from . import language, line_dedup, media, mixing, ngram_join, packing, quality
 from .common import table
 
 
+#: Multiples of the expected domain totals in the mixing query. Clean documents hold some toxic mass by their soft
+#: membership, so the target for toxic text is a small share, not zero, which would empty them too.
+MIX = {"good": 1.0, "poor": 0.5, "toxic": 0.2}
+
+
+def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    mixed = mixing.mix(docs, table(spark, sf_dir, "labels"), MIX)
+    return mixed.select("doc_id", "n_tokens", *(f"p_{d}" for d in mixing.DOMAINS), "rate")
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = language.identify(docs, language.train(docs))
@@ -26,6 +37,10 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"))
 
 
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents"))
+
+
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_copies(table(spark, sf_dir, "documents"))
 
@@ -35,7 +50,18 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digests(media.media_index(stored))
 
 
-QUERIES = {f.__name__: f for f in (op2_language_id, op4_line_dedup, op6_quality_rules, op8_ngram_jaccard_join, op10_media_columns)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_source_mixing,
+        op2_language_id,
+        op4_line_dedup,
+        op6_quality_rules,
+        op7_best_fit_packing,
+        op8_ngram_jaccard_join,
+        op10_media_columns,
+    )
+}
 
 ORACLES: dict[str, str] = {
     "op4_line_dedup": r"""
