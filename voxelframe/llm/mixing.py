@@ -59,43 +59,36 @@ class Classifier:
         return p / p.sum()
 
 
-def fit(rows: list[tuple[set[str], int]], size: int = 600, epochs: int = 200) -> Classifier:
-    """Multinomial logistic regression over the ``size`` features that separate the labelled domains most."""
+def fit(vocabulary: list[str], rows: list[tuple[list[int], int]], epochs: int = 200) -> Classifier:
+    """Multinomial logistic regression; a row is the places of its features in ``vocabulary`` and its domain."""
     k = len(DOMAINS)
     if not rows:
         return Classifier({}, np.zeros((0, k)), np.zeros(k))
     y = np.array([d for _, d in rows])
     totals = np.bincount(y, minlength=k)
-    counts: dict[str, np.ndarray] = {}
-    for found, d in rows:
-        for w in found:
-            counts.setdefault(w, np.zeros(k))[d] += 1
-    names = sorted(w for w, c in counts.items() if c.sum() >= 5)
-    table = np.array([counts[w] for w in names]) if names else np.zeros((0, k))
-    share = (table.sum(axis=1, keepdims=True)) / len(rows)
-    spread = np.abs(table - share * totals) / np.sqrt(np.maximum(share * (1 - share) * totals, 1e-9) + 1)
-    chosen = np.argsort(-spread.max(axis=1), kind="stable")[:size] if names else []
-    vocabulary = {names[j]: i for i, j in enumerate(chosen)}
     x = np.zeros((len(rows), len(vocabulary)), np.float32)
-    for i, (found, _) in enumerate(rows):
-        x[i, [vocabulary[w] for w in vocabulary.keys() & found]] = 1
+    for i, (places, _) in enumerate(rows):
+        x[i, places] = 1
     weights, bias = np.zeros((len(vocabulary), k)), np.log((totals + 1) / (totals.sum() + k))
     seen, seen_b = np.full_like(weights, 1e-6), np.full(k, 1e-6)
     gold = np.eye(k)[y]
     for _ in range(epochs):
-        score = x @ weights + bias
+        score = x @ weights.astype(np.float32) + bias
         p = np.exp(score - score.max(axis=1, keepdims=True))
         p /= p.sum(axis=1, keepdims=True)
-        g, b = x.T @ (gold - p) / len(rows) - 2e-4 * weights, (gold - p).mean(axis=0)
+        g, b = x.T @ (gold - p).astype(np.float32) / len(rows) - 2e-4 * weights, (gold - p).mean(axis=0)
         seen += g**2
         seen_b += b**2
         weights += 0.5 * g / np.sqrt(seen)
         bias += 0.1 * b / np.sqrt(seen_b)
-    return Classifier(vocabulary, weights, bias)
+    return Classifier({w: i for i, w in enumerate(vocabulary)}, weights, bias)
 
 
-def train(docs: DataFrame, labels: DataFrame, train_rows: int = 3000) -> Classifier:
-    """Fit on at most ``train_rows`` labelled documents, the first in hash order of doc_id (a documented bound)."""
+def train(docs: DataFrame, labels: DataFrame, train_rows: int = 8000, size: int = 1000) -> Classifier:
+    """Fit on at most ``train_rows`` labelled documents, the first in hash order of doc_id (a documented bound).
+
+    The ``size`` features that separate the domains most are chosen by counts over that sample.
+    """
     usable = labels.where("doc_id is not null and (quality is not null or toxic is not null)")
     by = usable.groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
     first = by.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
@@ -108,13 +101,28 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = 3000) -> Classif
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.string())), batch.column(1)], ["found", "domain"])
 
     domain = F.when(F.col("toxic") == 1, 2).when(F.col("quality") == 1, 0).otherwise(1)
-    rows = chosen.select("text", domain.cast("int").alias("domain")).mapInArrow(run, "found array<string>, domain int").collect()
-    return fit(sorted(((set(r["found"]), r["domain"]) for r in rows), key=lambda r: (r[1], sorted(r[0]))))
+    sample = chosen.select("text", domain.cast("int").alias("domain")).mapInArrow(run, "found array<string>, domain int")
+    sample = materialise(sample, "mix-sample")
+    k = len(DOMAINS)
+    totals = np.zeros(k)
+    for r in sample.groupBy("domain").count().collect():
+        totals[r["domain"]] = r["count"]
+    counts = sample.select("domain", F.explode("found").alias("word")).groupBy("word").agg(
+        F.count("*").alias("n"), *(F.count_if(F.col("domain") == d).alias(f"c{d}") for d in range(k))
+    )
+    share = F.col("n") / float(max(1.0, totals.sum()))
+    scores = [F.abs(F.col(f"c{d}") - share * float(t)) / F.sqrt(share * (1 - share) * float(t) + 1) for d, t in enumerate(totals)]
+    best = counts.where("n >= 5").orderBy(F.greatest(*scores).desc(), "word").limit(size)
+    vocabulary = [r["word"] for r in best.select("word").collect()]
+    known = F.array(*(F.lit(w) for w in vocabulary)) if vocabulary else F.array().cast("array<string>")
+    held = sample.select("domain", F.array_intersect("found", known).alias("found")).collect()
+    place = {w: i for i, w in enumerate(vocabulary)}
+    return fit(vocabulary, sorted((sorted(place[w] for w in r["found"]), r["domain"]) for r in held))
 
 
 def posteriors(docs: DataFrame, classifier: Classifier) -> DataFrame:
     """doc_id, n_tokens (words of the whole text) and one posterior a domain. One narrow pass."""
-    shared = docs.sparkSession.sparkContext.broadcast(classifier)  # 600 features at most
+    shared = docs.sparkSession.sparkContext.broadcast(classifier)  # a bounded number of features
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
