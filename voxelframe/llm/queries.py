@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, line_dedup, media, mixing, ngram_join, packing, quality
+from . import html_text, language, line_dedup, media, mixing, ngram_join, packing, pii, quality, warc
 from .common import table
 
 
@@ -26,6 +26,10 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score", "n_labelled")
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     cleaned = line_dedup.LineIndex.build(docs, min_docs=5, min_chars=40).apply(docs)
@@ -33,6 +37,11 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.select("doc_id", "n_lines", "n_dropped", digest.alias("kept_sha256"))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.read_records(warc.write_archives(table(spark, sf_dir, "pages"), min_bytes=0))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"))
 
@@ -45,6 +54,10 @@ def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_copies(table(spark, sf_dir, "documents"))
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digests(pii.find(table(spark, sf_dir, "documents")))
+
+
 def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = media.to_media(table(spark, sf_dir, "documents"))
     return media.media_digests(media.media_index(stored))
@@ -55,10 +68,13 @@ QUERIES = {
     for f in (
         op1_source_mixing,
         op2_language_id,
+        op3_html_extraction,
         op4_line_dedup,
+        op5_warc,
         op6_quality_rules,
         op7_best_fit_packing,
         op8_ngram_jaccard_join,
+        op9_pii,
         op10_media_columns,
     )
 }
