@@ -10,9 +10,10 @@ before anything is verified:
 3. Order 2, rarest first among the survivors, and order 3, rarest power of two first with another hash. Candidates
    share a prefix token under order 2, overlap under order 3 and have fitting sizes; then the sets are compared.
 
-Only connectivity is asked for, so rounds of star edges (each bucket's members against its leader) come first;
-pairs already connected are never enumerated, which keeps a group of n near copies at n comparisons. The last round
-compares every pair of a bucket that is still apart, so no link is lost.
+Only connectivity is asked for, so rounds of star edges (each bucket's members against its leader) come first, led by
+the sets whose tokens most others hold; pairs already connected are never compared, which keeps a group of n near
+copies at n comparisons. The last round takes every pair of a bucket that is still apart, so no link is lost; a parity
+bitmap of each set bounds the overlap from above (bits that differ are tokens that differ) before sets are compared.
 
 Defined cases: null, empty and wordless texts have no shingles and link with nothing; under four words the whole
 sequence is one shingle; repeated rows of a doc_id are one
@@ -39,7 +40,9 @@ from .common import slices
 PERCENT, WORDS = 85, 4
 #: Survivors up to this many are sent to every task as ids (8 bytes each); beyond, texts are joined by doc_id.
 BROADCAST_IDS = 1_000_000
-STAR_ROUNDS = 2
+STAR_ROUNDS = 3
+#: Bits of a set's parity bitmap, in longs.
+LONGS = 8
 MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -102,14 +105,27 @@ def lists(arrays: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate(arrays) if arrays else np.empty(0, np.int64)))
 
 
+def parity(tokens: np.ndarray) -> np.ndarray:
+    """Bitmap whose bit b says whether an odd number of tokens fall on b: |x ^ y| bits never exceed |x - y| + |y - x|."""
+    bits = np.bincount((tokens >> np.uint64(7)).astype(np.int64) & (64 * LONGS - 1), minlength=64 * LONGS) & 1
+    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+
+
+def within(nx: Column, ny: Column, bits_x: Column, bits_y: Column, percent: int = PERCENT) -> Column:
+    """Whether sets of these sizes and bitmaps may reach the threshold."""
+    apart = sum((F.bit_count(F.get(bits_x, F.lit(k)).bitwiseXOR(F.get(bits_y, F.lit(k)))) for k in range(LONGS)), F.lit(0))
+    return (100 + percent) * (nx + ny - apart) >= 2 * percent * (nx + ny)
+
+
 def whole_sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            sets = [shingle_set(t, words).view(np.int64) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, sets), pa.int32()), lists(sets)], ["doc_id", "n", "tokens"])
+            sets = [shingle_set(t, words) for t in batch.column(1).to_pylist()]
+            columns = [pa.array(map(len, sets), pa.int32()), lists([x.view(np.int64) for x in sets]), lists([parity(x) for x in sets])]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "n", "tokens", "bits"])
 
     chosen = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return chosen.mapInArrow(run, "doc_id long, n int, tokens array<long>")
+    return chosen.mapInArrow(run, "doc_id long, n int, tokens array<long>, bits array<long>")
 
 
 def survivors(reps: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -149,16 +165,17 @@ def survivors(reps: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 
 def prefixes(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n, tokens and the prefixes a and b under orders 2 and 3; sets without shared prefix tokens go."""
+    """doc_id, n, the prefixes a and b under orders 2 and 3, and how common the set's tokens are; sets without shared
+    prefix tokens go."""
     rows = sets.select("doc_id", "n", F.explode("tokens").alias("token"))
     rows = rows.withColumn("holders", F.count("*").over(Window.partitionBy("token"))).where("holders > 1")
     order_a = F.struct("holders", F.xxhash64("token", F.lit(2)).alias("h"), "token")
     order_b = F.struct(F.floor(F.log2("holders")).alias("holders"), F.xxhash64("token", F.lit(3)).alias("h"), "token")
-    by = rows.groupBy("doc_id", "n").agg(F.sort_array(F.collect_list(order_a)).alias("a"), F.sort_array(F.collect_list(order_b)).alias("b"))
+    by = rows.groupBy("doc_id", "n").agg(F.sort_array(F.collect_list(order_a)).alias("a"), F.sort_array(F.collect_list(order_b)).alias("b"), (F.sum("holders") / F.first("n")).alias("common"))
     # Tokens that no other set holds come first in both orders and fill the prefix without being kept.
     take = F.expr(f"(n * {100 - percent}) div 100 + 1") - (F.col("n") - F.size("a"))
     by = by.where(take > 0)
-    return by.select("doc_id", "n", F.slice("a", 1, take)["token"].alias("a"), F.slice("b", 1, take)["token"].alias("b"))
+    return by.select("doc_id", "n", F.slice("a", 1, take)["token"].alias("a"), F.slice("b", 1, take)["token"].alias("b"), "common")
 
 
 def fits(n: Column, m: Column, percent: int = PERCENT) -> Column:
@@ -166,43 +183,49 @@ def fits(n: Column, m: Column, percent: int = PERCENT) -> Column:
 
 
 def verified(pairs: DataFrame, sets: DataFrame, chosen: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The pairs (x, y) that overlap under order 3 and whose sets reach the threshold, with ``common``."""
-    thin = pairs.join(chosen.select(F.col("doc_id").alias("x"), F.col("b").alias("bx")), "x")
-    thin = thin.join(chosen.select(F.col("doc_id").alias("y"), F.col("b").alias("by")), "y")
-    thin = thin.where(F.arrays_overlap("bx", "by")).select("x", "y")
+    """The pairs (x, y) that overlap under order 3 and whose sets reach the threshold."""
+    thin = sets.join(chosen.select("doc_id", "b"), "doc_id").select("doc_id", "n", "b", "bits")
+    x, y = (thin.select(*(F.col(c).alias(c if c == k else f"{c}_{k}") for c in thin.columns)).withColumnRenamed(f"doc_id_{k}", k) for k in ("x", "y"))
+    near = within(F.col("n_x"), F.col("n_y"), F.col("bits_x"), F.col("bits_y"), percent)
+    thin = pairs.join(x, "x").join(y, "y").where(F.arrays_overlap("b_x", "b_y") & near).select("x", "y")
     both = thin.join(sets.select(F.col("doc_id").alias("x"), F.col("n").alias("nx"), F.col("tokens").alias("tx")), "x")
     both = both.join(sets.select(F.col("doc_id").alias("y"), F.col("n").alias("ny"), F.col("tokens").alias("ty")), "y")
     both = both.select("x", "y", "nx", "ny", F.size(F.array_intersect("tx", "ty")).alias("common"))
-    return both.where(100 * F.col("common") >= percent * (F.col("nx") + F.col("ny") - F.col("common"))).select("x", "y", "common")
+    return both.where(100 * F.col("common") >= percent * (F.col("nx") + F.col("ny") - F.col("common"))).select("x", "y")
 
 
 def links(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Edges (src, dst) whose components are those of all links; not every link within a component is listed."""
     chosen = materialise(prefixes(sets, percent), "ngram-prefixes")
-    buckets = materialise(chosen.select("doc_id", "n", F.explode("a").alias("token")), "ngram-buckets")
+    buckets = chosen.select("doc_id", "n", "common", F.explode("a").alias("token"))
+    in_bucket = Window.partitionBy("token")
+    # A bucket of one set has no pair.
+    buckets = materialise(buckets.withColumn("held", F.count("*").over(in_bucket)).where("held > 1").drop("held"), "ngram-buckets")
     edges = None
     apart = buckets.withColumn("comp", F.col("doc_id"))
-    in_bucket = Window.partitionBy("token")
-    for k in range(STAR_ROUNDS + 1):
-        if k < STAR_ROUNDS:
-            first = F.min(F.struct(F.xxhash64("doc_id", F.lit(k)).alias("h"), F.col("doc_id").alias("doc_id"), F.col("comp").alias("comp"), F.col("n").alias("n")))
-            led = apart.withColumn("lead", first.over(in_bucket))
-            pairs = led.where((F.col("comp") != F.col("lead.comp")) & fits(F.col("n"), F.col("lead.n"), percent))
-            pairs = pairs.select(F.col("doc_id").alias("x"), F.col("lead.doc_id").alias("y"))
-        else:
-            left = apart.select("token", F.col("doc_id").alias("x"), F.col("n").alias("nx"), F.col("comp").alias("cx"))
-            right = apart.select("token", F.col("doc_id").alias("y"), F.col("n").alias("ny"), F.col("comp").alias("cy"))
-            pairs = left.join(right, "token").where((F.col("cx") < F.col("cy")) & fits(F.col("nx"), F.col("ny"), percent)).select("x", "y")
-        pairs = materialise(pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "ngram-pairs")
-        found = verified(pairs, sets, chosen, percent).select(F.col("x").alias("src"), F.col("y").alias("dst"))
-        edges = materialise(found if edges is None else edges.unionByName(found), "ngram-links")
-        if k < STAR_ROUNDS:
-            comps = connected_components(edges).select(F.col("node").alias("doc_id"), "component")
-            apart = buckets.join(comps, "doc_id", "left").withColumn("comp", F.coalesce("component", "doc_id")).drop("component")
-            # Buckets in one component have nothing left to compare.
-            apart = apart.withColumn("low", F.min("comp").over(in_bucket)).withColumn("high", F.max("comp").over(in_bucket))
-            apart = materialise(apart.where("low < high").select("doc_id", "n", "token", "comp"), "ngram-apart")
-    return edges
+    for k in range(STAR_ROUNDS):
+        rank = -F.col("common") if k == 0 else F.xxhash64("doc_id", F.lit(k)).cast("double")
+        first = F.min(F.struct(rank.alias("rank"), F.col("doc_id").alias("doc_id"), F.col("comp").alias("comp"), F.col("n").alias("n")))
+        led = apart.withColumn("lead", first.over(in_bucket))
+        pairs = led.where((F.col("comp") != F.col("lead.comp")) & fits(F.col("n"), F.col("lead.n"), percent))
+        pairs = pairs.select(F.col("doc_id").alias("x"), F.col("lead.doc_id").alias("y"))
+        edges = _with_links(edges, pairs, sets, chosen, percent)
+        comps = connected_components(edges).select(F.col("node").alias("doc_id"), "component")
+        apart = buckets.join(comps, "doc_id", "left").withColumn("comp", F.coalesce("component", "doc_id")).drop("component")
+        # Buckets in one component have nothing left to compare.
+        apart = apart.withColumn("low", F.min("comp").over(in_bucket)).withColumn("high", F.max("comp").over(in_bucket))
+        apart = materialise(apart.where("low < high").select("doc_id", "n", "common", "token", "comp"), "ngram-apart")
+    left = apart.join(sets.select("doc_id", "bits"), "doc_id")
+    x, y = (left.select("token", *(F.col(c).alias(f"{c}_{k}") for c in ("doc_id", "n", "comp", "bits"))) for k in ("x", "y"))
+    near = within(F.col("n_x"), F.col("n_y"), F.col("bits_x"), F.col("bits_y"), percent)
+    pairs = x.join(y, "token").where((F.col("comp_x") < F.col("comp_y")) & fits(F.col("n_x"), F.col("n_y"), percent) & near)
+    return _with_links(edges, pairs.select(F.col("doc_id_x").alias("x"), F.col("doc_id_y").alias("y")), sets, chosen, percent)
+
+
+def _with_links(edges: DataFrame | None, pairs: DataFrame, sets: DataFrame, chosen: DataFrame, percent: int) -> DataFrame:
+    pairs = materialise(pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "ngram-pairs")
+    found = verified(pairs, sets, chosen, percent).select(F.col("x").alias("src"), F.col("y").alias("dst"))
+    return materialise(found if edges is None else edges.unionByName(found), "ngram-links")
 
 
 def near_copies(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
