@@ -175,10 +175,10 @@ class LineIndex:
         joined = salted.groupBy("shard", "salt").cogroup(spread.groupBy("shard", "salt"))
 
         def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-            if right.empty:
+            if left.empty or right.empty:
                 return left.iloc[:0][["key", "doc_id"]]
             cuckoo = Cuckoo(1, bytes(right["table"].iloc[0]))
-            return left[[bytes(k) in cuckoo for k in left["key"]]][["key", "doc_id"]]
+            return left.loc[[bytes(k) in cuckoo for k in left["key"]], ["key", "doc_id"]]
 
         return joined.applyInPandas(run, "key binary, doc_id long")
 
