@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from .common import slices
 
 UND = "und"
+MARKS = ".,;:!?%&$#*|\"'()[]<>-"
 FOLDS = 5
 BITS = 16
 
@@ -33,13 +34,36 @@ def held_out() -> F.Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS == 0, F.lit(False))
 
 
-def word_features(word: str) -> list[int]:
-    """Hashed affixes (1-4) and padded n-grams (2-3) of a lower-cased word."""
-    names = [f"p{word[:k]}" for k in range(1, 5)] + [f"s{word[-k:]}" for k in range(1, 5)]
-    padded = f"<{word}>"
-    names += [padded[i : i + 2] for i in range(len(padded) - 1)]
-    names += [padded[i : i + 3] for i in range(len(padded) - 2)]
-    return [zlib.crc32(x.encode()) & ((1 << BITS) - 1) for x in names[:60]]
+WIDTH = 24
+#: Row of the weights that stays zero: features a short word lacks.
+NONE = 1 << BITS
+
+
+def word_features(words: list[str]) -> np.ndarray:
+    """Hashed affixes (1-4) and padded n-grams (2-3) of lower-cased words, a row each; longer words by their ends."""
+    short = [w if len(w) <= WIDTH - 2 else w[: WIDTH // 2 - 1] + w[1 - WIDTH // 2 :] for w in words]
+    padded = np.array([f"<{w}>" for w in short], dtype=f"U{WIDTH}")
+    codes = padded.view(np.uint32).reshape(len(words), WIDTH).astype(np.uint64)
+    sizes = np.array([len(w) + 2 for w in short])
+
+    def mixed(kind: int, *parts: np.ndarray) -> np.ndarray:
+        h = np.full(parts[0].shape, kind * 0x9E3779B1 + 1, np.uint64)
+        for part in parts:
+            h = (h ^ part) * np.uint64(0x9E3779B97F4A7C15)
+            h ^= h >> np.uint64(29)
+        return (h & np.uint64((1 << BITS) - 1)).astype(np.int64)
+
+    at = np.arange(WIDTH)
+    two = np.where(at[:-1] < sizes[:, None] - 1, mixed(2, codes[:, :-1], codes[:, 1:]), NONE)
+    three = np.where(at[:-2] < sizes[:, None] - 2, mixed(3, codes[:, :-2], codes[:, 1:-1], codes[:, 2:]), NONE)
+    rows = np.arange(len(words))
+    out = [two, three]
+    for k in range(1, 5):
+        heads = [codes[:, 1 + i] for i in range(k)]
+        tails = [codes[rows, np.maximum(0, sizes - 2 - i)] for i in range(k)]
+        fits = sizes - 2 >= k
+        out += [np.where(fits, mixed(10 + k, *heads), NONE)[:, None], np.where(fits, mixed(20 + k, *tails), NONE)[:, None]]
+    return np.concatenate(out, axis=1)
 
 
 @dataclass
@@ -53,15 +77,22 @@ class Model:
     start: np.ndarray
     key: str = ""
 
-    def emission(self, word: str) -> np.ndarray:
-        score = self.weights[word_features(word)].sum(axis=0)
-        extra = self.lexicon.get(word)
-        return score if extra is None else score + extra
+    def emissions(self, words: list[str]) -> np.ndarray:
+        """Positive scores of words by language."""
+        score = np.empty((len(words), len(self.langs)), np.float32)
+        for at in range(0, len(words), 4096):
+            score[at : at + 4096] = self.weights[word_features(words[at : at + 4096])].sum(axis=1)
+        for i, w in enumerate(words):
+            if w in self.lexicon:
+                score[i] += self.lexicon[w]
+        return np.exp(np.maximum(score - score.max(axis=1, keepdims=True), -20))
 
 
 def letters(text: str) -> list[str]:
     """Lower-cased words that hold a letter."""
-    return [w for w in text.lower().split() if w.isalpha() or any(c.isalpha() for c in w)]
+    # Marks around a word say nothing of its language; without them far fewer words differ.
+    bare = [w.strip(MARKS) for w in text.lower().split()]
+    return [w for w in bare if w.isalpha() or any(map(str.isalpha, w))]
 
 
 def packed(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -99,9 +130,11 @@ def fit(lines: list[tuple[str, str]], epochs: int = 3, seed: int = 7, lexicon_si
         for w in words:
             counts.setdefault(w, np.zeros(k))[y] += 1
     frequent = sorted(counts, key=lambda w: (-counts[w].sum(), w))[:lexicon_size]
-    size = 1 << BITS
+    size = NONE + 1
     ids = {w: size + i for i, w in enumerate(frequent)}
-    cache = {w: np.array(word_features(w) + ([ids[w]] if w in ids else [])) for w in counts}
+    vocabulary = list(counts)
+    table = word_features(vocabulary) if vocabulary else np.empty((0, 1), np.int64)
+    cache = {w: np.append(row[row != NONE], [ids[w]] if w in ids else []).astype(np.int64) for w, row in zip(vocabulary, table, strict=True)}
     theta = np.zeros((size + len(frequent), k))
     trans, grad2, grad2_t = np.zeros((k, k)), np.full_like(theta, 1e-2), np.full((k, k), 1.0)
     np.fill_diagonal(trans, 1.0)
@@ -174,14 +207,14 @@ def _word_ids(words: list[str], model: Model) -> np.ndarray:
     if cache["key"] != model.key or cache["used"] > 300_000:
         cache |= {"key": model.key, "ids": {}, "rows": np.empty((1 << 15, len(model.langs)), np.float32), "used": 0}
     ids = cache["ids"]
-    new = [w for w in set(words) if w not in ids]
-    for w in new:
-        if cache["used"] == len(cache["rows"]):
+    new = list(set(words) - ids.keys())
+    if new:
+        used = cache["used"]
+        while used + len(new) > len(cache["rows"]):
             cache["rows"] = np.concatenate([cache["rows"], np.empty_like(cache["rows"])])
-        score = model.emission(w)
-        cache["rows"][cache["used"]] = np.exp(np.maximum(score - score.max(), -20))
-        ids[w] = cache["used"]
-        cache["used"] += 1
+        cache["rows"][used : used + len(new)] = model.emissions(new)
+        ids.update(zip(new, range(used, used + len(new)), strict=True))
+        cache["used"] = used + len(new)
     return np.fromiter(map(ids.__getitem__, words), np.int64, len(words))
 
 
