@@ -338,7 +338,7 @@ OFFSETS = "select cast(o as bigint) as o from range(0, {n} - 7, 8) r(o) union se
 
 def axis_sql(name: str, n: str) -> str:
     base = OFFSETS.format(n=n)
-    return f"b{name} as ({base}), o{name} as (select o from b{name} union select o + 4 from b{name} where o + 4 + 8 <= {n})"
+    return f"base_{name} as ({base}), o{name} as (select o from base_{name} union select o + 4 from base_{name} where o + 4 + 8 <= {n})"
 
 
 TILES = f"{axis_sql('z', fx.SHAPE)}, {axis_sql('y', '20')}, {axis_sql('x', '64')}, tile as (select oz.o as z0, oy.o as y0, ox.o as x0 from oz, oy, ox)"
