@@ -444,6 +444,26 @@ def test_pii_query(spark, docs, none):
     assert pii.find(none).count() == 0
 
 
+def test_pii_regions_like_whole_decoding():
+    field = pii.trained()
+    told = lambda text: [(k, text[a:b]) for k, a, b in pii.added_spans(text, pii.base_spans(text), field)]
+    john = "john [at] example [dot] com"
+    assert told(f"v1 a b c d e {john}") == [("email", john)]
+    assert told("12 a b c d call me 555-123-4567") == [("phone", "555-123-4567")]
+    assert told("write to JOHN (AT) MAIL.COM now") == [("email", "JOHN (AT) MAIL.COM")]
+    long = "john [dot] doe [at] mail [dot] example [dot] co [dot] uk"
+    assert told(f"contact {long} now and then") == [("email", long)]
+    for k in (4092, 4093, 4094):
+        assert told("7 " * k + john)[-1:] == [("email", john)], k
+    rng = np.random.default_rng(12)
+    quiet, loud = ["a", "the", "call", "me", "to"], ["12", "v1", "[at]", "[dot]", "(AT)", "555-123-4567", "john", "@x", "mail", "m²", "4111"]
+    for _ in range(300):
+        share = rng.choice([0.3, 0.8, 0.95])
+        text = " ".join(str(rng.choice(quiet if rng.random() < share else loud)) for _ in range(rng.integers(1, 60)))
+        words = [(*m.span(), pii.is_trigger(m.group())) for m in WORD.finditer(text)]
+        assert pii.added_spans(text, [], field) == pii.decode(text, words, pii.long_chains(text), field), text
+
+
 # --- pipeline ----------------------------------------------------------------------------------------------------
 
 

@@ -1,9 +1,10 @@
 """PII: fixed patterns, and a semi-Markov conditional random field over candidate segments.
 
-Whole-segment features (shape, digits, checksums, neighbours) score segments of up to ``MOST`` words for each kind; a
-dynamic programme over segment ends chooses boundaries and kinds together. A segment begins and ends in a word with
-a digit, an @ or a spelled-out one, so only the surroundings of such words are decoded and the rest of a text is
-known to be outside. The model is trained here, by maximum likelihood on sentences built from the kinds' forms. The
+Whole-segment features (shape, digits, checksums, neighbours) score segments of up to ``MOST`` words, and spelled-out
+addresses of any number of words, for each kind; a dynamic programme over segment ends chooses boundaries and kinds
+together. A segment begins and ends in a word with a digit or an @, or holds a spelled-out one, so only the
+surroundings of such words are decoded and the rest of a text is known to be outside: the spans are those of the whole
+text decoded at once. The model is trained here, by maximum likelihood on sentences built from the kinds' forms. The
 patterns' spans always stay; the field adds spans that overlap none of them.
 
 Defined cases: a null or empty text has no spans; a null doc_id is kept; texts of any length are scanned whole;
@@ -15,6 +16,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import sys
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -28,8 +30,11 @@ from .common import slices
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "secret")
 OUT = len(KINDS)
-#: Words of the longest segment.
+#: Words of the longest segment, but for spelled-out addresses.
 MOST = 6
+#: Words before a trigger that a segment with it or its features can hold, and quiet words that part two triggers'.
+BACK = MOST + 1
+APART = MOST - 1 + BACK
 
 #: The forms of the base kinds.
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -40,7 +45,13 @@ CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 SPELLED = {"[at]", "(at)", "[dot]", "(dot)"}
-TRIGGER = re.compile(r"[0-9@]|[\[(]at[\])]")
+#: Digits that are none of \d. With \d apart, the class is not one large table, which would be slow to search.
+DIGITS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isdigit() and not c.isdecimal())
+MARK = r"(?:\[(?i:at|dot)\]|\((?i:at|dot)\))(?![^\x20\x09-\x0D])"
+TRIGGER = re.compile(rf"[@\d{DIGITS}\[(](?:(?<=[^\[(])|(?i:at|dot)[\])])")
+#: Words and spelled-out signs in turn, in whole.
+CHAIN = re.compile(rf"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D]++(?:[\x20\x09-\x0D]++{MARK}[\x20\x09-\x0D]++[^\x20\x09-\x0D]++)+")
+AT = re.compile(r"\[at\]|\(at\)", re.I)
 
 
 def luhn(digits: str) -> bool:
@@ -105,7 +116,7 @@ def segment_features(core: str, words: int, before: str, before2: str) -> list[s
     found = [
         f"digits:{min(n, 20)}",
         f"letters:{min(letters.bit_length(), 6)}",
-        f"words:{words}",
+        f"words:{min(words, MOST + 1)}",
         f"shape:{shape}",
         f"groups:{','.join(str(min(len(g), 9)) for g in groups[:6])}",
         f"before:{re.sub('[^a-z]', '', before.lower())[:12]}",
@@ -136,86 +147,118 @@ class Field:
         return self.weights[rows].sum(axis=0) if rows else np.zeros(OUT + 1)
 
 
-def lattice(text: str, words: list[tuple[int, int]], triggers: list[bool]) -> list[tuple[int, int, tuple[int, int], list[str]]]:
-    """(first word, one past the last, bare span, features) of every segment that may be one of a kind, and each word."""
-    out = []
-    for i, (a, b) in enumerate(words):
-        before = text[slice(*words[i - 1])] if i else ""
-        before2 = text[slice(*words[i - 2])] if i > 1 else ""
-        for j in range(i + 1, min(len(words), i + MOST) + 1):
-            ok = triggers[i] and triggers[j - 1] or any(text[slice(*w)].lower() in SPELLED for w in words[i:j])
-            if j > i + 1 and not ok:
-                continue
-            span = bare(text, a, words[j - 1][1])
-            out.append((i, j, span, segment_features(text[slice(*span)], j - i, before, before2) if ok or j == i + 1 else []))
-        del b
-    return out
-
-
-def decode(text: str, words: list[tuple[int, int]], triggers: list[bool], field: Field) -> list[tuple[str, int, int]]:
-    """The best segmentation's spans of a kind."""
-    n = len(words)
-    best = np.full((n + 1, OUT + 1), -np.inf)
-    best[0, OUT] = 0
-    back: dict[tuple[int, int], tuple[int, int, tuple[int, int]]] = {}
-    for i, j, span, names in lattice(text, words, triggers):
+def near(text: str, start: int) -> Iterator[tuple[int, int, bool]]:
+    """(start, end, trigger) of the words from ``start`` on, until no segment can hold a word of these and a later trigger."""
+    quiet = 0
+    for w in WORDS.finditer(text, start):
+        trigger = is_trigger(w.group())
+        yield *w.span(), trigger
+        quiet = 0 if trigger else quiet + 1
+        if quiet >= APART:
+            return
+
+
+#: Starts, and start by end, of the spelled-out addresses of more than MOST words. No two overlap.
+Chains = tuple[set[int], dict[int, int]]
+
+
+def long_chains(text: str) -> Chains:
+    found = (m for m in CHAIN.finditer(text) if AT.search(m.group())) if AT.search(text) else ()
+    ends = {m.end(): m.start() for m in found if len(WORDS.findall(m.group())) > MOST}
+    return set(ends.values()), ends
+
+
+def lattice(text: str, words: Iterable[tuple[int, int, bool]], chains: Chains, opened: dict[int, tuple[int, str, str]]) -> Iterator[tuple[int, int, tuple[int, int], list[str], bool]]:
+    """(first word, one past the last, bare span, features, may be of a kind) of every segment, by end, then first word.
+
+    Holds a window of words, and in ``opened`` the first word of a long chain that goes on.
+    """
+    window: list[tuple[int, int, bool, bool]] = []
+    begins, ends = chains
+    for j, (a, b, trigger) in enumerate(words, 1):
+        window.append((a, b, trigger, text[a:b].lower() in SPELLED))
+        window = window[-MOST - 2 :]
+        first = j - len(window)
+        word = lambda i: text[slice(*window[i - first][:2])] if i >= first else ""  # noqa: B023, E731
+        if a in begins:
+            opened[a] = (j - 1, word(j - 2), word(j - 3))
+        if (begin := ends.get(b)) in opened:
+            i, before, before2 = opened[begin]
+            span = bare(text, begin, b)
+            yield i, j, span, segment_features(text[slice(*span)], j - i, before, before2), span[0] < span[1]
+            del opened[begin]
+        signs = [k for k, w in enumerate(window, first) if w[3]]
+        for i in range(max(0, j - MOST), j):
+            ok = trigger and window[i - first][2] or bool(signs) and signs[-1] >= i
+            if ok or j == i + 1:
+                span = bare(text, window[i - first][0], b)
+                yield i, j, span, segment_features(text[slice(*span)], j - i, word(i - 1), word(i - 2)), ok and span[0] < span[1]
+
+
+def decode(text: str, words: Iterable[tuple[int, int, bool]], chains: Chains, field: Field) -> list[tuple[str, int, int]]:
+    """The best segmentation's spans of a kind.
+
+    A path is a linked list of its spans and only paths that may still win are held, so any number of words is decoded
+    without a cut.
+    """
+    opened: dict[int, tuple[int, str, str]] = {}
+    # Scores and paths by place between words, for the places where a segment may still begin.
+    best = {0: np.full(OUT + 1, -np.inf)}
+    best[0][OUT] = 0
+    paths: dict[int, list] = {0: [None] * (OUT + 1)}
+    last = 0
+    for i, j, span, names, ok in lattice(text, words, chains, opened):
+        if j > last:
+            best[j], paths[j], last = np.full(OUT + 1, -np.inf), [None] * (OUT + 1), j
+            if j > MOST and all(j - MOST - 1 != k for k, _, _ in opened.values()):
+                del best[j - MOST - 1], paths[j - MOST - 1]
         reach = best[i][:, None] + field.moves
-        score = field.scores(names)
-        came, top = reach.argmax(axis=0), reach.max(axis=0) + score
+        came, top = reach.argmax(axis=0), reach.max(axis=0) + field.scores(names)
         for y in range(OUT + 1):
-            if y == OUT and j > i + 1 or y < OUT and not (triggers[i] and triggers[j - 1] or any(triggers[i:j])) or span[0] == span[1] and y < OUT:
-                continue
-            if top[y] > best[j, y]:
-                best[j, y] = top[y]
-                back[j, y] = (i, int(came[y]), span)
+            if (ok if y < OUT else j == i + 1) and top[y] > best[j][y]:
+                best[j][y] = top[y]
+                path = paths[i][came[y]]
+                paths[j][y] = (path, (KINDS[y], *span)) if y < OUT else path
     found = []
-    j, y = n, int(best[n].argmax())
-    while j:
-        i, before, span = back[j, y]
-        if y < OUT:
-            found.append((KINDS[y], *span))
-        j, y = i, before
+    path = paths[last][int(best[last].argmax())]
+    while path:
+        path, span = path
+        found.append(span)
     return found[::-1]
 
 
-def regions(text: str) -> Iterator[tuple[list[tuple[int, int]], list[bool]]]:
-    """Runs of words within reach of a trigger word; between them nothing can be of a kind."""
-    words: list[tuple[int, int]] = []
-    done = 0
-    while m := TRIGGER.search(text, done):
-        # Two words back, then on until MOST words hold no trigger.
-        start = m.start()
-        for _ in range(3):
-            while start > done and text[start - 1] not in " \t\n\x0b\x0c\r":
-                start -= 1
-            back = start
-            while back > done and text[back - 1] in " \t\n\x0b\x0c\r":
-                back -= 1
-            if back == done or _ == 2:
-                break
-            start = back
-        while start < m.start() and text[start] in " \t\n\x0b\x0c\r":
-            start += 1
-        words, triggers, quiet = [], [], 0
-        for w in WORDS.finditer(text, start):
-            words.append(w.span())
-            triggers.append(is_trigger(w.group()))
-            quiet = 0 if triggers[-1] else quiet + 1
-            if quiet >= MOST or len(words) >= 4096:
-                break
-        yield words, triggers
-        done = max(words[-1][1] if words else 0, m.end())
+def region_start(text: str, at: int) -> int:
+    """Where the word at ``at`` and BACK words before it begin."""
+    blank = " \t\n\x0b\x0c\r"
+    for k in range(BACK + 1):
+        while at > 0 and text[at - 1] not in blank:
+            at -= 1
+        back = at
+        while back > 0 and text[back - 1] in blank:
+            back -= 1
+        if not back or k == BACK:
+            break
+        at = back
+    return at
 
 
 def added_spans(text: str, base: list[tuple[str, int, int]], field: Field) -> list[tuple[str, int, int]]:
-    if not TRIGGER.search(text):
-        return []
-    found = []
-    for words, triggers in regions(text):
-        for kind, a, b in decode(text, words, triggers, field):
-            if not any(a < y and x < b for _, x, y in base):
-                found.append((kind, a, b))
-    return found
+    found: list[tuple[str, int, int]] = []
+    done, chains = 0, None
+    while m := TRIGGER.search(text, done):
+        if chains is None:
+            chains = long_chains(text)
+        # A region may reach back over quiet words of the one before: none of a segment can hold words of both.
+        start = region_start(text, m.start())
+
+        def words() -> Iterator[tuple[int, int, bool]]:
+            nonlocal done
+            for w in near(text, start):  # noqa: B023
+                done = w[1]
+                yield w
+
+        found += decode(text, words(), chains, field)
+    return [s for s in found if not any(s[1] < y and x < s[2] for _, x, y in base)]
 
 
 CARRIERS = "the of and le la der die el que with from para sur nicht reion anthe ster ention call see at version no number on page year item total".split()
@@ -243,7 +286,8 @@ def training_sentences(count: int = 500, seed: int = 11) -> list[list[tuple[str,
         host = f"{name()}.{rng.choice(['com', 'org', 'net', 'example.com'])}"
         user = rng.choice([name(), f"{name()}.{name()}", f"{name()}{digits(2)}", f"{name()}.{digits(2)}"])
         plain, _, last = host.rpartition(".")
-        return rng.choice([f"{user}@{host}", f"{user}@{host}", f"{user} [at] {plain} [dot] {last}", f"{user} (at) {host}"])
+        spelled = f"{user.replace('.', ' [dot] ')} [at] {host.replace('.', ' [dot] ')}"
+        return rng.choice([f"{user}@{host}", f"{user}@{host}", f"{user} [at] {plain} [dot] {last}", f"{user} (at) {host}", spelled])
 
     def secret() -> str:
         return rng.choice(["".join(rng.choice("0123456789abcdef") for _ in range(rng.choice([32, 40, 64]))), "AKIA" + "".join(rng.choice("ABCDEFGHIJKLMNOP234567") for _ in range(16)), "sk-" + "".join(rng.choice("abcdefABCDEF0123456789xyzXYZ") for _ in range(32))])
@@ -289,12 +333,11 @@ def trained(epochs: int = 5, seed: int = 11) -> Field:
             else:
                 gold[at, at + k] = y
             at += k
-        words = [m.span() for m in WORDS.finditer(text)]
-        triggers = [is_trigger(text[a:b]) for a, b in words]
+        words = [(*m.span(), is_trigger(m.group())) for m in WORDS.finditer(text)]
         edges = []
-        for i, j, _, names in lattice(text, words, triggers):
+        for i, j, _, names, ok in lattice(text, words, long_chains(text), {}):
             rows = [index.setdefault(x, len(index)) for x in names]
-            edges.append((i, j, np.array(rows, np.int64), bool(names) and any(triggers[i:j])))
+            edges.append((i, j, np.array(rows, np.int64), ok))
         if set(gold) <= {(i, j) for i, j, _, _ in edges}:
             data.append((len(words), edges, gold))
     weights, moves = np.zeros((len(index), OUT + 1)), np.zeros((OUT + 1, OUT + 1))
