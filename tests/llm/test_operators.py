@@ -409,6 +409,18 @@ def test_html_held_out_accuracy():
     assert np.mean(right) > 0.98
 
 
+def test_html_tags_without_end_lose_no_text():
+    first, second = "The first part of the text, which is long enough to be read.", "Another paragraph, which is long enough to be read as text of the page."
+    page = "<html><body><nav><ul><li><a href=/a>Home</a></li></ul></nav><article><h1>Title</h1><p>%s</p>%s<p>%s</p></article><footer>&copy; 2024</footer></body></html>"
+    read = lambda x: html_text.main_text(page % (first, x, second), html_text.trained()).split("\n")
+    for x in ["<object data=x>", "<svg viewBox='0 0 1 1'>", "<math>", "<template>", "<noscript>", "<!-->", "<!--->", "<!-- </template> --><template>", "<svg><title/></svg>"]:
+        assert read(x) == ["Title", first, second], x
+    for x in ["<template><template>x</template>no</template>", "<template><div>no<p>no</div></template>", "<svg><title>Icon</title></svg>", "<object><object></object>", "<script>'<template>'</script>"]:
+        assert read(x) == ["Title", first, second], x
+    assert read("<object><p>Words of the object.</p></object>") == ["Title", first, "Words of the object.", second]
+    assert read("<p>If <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds, then it is so.</p>") == ["Title", first, "If x=1 holds, then it is so.", second]
+
+
 # --- PII ---------------------------------------------------------------------------------------------------------
 
 

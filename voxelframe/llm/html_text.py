@@ -6,8 +6,9 @@ Viterbi decodes the page. The field is trained on labelled pages, by default bui
 pass over whole pages.
 
 Defined cases: a null or empty html has no text; unclosed, crossed and stray tags never fail; scripts, styles,
-templates and comments hold no text; text outside any tag is a block; equal pages give equal texts; a null page_id or
-url is kept; other columns are ignored.
+closed templates and comments hold no text; closed svg, math, object and noscript elements are open elements like
+others, and their tags count for nothing where the end tag is missing; text outside any tag is a block; equal pages
+give equal texts; a null page_id or url is kept; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,13 +35,22 @@ BLOCKS = frozenset(
     "th thead title tr ul".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe xmp svg math object".split())
+RAW = frozenset("script style textarea title iframe xmp".split())
+#: Elements of which only those with an end tag are opened.
+PAIRED = frozenset("noscript template svg math object".split())
 #: Elements that an opening tag of the same set ends.
 SIBLINGS = {"li": {"li"}, "p": {"p"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 REST = re.compile(r"""[^>"']*+(?:"[^"]*+"[^>"']*+|'[^']*+'[^>"']*+)*+>""")
 MARK = re.compile(r"""\b(class|id|role|hidden|style|aria-label)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+))?""", re.I)
 TOKEN = re.compile(r"[a-z]+")
+COMMENT = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))", re.S)
+#: Tags of paired elements (the last two groups), and what may hold such tags as plain text.
+PAIRS = re.compile(
+    rf"{COMMENT.pattern}|<(script|style|textarea|title|iframe|xmp)(?=[\s/>])[^>]*>(?:(?<=/>)|.*?(?:</\1\b|\Z))"
+    rf"|<(/?)({'|'.join(sorted(PAIRED))})(?=[\s/>])(?:{REST.pattern})?",
+    re.I | re.S,
+)
 
 
 @dataclass
@@ -59,6 +69,22 @@ class _State:
     out: list[Block] = field(default_factory=list)
 
 
+def paired(page: str, at: int) -> dict[int, int]:
+    """Start of the tag and end of the end tag of every paired element from ``at`` on that has an end tag."""
+    opened: dict[str, list[int]] = {}
+    ends = {}
+    for m in PAIRS.finditer(page, at):
+        if not m.group(3):
+            continue
+        mine = opened.setdefault(m.group(3).lower(), [])
+        if not m.group(2):
+            if not m.group().rstrip(">").endswith("/"):
+                mine.append(m.start())
+        elif mine:
+            ends[mine.pop()] = m.end()
+    return ends
+
+
 def blocks(page: str) -> list[Block]:
     """The leaf blocks in page order: text with references decoded and blanks joined, and the open elements."""
     s = _State()
@@ -78,6 +104,7 @@ def blocks(page: str) -> list[Block]:
                 s.linked += len(text.strip())
 
     at, n = 0, len(page)
+    pairs: dict[int, int] | None = None
     while at < n:
         lt = page.find("<", at)
         if lt < 0:
@@ -85,8 +112,7 @@ def blocks(page: str) -> list[Block]:
             break
         add(page[at:lt])
         if page.startswith("<!--", lt):
-            end = page.find("-->", lt + 4)
-            at = n if end < 0 else end + 3
+            at = COMMENT.match(page, lt).end()
             continue
         if page.startswith(("<!", "<?"), lt):
             end = page.find(">", lt)
@@ -107,9 +133,11 @@ def blocks(page: str) -> list[Block]:
                 flush()
             for k in range(len(s.stack) - 1, -1, -1):
                 if s.stack[k][0] == name:
+                    if name in PAIRED and any(t in BLOCKS for t, _ in s.stack[k:]):
+                        flush()
                     del s.stack[k:]
                     break
-                if s.stack[k][0] in BLOCKS and name not in BLOCKS:
+                if s.stack[k][0] in BLOCKS and name not in BLOCKS and name not in PAIRED:
                     break
             continue
         if name in BLOCKS:
@@ -119,16 +147,26 @@ def blocks(page: str) -> list[Block]:
                 if s.stack[k][0] in ends:
                     del s.stack[k:]
                     break
-                if s.stack[k][0] in BLOCKS and s.stack[k][0] not in ("p",):
+                if s.stack[k][0] in PAIRED or s.stack[k][0] in BLOCKS and s.stack[k][0] not in ("p",):
                     break
+        alone = page[m.end() : at].rstrip(">").endswith("/")
         if name in RAW:
-            close = re.compile(rf"</{re.escape(name)}\b[^>]*>?", re.I).search(page, at)
-            if not page[m.end() : at].rstrip(">").endswith("/") or name in ("script", "style", "textarea", "title"):
+            foreign = any(t in ("svg", "math") for t, _ in s.stack)
+            if not alone or not foreign and name in ("script", "style", "textarea", "title"):
+                close = re.compile(rf"</{re.escape(name)}\b[^>]*>?", re.I).search(page, at)
                 at = close.end() if close else n
             continue
+        if name in PAIRED and not alone:
+            if pairs is None:
+                pairs = paired(page, lt)
+            if lt not in pairs:
+                continue
+            if name == "template":
+                at = pairs[lt]
+                continue
         if name == "br":
             add(" ")
-        elif name not in VOID and not page[m.end() : at].rstrip(">").endswith("/"):
+        elif name not in VOID and not alone:
             s.stack.append((name, _marks(page[m.end() : at])))
     flush()
     return s.out
@@ -301,8 +339,10 @@ def training_pages(count: int = 400, seed: int = 23) -> list[list[Block]]:
                 out.append("<table>" + "".join(f"<tr><td>{good(word())}</td><td>{good(word())}</td></tr>" for _ in range(3)) + "</table>")
             elif kind < 0.92:
                 out.append(f"<pre>{good(word())} {word()}</pre>")
-            elif kind < 0.95:
+            elif kind < 0.93:
                 out.append(f"<div>{text}</div>")
+            elif kind < 0.95:
+                out.append(pick(["<object data=x><p>{}</p></object>", "<p>{} <math><mi>x</mi></math></p>", "<p>{} <svg><text>x</text></svg></p>"]).format(text))
             else:
                 out.append(advert())
         return "".join(out)
@@ -311,6 +351,7 @@ def training_pages(count: int = 400, seed: int = 23) -> list[list[Block]]:
     menu = lambda: f'<{pick(["nav", "div class=menu", "nav role=navigation", "div id=nav"])}><ul>' + "".join(f"<li>{link()}</li>" for _ in range(rng.randint(2, 8))) + "</ul></nav></div>"
     header = lambda: f'<{pick(["header", "div class=header", "div id=header"])}><div class="logo">{word()}</div><p>{sentence(2, 8)}</p></header></div>'
     notice = lambda: f'<div class="{pick(["cookie", "cookie-notice", "notice", "consent", "gdpr banner", "alert", "popup"])}" {pick(["", "role=dialog"])}><p>{sentence(5, 20)}</p><button>{word()}</button></div>'
+    unscripted = lambda: f'<noscript>{pick(["<p>{}</p>", "<div>{}</div>", "{}"]).format(sentence(4, 15))}</noscript>'
     side = lambda: f'<{pick(["aside", "div class=sidebar", "aside class=sidebar", "div id=sidebar", "div class=related", "section class=related"])}><h3>{sentence(1, 4)}</h3>' + pick([lambda: "<ul>" + "".join(f"<li>{link()}</li>" for _ in range(4)) + "</ul>", lambda: f"<p>{sentence(4, 20)}</p>"])() + "</aside></div></section>"
     form = lambda: f'<form action="/s" class="{pick(["search", "newsletter", "subscribe", "contact", ""])}"><label>{sentence(1, 5)}</label><input name=q><button>{word()}</button><p>{sentence(2, 8)}</p></form>'
     footer = lambda: f'<{pick(["footer", "div class=footer", "div id=footer"])}>{pick(["&copy; ", "Copyright 2024 ", ""])}{word()} &middot; {sentence(2, 9)}{pick(["", link()])}</footer></div>'
@@ -331,6 +372,8 @@ def training_pages(count: int = 400, seed: int = 23) -> list[list[Block]]:
         main += close
         before = [f() for f in (menu, header, notice, advert, side, form) if rng.random() < 0.45]
         after = [f() for f in (side, form, comments, advert, notice) if rng.random() < 0.35]
+        if rng.random() < 0.15:
+            before.append(unscripted())
         rng.shuffle(before)
         rng.shuffle(after)
         found = blocks("<html><body>" + "".join(before) + main + "".join(after) + (footer() if rng.random() < 0.8 else "") + "</body></html>")
