@@ -356,6 +356,24 @@ def test_mixing_odd_rows(spark, docs, none):
     assert mixing.mix(none, labels, {}).count() == 0
 
 
+@pytest.mark.parametrize("per", [0, 10, 250, 1])
+def test_pipeline_mixing_drops_toxic_documents_alone(spark, tmp_path, monkeypatch, per):
+    import corpus_pipeline
+
+    # Toxic documents, ``per`` in a thousand (1: in twenty thousand), and clean ones, of some of which the model is unsure.
+    count = 20_000 if per == 1 else 1000
+    bad = {i for i in range(count) if i * 7 % count < per}
+    toxic = lambda i: (0.55 if i % 5 == 0 else 0.98) if i in bad else (0.45 if i % 10 == 9 else 0.05)
+    made = [(i, 100 if i in bad else 400, (1 - toxic(i)) * 0.9, (1 - toxic(i)) * 0.1, toxic(i)) for i in range(count)]
+    made += [(None, 9, 0.0, 0.0, 1.0), (count, 0, 0.1, 0.1, 0.8)]
+    members = spark.createDataFrame(made, "doc_id long, n_tokens long, p_good double, p_poor double, p_toxic double")
+    monkeypatch.setattr(mixing, "train", lambda docs, labels: None)
+    monkeypatch.setattr(mixing, "posteriors", lambda docs, classifier: members)
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    kept = corpus_pipeline.mix_sources(spark, members.select("doc_id"), str(tmp_path)).collect()
+    assert {r.doc_id for r in kept} == {None, count, *range(count)} - bad and len(kept) == count + 2 - len(bad)
+
+
 # --- WARC --------------------------------------------------------------------------------------------------------
 
 

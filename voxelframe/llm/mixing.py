@@ -135,42 +135,52 @@ def posteriors(docs: DataFrame, classifier: Classifier) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
 
 
-def rate(steps: list[np.ndarray]) -> Column:
-    """The rate after the projected steps: max(0, rate - posterior . step), from 1."""
+def rate(steps: list[np.ndarray], held: Column | None = None) -> Column:
+    """The rate after the projected steps: max(0, rate - posterior . step), from 1. ``held`` documents keep 1."""
     out = F.lit(1.0)
     for step in steps:
         move = sum((F.col(f"p_{d}") * float(s) for d, s in zip(DOMAINS, step, strict=True)), F.lit(0.0))
         out = F.greatest(F.lit(0.0), out - move)
-    return F.when(F.col("n_tokens") > 0, out).otherwise(F.lit(1.0))
+    moved = F.col("n_tokens") > 0
+    return F.when(moved if held is None else moved & ~held, out).otherwise(F.lit(1.0))
 
 
-def fit_rates(members: DataFrame, weights: dict[str, float], total: float | None = None, iterations: int = 12, tolerance: float = 1e-4):
+def fit_rates(
+    members: DataFrame, weights: dict[str, float], total: float | None = None, iterations: int = 12, tolerance: float = 1e-4, held: Column | None = None
+):
     """Steps of the projected gradient descent, the targets and the last expected totals.
 
     ``weights`` are multiples of the domains' expected totals; with ``total`` their tokens are scaled to that sum. A
-    step is the gradient in the metric of the active documents' second moments, so few iterations are needed.
+    step is the gradient in the metric of the active documents' second moments, so few iterations are needed. With
+    ``held``, those documents keep rate 1 and the totals are those that they hold.
     """
     members = members.where("n_tokens > 0")
     k = len(DOMAINS)
     steps: list[np.ndarray] = []
     target: np.ndarray | None = None
-    totals = np.zeros(k)
+    totals, scale = np.zeros(k), 1.0
     for _ in range(iterations):
-        w = rate(steps)
+        w = rate(steps, held)
         n = F.col("n_tokens").cast("double")
         p = [F.col(f"p_{d}") for d in DOMAINS]
         sums = [F.sum(w * n * p[i]).alias(f"t{i}") for i in range(k)]
         # The Hessian over the documents that are not held at zero.
-        free = F.when((w > 0) | F.lit(not steps), n).otherwise(0.0)
+        moving = (w > 0) | F.lit(not steps)
+        free = F.when(moving if held is None else moving & ~held, n).otherwise(0.0)
         sums += [F.sum(free * p[i] * p[j]).alias(f"h{i}{j}") for i in range(k) for j in range(i, k)]
+        if held is not None:
+            sums += [F.sum(F.when(held, n * p[i])).alias(f"k{i}") for i in range(k)]
         row = members.agg(*sums).first()
         totals = np.array([row[f"t{i}"] or 0.0 for i in range(k)])
         if target is None:
-            target = np.array([weights.get(d, 1.0) for d in DOMAINS]) * totals
+            base = totals if held is None else np.array([row[f"k{i}"] or 0.0 for i in range(k)])
+            target = np.array([weights.get(d, 1.0) for d in DOMAINS]) * base
             if total is not None and target.sum() > 0:
                 target = target * (total / target.sum())
+            # A few documents of a large corpus count as much as many when they alone may move.
+            scale = max(1.0, target.sum()) if held is None else max(1.0, np.abs(totals - base).sum())
         off = totals - target
-        if np.abs(off).max() <= tolerance * max(1.0, target.sum()):
+        if np.abs(off).max() <= tolerance * scale:
             break
         h = np.array([[row[f"h{min(i, j)}{max(i, j)}"] or 0.0 for j in range(k)] for i in range(k)])
         h += np.eye(k) * max(1e-9, 1e-6 * np.trace(h))
@@ -178,11 +188,16 @@ def fit_rates(members: DataFrame, weights: dict[str, float], total: float | None
     return steps, target, totals
 
 
-def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float], total: float | None = None) -> DataFrame:
-    """doc_id, n_tokens, posteriors and rate of every document."""
+def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float], total: float | None = None, away: str | None = None) -> DataFrame:
+    """doc_id, n_tokens, posteriors and rate of every document.
+
+    Only documents that are ``away`` by half their posterior give way, where it is set: the others are held at rate 1
+    and the targets are multiples of what they hold, so a document's fate is not set by the rest of the corpus.
+    """
+    held = F.col(f"p_{away}") < 0.5 if away else None
     members = materialise(posteriors(docs, train(docs, labels)), "mix-members")
-    steps, _, _ = fit_rates(members, weights, total)
-    return members.withColumn("rate", rate(steps))
+    steps, _, _ = fit_rates(members, weights, total, held=held)
+    return members.withColumn("rate", rate(steps, held))
 
 
 def apply_rates(docs: DataFrame, mixed: DataFrame, nearest: bool = False) -> DataFrame:
