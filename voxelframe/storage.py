@@ -9,11 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a temporary one is set only where that is unset."""
+    """The folder in ``spark.checkpoint.dir``. Where that is unset, a single machine gets a temporary folder and a
+    cluster an error: its executors would not see each other's files."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
         path = spark.conf.get("voxelframe.shared.dir", None)
     if not path:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="voxelframe-")
         spark.conf.set("voxelframe.shared.dir", path)
     return path.rstrip("/")
