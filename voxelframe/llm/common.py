@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -26,7 +27,7 @@ def slices(batches: Iterable[pa.RecordBatch], column: str, budget: int = 4_000_0
     for batch in batches:
         if not batch.num_rows:
             continue
-        sizes = [len(v) if v is not None else 0 for v in _buffers(batch.column(batch.schema.get_field_index(column)))]
+        sizes = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(column))), 0).to_pylist()
         start, held = 0, 0
         for i, n in enumerate(sizes):
             if i > start and held + n > budget:
@@ -36,11 +37,19 @@ def slices(batches: Iterable[pa.RecordBatch], column: str, budget: int = 4_000_0
         yield batch.slice(start)
 
 
-def _buffers(array: pa.Array) -> list:
-    import pyarrow.compute as pc
+def unused(taken: Iterable[str], name: str) -> str:
+    """``name``, or that with underscores until no column of ``taken`` has it (names differ by more than case)."""
+    lowered = {c.lower() for c in taken}
+    while name.lower() in lowered:
+        name += "_"
+    return name
 
-    lengths = pc.fill_null(pc.binary_length(array), 0).to_pylist()
-    return [range(n) for n in lengths]
+
+def without(df: DataFrame, *names: str) -> DataFrame:
+    """``df`` without its columns of these names: an operator's own columns take the place of an input's."""
+    lowered = {n.lower() for n in names}
+    clash = [c for c in df.columns if c.lower() in lowered]
+    return df.select(*(f"`{c}`" for c in df.columns if c not in clash)) if clash else df
 
 
 def arrow_schema(schema: T.StructType) -> pa.Schema:

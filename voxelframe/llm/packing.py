@@ -2,19 +2,26 @@
 
 Documents become token ids (a final end id each) and are cut only where longer than a sequence. Pieces are dealt by
 hash into groups of bounded size; each group is packed by branch and bound: every sequence is built around the largest
-piece left, over the undominated fillings of its room, pruned by the waste bound, with the best-fit-decreasing
-packing as incumbent and the volume bound as proof that nothing is left to gain. Sequences a group leaves open are
-taken apart and their pieces packed again, together. Only lengths are shuffled, never tokens.
+piece left, over the undominated fillings of its room, fullest first, pruned by the waste bound. The best-fit
+packing is the incumbent, and a lower bound (volume, and large pieces kept apart) ends the search with a proof that
+nothing is left to gain. Sequences a group leaves open are taken apart and their pieces packed again, together. Only
+lengths are shuffled, never tokens.
+
+The search looks at ``nodes`` fillings beyond one a sequence and then keeps its incumbent; with ``nodes=None`` it goes
+on until the packing of the group is proved to be the smallest.
 
 Defined cases: a null or empty text is the end id alone; texts of any length are whole; equal lengths are placed in
 input order of a group sorted by (doc_id, piece); repeated rows are separate documents; an empty table gives no
-piece; a null doc_id is kept; further columns of ``pieces`` pass through ``pack``.
+piece; a null doc_id is kept, and rows without one are dealt like others; further columns of ``pieces`` pass through
+``pack``, but for columns named sequence_id or offset, whose place its own take.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import struct
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -26,10 +33,10 @@ from pyspark.sql import functions as F
 
 from voxelframe.storage import materialise
 
-from .common import slices
+from .common import slices, unused, without
 
 CAPACITY, END_ID = 4096, 1
-#: Pieces packed together, and search nodes a group may visit beyond the incumbent.
+#: Pieces packed together, and fillings that the search of a group looks at beyond one a sequence.
 GROUP, NODES = 8192, 4000
 #: A sequence with more room than this share of the capacity is open after the first level.
 OPEN = 0.02
@@ -41,8 +48,12 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-#: Marks that this vocabulary splits off a run of letters before them, whatever they are.
+#: Letters that lower-case to one letter each, so that a run of them is one word, and marks that this vocabulary splits
+#: off such a run.
+LETTERS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
 TAIL = ".,;:!?%$&#*|"
+#: Words whose ids a worker keeps.
+KEPT = 100_000
 
 
 @lru_cache(maxsize=2)
@@ -53,20 +64,20 @@ def _encoder(path: str) -> tuple:
     encoder = Tokenizer.from_file(path)
     ends = np.zeros(max(encoder.get_vocab().values()) + 1, bool)
     ends[[i for t, i in encoder.get_vocab().items() if t.endswith("</w>")]] = True
-    return encoder, {}, {}, ends
+    return encoder, {"": b""}, ends
 
 
-def _encoded(encoder, ends: np.ndarray, runs: list[str], known: dict[str, bytes]) -> None:
-    """Encode runs of letters many at a time: each is one word, so its ids stop at the first id that ends a word."""
-    words = [r for r in runs if r.isalpha()]
+def _encode(encoder, ends: np.ndarray, runs: list[str], known: dict[str, bytes]) -> None:
+    """Encode runs; those of plain letters many at a time: each is one word, so its ids stop at the first that ends one."""
+    words = [r for r in runs if LETTERS.fullmatch(r)]
     for at in range(0, len(words), 500):
         part = words[at : at + 500]
         ids = np.array(encoder.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
         stops = (4 * (np.flatnonzero(ends[ids]) + 1)).tolist()
-        # As many words as runs: every run is exactly one word. Otherwise (marks within letters) they are encoded alone.
-        if len(stops) == len(part):
-            data = ids.tobytes()
-            known.update(zip(part, map(data.__getitem__, map(slice, [0, *stops], stops)), strict=False))
+        if len(stops) != len(part):
+            raise ValueError("a word of letters has no end of its own in this vocabulary")
+        data = ids.tobytes()
+        known.update(zip(part, map(data.__getitem__, map(slice, [0, *stops], stops)), strict=False))
     runs = [r for r in runs if r not in known]
     for at in range(0, len(runs), 10_000):
         part = runs[at : at + 10_000]
@@ -78,26 +89,22 @@ def token_bytes(texts: list[str], path: str) -> list[bytes]:
     """Little-endian 32-bit ids of each text, equal to encoding it whole.
 
     Blanks end every token of this vocabulary and it has no upper case, so each distinct lower-case run of other
-    characters is encoded once, letters apart from the marks after them; a worker keeps at most 600,000 runs.
+    characters is encoded once: plain letters apart from the marks after them, any other run as it is.
     """
-    encoder, known, cores, ends = _encoder(path)
+    encoder, known, ends = _encoder(path)
     # bytes.lower acts on A-Z alone; texts that may spell a special token stay as they are.
     lowered = [t if "<|" in t else t.encode().lower().decode() for t in texts]
     runs = [t.replace("\n", " ").split(" ") for t in lowered]
-    if len(known) > 600_000:
-        known.clear()
-        cores.clear()
-    known.setdefault("", b"")
-    new = {r for one in runs for r in one} - known.keys()
-    split = {}
-    for r in new:
+    parts = {}
+    for r in set().union(*runs):
         core = r.rstrip(TAIL)
-        split[r] = (core, r[len(core) :]) if core.isalpha() else (r, "")
-    _encoded(encoder, ends, list({x for pair in split.values() for x in pair if x and x not in cores}), cores)
-    cores[""] = b""
-    for r, (core, tail) in split.items():
-        known[r] = cores[core] + cores[tail] if tail else cores[core]
-    return [b"".join(map(known.__getitem__, one)) for one in runs]
+        parts[r] = (core, r[len(core) :]) if LETTERS.fullmatch(core) else (r, "")
+    if len(known) > KEPT:
+        known.clear()
+        known[""] = b""
+    _encode(encoder, ends, list({x for pair in parts.values() for x in pair} - known.keys()), known)
+    ids = {r: known[core] + known[tail] if tail else known[core] for r, (core, tail) in parts.items()}
+    return [b"".join(map(ids.__getitem__, one)) for one in runs]
 
 
 def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
@@ -106,7 +113,7 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACI
     end = int(end_id).to_bytes(4, "little")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 2_000_000):
             owner, number, start, length, ids = [], [], [], [], []
             coded = token_bytes([t or "" for t in batch.column(1).to_pylist()], path)
             for doc_id, data in zip(batch.column(0).to_pylist(), coded, strict=True):
@@ -151,17 +158,19 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
 
 
 def lower_bound(sizes: list[int], capacity: int) -> int:
-    """The larger of the volume bound and the bound that keeps large pieces apart, over the halves of the capacity."""
-    best = -(-sum(sizes) // capacity)
-    for k in sorted({s for s in sizes if 2 * s <= capacity} | {0}):
-        large = [s for s in sizes if s > capacity - k]
-        middle = [s for s in sizes if capacity // 2 < s <= capacity - k]
-        small = sum(s for s in sizes if k <= s <= capacity // 2)
-        room = len(middle) * capacity - sum(middle)
-        best = max(best, len(large) + len(middle) + max(0, -(-(small - room) // capacity)))
-        if k > 64:
-            break
-    return best
+    """The larger of the volume bound and, for every k up to half the capacity, the bound that keeps pieces over half
+    apart: those that leave less than k are alone, and pieces from k on need the room that the others leave."""
+    s = np.sort(np.asarray(sizes, np.int64))
+    if not len(s):
+        return 0
+    upto = np.concatenate(([0], np.cumsum(s)))
+    k = np.unique(np.concatenate(([0], s[2 * s <= capacity])))
+    half = np.searchsorted(s, capacity // 2, side="right")
+    large = np.maximum(np.searchsorted(s, capacity - k, side="right"), half)
+    room = (large - half) * capacity - (upto[large] - upto[half])
+    small = upto[half] - upto[np.minimum(np.searchsorted(s, k), half)]
+    apart = len(s) - half + np.maximum(0, -(-(small - room) // capacity))
+    return max(-(-int(upto[-1]) // capacity), int(apart.max()))
 
 
 def dominated(a: tuple[int, ...], b: tuple[int, ...]) -> bool:
@@ -177,89 +186,116 @@ def dominated(a: tuple[int, ...], b: tuple[int, ...]) -> bool:
     return True
 
 
-def fillings(room: int, counts: dict[int, int], sizes: list[int], waste: int, limit: int = 12) -> list[tuple[int, ...]]:
-    """Undominated fillings of ``room`` that waste at most ``waste``, fullest first; at most ``limit`` are looked at."""
-    found: list[tuple[int, ...]] = []
-    budget = [600]
+def fillings(room: int, sizes: list[int], counts: dict[int, int], waste: int, left: list[int] | None = None) -> Iterator[tuple[int, ...]]:
+    """Undominated fillings of ``room`` that waste at most ``waste``, fullest first and among equals larger pieces first.
 
-    def grow(left: int, at: int, chosen: tuple[int, ...]) -> None:
-        budget[0] -= 1
-        if len(found) >= 4 * limit or budget[0] < 0:
+    ``sizes`` are the distinct sizes at hand, rising, and ``counts`` how many there are of each. Sums that smaller
+    pieces reach are bit masks, so no branch ends without a filling. ``left`` holds how many may be looked at.
+    """
+    full = (1 << room + 1) - 1
+    sums = [1]
+    for s in sizes:
+        if s > room or sums[-1] == full:
+            break
+        reach, more, step = sums[-1], counts[s], 1
+        while more:
+            step = min(step, more)
+            reach |= reach << step * s & full
+            more -= step
+            step *= 2
+        sums.append(reach)
+
+    def exact(target: int, upto: int) -> Iterator[tuple[int, ...]]:
+        if not target:
+            yield ()
             return
-        fitted = False
-        for i in range(at, len(sizes)):
-            s = sizes[i]
-            if s <= left and chosen.count(s) < counts[s]:
-                fitted = True
-                grow(left - s, i, (*chosen, s))
-                if len(found) >= 4 * limit or budget[0] < 0:
+        for i in range(min(upto, bisect_right(sizes, target)) - 1, -1, -1):
+            s, below = sizes[i], sums[min(i, len(sums) - 1)]
+            for m in range(min(counts[s], target // s), 0, -1):
+                if below >> target - m * s & 1:
+                    for rest in exact(target - m * s, i):
+                        yield (s,) * m + rest
+
+    seen: list[tuple[int, ...]] = []
+    for w in range(min(waste, room) + 1):
+        if not sums[-1] >> room - w & 1:
+            continue
+        for found in exact(room - w, len(sizes)):
+            if left is not None:
+                if left[0] <= 0:
                     return
-        if not fitted and left <= waste:
-            found.append(chosen)
-
-    grow(room, 0, ())
-    found = sorted(set(found), key=lambda f: (room - sum(f), len(f), f))[:limit]
-    return [a for a in found if not any(dominated(a, b) for b in found if b != a)]
+                left[0] -= 1
+            # A filling that still has room for a piece at hand is dominated by the one with that piece.
+            smallest = next((s for s in sizes if s > w or counts[s] > found.count(s)), w + 1)
+            if smallest > w and not any(dominated(found, b) for b in seen):
+                seen.append(found)
+                yield found
 
 
-def bin_completion(lengths: list[int], capacity: int, nodes: int = NODES) -> list[list[int]]:
-    """Bins of sizes. The incumbent is best fit; the search ends at the bound or when ``nodes`` are spent."""
+def bin_completion(lengths: list[int], capacity: int, nodes: int | None = NODES) -> list[list[int]]:
+    """Bins of sizes. The incumbent is best fit; the search ends at the bound, when nothing is left to try, or, unless
+    ``nodes`` is None, when it has looked at one filling a bin and ``nodes`` more."""
     order = sorted(lengths, reverse=True)
     best = best_fit(order, capacity)
-    bound = lower_bound(order, capacity)
-    total = sum(order)
-    # A search that must go as deep as there are bins is only worth it where nodes reach the bottom.
-    if len(best) <= bound or len(best) > nodes:
+    bound, total = lower_bound(order, capacity), sum(order)
+    if len(best) <= bound:
         return best
     counts: dict[int, int] = {}
     for s in order:
         counts[s] = counts.get(s, 0) + 1
-    stack: list[list] = []  # per open bin: largest, its fillings still to try, the filling in use
-    bins: list[list[int]] = []
+    sizes = sorted(counts)
+    left = None if nodes is None else [nodes + len(best)]
+    # Per open bin its largest piece and fillings still to try, and the pieces in it (None while it is being filled).
+    stack: list[tuple[int, Iterator[tuple[int, ...]]]] = []
+    bins: list[tuple[int, ...] | None] = []
     wasted = 0
-    spent = 0
 
-    def change(items: tuple[int, ...], by: int) -> None:
+    def take(items: Iterable[int]) -> None:
         for s in items:
-            counts[s] = counts.get(s, 0) + by
+            counts[s] -= 1
             if not counts[s]:
-                del counts[s]
+                del sizes[bisect_left(sizes, s)]
 
-    while spent < nodes:
+    def give(items: Iterable[int]) -> None:
+        for s in items:
+            if not counts[s]:
+                insort(sizes, s)
+            counts[s] += 1
+
+    while left is None or left[0] > 0 or not sizes:
         allowed = (len(best) - 1) * capacity - total - wasted
-        if not counts and len(bins) < len(best):
+        if not sizes:
             best = [list(b) for b in bins]
             if len(best) <= bound:
-                return best
-        elif counts and len(bins) < len(best) - 1 and allowed >= 0:
-            spent += 1
-            largest = max(counts)
-            change((largest,), -1)
-            tried = fillings(capacity - largest, counts, sorted(counts, reverse=True), allowed)
-            stack.append([largest, tried, None])
-        # Take the next filling of the last bin, or undo bins that have none left.
+                break
+        elif len(bins) < len(best) - 1 and allowed >= 0:
+            largest = sizes[-1]
+            take((largest,))
+            stack.append((largest, fillings(capacity - largest, sizes, counts, allowed, left)))
+            bins.append(None)
         while stack:
-            top = stack[-1]
-            if top[2] is not None:
-                change(top[2], 1)
-                wasted -= capacity - sum(bins.pop())
-                top[2] = None
-            if top[1]:
-                top[2] = top[1].pop(0)
-                change(top[2], -1)
-                bins.append([top[0], *top[2]])
+            largest, more = stack[-1]
+            if bins[-1] is not None:
+                give(bins[-1][1:])
+                wasted -= capacity - sum(bins[-1])
+                bins[-1] = None
+            found = next(more, None)
+            if found is not None:
+                take(found)
+                bins[-1] = (largest, *found)
                 wasted += capacity - sum(bins[-1])
                 break
-            change((top[0],), 1)
+            give((largest,))
             stack.pop()
+            bins.pop()
         if not stack:
             break
     return best
 
 
-def place(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def place(lengths: np.ndarray, capacity: int, nodes: int | None = NODES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Bin and offset of each piece, and the fill of each bin."""
-    bins = bin_completion([int(x) for x in lengths], capacity)
+    bins = bin_completion([int(x) for x in lengths], capacity, nodes)
     waiting: dict[int, list[int]] = {}
     for i in range(len(lengths) - 1, -1, -1):
         waiting.setdefault(int(lengths[i]), []).append(i)
@@ -272,28 +308,32 @@ def place(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, n
     return of, at, fill
 
 
-def pack(parts: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> DataFrame:
+def pack(parts: DataFrame, capacity: int = CAPACITY, group: int = GROUP, nodes: int | None = NODES) -> DataFrame:
     """``parts`` (doc_id, piece, length and any others; ids should be gone) with sequence_id and offset."""
-    parts = materialise(parts, "pack-pieces")
-    first = materialise(_level(parts, capacity, group, 0), "pack-first")
-    closed = first.where(~F.col("_open")).drop("_open")
-    again = first.where("_open").drop("_open", "sequence_id", "offset")
-    return closed.unionByName(_level(again, capacity, group, 1).drop("_open"))
+    parts = without(parts, "sequence_id", "offset")
+    # A row's own number deals equal and nameless rows apart; in the table it does not change when a task is run again.
+    number, opened = unused(parts.columns, "_number"), unused(parts.columns, "_open")
+    parts = materialise(parts.withColumn(number, F.monotonically_increasing_id()), "pack-pieces")
+    first = materialise(_level(parts, number, opened, capacity, group, nodes, 0), "pack-first")
+    again = first.where(F.col(opened)).drop(opened, "sequence_id", "offset")
+    closed = first.where(~F.col(opened)).unionByName(_level(again, number, opened, capacity, group, nodes, 1))
+    return closed.drop(number, opened)
 
 
-def _level(parts: DataFrame, capacity: int, group: int, level: int) -> DataFrame:
+def _level(parts: DataFrame, number: str, opened: str, capacity: int, group: int, nodes: int | None, level: int) -> DataFrame:
     groups = max(1, -(-parts.count() // group))
-    dealt = parts.withColumn("_group", F.pmod(F.xxhash64("doc_id", "piece", F.lit(level)), F.lit(groups)).cast("int"))
+    of_group = unused(parts.columns, "_group")
+    dealt = parts.withColumn(of_group, F.pmod(F.xxhash64(number, F.lit(level)), F.lit(groups)).cast("int"))
     names = parts.columns
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["doc_id", "piece"], kind="stable", ignore_index=True)
-        of, at, fill = place(frame["length"].to_numpy(), capacity)
-        number = (level << 60) + (int(frame["_group"].iloc[0]) << 28)
-        return frame[names].assign(sequence_id=of + number, offset=at, _open=(capacity - fill[of]) > OPEN * capacity)
+        frame = frame.sort_values(["doc_id", "piece", number], kind="stable", ignore_index=True)
+        of, at, fill = place(frame["length"].to_numpy(), capacity, nodes)
+        first = (level << 60) + (int(frame[of_group].iloc[0]) << 28)
+        return frame[names].assign(sequence_id=of + first, offset=at, **{opened: (capacity - fill[of]) > OPEN * capacity})
 
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in parts.schema)
-    return dealt.groupBy("_group").applyInPandas(run, f"{kept}, sequence_id long, offset long, _open boolean")
+    return dealt.groupBy(of_group).applyInPandas(run, f"{kept}, sequence_id long, offset long, `{opened}` boolean")
 
 
 def packed(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
