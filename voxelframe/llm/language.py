@@ -3,11 +3,15 @@
 Affix, character n-gram and lexicon features score each word; learned transitions tie neighbours, so a text that
 switches language is cut where it switches. Forward-backward gives each word's language posteriors; a document's
 language is the one with the largest mean posterior. The model is fitted on a bounded sample of labelled lines
-(``train_docs`` documents and ``train_lines`` lines a language); scoring is one narrow pass over whole texts.
+(``train_docs`` documents of a language, ``train_lines`` lines of at most ``train_chars`` code points), some of them
+joined halfway to a line of another language, so that transitions between languages are learned too. Scoring is one
+narrow pass over whole texts; runs of characters longer than ``LONG``, as in scripts without blanks, are read piece by
+piece, each piece a word.
 
 Defined cases: a null text, or one without letters, is ``und`` with score 0; words without letters carry no
-label; a null doc_id stays null and is not used for training; with no labelled row every text is ``und``; ties go
-to the language that sorts first; other columns are ignored.
+label; a null doc_id stays null and is not used for training; with no labelled row every text is ``und``; lines of
+under 20 code points are learned from only where a language has too few others; ties go to the language that sorts
+first; repeated rows get equal results; other columns are ignored by ``identify`` and kept by ``keep_identified``.
 """
 
 from __future__ import annotations
@@ -21,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from voxelframe.storage import materialise
+
 from .common import slices
 
 UND = "und"
@@ -34,17 +40,20 @@ def held_out() -> F.Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS == 0, F.lit(False))
 
 
-WIDTH = 24
+#: Code points of the longest word; longer runs are read in pieces.
+LONG = 22
+WIDTH = LONG + 2
 #: Row of the weights that stays zero: features a short word lacks.
 NONE = 1 << BITS
+#: Words whose scores a Python worker keeps, and the words of the lines that are joined to a line of another language.
+KEPT, JOINED = 60_000, 0.3
 
 
 def word_features(words: list[str]) -> np.ndarray:
-    """Hashed affixes (1-4) and padded n-grams (2-3) of lower-cased words, a row each; longer words by their ends."""
-    short = [w if len(w) <= WIDTH - 2 else w[: WIDTH // 2 - 1] + w[1 - WIDTH // 2 :] for w in words]
-    padded = np.array([f"<{w}>" for w in short], dtype=f"U{WIDTH}")
+    """Hashed affixes (1-4) and padded n-grams (2-3) of lower-cased words of up to LONG code points, a row each."""
+    padded = np.array([f"<{w}>" for w in words], dtype=f"U{WIDTH}")
     codes = padded.view(np.uint32).reshape(len(words), WIDTH).astype(np.uint64)
-    sizes = np.array([len(w) + 2 for w in short])
+    sizes = np.array([len(w) + 2 for w in words])
 
     def mixed(kind: int, *parts: np.ndarray) -> np.ndarray:
         h = np.full(parts[0].shape, kind * 0x9E3779B1 + 1, np.uint64)
@@ -89,9 +98,11 @@ class Model:
 
 
 def letters(text: str) -> list[str]:
-    """Lower-cased words that hold a letter."""
+    """Lower-cased words that hold a letter; longer runs in pieces of LONG code points, all of them."""
     # Marks around a word say nothing of its language; without them far fewer words differ.
     bare = [w.strip(MARKS) for w in text.lower().split()]
+    if any(len(w) > LONG for w in bare):
+        bare = [w[i : i + LONG] for w in bare for i in range(0, len(w), LONG)]
     return [w for w in bare if w.isalpha() or any(map(str.isalpha, w))]
 
 
@@ -119,17 +130,25 @@ def forward_backward(emissions: np.ndarray, trans: np.ndarray, start: np.ndarray
 
 
 def fit(lines: list[tuple[str, str]], epochs: int = 3, seed: int = 7, lexicon_size: int = 2000) -> Model:
-    """Adaptive gradient ascent on the likelihood of lines whose words all carry their line's label."""
+    """Adaptive gradient ascent on the likelihood of labelled lines; a share of them switch language halfway."""
     langs = sorted({lang for _, lang in lines})
     place = {lang: i for i, lang in enumerate(langs)}
     k = len(langs)
-    sequences = [(letters(text), place[lang]) for text, lang in lines]
-    sequences = [x for x in sequences if x[0]]
-    counts: dict[str, np.ndarray] = {}
-    for words, y in sequences:
+    rng = np.random.default_rng(seed)
+    whole = [(letters(text), place[lang]) for text, lang in lines]
+    whole = [x for x in whole if x[0]]
+    counts: dict[str, int] = {}
+    for words, _ in whole:
         for w in words:
-            counts.setdefault(w, np.zeros(k))[y] += 1
-    frequent = sorted(counts, key=lambda w: (-counts[w].sum(), w))[:lexicon_size]
+            counts[w] = counts.get(w, 0) + 1
+    # Words and their labels; a joined sequence is the first half of one line and the second half of another.
+    sequences = [(words, [y] * len(words)) for words, y in whole]
+    for i, (words, y) in enumerate(whole):
+        other, z = whole[rng.integers(len(whole))]
+        if y != z and rng.random() < JOINED:
+            first, second = words[: (len(words) + 1) // 2], other[len(other) // 2 :]
+            sequences[i] = first + second, [y] * len(first) + [z] * len(second)
+    frequent = sorted(counts, key=lambda w: (-counts[w], w))[:lexicon_size]
     size = NONE + 1
     ids = {w: size + i for i, w in enumerate(frequent)}
     vocabulary = list(counts)
@@ -139,14 +158,13 @@ def fit(lines: list[tuple[str, str]], epochs: int = 3, seed: int = 7, lexicon_si
     trans, grad2, grad2_t = np.zeros((k, k)), np.full_like(theta, 1e-2), np.full((k, k), 1.0)
     np.fill_diagonal(trans, 1.0)
     start = np.full(k, 1 / max(k, 1))
-    rng = np.random.default_rng(seed)
     for _ in range(epochs):
         order = rng.permutation(len(sequences))
         for at in range(0, len(order), 64):
             chosen = [sequences[i] for i in order[at : at + 64]]
             lengths = np.array([len(w) for w, _ in chosen])
             by, offsets, live = packed(lengths)
-            rows = [(chosen[by[j]][0][t], chosen[by[j]][1]) for t, n in enumerate(live) for j in range(n)]
+            rows = [(chosen[by[j]][0][t], chosen[by[j]][1][t]) for t, n in enumerate(live) for j in range(n)]
             feats = [cache[w] for w, _ in rows]
             flat, bounds = np.concatenate(feats), np.concatenate(([0], np.cumsum([len(f) for f in feats])[:-1]))
             scores = np.add.reduceat(theta[flat], bounds, axis=0)
@@ -171,29 +189,47 @@ def fit(lines: list[tuple[str, str]], epochs: int = 3, seed: int = 7, lexicon_si
             move = move / len(chosen) - 1e-2 * trans
             grad2_t += move**2
             trans += 0.1 * move / np.sqrt(grad2_t)
-    # Lines hold one language each, so switching is never seen; keep it possible.
-    trans = np.maximum(trans, trans.max() - 5.0) if k else trans
     lexicon = {w: theta[i].astype(np.float32) for w, i in ids.items()}
     return Model(langs, theta[:size].astype(np.float32), lexicon, np.exp(trans).astype(np.float32), start.astype(np.float32))
 
 
-def train(docs: DataFrame, train_docs: int = 400, train_lines: int = 600) -> Model:
-    """Fit on at most ``train_lines`` whole lines of at most ``train_docs`` documents of each language.
+def least_by(rows: DataFrame, most: int, order: list[str]) -> DataFrame:
+    """The ``most`` rows of each lang that come first in ``order``, whose first column is a 64-bit hash.
+
+    A language's rows are first cut at a hash under which about three times as many lie, so no task sorts a language.
+    """
+    share = F.least(F.lit(1.0), 3.0 * most / F.col("_held"))
+    counts = rows.groupBy("lang").agg(F.count("*").alias("_held"))
+    # A row a language: small enough for every task.
+    near = rows.join(F.broadcast(counts), "lang").where(F.col(order[0]) < share * 2.0**64 - 2.0**63)
+    return near.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= most).drop("_held")
+
+
+def train(docs: DataFrame, train_docs: int = 400, train_lines: int = 600, train_chars: int = 2000) -> Model:
+    """Fit on at most ``train_lines`` lines of at most ``train_docs`` documents of each language.
 
-    Both are the first in hash order among documents not held out, so the driver gets a bounded sample.
+    Both are the first in hash order among documents not held out, so the driver gets a bounded sample; of a line of
+    more than ``train_chars`` code points, each such stretch counts as a line.
     """
     usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
-    first = Window.partitionBy("lang").orderBy("order", "doc_id")
-    ids = usable.select("doc_id", "lang", F.xxhash64("doc_id").alias("order")).withColumn("rank", F.row_number().over(first))
-    ids = ids.where(F.col("rank") <= train_docs).select("doc_id", "lang")
+    usable = usable.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    ids = usable.select("doc_id", "lang", F.xxhash64("doc_id").alias("order"))
+    ids = least_by(ids, train_docs, ["order", "doc_id"]).select("doc_id", "lang").distinct()
     # At most train_docs rows a language: small enough for every task.
-    chosen = usable.select("doc_id", "lang", "text").join(F.broadcast(ids), ["doc_id", "lang"], "left_semi")
+    chosen = usable.join(F.broadcast(ids), ["doc_id", "lang"], "left_semi")
     lines = chosen.select("doc_id", "lang", F.posexplode(F.split("text", "\n", -1)).alias("line", "text"))
-    lines = lines.where(F.length("text").between(20, 2000) & F.col("text").rlike(r"\p{L}"))
-    lines = lines.withColumn("order", F.xxhash64("doc_id", "line"))
-    lines = lines.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("order", "doc_id", "line", "text")))
-    lines = lines.where(F.col("rank") <= train_lines).select("lang", "rank", "text").collect()
-    model = fit([(r["text"], r["lang"]) for r in sorted(lines, key=lambda r: (r["lang"], r["rank"]))])
+    cuts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("text")), F.lit(train_chars))
+    lines = lines.select("doc_id", "lang", "line", "text", F.posexplode(cuts).alias("part", "at"))
+    lines = lines.select("doc_id", "lang", "line", "part", F.substr("text", "at", F.lit(train_chars)).alias("text")).where(F.col("text").rlike(r"\p{L}"))
+    lines = materialise(lines.withColumn("order", F.xxhash64("doc_id", "line", "part")), "language-lines")
+    kept = ["order", "doc_id", "line", "part", "text"]
+    long = least_by(lines.where(F.length("text") >= 20), train_lines, kept)
+    short = least_by(lines.where(F.length("text") < 20), train_lines, kept).withColumn("rank", F.col("rank") + train_lines)
+    found = long.select("lang", "rank", "text").unionByName(short.select("lang", "rank", "text")).collect()
+    by: dict[str, list[tuple[int, str]]] = {}
+    for r in found:
+        by.setdefault(r["lang"], []).append((r["rank"], r["text"]))
+    model = fit([(text, lang) for lang in sorted(by) for _, text in sorted(by[lang])[:train_lines]])
     model.key = f"{zlib.crc32(model.weights.tobytes())}-{model.langs}"
     return model
 
@@ -202,9 +238,9 @@ _CACHE: dict = {"key": None, "ids": {}, "rows": None, "used": 0}
 
 
 def _word_ids(words: list[str], model: Model) -> np.ndarray:
-    """Rows of the emission table, which a Python worker keeps and starts anew beyond 300,000 words."""
+    """Rows of the emission table, which a Python worker keeps and starts anew beyond ``KEPT`` words."""
     cache = _CACHE
-    if cache["key"] != model.key or cache["used"] > 300_000:
+    if cache["key"] != model.key or cache["used"] > KEPT:
         cache |= {"key": model.key, "ids": {}, "rows": np.empty((1 << 15, len(model.langs)), np.float32), "used": 0}
     ids = cache["ids"]
     new = list(set(words) - ids.keys())
@@ -252,7 +288,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         kind = pa.map_(pa.string(), pa.int64())
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 2_000_000):
             sums, lengths, sure = word_posteriors([t or "" for t in batch.column(1).to_pylist()], m)
             pred, score = [], []
             for i, n in enumerate(lengths):
@@ -280,7 +316,7 @@ def keep_identified(docs: DataFrame, model: Model, least: float = 0.5) -> DataFr
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 2_000_000):
             sums, lengths, _ = word_posteriors([t or "" for t in batch.column(place).to_pylist()], m)
             best = sums.max(axis=1) if sums.shape[1] else np.zeros(len(lengths))
             yield batch.filter(pa.array((lengths > 0) & (best >= least * lengths)))
