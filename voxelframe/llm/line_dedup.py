@@ -1,14 +1,18 @@
 """Line dedup: sharded cuckoo filters backed by exact reference-count tables.
 
-The state of a corpus is two tables in the shared folder: ``postings`` (shard, key, doc_id), the exact holders of
-every eligible line key, and ``filters`` (shard, capacity, table), one cuckoo filter a shard with the keys that at
-least ``min_docs`` documents hold. ``insert`` adds documents and ``delete`` takes them back: both recount only the
-keys they touch and add to or delete from the filters, so a deletion restores the earlier result. ``apply`` tests each
-line against its shard's filter; only the lines that pass go to the exact table, which decides.
+The state of a corpus is two tables in the shared folder: ``postings`` (key, doc_id), the exact holders of every
+eligible line key, and ``filters`` (shard, capacity, table), one cuckoo filter a shard with the keys that at least
+``min_docs`` documents hold. ``insert`` adds documents and ``delete`` takes them back: both recount only the keys they
+touch and add to or delete from the filters, so a deletion restores the earlier result; postings are added or struck
+out beside the earlier ones and rewritten only after ``CHANGES`` changes. The number of shards follows the number of
+keys in the filters, so a shard is of bounded size. ``apply`` tests each line against its shard's filter; only the lines
+that pass go to the exact table, which decides.
 
 Defined cases: null and empty texts are one empty line; keys shorter than ``min_chars`` code points are never
 dropped; repeated rows of a doc_id are one document; rows without doc_id hold no line and keep all of theirs; a line
-that repeats in its last document stays there each time; extra columns pass through ``apply`` untouched.
+that repeats in its last document stays there each time; an empty table gives an empty one; extra columns pass through
+``apply`` untouched, but for columns of its own names (n_lines, n_dropped
+unless told otherwise), whose place its own take.
 """
 
 from __future__ import annotations
@@ -25,13 +29,15 @@ from pyspark.sql import functions as F
 
 from voxelframe.storage import materialise
 
-from .common import BLANKS, slices
+from .common import BLANKS, slices, unused, without
 
 #: Slots of a bucket and bits of a fingerprint in a cuckoo filter.
 SLOTS, FINGER = 4, 16
 KICKS = 500
 #: Filters up to this many bytes in all go to every task; beyond, line keys go to the filters' shards.
 BROADCAST_BYTES = 32 << 20
+#: Keys a shard's filter is meant for, line keys tested in one group beyond the broadcast, changes until postings are rewritten.
+SHARD_KEYS, GROUP_KEYS, CHANGES = 100_000, 200_000, 16
 
 
 def line_key(line: str, min_chars: int) -> bytes | None:
@@ -92,24 +98,28 @@ class Cuckoo:
 
 
 def shard_of(key: bytes, shards: int) -> int:
-    return int.from_bytes(key[10:14], "little") % shards
+    return int.from_bytes(key[10:14], "big") % shards
 
 
-def line_keys(docs: DataFrame, min_chars: int, shards: int) -> DataFrame:
-    """(shard, key, doc_id): each document's distinct eligible keys. One narrow pass."""
+def shard_column(shards: int) -> F.Column:
+    """The same by built-in functions."""
+    return (F.conv(F.hex(F.substring("key", 11, 4)), 16, 10).cast("long") % shards).cast("int")
+
+
+def line_keys(docs: DataFrame, min_chars: int) -> DataFrame:
+    """(key, doc_id): each document's distinct eligible keys. One narrow pass."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            shard, keys, ids = [], [], []
+            keys, ids = [], []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 own = {line_key(line, min_chars) for line in set((text or "").split("\n"))} - {None}
                 keys += own
                 ids += [doc_id] * len(own)
-                shard += [shard_of(k, shards) for k in own]
-            yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), pa.array(keys, pa.binary()), pa.array(ids, pa.int64())], ["shard", "key", "doc_id"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(ids, pa.int64())], ["key", "doc_id"])
 
     usable = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return usable.mapInArrow(run, "shard int, key binary, doc_id long")
+    return usable.mapInArrow(run, "key binary, doc_id long")
 
 
 @dataclass
@@ -123,111 +133,137 @@ class LineIndex:
     min_docs: int
     min_chars: int
     shards: int
+    changes: int = 0
 
     @classmethod
-    def build(cls, docs: DataFrame, min_docs: int = 5, min_chars: int = 40, shards: int = 64) -> LineIndex:
-        postings = materialise(line_keys(docs, min_chars, shards), "line-postings")
+    def build(cls, docs: DataFrame, min_docs: int = 5, min_chars: int = 40) -> LineIndex:
+        postings = materialise(line_keys(docs, min_chars), "line-postings")
         refs = materialise(counted(postings, min_docs), "line-refs")
-        filters = materialise(build_filters(refs), "line-filters")
+        shards = shards_for(refs)
+        filters = materialise(build_filters(refs, shards), "line-filters")
         return cls(docs.sparkSession, postings, refs, filters, min_docs, min_chars, shards)
 
     def insert(self, docs: DataFrame) -> LineIndex:
         """The state with the keys of further documents."""
-        new = materialise(line_keys(docs, self.min_chars, self.shards), "line-postings")
-        return self._after(self.postings.unionByName(new), new.select("shard", "key").distinct())
+        new = materialise(line_keys(docs, self.min_chars), "line-postings")
+        return self._after(self.postings.unionByName(new), new.select("key").distinct())
 
     def delete(self, doc_ids: DataFrame) -> LineIndex:
         """The state without these documents (a column doc_id)."""
-        gone = doc_ids.select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-        touched = self.postings.join(gone, "doc_id", "left_semi").select("shard", "key").distinct()
+        gone = materialise(doc_ids.select(F.col("doc_id").cast("long").alias("doc_id")).distinct(), "line-gone")
+        touched = self.postings.join(gone, "doc_id", "left_semi").select("key").distinct()
         return self._after(self.postings.join(gone, "doc_id", "left_anti"), materialise(touched, "line-touched"))
 
     def _after(self, postings: DataFrame, touched: DataFrame) -> LineIndex:
-        postings = materialise(postings.select("shard", "key", "doc_id"), "line-postings")
-        fresh = counted(postings.join(touched, ["shard", "key"], "left_semi"), self.min_docs)
-        refs = materialise(self.refs.join(touched, ["shard", "key"], "left_anti").unionByName(fresh), "line-refs")
-        old, new = self.refs.select("shard", "key"), refs.select("shard", "key")
-        changes = new.join(old, ["shard", "key"], "left_anti").withColumn("add", F.lit(True))
-        changes = changes.unionByName(old.join(new, ["shard", "key"], "left_anti").withColumn("add", F.lit(False)))
-        filters = materialise(update_filters(self.filters, changes), "line-filters")
-        full = filters.where("capacity = 0").select("shard")
-        anew = build_filters(refs.join(full, "shard", "left_semi"))
-        filters = materialise(filters.where("capacity > 0").unionByName(anew), "line-filters")
-        return LineIndex(self.spark, postings, refs, filters, self.min_docs, self.min_chars, self.shards)
-
-    def apply(self, docs: DataFrame) -> DataFrame:
-        """``docs`` with the doomed lines gone from ``text``, and n_lines, n_dropped."""
+        changes = self.changes + 1
+        postings = postings.select("key", "doc_id")
+        if changes >= CHANGES:
+            postings, changes = materialise(postings, "line-postings"), 0
+        fresh = counted(postings.join(touched, "key", "left_semi"), self.min_docs)
+        refs = materialise(self.refs.join(touched, "key", "left_anti").unionByName(fresh), "line-refs")
+        shards = shards_for(refs, self.shards)
+        if shards != self.shards:
+            filters = materialise(build_filters(refs, shards), "line-filters")
+        else:
+            old, new = self.refs.select("key"), refs.select("key")
+            moved = new.join(old, "key", "left_anti").withColumn("add", F.lit(True))
+            moved = moved.unionByName(old.join(new, "key", "left_anti").withColumn("add", F.lit(False)))
+            filters = materialise(update_filters(self.filters, moved.withColumn("shard", shard_column(shards))), "line-filters")
+            full = filters.where("capacity = 0").select("shard")
+            anew = build_filters(refs, shards, full)
+            filters = materialise(filters.where("capacity > 0").unionByName(anew), "line-filters")
+        return LineIndex(self.spark, postings, refs, filters, self.min_docs, self.min_chars, shards, changes)
+
+    def apply(self, docs: DataFrame, before: str = "n_lines", dropped: str = "n_dropped") -> DataFrame:
+        """``docs`` with the doomed lines gone from ``text``, and the number of lines before and of those dropped."""
+        docs = without(docs, before, dropped)
+        name = unused(docs.columns, "_doomed")
         doomed = self.candidates(docs).join(self.refs.select("key", "max_doc"), "key")
-        doomed = doomed.where(F.col("doc_id") < F.col("max_doc")).groupBy("doc_id").agg(F.collect_set("key").alias("_doomed"))
-        return drop_lines(docs.join(doomed, "doc_id", "left"), self.min_chars)
+        doomed = doomed.where(F.col("doc_id") < F.col("max_doc")).groupBy("doc_id").agg(F.collect_set("key").alias(name))
+        return drop_lines(docs.join(doomed, "doc_id", "left"), name, self.min_chars, before, dropped)
 
     def candidates(self, docs: DataFrame) -> DataFrame:
         """(key, doc_id) of the lines that their shard's filter passes: all that are in ``refs``, and few others."""
         size = self.filters.agg(F.sum(F.length("table"))).first()[0] or 0
-        keys = line_keys(docs, self.min_chars, self.shards)
+        keys = line_keys(docs, self.min_chars)
         if size <= BROADCAST_BYTES:
             held = {r["shard"]: bytes(r["table"]) for r in self.filters.collect()}
-            return keys.mapInArrow(tester(self.spark.sparkContext.broadcast(held)), "key binary, doc_id long")
-        # Too large for every task: each shard's keys are tested where its filter is, in salted groups.
-        salts = 16
-        salted = keys.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
+            return keys.mapInArrow(tester(self.spark.sparkContext.broadcast(held), self.shards), "key binary, doc_id long")
+        # Too large for every task: each shard's keys are tested where its filter is, in salted groups of bounded size.
+        keys = materialise(keys, "line-keys")
+        salts = max(1, -(-keys.count() // (self.shards * GROUP_KEYS)))
+        salted = keys.withColumn("shard", shard_column(self.shards)).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
         spread = self.filters.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
         joined = salted.groupBy("shard", "salt").cogroup(spread.groupBy("shard", "salt"))
 
         def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
             if left.empty or right.empty:
                 return left.iloc[:0][["key", "doc_id"]]
-            cuckoo = Cuckoo(1, bytes(right["table"].iloc[0]))
-            return left.loc[[bytes(k) in cuckoo for k in left["key"]], ["key", "doc_id"]]
+            return left.loc[passing(Cuckoo(1, bytes(right["table"].iloc[0])).slots, raw_keys(left["key"])), ["key", "doc_id"]]
 
         return joined.applyInPandas(run, "key binary, doc_id long")
 
 
-def tester(held):
+def shards_for(refs: DataFrame, now: int = 1) -> int:
+    """A power of two with about SHARD_KEYS keys a shard; ``now`` while that is not outgrown twice over."""
+    wanted = 1 << max(0, -(-refs.count() // SHARD_KEYS) - 1).bit_length()
+    return wanted if wanted > 2 * now or now == 1 else now
+
+
+def raw_keys(keys: Iterable[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(keys), np.uint8).reshape(-1, 16)
+
+
+def passing(slots: np.ndarray, raw: np.ndarray) -> np.ndarray:
+    """Which keys, rows of 16 bytes, the filter with these slots may hold."""
+    mask = np.uint64(len(slots) - 1)
+    finger = raw[:, 8:10].copy().view("<u2")[:, 0].astype(np.uint64)
+    finger[finger == 0] = 1
+    a = raw[:, :8].copy().view("<u8")[:, 0] & mask
+    b = (a ^ (finger * np.uint64(0x5BD1E995))) & mask
+    f = finger.astype(np.uint16)[:, None]
+    return (slots[a] == f).any(axis=1) | (slots[b] == f).any(axis=1)
+
+
+def tester(held, shards: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cuckoos = {s: Cuckoo(1, t) for s, t in held.value.items()}
-        buckets = {s: c.slots for s, c in cuckoos.items()}
+        slots = {s: Cuckoo(1, t).slots for s, t in held.value.items()}
         for batch in batches:
-            keys = batch.column(1).to_pylist()
-            passed = np.zeros(len(keys), bool)
-            if keys:
-                raw = np.frombuffer(b"".join(keys), np.uint8).reshape(-1, 16)
-                first = raw[:, :8].copy().view("<u8")[:, 0]
-                finger = raw[:, 8:10].copy().view("<u2")[:, 0].astype(np.uint64)
-                finger[finger == 0] = 1
-                shard = np.asarray(batch.column(0))
-                for s in np.unique(shard):
-                    if s in buckets:
-                        mine, mask = np.flatnonzero(shard == s), np.uint64(len(buckets[s]) - 1)
-                        a = first[mine] & mask
-                        b = (a ^ (finger[mine] * np.uint64(0x5BD1E995))) & mask
-                        f = finger[mine].astype(np.uint16)[:, None]
-                        passed[mine] = (buckets[s][a] == f).any(axis=1) | (buckets[s][b] == f).any(axis=1)
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(passed)) for c in (batch.column(1), batch.column(2))], ["key", "doc_id"])
+            passed = np.zeros(batch.num_rows, bool)
+            if batch.num_rows:
+                raw = raw_keys(batch.column(0).to_pylist())
+                shard = raw[:, 10:14].copy().view(">u4")[:, 0] % shards
+                for s in slots.keys() & set(np.unique(shard).tolist()):
+                    mine = np.flatnonzero(shard == s)
+                    passed[mine] = passing(slots[s], raw[mine])
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(passed)) for c in batch.columns], ["key", "doc_id"])
 
     return run
 
 
 def counted(postings: DataFrame, min_docs: int) -> DataFrame:
-    """Exact number of documents and largest doc_id of the keys at or over the threshold."""
-    # line_keys gives a document's key once; only repeated rows of a doc_id, rare, need the exact recount.
-    counts = postings.groupBy("shard", "key").agg(F.count("*").alias("n_rows"), F.max("doc_id").alias("max_doc"))
-    likely = counts.where(F.col("n_rows") >= min_docs)
-    exact = postings.join(likely.select("shard", "key"), ["shard", "key"]).groupBy("shard", "key", "doc_id").agg(F.lit(1).alias("one"))
-    exact = exact.groupBy("shard", "key").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("max_doc"))
-    return exact.where(F.col("n_docs") >= min_docs)
+    """Exact number of documents and largest doc_id of the keys at or over the threshold.
+
+    Holders are made distinct by (key, doc_id) and then counted by key in each task before they meet, so a key that very
+    many documents hold is a row a task.
+    """
+    once = postings.groupBy("key", "doc_id").agg(F.lit(1).alias("one"))
+    return once.groupBy("key").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("max_doc")).where(F.col("n_docs") >= min_docs)
 
 
 FILTERS = "shard int, capacity long, table binary"
 
 
-def build_filters(refs: DataFrame) -> DataFrame:
-    """One filter a shard; a shard's keys are a bounded share of the keys at or over the threshold."""
+def build_filters(refs: DataFrame, shards: int, only: DataFrame | None = None) -> DataFrame:
+    """One filter a shard, of the shards in ``only`` if given; a shard's keys are about SHARD_KEYS."""
 
     def run(keys: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame([filled(int(keys["shard"].iloc[0]), [bytes(k) for k in keys["key"]])])
 
-    return refs.select("shard", "key").groupBy("shard").applyInPandas(run, FILTERS)
+    dealt = refs.select(shard_column(shards).alias("shard"), "key")
+    if only is not None:
+        dealt = dealt.join(only, "shard", "left_semi")
+    return dealt.groupBy("shard").applyInPandas(run, FILTERS)
 
 
 def filled(shard: int, keys: list[bytes]) -> dict:
@@ -256,11 +292,11 @@ def update_filters(filters: DataFrame, changes: DataFrame) -> DataFrame:
     return filters.groupBy("shard").cogroup(changes.groupBy("shard")).applyInPandas(run, FILTERS)
 
 
-def drop_lines(docs: DataFrame, min_chars: int) -> DataFrame:
-    """Drop the lines whose key is in ``_doomed``; gives n_lines and n_dropped."""
-    names = [c for c in docs.columns if c != "_doomed"]
-    text, doomed = docs.columns.index("text"), docs.columns.index("_doomed")
-    rest = [i for i, c in enumerate(docs.columns) if c != "_doomed"]
+def drop_lines(docs: DataFrame, name: str, min_chars: int, n_lines: str, n_dropped: str) -> DataFrame:
+    """Drop the lines whose key is in the column ``name``; counts the lines before and those dropped."""
+    names = [c for c in docs.columns if c != name]
+    text, doomed = docs.columns.index("text"), docs.columns.index(name)
+    rest = [i for i, c in enumerate(docs.columns) if c != name]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 8_000_000):
@@ -273,7 +309,7 @@ def drop_lines(docs: DataFrame, min_chars: int) -> DataFrame:
                 before.append(len(lines))
                 dropped.append(len(lines) - len(kept))
             columns = [pa.array(texts, pa.string()) if i == text else batch.column(i) for i in rest]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(before, pa.int64()), pa.array(dropped, pa.int64())], [*names, "n_lines", "n_dropped"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(before, pa.int64()), pa.array(dropped, pa.int64())], [*names, n_lines, n_dropped])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "_doomed")
-    return docs.mapInArrow(run, f"{schema}, n_lines long, n_dropped long")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != name)
+    return docs.mapInArrow(run, f"{schema}, `{n_lines}` long, `{n_dropped}` long")
