@@ -2,16 +2,19 @@
 
 A classifier fitted on the labelled table predicts every document's posterior over domains (good, poor, toxic).
 Distributed projected gradients then fit one nonnegative rate a document so that the expected domain token totals,
-sum(rate * tokens * posterior), match the targets. A gradient step needs only the domain totals, a handful of sums, so
-each iteration is one aggregation; rates are recomputed from the short list of steps and nothing else is kept.
+sum(rate * tokens * posterior), match the targets in the least-squares sense. A gradient step needs only the domain
+totals, a handful of sums, so each iteration is one aggregation; rates are recomputed from the short list of steps and
+nothing else is kept. Each iteration tries a few step lengths at once, so the squared distance never rises.
 
 Defined cases: a null or empty text has no tokens and keeps rate 1; a null doc_id is kept; labels of absent documents
 and null labels are not used; repeated label rows count once (the largest values); without labelled rows every
-posterior is even; repeated documents get equal rates; other columns pass through ``apply_rates``.
+posterior is even; repeated documents get equal rates; an empty table gives no row; other columns pass through
+``apply_rates``. Targets that no rates can meet are told by a warning, with how far off the totals stay.
 """
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -22,12 +25,14 @@ from pyspark.sql import functions as F
 
 from voxelframe.storage import materialise
 
-from .common import slices
+from .common import slices, unused
 
 DOMAINS = ("good", "poor", "toxic")
 SYMBOLS = "#*$%&|<>!?@"
 #: Shares of the words, as bounds of the bins of each counted ratio.
 BINS = (0.0, 0.02, 0.1, 0.5)
+#: Lengths of a step that are tried at once, as shares of the whole step.
+LENGTHS = (1.0, 0.5, 0.1)
 
 
 def features(text: str) -> tuple[set[str], int]:
@@ -145,47 +150,71 @@ def rate(steps: list[np.ndarray], held: Column | None = None) -> Column:
     return F.when(moved if held is None else moved & ~held, out).otherwise(F.lit(1.0))
 
 
+@dataclass
+class Fit:
+    """Steps of the descent, the targets and the expected totals after the last step, and whether these meet."""
+
+    steps: list[np.ndarray]
+    target: np.ndarray
+    totals: np.ndarray
+    met: bool
+
+
 def fit_rates(
-    members: DataFrame, weights: dict[str, float], total: float | None = None, iterations: int = 12, tolerance: float = 1e-4, held: Column | None = None
-):
-    """Steps of the projected gradient descent, the targets and the last expected totals.
+    members: DataFrame, weights: dict[str, float], total: float | None = None, iterations: int = 50, tolerance: float = 1e-4, held: Column | None = None
+) -> Fit:
+    """Fit the rates by projected gradients.
 
     ``weights`` are multiples of the domains' expected totals; with ``total`` their tokens are scaled to that sum. A
-    step is the gradient in the metric of the active documents' second moments, so few iterations are needed. With
-    ``held``, those documents keep rate 1 and the totals are those that they hold.
+    step is the gradient in the metric of the active documents' second moments, so few iterations are needed; of its
+    ``LENGTHS`` the one that leaves the least distance is taken. With ``held``, those documents keep rate 1 and the
+    totals are those that they hold. The fit ends when every total is within ``tolerance`` of its target, when no
+    length brings it nearer, or after ``iterations``.
     """
     members = members.where("n_tokens > 0")
     k = len(DOMAINS)
-    steps: list[np.ndarray] = []
-    target: np.ndarray | None = None
-    totals, scale = np.zeros(k), 1.0
-    for _ in range(iterations):
-        w = rate(steps, held)
-        n = F.col("n_tokens").cast("double")
-        p = [F.col(f"p_{d}") for d in DOMAINS]
-        sums = [F.sum(w * n * p[i]).alias(f"t{i}") for i in range(k)]
-        # The Hessian over the documents that are not held at zero.
-        moving = (w > 0) | F.lit(not steps)
-        free = F.when(moving if held is None else moving & ~held, n).otherwise(0.0)
-        sums += [F.sum(free * p[i] * p[j]).alias(f"h{i}{j}") for i in range(k) for j in range(i, k)]
+    n, p = F.col("n_tokens").cast("double"), [F.col(f"p_{d}") for d in DOMAINS]
+
+    def measured(tried: list[list[np.ndarray]]) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
+        """Totals and second moments of the moving documents after each list of steps, and what held documents hold."""
+        sums = []
+        for c, steps in enumerate(tried):
+            w = rate(steps, held)
+            moving = (w > 0) | F.lit(not steps)
+            free = F.when(moving if held is None else moving & ~held, n).otherwise(0.0)
+            sums += [F.sum(w * n * p[i]).alias(f"t{c}_{i}") for i in range(k)]
+            sums += [F.sum(free * p[i] * p[j]).alias(f"h{c}_{i}{j}") for i in range(k) for j in range(i, k)]
         if held is not None:
             sums += [F.sum(F.when(held, n * p[i])).alias(f"k{i}") for i in range(k)]
-        row = members.agg(*sums).first()
-        totals = np.array([row[f"t{i}"] or 0.0 for i in range(k)])
-        if target is None:
-            base = totals if held is None else np.array([row[f"k{i}"] or 0.0 for i in range(k)])
-            target = np.array([weights.get(d, 1.0) for d in DOMAINS]) * base
-            if total is not None and target.sum() > 0:
-                target = target * (total / target.sum())
-            # A few documents of a large corpus count as much as many when they alone may move.
-            scale = max(1.0, target.sum()) if held is None else max(1.0, np.abs(totals - base).sum())
+        row = members.agg(*sums).first().asDict()
+        get = lambda name: row.get(name) or 0.0
+        totals = [np.array([get(f"t{c}_{i}") for i in range(k)]) for c in range(len(tried))]
+        moments = [np.array([[get(f"h{c}_{min(i, j)}{max(i, j)}") for j in range(k)] for i in range(k)]) for c in range(len(tried))]
+        return totals, moments, np.array([get(f"k{i}") for i in range(k)])
+
+    steps: list[np.ndarray] = []
+    (totals,), (h,), kept = measured([steps])
+    base = totals if held is None else kept
+    target = np.array([weights.get(d, 1.0) for d in DOMAINS]) * base
+    if total is not None and target.sum() > 0:
+        target = target * (total / target.sum())
+    # A few documents of a large corpus count as much as many when they alone may move.
+    scale = max(1.0, target.sum()) if held is None else max(1.0, np.abs(totals - base).sum())
+    for _ in range(iterations):
         off = totals - target
         if np.abs(off).max() <= tolerance * scale:
             break
-        h = np.array([[row[f"h{min(i, j)}{max(i, j)}"] or 0.0 for j in range(k)] for i in range(k)])
-        h += np.eye(k) * max(1e-9, 1e-6 * np.trace(h))
-        steps.append(np.linalg.solve(h, off))
-    return steps, target, totals
+        whole = np.linalg.solve(h + np.eye(k) * max(1e-9, 1e-6 * np.trace(h)), off)
+        tried = [[*steps, x * whole] for x in LENGTHS]
+        found, moments, _ = measured(tried)
+        best = min(range(len(tried)), key=lambda c: float(np.square(found[c] - target).sum()))
+        if np.square(found[best] - target).sum() >= (1 - 1e-9) * np.square(off).sum():
+            break
+        steps, totals, h = tried[best], found[best], moments[best]
+    met = bool(np.abs(totals - target).max() <= tolerance * scale)
+    if not met:
+        warnings.warn(f"mixing targets {target.tolist()} are not met: the totals are {totals.tolist()}", stacklevel=2)
+    return Fit(steps, target, totals, met)
 
 
 def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float], total: float | None = None, away: str | None = None) -> DataFrame:
@@ -196,18 +225,17 @@ def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float], total: fl
     """
     held = F.col(f"p_{away}") < 0.5 if away else None
     members = materialise(posteriors(docs, train(docs, labels)), "mix-members")
-    steps, _, _ = fit_rates(members, weights, total, held=held)
-    return members.withColumn("rate", rate(steps, held))
-
+    return members.withColumn("rate", rate(fit_rates(members, weights, total, held=held).steps, held))
 
-def apply_rates(docs: DataFrame, mixed: DataFrame, nearest: bool = False) -> DataFrame:
-    """``docs`` with each document as often as its rate says: whole copies, and the rest by a hash of its id, or rounded.
 
-    Rows whose doc_id is null stay once.
+def apply_rates(docs: DataFrame, mixed: DataFrame) -> DataFrame:
+    """``docs`` with each document as often as its rate says: whole copies, and one more by a hash of its id, so the
+    expected totals are those that were fitted. Rows whose doc_id is null stay once.
     """
-    rest = F.lit(0.5) if nearest else F.pmod(F.xxhash64("doc_id", F.lit("mix")), F.lit(1 << 30)) / float(1 << 30)
-    copies = mixed.where("doc_id is not null").groupBy("doc_id").agg(F.max(F.floor(F.col("rate") + rest)).alias("_copies"))
-    changed = copies.where("_copies <> 1")
-    joined = docs.join(changed, "doc_id", "left").withColumn("_copies", F.coalesce("_copies", F.lit(1)))
-    again = joined.where("_copies > 0").withColumn("_again", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-    return again.select(*docs.columns)
+    copies, again = unused(docs.columns, "_copies"), unused(docs.columns, "_again")
+    # 30 bits of a hash: a share in [0, 1).
+    rest = F.pmod(F.xxhash64("doc_id", F.lit("mix")), F.lit(1 << 30)) / float(1 << 30)
+    many = mixed.where("doc_id is not null").groupBy("doc_id").agg(F.max(F.floor(F.col("rate") + rest)).alias(copies))
+    joined = docs.join(many.where(F.col(copies) != 1), "doc_id", "left").withColumn(copies, F.coalesce(copies, F.lit(1)))
+    out = joined.where(F.col(copies) > 0).withColumn(again, F.explode(F.sequence(F.lit(1), F.col(copies))))
+    return out.select(*(f"`{c}`" for c in docs.columns))
