@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import ctypes
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -37,6 +38,42 @@ def slices(batches: Iterable[pa.RecordBatch], column: str, budget: int = 4_000_0
         yield batch.slice(start)
 
 
+#: Rows of an Arrow batch between Spark and Python. Rows hold whole texts, so a batch of the default size is large.
+BATCH_ROWS = 1000
+
+
+def mapped(df: DataFrame, run: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType, forget: Callable[[], None] | None = None) -> DataFrame:
+    """``df.mapInArrow`` with bounded memory: batches are small (the session's setting is lowered where it is larger),
+    and at its end a task calls ``forget`` and gives unused memory back, as Spark keeps its Python workers."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
+
+    def tidied(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            if forget:
+                forget()
+            pa.default_memory_pool().release_unused()
+            if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+                libc.malloc_trim(0)
+
+    return df.mapInArrow(tidied, schema)
+
+
+def gathered(batches: Iterable[pa.RecordBatch], rows: int = 10_000) -> Iterator[pa.RecordBatch]:
+    """Batches joined until each has about ``rows`` rows."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= rows:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held = []
+    if sum(b.num_rows for b in held):
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def unused(taken: Iterable[str], name: str) -> str:
     """``name``, or that with underscores until no column of ``taken`` has it (names differ by more than case)."""
     lowered = {c.lower() for c in taken}

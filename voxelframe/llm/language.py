@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from voxelframe.storage import materialise
 
-from .common import slices
+from .common import mapped, slices
 
 UND = "und"
 MARKS = ".,;:!?%&$#*|\"'()[]<>-"
@@ -45,7 +45,7 @@ LONG = 22
 WIDTH = LONG + 2
 #: Row of the weights that stays zero: features a short word lacks.
 NONE = 1 << BITS
-#: Words whose scores a Python worker keeps, and the words of the lines that are joined to a line of another language.
+#: Words whose scores a task keeps, and the words of the lines that are joined to a line of another language.
 KEPT, JOINED = 60_000, 0.3
 
 
@@ -237,8 +237,12 @@ def train(docs: DataFrame, train_docs: int = 400, train_lines: int = 600, train_
 _CACHE: dict = {"key": None, "ids": {}, "rows": None, "used": 0}
 
 
+def forget() -> None:
+    _CACHE.update(key=None, ids={}, rows=None, used=0)
+
+
 def _word_ids(words: list[str], model: Model) -> np.ndarray:
-    """Rows of the emission table, which a Python worker keeps and starts anew beyond ``KEPT`` words."""
+    """Rows of the emission table, which a task keeps and starts anew beyond ``KEPT`` words."""
     cache = _CACHE
     if cache["key"] != model.key or cache["used"] > KEPT:
         cache |= {"key": model.key, "ids": {}, "rows": np.empty((1 << 15, len(model.langs)), np.float32), "used": 0}
@@ -306,7 +310,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
             )
 
     chosen = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return chosen.mapInArrow(run, "doc_id long, lang_pred string, score double, n_labelled long, words_by_lang map<string,bigint>")
+    return mapped(chosen, run, "doc_id long, lang_pred string, score double, n_labelled long, words_by_lang map<string,bigint>", forget)
 
 
 def keep_identified(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
@@ -321,4 +325,4 @@ def keep_identified(docs: DataFrame, model: Model, least: float = 0.5) -> DataFr
             best = sums.max(axis=1) if sums.shape[1] else np.zeros(len(lengths))
             yield batch.filter(pa.array((lengths > 0) & (best >= least * lengths)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return mapped(docs, run, docs.schema, forget)

@@ -18,7 +18,7 @@ unless told otherwise), whose place its own take.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from voxelframe.storage import materialise
 
-from .common import BLANKS, slices, unused, without
+from .common import BLANKS, mapped, slices, unused, without
 
 #: Slots of a bucket and bits of a fingerprint in a cuckoo filter.
 SLOTS, FINGER = 4, 16
@@ -106,8 +106,8 @@ def shard_column(shards: int) -> F.Column:
     return (F.conv(F.hex(F.substring("key", 11, 4)), 16, 10).cast("long") % shards).cast("int")
 
 
-def line_keys(docs: DataFrame, min_chars: int) -> DataFrame:
-    """(key, doc_id): each document's distinct eligible keys. One narrow pass."""
+def line_keys(docs: DataFrame, min_chars: int, passes: Callable[[list[bytes]], np.ndarray] | None = None) -> DataFrame:
+    """(key, doc_id): each document's distinct eligible keys, of those that ``passes`` if given. One narrow pass."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
@@ -116,10 +116,11 @@ def line_keys(docs: DataFrame, min_chars: int) -> DataFrame:
                 own = {line_key(line, min_chars) for line in set((text or "").split("\n"))} - {None}
                 keys += own
                 ids += [doc_id] * len(own)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(ids, pa.int64())], ["key", "doc_id"])
+            out = pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(ids, pa.int64())], ["key", "doc_id"])
+            yield out.filter(pa.array(passes(keys))) if passes and keys else out
 
     usable = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return usable.mapInArrow(run, "key binary, doc_id long")
+    return mapped(usable, run, "key binary, doc_id long")
 
 
 @dataclass
@@ -185,12 +186,11 @@ class LineIndex:
     def candidates(self, docs: DataFrame) -> DataFrame:
         """(key, doc_id) of the lines that their shard's filter passes: all that are in ``refs``, and few others."""
         size = self.filters.agg(F.sum(F.length("table"))).first()[0] or 0
-        keys = line_keys(docs, self.min_chars)
         if size <= BROADCAST_BYTES:
             held = {r["shard"]: bytes(r["table"]) for r in self.filters.collect()}
-            return keys.mapInArrow(tester(self.spark.sparkContext.broadcast(held), self.shards), "key binary, doc_id long")
+            return line_keys(docs, self.min_chars, tester(self.spark.sparkContext.broadcast(held), self.shards))
         # Too large for every task: each shard's keys are tested where its filter is, in salted groups of bounded size.
-        keys = materialise(keys, "line-keys")
+        keys = materialise(line_keys(docs, self.min_chars), "line-keys")
         salts = max(1, -(-keys.count() // (self.shards * GROUP_KEYS)))
         salted = keys.withColumn("shard", shard_column(self.shards)).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
         spread = self.filters.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
@@ -205,9 +205,8 @@ class LineIndex:
 
 
 def shards_for(refs: DataFrame, now: int = 1) -> int:
-    """A power of two with about SHARD_KEYS keys a shard; ``now`` while that is not outgrown twice over."""
-    wanted = 1 << max(0, -(-refs.count() // SHARD_KEYS) - 1).bit_length()
-    return wanted if wanted > 2 * now or now == 1 else now
+    """A power of two with at most SHARD_KEYS keys a shard on average, and no fewer than ``now``."""
+    return max(now, 1 << max(0, -(-refs.count() // SHARD_KEYS) - 1).bit_length())
 
 
 def raw_keys(keys: Iterable[bytes]) -> np.ndarray:
@@ -225,20 +224,18 @@ def passing(slots: np.ndarray, raw: np.ndarray) -> np.ndarray:
     return (slots[a] == f).any(axis=1) | (slots[b] == f).any(axis=1)
 
 
-def tester(held, shards: int):
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slots = {s: Cuckoo(1, t).slots for s, t in held.value.items()}
-        for batch in batches:
-            passed = np.zeros(batch.num_rows, bool)
-            if batch.num_rows:
-                raw = raw_keys(batch.column(0).to_pylist())
-                shard = raw[:, 10:14].copy().view(">u4")[:, 0] % shards
-                for s in slots.keys() & set(np.unique(shard).tolist()):
-                    mine = np.flatnonzero(shard == s)
-                    passed[mine] = passing(slots[s], raw[mine])
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(passed)) for c in batch.columns], ["key", "doc_id"])
+def tester(held, shards: int) -> Callable[[list[bytes]], np.ndarray]:
+    """Which keys the broadcast filters may hold."""
+
+    def passes(keys: list[bytes]) -> np.ndarray:
+        raw, passed = raw_keys(keys), np.zeros(len(keys), bool)
+        shard = raw[:, 10:14].copy().view(">u4")[:, 0] % shards
+        for s, table in held.value.items():
+            mine = np.flatnonzero(shard == s)
+            passed[mine] = passing(np.frombuffer(table, np.uint16).reshape(-1, SLOTS), raw[mine])
+        return passed
 
-    return run
+    return passes
 
 
 def counted(postings: DataFrame, min_docs: int) -> DataFrame:
@@ -312,4 +309,4 @@ def drop_lines(docs: DataFrame, name: str, min_chars: int, n_lines: str, n_dropp
             yield pa.RecordBatch.from_arrays([*columns, pa.array(before, pa.int64()), pa.array(dropped, pa.int64())], [*names, n_lines, n_dropped])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != name)
-    return docs.mapInArrow(run, f"{schema}, `{n_lines}` long, `{n_dropped}` long")
+    return mapped(docs, run, f"{schema}, `{n_lines}` long, `{n_dropped}` long")

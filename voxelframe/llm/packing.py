@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from voxelframe.storage import materialise
 
-from .common import slices, unused, without
+from .common import mapped, slices, unused, without
 
 CAPACITY, END_ID = 4096, 1
 #: Pieces packed together, and fillings that the search of a group looks at beyond one a sequence.
@@ -52,7 +52,7 @@ def default_tokenizer() -> str:
 #: off such a run.
 LETTERS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
 TAIL = ".,;:!?%$&#*|"
-#: Words whose ids a worker keeps.
+#: Words whose ids a Python worker keeps, with the tokenizer, from task to task.
 KEPT = 100_000
 
 
@@ -131,7 +131,7 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACI
             )
 
     chosen = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return chosen.mapInArrow(run, "doc_id long, piece int, start long, length long, ids binary")
+    return mapped(chosen, run, "doc_id long, piece int, start long, length long, ids binary")
 
 
 def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
