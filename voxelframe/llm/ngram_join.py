@@ -15,10 +15,13 @@ the sets whose tokens most others hold; pairs already connected are never compar
 copies at n comparisons. The last round takes every pair of a bucket that is still apart, so no link is lost; a parity
 bitmap of each set bounds the overlap from above (bits that differ are tokens that differ) before sets are compared.
 
+Two sets that stay apart though they share a bucket are compared in that last round, so a family of n texts that are
+all near the threshold but under it costs the pairs of the family, less those that sizes and bitmaps rule out.
+
 Defined cases: null, empty and wordless texts have no shingles and link with nothing; under four words the whole
-sequence is one shingle; repeated rows of a doc_id are one
-document, and if their texts differ, it has the links of any; rows without doc_id keep a null
-component; extra columns are ignored.
+sequence is one shingle; repeated rows of a doc_id are one document, and if their texts differ, it has the links of
+all of them, and each row its own n_shingles; rows without doc_id keep a null component; ties go to the smallest
+doc_id; an empty table gives no row; extra columns are ignored by ``near_copies`` and kept by ``one_of_each``.
 """
 
 from __future__ import annotations
@@ -34,13 +37,15 @@ from pyspark.sql import functions as F
 from voxelframe.operators.components import connected_components
 from voxelframe.storage import materialise
 
-from .common import slices
+from .common import gathered, mapped, slices
 
 #: Jaccard threshold in percent, words of a shingle.
 PERCENT, WORDS = 85, 4
 #: Survivors up to this many are sent to every task as ids (8 bytes each); beyond, texts are joined by doc_id.
 BROADCAST_IDS = 1_000_000
 STAR_ROUNDS = 3
+#: One of this many sets is looked at for tokens of very many sets: those seen this often, at most so many tokens.
+SAMPLE, SEEN, HOT = 64, 64, 100_000
 #: Bits of a set's parity bitmap, in longs.
 LONGS = 8
 MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
@@ -97,7 +102,7 @@ def signatures(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> D
             )
 
     chosen = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return chosen.mapInArrow(run, "doc_id long, n int, print binary, prefix array<long>")
+    return mapped(chosen, run, "doc_id long, n int, print binary, prefix array<long>")
 
 
 def lists(arrays: list[np.ndarray]) -> pa.Array:
@@ -118,14 +123,17 @@ def within(nx: Column, ny: Column, bits_x: Column, bits_y: Column, percent: int
 
 
 def whole_sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
+    """doc_id, n, print, the set and its parity bitmap of each row."""
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             sets = [shingle_set(t, words) for t in batch.column(1).to_pylist()]
-            columns = [pa.array(map(len, sets), pa.int32()), lists([x.view(np.int64) for x in sets]), lists([parity(x) for x in sets])]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "n", "tokens", "bits"])
+            prints = [xxhash.xxh3_128_digest(x.tobytes()) if len(x) else None for x in sets]
+            columns = [pa.array(map(len, sets), pa.int32()), pa.array(prints, pa.binary()), lists([x.view(np.int64) for x in sets]), lists([parity(x) for x in sets])]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "n", "print", "tokens", "bits"])
 
     chosen = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return chosen.mapInArrow(run, "doc_id long, n int, tokens array<long>, bits array<long>")
+    return mapped(chosen, run, "doc_id long, n int, print binary, tokens array<long>, bits array<long>")
 
 
 def survivors(reps: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -134,9 +142,7 @@ def survivors(reps: DataFrame, percent: int = PERCENT) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Tokens that a batch holds twice are shared whatever the other batches hold: those are counted here, and one
         # row (doc_id null) tells the others. So a token of very many documents is a row a batch, not a row a document.
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in gathered(batches):
             ids, sizes = np.asarray(batch.column(0)), np.asarray(batch.column(1))
             column = batch.column(2)
             tokens, lengths = np.asarray(column.flatten()), np.asarray(pa.compute.list_value_length(column))
@@ -155,7 +161,7 @@ def survivors(reps: DataFrame, percent: int = PERCENT) -> DataFrame:
                 ["token", "doc_id", "need"],
             )
 
-    rows = reps.select("doc_id", "n", "prefix").mapInArrow(run, "token long, doc_id long, need int")
+    rows = mapped(reps.select("doc_id", "n", "prefix"), run, "token long, doc_id long, need int")
     # Rows with a need carry no token; spread them instead of sending all nulls to one task.
     key = F.coalesce("token", F.xxhash64("doc_id"))
     held = rows.withColumn("holders", F.count("token").over(Window.partitionBy(key)))
@@ -168,7 +174,19 @@ def prefixes(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n, the prefixes a and b under orders 2 and 3, and how common the set's tokens are; sets without shared
     prefix tokens go."""
     rows = sets.select("doc_id", "n", F.explode("tokens").alias("token"))
-    rows = rows.withColumn("holders", F.count("*").over(Window.partitionBy("token"))).where("holders > 1")
+    some = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(SAMPLE)) == 0).groupBy("token").agg(F.count("*").alias("seen"))
+    hot = materialise(some.where(F.col("seen") >= SEEN).orderBy(F.desc("seen"), "token").limit(HOT).select("token"), "ngram-hot")
+    counted = Window.partitionBy("token")
+    if hot.isEmpty():
+        rows = rows.withColumn("holders", F.count("*").over(counted))
+    else:
+        # Tokens of very many sets, at most HOT, are counted in each task first and their counts sent to every task, so
+        # their rows never meet; the sample only says which, the counts are exact.
+        exact = rows.join(F.broadcast(hot), "token", "left_semi").groupBy("token").agg(F.count("*").alias("holders"))
+        told = rows.join(F.broadcast(materialise(exact, "ngram-hot")), "token", "left")
+        cold = told.where("holders is null").drop("holders").withColumn("holders", F.count("*").over(counted))
+        rows = cold.unionByName(told.where("holders is not null"))
+    rows = rows.where("holders > 1")
     order_a = F.struct("holders", F.xxhash64("token", F.lit(2)).alias("h"), "token")
     order_b = F.struct(F.floor(F.log2("holders")).alias("holders"), F.xxhash64("token", F.lit(3)).alias("h"), "token")
     by = rows.groupBy("doc_id", "n").agg(F.sort_array(F.collect_list(order_a)).alias("a"), F.sort_array(F.collect_list(order_b)).alias("b"), (F.sum("holders") / F.first("n")).alias("common"))
@@ -198,23 +216,24 @@ def links(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Edges (src, dst) whose components are those of all links; not every link within a component is listed."""
     chosen = materialise(prefixes(sets, percent), "ngram-prefixes")
     buckets = chosen.select("doc_id", "n", "common", F.explode("a").alias("token"))
-    in_bucket = Window.partitionBy("token")
+    # What is said of a bucket is aggregated in each task first and joined back, so Spark can split a large bucket.
     # A bucket of one set has no pair.
-    buckets = materialise(buckets.withColumn("held", F.count("*").over(in_bucket)).where("held > 1").drop("held"), "ngram-buckets")
+    shared = buckets.groupBy("token").agg(F.count("*").alias("held")).where("held > 1")
+    buckets = materialise(buckets.join(shared.select("token"), "token"), "ngram-buckets")
     edges = None
     apart = buckets.withColumn("comp", F.col("doc_id"))
     for k in range(STAR_ROUNDS):
         rank = -F.col("common") if k == 0 else F.xxhash64("doc_id", F.lit(k)).cast("double")
         first = F.min(F.struct(rank.alias("rank"), F.col("doc_id").alias("doc_id"), F.col("comp").alias("comp"), F.col("n").alias("n")))
-        led = apart.withColumn("lead", first.over(in_bucket))
+        led = apart.join(apart.groupBy("token").agg(first.alias("lead")), "token")
         pairs = led.where((F.col("comp") != F.col("lead.comp")) & fits(F.col("n"), F.col("lead.n"), percent))
         pairs = pairs.select(F.col("doc_id").alias("x"), F.col("lead.doc_id").alias("y"))
         edges = _with_links(edges, pairs, sets, chosen, percent)
         comps = connected_components(edges).select(F.col("node").alias("doc_id"), "component")
         apart = buckets.join(comps, "doc_id", "left").withColumn("comp", F.coalesce("component", "doc_id")).drop("component")
         # Buckets in one component have nothing left to compare.
-        apart = apart.withColumn("low", F.min("comp").over(in_bucket)).withColumn("high", F.max("comp").over(in_bucket))
-        apart = materialise(apart.where("low < high").select("doc_id", "n", "common", "token", "comp"), "ngram-apart")
+        mixed = apart.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high")
+        apart = materialise(apart.join(mixed.select("token"), "token").select("doc_id", "n", "common", "token", "comp"), "ngram-apart")
     left = apart.join(sets.select("doc_id", "bits"), "doc_id")
     x, y = (left.select("token", *(F.col(c).alias(f"{c}_{k}") for c in ("doc_id", "n", "comp", "bits"))) for k in ("x", "y"))
     near = within(F.col("n_x"), F.col("n_y"), F.col("bits_x"), F.col("bits_y"), percent)
@@ -230,22 +249,58 @@ def _with_links(edges: DataFrame | None, pairs: DataFrame, sets: DataFrame, chos
 
 def near_copies(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles and component_id, the least doc_id reachable by links."""
-    docs = docs.select("doc_id", "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = materialise(signatures(docs, percent, words), "ngram-signatures")
     usable = signed.where("n > 0 and doc_id is not null")
     reps = usable.groupBy("print").agg(F.min("doc_id").alias("doc_id"), F.min_by("n", "doc_id").alias("n"), F.min_by("prefix", "doc_id").alias("prefix"))
-    left = materialise(survivors(reps, percent), "ngram-survivors")
-    ids = F.broadcast(left) if left.count() <= BROADCAST_IDS else left
-    sets = whole_sets(docs.join(ids, "doc_id", "left_semi"), words)
-    sets = materialise(sets.where("n > 0"), "ngram-sets")
-    comps = connected_components(links(sets, percent))
-    first = usable.groupBy("print").agg(F.min("doc_id").alias("rep"))
-    classes = first.join(comps, first["rep"] == comps["node"], "left").select("print", F.coalesce("component", "rep").alias("component_id"))
-    out = signed.join(classes, "print", "left")
+    again = signed.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("held"), F.min("print").alias("least"), F.max("print").alias("most"))
+    again = materialise(again.where("held > 1"), "ngram-repeated")
+    repeated = not again.isEmpty()
+    if not repeated:
+        left = materialise(survivors(reps, percent), "ngram-survivors")
+        ids = F.broadcast(left) if left.count() <= BROADCAST_IDS else left
+        sets = materialise(whole_sets(docs.join(ids, "doc_id", "left_semi"), words).where("n > 0").drop("print"), "ngram-sets")
+        comps = connected_components(links(sets, percent))
+        first = reps.select("print", "doc_id")
+        classes = first.join(comps, first["doc_id"] == comps["node"], "left").select("print", F.coalesce("component", "doc_id").alias("component_id"))
+    else:
+        classes = _classes_of_repeated(docs, usable, reps, again, percent, words)
+    known = signed.where("print is not null").join(classes, "print", "left").select("doc_id", "n", "component_id")
+    blank = signed.where("print is null").select("doc_id", "n")
+    # A row without shingles goes with the other rows of its doc_id, if there are any.
+    other = known.where("doc_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("component_id")) if repeated else None
+    blank = blank.join(other, "doc_id", "left") if repeated else blank.withColumn("component_id", F.lit(None).cast("long"))
+    out = known.unionByName(blank)
     alone = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), alone.alias("component_id"))
 
 
+def _classes_of_repeated(docs: DataFrame, usable: DataFrame, reps: DataFrame, again: DataFrame, percent: int, words: int) -> DataFrame:
+    """(print, component_id) where doc_ids repeat: texts, not doc_ids, are joined, and a doc_id links its texts."""
+    several = again.where("least <> most").select("doc_id", "least")
+    reps = reps.join(several, "doc_id", "left")
+    for salt in range(100):
+        # A text of a doc_id with several gets an id of its own; ids that are not unique are made anew.
+        own = F.when(F.col("least").isNull(), F.col("doc_id")).otherwise(F.xxhash64("doc_id", "print", F.lit(salt)))
+        named = materialise(reps.withColumn("node", own), "ngram-nodes")
+        made = named.where("least is not null").select("node")
+        if named.select("node").join(made.distinct(), "node").groupBy("node").count().where("count > 1").isEmpty():
+            break
+    survive = survivors(named.select(F.col("node").alias("doc_id"), "n", "prefix"), percent).withColumnRenamed("doc_id", "node")
+    chosen = materialise(named.select("node", "print", "doc_id").join(survive, "node"), "ngram-survivors")
+    found = whole_sets(docs.join(chosen.select("doc_id").distinct(), "doc_id", "left_semi"), words).where("n > 0")
+    found = found.join(chosen.select("print", "node"), "print").groupBy("node").agg(*(F.first(c).alias(c) for c in ("n", "tokens", "bits")))
+    sets = materialise(found.withColumnRenamed("node", "doc_id"), "ngram-sets")
+    nodes = named.select("print", "node")
+    held = usable.select("doc_id", "print").join(several, "doc_id").join(nodes.withColumnRenamed("node", "src"), "print")
+    held = held.join(nodes.select(F.col("print").alias("least"), F.col("node").alias("dst")), "least").where("src <> dst")
+    comps = connected_components(materialise(links(sets, percent).unionByName(held.select("src", "dst").distinct()), "ngram-links"))
+    whole = named.select("print", "doc_id", "node").join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    whole = materialise(whole.select("print", "doc_id", "component"), "ngram-classes")
+    least = whole.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    return whole.join(least, "component").select("print", "component_id")
+
+
 def one_of_each(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
     """The documents that are the least of their component, all columns; rows without shingles or doc_id stay."""
     found = near_copies(docs, percent, words)
