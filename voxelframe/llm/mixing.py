@@ -2,14 +2,15 @@
 
 A classifier fitted on the labelled table predicts every document's posterior over domains (good, poor, toxic).
 Distributed projected gradients then fit one nonnegative rate a document so that the expected domain token totals,
-sum(rate * tokens * posterior), match the targets in the least-squares sense. A gradient step needs only the domain
+sum(rate * tokens * posterior), come as near as possible to the targets in the least-squares sense. A gradient step needs only the domain
 totals, a handful of sums, so each iteration is one aggregation; rates are recomputed from the short list of steps and
 nothing else is kept. Each iteration tries a few step lengths at once, so the squared distance never rises.
 
 Defined cases: a null or empty text has no tokens and keeps rate 1; a null doc_id is kept; labels of absent documents
 and null labels are not used; repeated label rows count once (the largest values); without labelled rows every
 posterior is even; repeated documents get equal rates; an empty table gives no row; other columns pass through
-``apply_rates``. Targets that no rates can meet are told by a warning, with how far off the totals stay.
+``apply_rates``. Targets that are not met, because no rates can or the iterations end, are told by a warning with the
+totals that are reached.
 """
 
 from __future__ import annotations
@@ -25,14 +26,14 @@ from pyspark.sql import functions as F
 
 from voxelframe.storage import materialise
 
-from .common import slices, unused
+from .common import mapped, slices, unused
 
 DOMAINS = ("good", "poor", "toxic")
 SYMBOLS = "#*$%&|<>!?@"
 #: Shares of the words, as bounds of the bins of each counted ratio.
 BINS = (0.0, 0.02, 0.1, 0.5)
-#: Lengths of a step that are tried at once, as shares of the whole step.
-LENGTHS = (1.0, 0.5, 0.1)
+#: Lengths of a step that are tried at once: shares of the whole scaled step, and multiples of the safe plain step.
+LENGTHS, PLAIN = (1.0, 0.5, 0.1), (1.0, 10.0, 100.0)
 
 
 def features(text: str) -> tuple[set[str], int]:
@@ -106,7 +107,7 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = 8000, size: int
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.string())), batch.column(1)], ["found", "domain"])
 
     domain = F.when(F.col("toxic") == 1, 2).when(F.col("quality") == 1, 0).otherwise(1)
-    sample = chosen.select("text", domain.cast("int").alias("domain")).mapInArrow(run, "found array<string>, domain int")
+    sample = mapped(chosen.select("text", domain.cast("int").alias("domain")), run, "found array<string>, domain int")
     sample = materialise(sample, "mix-sample")
     k = len(DOMAINS)
     totals = np.zeros(k)
@@ -137,80 +138,93 @@ def posteriors(docs: DataFrame, classifier: Classifier) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", *(f"p_{d}" for d in DOMAINS)])
 
     schema = "doc_id long, n_tokens long, " + ", ".join(f"p_{d} double" for d in DOMAINS)
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
+    return mapped(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, schema)
 
 
-def rate(steps: list[np.ndarray], held: Column | None = None) -> Column:
-    """The rate after the projected steps: max(0, rate - posterior . step), from 1. ``held`` documents keep 1."""
-    out = F.lit(1.0)
-    for step in steps:
-        move = sum((F.col(f"p_{d}") * float(s) for d, s in zip(DOMAINS, step, strict=True)), F.lit(0.0))
-        out = F.greatest(F.lit(0.0), out - move)
-    moved = F.col("n_tokens") > 0
-    return F.when(moved if held is None else moved & ~held, out).otherwise(F.lit(1.0))
+Steps = list[tuple[np.ndarray, np.ndarray]]
+
+
+def rate(steps: Steps, held: Column | None = None) -> Column:
+    """The rate after the projected steps, from 1; ``held`` documents keep 1.
+
+    A step is the gradient by domain, g, and the move, s: a rate becomes max(0, rate - posterior . s), but one at zero
+    whose gradient keeps it there stays.
+    """
+    moved = F.lit(1.0)
+    if steps:
+        told = lambda v: "array(" + ", ".join(f"{float(x)!r}D" for x in v) + ")"
+        pairs = ", ".join(f"struct({told(g)} as g, {told(s)} as s)" for g, s in steps)
+        dot = lambda v: " + ".join(f"p_{d} * x.{v}[{j}]" for j, d in enumerate(DOMAINS))
+        moved = F.expr(f"aggregate(array({pairs}), 1.0D, (w, x) -> if(w <= 0 and {dot('g')} >= 0, 0.0D, greatest(0.0D, w - ({dot('s')}))))")
+    free = F.col("n_tokens") > 0
+    return F.when(free if held is None else free & ~held, moved).otherwise(F.lit(1.0))
 
 
 @dataclass
 class Fit:
     """Steps of the descent, the targets and the expected totals after the last step, and whether these meet."""
 
-    steps: list[np.ndarray]
+    steps: Steps
     target: np.ndarray
     totals: np.ndarray
     met: bool
 
 
 def fit_rates(
-    members: DataFrame, weights: dict[str, float], total: float | None = None, iterations: int = 50, tolerance: float = 1e-4, held: Column | None = None
+    members: DataFrame, weights: dict[str, float], total: float | None = None, iterations: int = 25, tolerance: float = 1e-4, held: Column | None = None
 ) -> Fit:
     """Fit the rates by projected gradients.
 
     ``weights`` are multiples of the domains' expected totals; with ``total`` their tokens are scaled to that sum. A
-    step is the gradient in the metric of the active documents' second moments, so few iterations are needed; of its
-    ``LENGTHS`` the one that leaves the least distance is taken. With ``held``, those documents keep rate 1 and the
-    totals are those that they hold. The fit ends when every total is within ``tolerance`` of its target, when no
-    length brings it nearer, or after ``iterations``.
+    step is the projected gradient, plain or in the metric of the second moments of the documents that are free to move;
+    of several lengths the one that leaves the least distance is taken, and the plain step always brings it nearer.
+    With ``held``, those documents keep rate 1 and the totals are those that they hold. The fit ends when every total is
+    within ``tolerance`` of its target, when no step brings it nearer, or after ``iterations``.
     """
     members = members.where("n_tokens > 0")
     k = len(DOMAINS)
     n, p = F.col("n_tokens").cast("double"), [F.col(f"p_{d}") for d in DOMAINS]
 
-    def measured(tried: list[list[np.ndarray]]) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
-        """Totals and second moments of the moving documents after each list of steps, and what held documents hold."""
-        sums = []
-        for c, steps in enumerate(tried):
-            w = rate(steps, held)
-            moving = (w > 0) | F.lit(not steps)
-            free = F.when(moving if held is None else moving & ~held, n).otherwise(0.0)
-            sums += [F.sum(w * n * p[i]).alias(f"t{c}_{i}") for i in range(k)]
-            sums += [F.sum(free * p[i] * p[j]).alias(f"h{c}_{i}{j}") for i in range(k) for j in range(i, k)]
-        if held is not None:
-            sums += [F.sum(F.when(held, n * p[i])).alias(f"k{i}") for i in range(k)]
-        row = members.agg(*sums).first().asDict()
-        get = lambda name: row.get(name) or 0.0
-        totals = [np.array([get(f"t{c}_{i}") for i in range(k)]) for c in range(len(tried))]
-        moments = [np.array([[get(f"h{c}_{min(i, j)}{max(i, j)}") for j in range(k)] for i in range(k)]) for c in range(len(tried))]
-        return totals, moments, np.array([get(f"k{i}") for i in range(k)])
-
-    steps: list[np.ndarray] = []
-    (totals,), (h,), kept = measured([steps])
-    base = totals if held is None else kept
+    def asked(sums: list[Column], rows: DataFrame = members) -> list[float]:
+        return [x or 0.0 for x in rows.agg(*(c.alias(f"s{i}") for i, c in enumerate(sums))).first()]
+
+    def totals_of(tried: list[Steps]) -> np.ndarray:
+        rates = members.select("n_tokens", *p, *(rate(steps, held).alias(f"w{c}") for c, steps in enumerate(tried)))
+        return np.array(asked([F.sum(F.col(f"w{c}") * n * x) for c in range(len(tried)) for x in p], rates)).reshape(len(tried), k)
+
+    def moments(steps: Steps, off: np.ndarray) -> np.ndarray:
+        """Second moments of the documents that a step may move."""
+        push = sum((x * float(g) for x, g in zip(p, off, strict=True)), F.lit(0.0))
+        free = (rate(steps, held) > 0) | (push < 0)
+        weight = F.when(free if held is None else free & ~held, n).otherwise(0.0)
+        found = dict(zip([(i, j) for i in range(k) for j in range(i, k)], asked([F.sum(weight * p[i] * p[j]) for i in range(k) for j in range(i, k)]), strict=True))
+        return np.array([[found[min(i, j), max(i, j)] for j in range(k)] for i in range(k)])
+
+    steps: Steps = []
+    totals = totals_of([steps])[0]
+    base = totals if held is None else np.array(asked([F.sum(F.when(held, n * x)) for x in p]))
     target = np.array([weights.get(d, 1.0) for d in DOMAINS]) * base
     if total is not None and target.sum() > 0:
         target = target * (total / target.sum())
     # A few documents of a large corpus count as much as many when they alone may move.
     scale = max(1.0, target.sum()) if held is None else max(1.0, np.abs(totals - base).sum())
+    steepest = None
     for _ in range(iterations):
         off = totals - target
         if np.abs(off).max() <= tolerance * scale:
             break
+        h = moments(steps, off)
+        if steepest is None:
+            # With every document free the moments are largest, and this length is safe for all later steps.
+            steepest = max(1e-9, float(np.linalg.eigvalsh(h).max()))
         whole = np.linalg.solve(h + np.eye(k) * max(1e-9, 1e-6 * np.trace(h)), off)
-        tried = [[*steps, x * whole] for x in LENGTHS]
-        found, moments, _ = measured(tried)
-        best = min(range(len(tried)), key=lambda c: float(np.square(found[c] - target).sum()))
-        if np.square(found[best] - target).sum() >= (1 - 1e-9) * np.square(off).sum():
+        tried = [[*steps, (off, x * whole)] for x in LENGTHS] + [[*steps, (off, x * off / steepest)] for x in PLAIN]
+        found = totals_of(tried)
+        left = np.square(found - target).sum(axis=1)
+        best = int(left.argmin())
+        if left[best] >= (1 - 1e-6) * np.square(off).sum():
             break
-        steps, totals, h = tried[best], found[best], moments[best]
+        steps, totals = tried[best], found[best]
     met = bool(np.abs(totals - target).max() <= tolerance * scale)
     if not met:
         warnings.warn(f"mixing targets {target.tolist()} are not met: the totals are {totals.tolist()}", stacklevel=2)
