@@ -10,7 +10,8 @@ the others are revisits without payload that name it; smaller payloads are alway
 
 Defined cases: a null html is an empty payload; a null url is an empty target; line ends in a url are percent-encoded;
 rows without page_id are revisits where an equal payload has one, else responses; rows that share the smallest
-page_id are all responses; very long pages are one record; other columns are ignored.
+page_id of a payload are all responses; rows of one page_id with different payloads are judged by their own payload
+each; very long pages are one record; an empty table gives no record; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,10 +29,12 @@ from pyspark.sql import functions as F
 
 from voxelframe.storage import materialise, scratch_path
 
-from .common import slices
+from .common import mapped, slices
 
 #: Bytes of an archive before the next is begun, of one read, and of a gap that is read over.
 ROLL, READ, GAP = 64 << 20, 4 << 20, 64 << 10
+#: Groups that rows without page_id are dealt into.
+SALTS = 64
 #: Fixed: the records carry no clock time, so equal pages give equal archives.
 DATE = "2024-01-01T00:00:00Z"
 CRLF = b"\r\n"
@@ -91,12 +94,22 @@ def parse(member: bytes) -> dict:
     }
 
 
+#: A payload held by more pages than this is matched by a broadcast; there are at most as many such as pages by HELD.
+HELD = 50_000
+
+
 def revisits(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """(page_id, refers_to) of the pages whose payload a smaller page_id has; only digests are shuffled."""
+    """(page_id, digest, refers_to) of the pages whose payload a smaller page_id has; only digests are shuffled."""
     html = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     seen = pages.select(F.col("page_id").cast("long"), F.unhex(F.sha1(html)).alias("digest"), F.length(html).alias("n")).where(F.col("n") >= min_bytes)
+    seen = materialise(seen.select("page_id", "digest"), "warc-digests")
     first = seen.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("held")).where("held > 1 and refers_to is not null")
-    joined = seen.join(first.select("digest", "refers_to"), "digest")
+    first = materialise(first, "warc-copies")
+    hot = first.where(F.col("held") > HELD).select("digest", "refers_to")
+    cold = first.where(F.col("held") <= HELD).select("digest", "refers_to")
+    joined = seen.join(cold, "digest")
+    if not hot.isEmpty():
+        joined = joined.unionByName(seen.join(F.broadcast(hot), "digest"))
     return joined.where("page_id is null or page_id > refers_to").select("page_id", "digest", "refers_to").distinct()
 
 
@@ -108,12 +121,14 @@ def write_archives(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     folder = scratch_path(pages.sparkSession, "warc")
     html = F.coalesce(F.col("html"), F.lit(""))
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"))
-    again = revisits(pages, min_bytes)
-    # Few pages are revisits, and their rows are short; rows without page_id are matched by digest.
-    named = own.where("page_id is not null").join(again.where("page_id is not null").select("page_id", "refers_to"), "page_id", "left")
-    nameless = own.where("page_id is null").withColumn("digest", F.unhex(F.sha1(F.col("html").cast("binary"))))
-    nameless = nameless.join(again.where("page_id is null").select("digest", "refers_to"), "digest", "left").drop("digest")
-    return materialise(named.unionByName(nameless).mapInArrow(writer(folder), INDEX), "warc-index")
+    own = own.withColumn("digest", F.unhex(F.sha1(F.col("html").cast("binary"))))
+    # Few pages are revisits, and their rows are short. Rows without page_id are matched by digest, spread over salts.
+    again = revisits(pages, min_bytes).withColumn("salt", F.when(F.col("page_id").isNull(), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))
+    again = again.select(F.coalesce("page_id", F.lit(0)).alias("_id"), F.col("page_id").isNull().alias("_none"), "digest", "refers_to", F.explode("salt").alias("_salt"))
+    salt = F.when(F.col("page_id").isNull(), F.pmod(F.xxhash64("url", F.monotonically_increasing_id()), F.lit(SALTS)).cast("int")).otherwise(F.lit(0))
+    own = own.select("*", F.coalesce("page_id", F.lit(0)).alias("_id"), F.col("page_id").isNull().alias("_none"), salt.alias("_salt"))
+    joined = own.join(again, ["_id", "_none", "_salt", "digest"], "left").select("page_id", "url", "html", "refers_to")
+    return materialise(mapped(joined, writer(folder), INDEX), "warc-index")
 
 
 def writer(folder: str):
@@ -121,7 +136,7 @@ def writer(folder: str):
         store, root = pafs.FileSystem.from_uri(folder)
         stream, name, at = None, "", 0
         try:
-            for batch in slices(batches, "html", 8_000_000):
+            for batch in slices(batches, "html"):
                 rows = []
                 for row in batch.to_pylist():
                     if stream is None or at >= ROLL:
@@ -191,4 +206,4 @@ def read_records(index: DataFrame) -> DataFrame:
 
     chosen = index.select("file", "offset", "length")
     n = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return chosen.repartitionByRange(n, "file", "offset").sortWithinPartitions("file", "offset").mapInArrow(run, RECORDS)
+    return mapped(chosen.repartitionByRange(n, "file", "offset").sortWithinPartitions("file", "offset"), run, RECORDS)
