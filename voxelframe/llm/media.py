@@ -5,7 +5,9 @@ boxes, decodes the sample tables and gives codec, duration and the byte ranges o
 are narrow: one row in, one row out.
 
 Defined cases: a null text is empty (64 zero bytes of payload); a null or broken container gives nulls and an
-``error``; very long texts are one container; equal texts give equal containers.
+``error``, and null digests of its payload; very long texts are one container; equal texts give equal containers and
+repeated rows repeated results; an empty table gives no row; ``media_index`` keeps extra columns, but for columns named
+like its own, whose place its own take; the other steps ignore them.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import mapped, slices, without
 
 #: Bytes of one access unit, access units in a chunk, access units from one keyframe to the next, samples a second.
 UNIT, CHUNK, KEY_EVERY, RATE = 64, 256, 16, 8000
@@ -152,7 +154,7 @@ def to_media(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes and the container of each whole text."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 8_000_000):
+        for batch in slices(batches, "text"):
             texts = [(t or "").encode() for t in batch.column(1).to_pylist()]
             media = [write_container(pad(t)) for t in texts]
             yield pa.RecordBatch.from_arrays(
@@ -161,7 +163,7 @@ def to_media(docs: DataFrame) -> DataFrame:
             )
 
     chosen = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return chosen.mapInArrow(run, "doc_id long, n_bytes long, media binary")
+    return mapped(chosen, run, "doc_id long, n_bytes long, media binary")
 
 
 INDEX = "codec string, duration_s double, n_samples long, chunks array<struct<start:long,length:long>>, keyframes array<struct<start:long,length:long>>, error string"
@@ -169,12 +171,13 @@ INDEX = "codec string, duration_s double, n_samples long, chunks array<struct<st
 
 def media_index(media: DataFrame) -> DataFrame:
     """The input's columns and what the container's tables say; ``media`` is a binary column."""
+    media = without(media, "codec", "duration_s", "n_samples", "chunks", "keyframes", "error")
     names = media.columns
     place = names.index("media")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spans = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))
-        for batch in slices(batches, "media", 8_000_000):
+        for batch in slices(batches, "media"):
             found: list[dict] = []
             for data in batch.column(place):
                 try:
@@ -190,38 +193,36 @@ def media_index(media: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*names, *keys])
 
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in media.schema)
-    return media.mapInArrow(run, f"{kept}, {INDEX}")
+    return mapped(media, run, f"{kept}, {INDEX}")
+
+
+def digested(x: dict) -> dict:
+    """Checksums of one indexed container; those of a payload that could not be indexed are null."""
+    data, keys = x["media"], x["keyframes"]
+    out = {"doc_id": x["doc_id"], "n_bytes": x["n_bytes"]}
+    if data is not None:
+        out |= {"media_bytes": len(data), "media_sha256": hashlib.sha256(data).hexdigest()}
+    if x["error"] is None:
+        payload = b"".join(data[c["start"] : c["start"] + c["length"]] for c in x["chunks"])
+        ends = f"first={keys[0]['start']}+{keys[0]['length']};last={keys[-1]['start']}+{keys[-1]['length']}" if keys else "first=;last="
+        out |= {
+            "payload_bytes": len(payload),
+            "payload_sha256": hashlib.sha256(payload).hexdigest(),
+            "tail_crc32": zlib.crc32(payload[-UNIT:]),
+            "feature": f"codec={x['codec'].strip()};duration={x['duration_s']:.3f};samples={x['n_samples']};keyframes={len(keys)};{ends}",
+        }
+    return out
 
 
 def media_digests(indexed: DataFrame) -> DataFrame:
     """The query's digests: the payload read back through the index, checksums and a feature line."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for x in batch.to_pylist():
-                data = x["media"]
-                payload = b"".join(data[c["start"] : c["start"] + c["length"]] for c in x["chunks"])
-                keys = x["keyframes"]
-                feature = (
-                    f"codec={x['codec'].strip()};duration={x['duration_s']:.3f};samples={x['n_samples']};keyframes={len(keys)};"
-                    f"first={keys[0]['start']}+{keys[0]['length']};last={keys[-1]['start']}+{keys[-1]['length']}"
-                )
-                rows.append(
-                    {
-                        "doc_id": x["doc_id"],
-                        "n_bytes": x["n_bytes"],
-                        "payload_bytes": len(payload),
-                        "payload_sha256": hashlib.sha256(payload).hexdigest(),
-                        "tail_crc32": zlib.crc32(payload[-UNIT:]),
-                        "media_bytes": len(data),
-                        "media_sha256": hashlib.sha256(data).hexdigest(),
-                        "feature": feature,
-                    }
-                )
-            yield pa.RecordBatch.from_pylist(rows, DIGESTS)
-
-    return indexed.mapInArrow(
+        for batch in slices(batches, "media"):
+            yield pa.RecordBatch.from_pylist([digested(x) for x in batch.to_pylist()], DIGESTS)
+
+    return mapped(
+        indexed,
         run,
         "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string",
     )
