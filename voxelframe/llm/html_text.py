@@ -5,10 +5,14 @@ id words, and the block's own text score each block as main text or not, learned
 Viterbi decodes the page. The field is trained on labelled pages, by default built here from many layouts. One narrow
 pass over whole pages.
 
+What the open elements say of a block is kept as a running sum while a page is read, so time and memory are linear in
+the page, however deep its elements nest.
+
 Defined cases: a null or empty html has no text; unclosed, crossed and stray tags never fail; scripts, styles,
 closed templates and comments hold no text; closed svg, math, object and noscript elements are open elements like
 others, and their tags count for nothing where the end tag is missing; text outside any tag is a block; equal pages
-give equal texts; a null page_id or url is kept; other columns are ignored.
+give equal texts; repeated rows give repeated results; an empty table gives no row; a null page_id or url is kept;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -17,7 +21,7 @@ import html as entities
 import random
 import re
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -25,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import mapped, slices
 from .language import forward_backward, packed
 
 #: Elements whose borders are borders of blocks, elements without end tags, elements without text.
@@ -55,18 +59,70 @@ PAIRS = re.compile(
 
 @dataclass
 class Block:
+    """Text, the weight of its open elements under a model, what they are (in training only), and how much is in links."""
+
     text: str
-    path: tuple[tuple[str, str], ...]
+    score: float = 0.0
+    path: tuple[str, ...] = ()
     linked: int = 0
     label: int = 0
 
 
-@dataclass
-class _State:
-    stack: list[tuple[str, str]] = field(default_factory=list)
-    parts: list[str] = field(default_factory=list)
-    linked: int = 0
-    out: list[Block] = field(default_factory=list)
+class Open:
+    """The open elements, with what is asked of them in constant time: the places of each tag, of those that stop
+    a search for siblings (borders), of block elements (walls), and the sum of the model's weights of their distinct features."""
+
+    def __init__(self, weights: dict[str, float] | None):
+        self.weights, self.features = weights, {}
+        self.names: list[str] = []
+        self.own: list[list[str]] = []
+        self.places: dict[str, list[int]] = {}
+        self.borders: list[int] = []
+        self.walls: list[int] = []
+        self.sums = [0.0]
+
+    def push(self, name: str, marks: str) -> None:
+        self.places.setdefault(name, []).append(len(self.names))
+        if name in BLOCKS or name in PAIRED:
+            self.borders.append(len(self.names))
+        if name in BLOCKS:
+            self.walls.append(len(self.names))
+        own = [f"in:{name}", *(f"mark:{w}" for w in marks.split())]
+        total = self.sums[-1]
+        for f in own:
+            held = self.features.get(f, 0)
+            if not held and self.weights is not None:
+                total += self.weights.get(f, 0.0)
+            self.features[f] = held + 1
+        self.names.append(name)
+        self.own.append(own)
+        self.sums.append(total)
+
+    def cut(self, place: int) -> None:
+        """Close the element at this place and all within it."""
+        while len(self.names) > place:
+            name = self.names.pop()
+            self.places[name].pop()
+            if self.borders and self.borders[-1] == len(self.names):
+                self.borders.pop()
+            if name in BLOCKS:
+                self.walls.pop()
+            for f in self.own.pop():
+                self.features[f] -= 1
+                if not self.features[f]:
+                    del self.features[f]
+            self.sums.pop()
+
+    def last(self, name: str) -> int:
+        places = self.places.get(name)
+        return places[-1] if places else -1
+
+    def block(self, text: str, linked: int) -> Block:
+        tags = [self.names[k] for k in self.walls[-2:]]
+        leaf = [f"leaf:{tags[-1]}", f"pair:{'/'.join(tags)}"] if tags else []
+        if self.weights is None:
+            return Block(text, 0.0, (*self.features, *leaf), linked)
+        return Block(text, self.sums[-1] + sum(self.weights.get(f, 0.0) for f in leaf), (), linked)
 
 
 def paired(page: str, at: int) -> dict[int, int]:
@@ -85,23 +141,28 @@ def paired(page: str, at: int) -> dict[int, int]:
     return ends
 
 
-def blocks(page: str) -> list[Block]:
-    """The leaf blocks in page order: text with references decoded and blanks joined, and the open elements."""
-    s = _State()
+def blocks(page: str, weights: dict[str, float] | None = None) -> list[Block]:
+    """The leaf blocks in page order, with references decoded and blanks joined; scored by ``weights``, if given."""
+    opened = Open(weights)
+    parts: list[str] = []
+    out: list[Block] = []
+    linked = 0
 
     def flush() -> None:
-        if s.parts:
-            text = " ".join(entities.unescape("".join(s.parts)).split())
+        nonlocal linked
+        if parts:
+            text = " ".join(entities.unescape("".join(parts)).split())
             if text:
-                s.out.append(Block(text, tuple(s.stack), s.linked))
-            s.parts.clear()
-        s.linked = 0
+                out.append(opened.block(text, linked))
+            parts.clear()
+        linked = 0
 
     def add(text: str) -> None:
+        nonlocal linked
         if text:
-            s.parts.append(text)
-            if any(t == "a" for t, _ in s.stack):
-                s.linked += len(text.strip())
+            parts.append(text)
+            if opened.last("a") >= 0:
+                linked += len(text.strip())
 
     at, n = 0, len(page)
     pairs: dict[int, int] | None = None
@@ -131,27 +192,26 @@ def blocks(page: str) -> list[Block]:
         if closing:
             if name in BLOCKS:
                 flush()
-            for k in range(len(s.stack) - 1, -1, -1):
-                if s.stack[k][0] == name:
-                    if name in PAIRED and any(t in BLOCKS for t, _ in s.stack[k:]):
-                        flush()
-                    del s.stack[k:]
-                    break
-                if s.stack[k][0] in BLOCKS and name not in BLOCKS and name not in PAIRED:
-                    break
+            place = opened.last(name)
+            # An end tag within a line does not reach out of the block it stands in.
+            around = opened.walls[-1] if opened.walls and name not in BLOCKS and name not in PAIRED else -1
+            if place > around:
+                if name in PAIRED and any(t in BLOCKS for t in opened.names[place:]):
+                    flush()
+                opened.cut(place)
             continue
         if name in BLOCKS:
             flush()
             ends = SIBLINGS.get(name, {"p"} if name != "p" else set())
-            for k in range(len(s.stack) - 1, max(-1, len(s.stack) - 6), -1):
-                if s.stack[k][0] in ends:
-                    del s.stack[k:]
+            for k in reversed(opened.borders):
+                if opened.names[k] in ends:
+                    opened.cut(k)
                     break
-                if s.stack[k][0] in PAIRED or s.stack[k][0] in BLOCKS and s.stack[k][0] not in ("p",):
+                if opened.names[k] != "p":
                     break
         alone = page[m.end() : at].rstrip(">").endswith("/")
         if name in RAW:
-            foreign = any(t in ("svg", "math") for t, _ in s.stack)
+            foreign = opened.last("svg") >= 0 or opened.last("math") >= 0
             if not alone or not foreign and name in ("script", "style", "textarea", "title"):
                 close = re.compile(rf"</{re.escape(name)}\b[^>]*>?", re.I).search(page, at)
                 at = close.end() if close else n
@@ -167,12 +227,12 @@ def blocks(page: str) -> list[Block]:
         if name == "br":
             add(" ")
         elif name not in VOID and not alone:
-            s.stack.append((name, _marks(page[m.end() : at])))
+            opened.push(name, _marks(page[m.end() : at]))
     flush()
-    return s.out
+    return out
 
 
-@lru_cache(maxsize=20_000)
+@lru_cache(maxsize=2_000)
 def _marks(attributes: str) -> str:
     found = []
     for m in MARK.finditer(attributes):
@@ -184,18 +244,6 @@ def _marks(attributes: str) -> str:
     return " ".join(found)
 
 
-@lru_cache(maxsize=50_000)
-def path_features(path: tuple[tuple[str, str], ...]) -> tuple[str, ...]:
-    found = {f"in:{t}" for t, _ in path}
-    for _, marks in path:
-        found |= {f"mark:{w}" for w in marks.split()}
-    tags = [t for t, _ in path if t in BLOCKS]
-    if tags:
-        found.add(f"leaf:{tags[-1]}")
-        found.add(f"pair:{'/'.join(tags[-2:])}")
-    return tuple(found)
-
-
 def text_features(block: Block, position: int, count: int) -> list[str]:
     text = block.text
     words = text.count(" ") + 1
@@ -220,7 +268,7 @@ class Field:
     def scores(self, found: list[Block]) -> np.ndarray:
         get, out = self.weights.get, np.zeros((len(found), 2))
         for i, b in enumerate(found):
-            out[i, 1] = _path_score(self, b.path) + sum(get(f, 0.0) for f in text_features(b, i, len(found)))
+            out[i, 1] = b.score + sum(get(f, 0.0) for f in text_features(b, i, len(found)))
         return out
 
     def decode(self, found: list[Block]) -> list[bool]:
@@ -240,25 +288,13 @@ class Field:
         return out[::-1]
 
 
-_PATHS: dict = {"field": None, "scores": {}}
-
-
-def _path_score(model: Field, path: tuple) -> float:
-    if _PATHS["field"] is not model or len(_PATHS["scores"]) > 50_000:
-        _PATHS["field"], _PATHS["scores"] = model, {}
-    known = _PATHS["scores"]
-    if path not in known:
-        known[path] = sum(model.weights.get(f, 0.0) for f in path_features(path))
-    return known[path]
-
-
 def fit(pages: list[list[Block]], epochs: int = 25, seed: int = 5) -> Field:
     """Adaptive gradient ascent on the likelihood of the labelled pages' block sequences."""
     index: dict[str, int] = {}
     pages = [p for p in pages if p]
     data = []
     for p in pages:
-        rows = [[index.setdefault(f, len(index)) for f in (*path_features(b.path), *text_features(b, i, len(p)))] for i, b in enumerate(p)]
+        rows = [[index.setdefault(f, len(index)) for f in (*b.path, *text_features(b, i, len(p)))] for i, b in enumerate(p)]
         data.append((rows, np.array([b.label for b in p])))
     theta, moves, start = np.zeros(len(index)), np.zeros((2, 2)), np.zeros(2)
     seen, seen_m, seen_s = np.full(len(index), 1e-2), np.full((2, 2), 1.0), np.full(2, 1.0)
@@ -294,8 +330,9 @@ def fit(pages: list[list[Block]], epochs: int = 25, seed: int = 5) -> Field:
     return Field({f: float(theta[i]) for f, i in index.items()}, moves, start)
 
 
-def training_pages(count: int = 400, seed: int = 23) -> list[list[Block]]:
-    """Labelled pages of many layouts: the main text is marked while a page is built, and read back by its mark."""
+def training_pages(count: int = 400, seed: int = 23, weights: dict[str, float] | None = None) -> list[list[Block]]:
+    """Labelled pages of many layouts: the main text is marked while a page is built, and read back by its mark. With
+    ``weights``, the blocks are scored like those of any page."""
     rng = random.Random(seed)
     syllables = "th er on an re in ou le que de la en ion ver sch ung ado mente ción as os eau ch tre ai".split()
     word = lambda: "".join(rng.choice(syllables) for _ in range(rng.randint(1, 4)))
@@ -376,7 +413,7 @@ def training_pages(count: int = 400, seed: int = 23) -> list[list[Block]]:
             before.append(unscripted())
         rng.shuffle(before)
         rng.shuffle(after)
-        found = blocks("<html><body>" + "".join(before) + main + "".join(after) + (footer() if rng.random() < 0.8 else "") + "</body></html>")
+        found = blocks("<html><body>" + "".join(before) + main + "".join(after) + (footer() if rng.random() < 0.8 else "") + "</body></html>", weights)
         for b in found:
             b.label = int("\x01" in b.text)
             b.text = b.text.replace("\x01", "").strip() or "."
@@ -390,7 +427,7 @@ def trained() -> Field:
 
 
 def main_text(page: str | None, model: Field) -> str:
-    found = blocks(page or "")
+    found = blocks(page or "", model.weights)
     if not found:
         return ""
     return "\n".join(b.text for b, keep in zip(found, model.decode(found), strict=True) if keep)
@@ -406,4 +443,4 @@ def extract(pages: DataFrame, model: Field | None = None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
     chosen = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
-    return chosen.mapInArrow(run, "page_id long, url string, text string")
+    return mapped(chosen, run, "page_id long, url string, text string")
