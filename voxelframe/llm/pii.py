@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import mapped, slices
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "secret")
@@ -400,7 +400,7 @@ def find(docs: DataFrame, field: Field | None = None) -> DataFrame:
 
     kind = "array<struct<kind:string,start:long,stop:long>>"
     chosen = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return chosen.mapInArrow(run, f"doc_id long, base {kind}, added {kind}")
+    return mapped(chosen, run, f"doc_id long, base {kind}, added {kind}")
 
 
 def digests(found: DataFrame) -> DataFrame:
@@ -415,4 +415,5 @@ def digests(found: DataFrame) -> DataFrame:
         return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
     counts = [count(k) for k in BASE]
-    return found.select("doc_id", *counts, F.sha2(line(F.col("base")), 256).alias("base_sha256"), line(F.concat("base", "added")).alias("spans"))
+    total = (F.size("base") + F.size("added")).cast("long").alias("n_spans")
+    return found.select("doc_id", *counts, total, F.sha2(line(F.col("base")), 256).alias("base_sha256"), line(F.concat("base", "added")).alias("spans"))
