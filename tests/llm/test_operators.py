@@ -91,6 +91,10 @@ def test_media_broken(spark):
     rows = [(1, b""), (2, good[:50]), (3, None), (4, b"\x00\x00\x00\x01moov")]
     found = media.media_index(spark.createDataFrame(rows, "doc_id long, media binary")).collect()
     assert all(r.error and r.codec is None for r in found)
+    table = spark.createDataFrame([(*r, "c", "e") for r in rows] + [(5, good, "c", "e")], "doc_id long, media binary, Codec string, error string").selectExpr("*", "0L as n_bytes")
+    read = by_id(media.media_digests(media.media_index(table)), "doc_id")
+    assert read[5].payload_sha256 == hashlib.sha256(bytes(64)).hexdigest()
+    assert all(read[i].payload_sha256 is None and read[i].feature is None for i in (1, 2, 3, 4)) and read[3].media_bytes is None and read[2].media_bytes == 50
 
 
 # --- language ----------------------------------------------------------------------------------------------------
@@ -116,6 +120,47 @@ def test_language(spark, docs, none):
     assert language.keep_identified(docs, model).columns == docs.columns
 
 
+def brute_language(text, model):
+    """Language and score by summing over every labelling of the words, from the weights alone."""
+    words = [w.strip(language.MARKS) for w in text.lower().split()]
+    words = [w[i : i + language.LONG] for w in words for i in range(0, len(w), language.LONG)]
+    words = [w for w in words if any(c.isalpha() for c in w)]
+    if not words or not model.langs:
+        return "und", 0.0
+    score = [model.weights[language.word_features([w])[0]].sum(axis=0) + model.lexicon.get(w, 0) for w in words]
+    em = [np.exp(np.maximum(x - x.max(), -20)) for x in score]
+    k, total, mass = len(model.langs), 0.0, np.zeros(len(model.langs))
+    for path in np.ndindex(*[k] * len(words)):
+        p = model.start[path[0]] * np.prod([e[y] for e, y in zip(em, path)]) * np.prod([model.transitions[a, b] for a, b in zip(path, path[1:])])
+        total += p
+        mass += p * np.bincount(path, minlength=k)
+    return model.langs[int(mass.argmax())], float(mass.max() / total / len(words))
+
+
+def test_language_like_brute_force(spark):
+    rng = np.random.default_rng(5)
+    words = {"en": "the house and with that people".split(), "de": "das haus und mit der menschen".split(), "fr": "les gens avec une maison dans".split()}
+    rows = [(i, " ".join(rng.choice(words[x], 12)), x) for i, x in enumerate(rng.choice(list(words), 200))]
+    rows += [(1000, "x" * 5000, "en"), (1001, "a", "en"), (1002, "", "fr"), (1003, None, "de"), (None, "das haus", "de")]
+    model = language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    every = sum(words.values(), [])
+    texts = [" ".join(rng.choice(every, rng.integers(1, 7))) for _ in range(30)] + ["THE, (house) 12 ?", "x" * 50, "houseandwithdermenschenunddashausdasdieserundmitder " * 2, "12 ..", "", None]
+    found = by_id(language.identify(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model), "doc_id")
+    for i, t in enumerate(texts):
+        lang, score = brute_language(t or "", model)
+        assert found[i].lang_pred == lang and abs(found[i].score - score) < 1e-3, t
+
+
+def test_language_reads_whole_words_and_long_lines(spark):
+    long = "abcdefghij" + "語" * 500 + "klmnopqrst"
+    assert language.letters(long) != language.letters(long.replace("語", "x")) and "".join(language.letters(long)) == long
+    # One language has a single line a document and no line end, one only short lines.
+    rows = [(i, "das haus und der garten " * 200, "de") for i in range(30)] + [(100 + i, "le jardin\nune maison", "fr") for i in range(30)]
+    model = language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.langs == ["de", "fr"]
+    assert language.identify(spark.createDataFrame([(1, "une maison et le jardin")], "doc_id long, text string"), model).first().lang_pred == "fr"
+
+
 def test_forward_backward_sums():
     rng = np.random.default_rng(0)
     em, trans, start = rng.random((4, 2)) + 0.1, rng.random((2, 2)) + 0.1, np.array([0.5, 0.5])
@@ -160,6 +205,10 @@ def test_line_dedup(spark, docs):
         assert (r.text or "").split("\n") == (want[r.doc_id] or [""]), r.doc_id
         assert r.n_dropped == r.n_lines - len(want[r.doc_id])
     assert line_dedup.LineIndex.build(docs).apply(docs).count() == len(TEXTS)
+    clash = table.selectExpr("*", "7 as _doomed", "8 as N_Lines", "'x' as n_dropped", "'k' as key", "9 as shard")
+    got = index.apply(clash)
+    assert got.columns == ["doc_id", "text", "_doomed", "key", "shard", "n_lines", "n_dropped"]
+    assert {r.doc_id: r.text for r in got.collect()} == {r.doc_id: r.text for r in index.apply(table).collect()}
 
 
 def test_line_dedup_is_reversible(spark):
@@ -177,6 +226,23 @@ def test_line_dedup_is_reversible(spark):
     assert back.refs.count() == 0
 
 
+def test_line_dedup_shards_follow_the_keys(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "SHARD_KEYS", 4)
+    monkeypatch.setattr(line_dedup, "GROUP_KEYS", 5)
+    monkeypatch.setattr(line_dedup, "CHANGES", 2)
+    lines = [f"a line of more than forty characters that is number {k}" for k in range(30)]
+    rows = [(i, "\n".join(lines[: 10 if i < 8 else 30])) for i in range(16)]
+    frame = lambda x: spark.createDataFrame(x, "doc_id long, text string")
+    index = line_dedup.LineIndex.build(frame(rows[:8]))
+    assert index.shards == 4
+    grown = index.insert(frame(rows[8:12])).insert(frame(rows[12:]))
+    assert grown.shards == 8 and grown.changes == 0
+    for limit in (line_dedup.BROADCAST_BYTES, -1):
+        monkeypatch.setattr(line_dedup, "BROADCAST_BYTES", limit)
+        want = brute_lines(rows)
+        assert {r.doc_id: (r.text or "").split("\n") for r in grown.apply(frame(rows)).collect()} == {i: x or [""] for i, x in want.items()}
+
+
 def test_line_dedup_without_broadcast(spark, monkeypatch):
     monkeypatch.setattr(line_dedup, "BROADCAST_BYTES", -1)
     table = spark.createDataFrame(line_rows(), "doc_id long, text string")
@@ -242,6 +308,22 @@ def test_ngram_join_odd_rows(docs, none):
     assert 2 not in {r.doc_id for r in ngram_join.one_of_each(docs).collect()}
 
 
+@pytest.mark.parametrize("hot", [False, True])
+def test_ngram_join_repeated_ids(spark, monkeypatch, hot):
+    if hot:
+        # Every token that two sampled sets hold counts as one of very many sets.
+        for name, value in (("SAMPLE", 1), ("SEEN", 2)):
+            monkeypatch.setattr(ngram_join, name, value)
+    a, b = (" ".join(f"{x}{k}" for k in range(60)) for x in "ab")
+    near = " ".join([*a.split()[:-2], "other", "words"])
+    rows = [(5, a), (1, a), (5, b), (9, b), (5, a), (20, near), (21, "quite another text of its own"), (21, "quite another text of its own"), (22, None), (22, a + " x")]
+    found = ngram_join.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in found) == Counter(
+        {(5, 57, 1): 3, (1, 57, 1): 1, (9, 57, 1): 1, (20, 57, 1): 1, (21, 3, 21): 2, (22, 0, 1): 1, (22, 58, 1): 1}
+    )
+    assert Counter(r.doc_id for r in ngram_join.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == {1: 1, 21: 2}
+
+
 def test_parity_bounds_difference():
     rng = np.random.default_rng(3)
     for _ in range(50):
@@ -307,6 +389,56 @@ def test_bin_completion_is_optimal_on_small_cases():
         assert len(bins) == least(sizes, 100)
 
 
+@pytest.mark.parametrize("low, high, seed", [(4, 9, 1), (3, 6, 2), (5, 6, 3)])
+def test_bin_completion_reaches_the_bound_where_best_fit_does_not(low, high, seed):
+    rng = np.random.default_rng(seed)
+    sizes = []
+    for _ in range(300):
+        cuts = np.sort(rng.choice(np.arange(1, 4096), rng.integers(low, high) - 1, replace=False))
+        sizes += np.diff([0, *cuts, 4096]).tolist()
+    sizes.sort(reverse=True)
+    bins = packing.bin_completion(sizes, 4096)
+    assert sorted(s for b in bins for s in b) == sorted(sizes) and all(sum(b) <= 4096 for b in bins)
+    assert len(bins) == packing.lower_bound(sizes, 4096) == 300 < len(packing.best_fit(sizes, 4096))
+
+
+def test_fillings_are_the_undominated_ones():
+    rng = np.random.default_rng(9)
+    for _ in range(40):
+        room, pool = 50, rng.integers(5, 40, 8).tolist()
+        counts = Counter(pool)
+        found = list(packing.fillings(room, sorted(counts), dict(counts), room))
+        every = {tuple(sorted(c, reverse=True)) for k in range(9) for c in combinations(pool, k) if sum(c) <= room}
+        assert set(found) <= every and len(set(found)) == len(found)
+        # Whatever is left out is dominated by one that is there.
+        assert all(f in found or any(packing.dominated(f, b) for b in found) for f in every)
+
+
+def test_packing_keeps_other_columns_and_nameless_rows(spark):
+    parts = spark.createDataFrame([(None, 0, 1000 + k % 7, k) for k in range(300)], "doc_id long, piece int, length long, offset int").selectExpr("*", "'g' as _group", "'o' as _open", "'n' as _number", "1 as Sequence_ID")
+    found = packing.pack(parts, group=20)
+    assert found.columns == ["doc_id", "piece", "length", "_group", "_open", "_number", "sequence_id", "offset"]
+    rows = found.collect()
+    assert len(rows) == 300 and {r._group for r in rows} == {"g"}
+    fill = defaultdict(int)
+    for r in sorted(rows, key=lambda r: r.offset):
+        assert r.offset == fill[r.sequence_id]
+        fill[r.sequence_id] += r.length
+    assert max(fill.values()) <= 4096 and len(fill) <= 80
+
+
+def test_random_texts_encode_like_whole_texts():
+    from tokenizers import Tokenizer
+
+    path = packing.default_tokenizer()
+    tokenizer = Tokenizer.from_file(path)
+    rng = np.random.default_rng(5)
+    letters = list("aAbZéÉßİıǅΣςσ'.,;:!?%$&#*|<>- \n\t\r\x0b\x1c09٣²ªº\u0301\u0307 가ﬁ中𝒳🎉`´")
+    texts = ["GELDİ.", "aİ,", "İ:!"] + ["".join(rng.choice(letters, rng.integers(1, 30))) for _ in range(10_000)]
+    codes = tokenizer.encode_batch(texts, add_special_tokens=False)
+    assert all(np.frombuffer(d, "<u4").tolist() == c.ids for d, c in zip(packing.token_bytes(texts, path), codes, strict=True))
+
+
 def test_runs_encode_like_whole_texts():
     from tokenizers import Tokenizer
 
@@ -356,6 +488,39 @@ def test_mixing_odd_rows(spark, docs, none):
     assert mixing.mix(none, labels, {}).count() == 0
 
 
+def test_mixing_like_a_plain_descent(spark):
+    """Against a plain projected-gradient descent over every rate; the second targets cannot be met."""
+    rng = np.random.default_rng(11)
+    p = rng.dirichlet([0.5, 0.5, 0.5], 60)
+    n = rng.integers(1, 200, 60)
+    rows = [(i, int(n[i]), *map(float, p[i])) for i in range(60)] + [(60, 0, 0.2, 0.3, 0.5)]
+    members = spark.createDataFrame(rows, "doc_id long, n_tokens long, p_good double, p_poor double, p_toxic double")
+    a = (n[:, None] * p).T
+    for weights, iterations in (({"good": 1.0, "poor": 0.5, "toxic": 0.2}, 25), ({"good": 3.0, "toxic": 0.0}, 8), ({"good": 0.0, "poor": 0.0, "toxic": 0.0}, 25)):
+        target = np.array([weights.get(d, 1.0) for d in mixing.DOMAINS]) * a.sum(axis=1)
+        r = np.ones(60)
+        step = 1 / np.linalg.eigvalsh(a @ a.T).max()
+        for _ in range(100_000):
+            r = np.maximum(0, r - step * a.T @ (a @ r - target))
+        found = mixing.fit_rates(members, weights, iterations=iterations)
+        away = lambda totals: np.linalg.norm(totals - target) / (target.sum() + a.sum())  # noqa: B023, E731
+        assert found.met == (away(a @ r) < 1e-3) and away(found.totals) < away(a @ r) + 0.02, weights
+        rates = [x.rate for x in members.withColumn("rate", mixing.rate(found.steps)).orderBy("doc_id").collect()]
+        assert np.allclose(a @ np.array(rates[:60]), found.totals) and rates[60] == 1.0
+
+
+def test_mixing_labels_and_other_columns(spark):
+    docs, labels = mix_tables(spark)
+    odd = labels.unionByName(labels.limit(50)).unionByName(spark.createDataFrame([(None, 1, 1), (7, None, None), (99_999, 1, 1)], "doc_id long, quality int, toxic int"))
+    weights = lambda rows: mixing.train(docs, rows).weights
+    assert np.array_equal(weights(odd), weights(labels))
+    table = docs.limit(20).selectExpr("*", "3 as _copies", "4 as _again", "5 as rate")
+    mixed = table.selectExpr("doc_id", "case when doc_id % 2 = 0 then 2.0 else 0.0 end as rate")
+    out = mixing.apply_rates(table, mixed)
+    assert out.columns == table.columns
+    assert Counter(r.doc_id for r in out.collect()) == {r.doc_id: 2 for r in table.collect() if r.doc_id % 2 == 0}
+
+
 @pytest.mark.parametrize("per", [0, 10, 250, 1])
 def test_pipeline_mixing_drops_toxic_documents_alone(spark, tmp_path, monkeypatch, per):
     import corpus_pipeline
@@ -399,6 +564,17 @@ def test_warc(spark):
     assert warc.read_records(warc.write_archives(pages.limit(0))).count() == 0
 
 
+def test_warc_repeated_page_ids(spark, monkeypatch):
+    rows = [(1, "A"), (5, "A"), (5, "C"), (2, "C"), (5, "E"), (None, "A"), (None, "A"), (None, "Z")]
+    want = [("1", "A", "response", None), ("5", "A", "revisit", 1), ("5", "C", "revisit", 2), ("2", "C", "response", None), ("5", "E", "response", None)]
+    want += [("None", "A", "revisit", 1), ("None", "A", "revisit", 1), ("None", "Z", "response", None)]
+    for held in (warc.HELD, 2):
+        monkeypatch.setattr(warc, "HELD", held)
+        found = warc.read_records(warc.write_archives(spark.createDataFrame([(i, "u", h) for i, h in rows], "page_id long, url string, html string"))).collect()
+        names = {warc.base32_sha1(h.encode()): h for _, h in rows}
+        assert sorted((str(r.page_id), names[r.payload_digest], r.record_type, str(r.refers_to)) for r in found) == sorted((*w[:3], str(w[3])) for w in want)
+
+
 def test_ranges_are_coalesced():
     rows = [("a", 0, 10), ("a", 10, 5), ("a", 20, 5), ("a", 20 + warc.GAP + 10, 3), ("b", 0, 1)]
     assert [(f, s, e, len(m)) for f, s, e, m in warc.coalesced(rows)] == [("a", 0, 25, 3), ("a", 30 + warc.GAP, 33 + warc.GAP, 1), ("b", 0, 1, 1)]
@@ -420,9 +596,40 @@ def test_html_extraction(spark):
     assert found[5].text == found[1].text and found[2].text == "" and found[3].text == "" and len(found) == 6
 
 
+def test_html_long_pages_are_linear():
+    import time
+
+    model = html_text.trained()
+    for page in ("<div>x", "<svg/>x", "<p><i>x", "<object><i></b>x", "<b class='a b c'>", "</b>x<p>y"):
+        took = []
+        for n in (5_000, 40_000):
+            began = time.perf_counter()
+            html_text.main_text("<i>" * 1000 + page * n, model)
+            took.append(time.perf_counter() - began)
+        assert took[1] < 30 * took[0] + 0.5, (page, took)
+    deep = "<div>" * 20_000 + "<article><h1>Title</h1><p>The text of the article, which is long enough to be read.</p></article>" + "</div>" * 20_000
+    assert html_text.main_text(deep, model) == "Title\nThe text of the article, which is long enough to be read."
+
+
+def test_html_query_like_brute_force(spark):
+    """The registered query's rows against the best of all labellings of each small page's blocks."""
+    model = html_text.trained()
+    pages = ["<nav><a href=/a>Home</a></nav><article><h1>A title</h1><p>Some words of the text.</p><div class=ad>Buy!</div></article><footer>&copy; me</footer>", "<p>one<p>two", "", None, "<ul><li>x</li><li>y</li></ul><p>z.</p>"]
+    table = spark.createDataFrame([(i, f"u{i}", p) for i, p in enumerate(pages)], "page_id long, url string, html string")
+    for r in html_text.extract(table).collect():
+        found = html_text.blocks(pages[r.page_id] or "", model.weights)
+        scores = model.scores(found) if found else np.zeros((0, 2))
+
+        def total(path):
+            return model.start[path[0]] + sum(scores[t, y] for t, y in enumerate(path)) + sum(model.stay[x, y] for x, y in zip(path, path[1:]))  # noqa: B023
+
+        best = max(np.ndindex(*[2] * len(found)), key=total) if found else ()
+        assert r.text == "\n".join(b.text for b, y in zip(found, best, strict=True) if y)
+
+
 def test_html_held_out_accuracy():
     model = html_text.trained()
-    pages = [p for p in html_text.training_pages(120, seed=77) if p]
+    pages = [p for p in html_text.training_pages(120, seed=77, weights=model.weights) if p]
     right = [bool(b.label) == keep for p in pages for b, keep in zip(p, model.decode(p), strict=True)]
     assert np.mean(right) > 0.98
 
