@@ -53,7 +53,7 @@ def default_tokenizer() -> str:
 LETTERS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
 TAIL = ".,;:!?%$&#*|"
 #: Words whose ids a Python worker keeps, with the tokenizer, from task to task.
-KEPT = 100_000
+KEPT = 200_000
 
 
 @lru_cache(maxsize=2)
@@ -95,16 +95,21 @@ def token_bytes(texts: list[str], path: str) -> list[bytes]:
     # bytes.lower acts on A-Z alone; texts that may spell a special token stay as they are.
     lowered = [t if "<|" in t else t.encode().lower().decode() for t in texts]
     runs = [t.replace("\n", " ").split(" ") for t in lowered]
-    parts = {}
-    for r in set().union(*runs):
-        core = r.rstrip(TAIL)
-        parts[r] = (core, r[len(core) :]) if LETTERS.fullmatch(core) else (r, "")
     if len(known) > KEPT:
         known.clear()
         known[""] = b""
+    parts = {}
+    plain = LETTERS.fullmatch
+    for r in set().union(*runs):
+        if r not in known:
+            core = r.rstrip(TAIL)
+            parts[r] = (core, r[len(core) :]) if plain(core) else (r, "")
     _encode(encoder, ends, list({x for pair in parts.values() for x in pair} - known.keys()), known)
-    ids = {r: known[core] + known[tail] if tail else known[core] for r, (core, tail) in parts.items()}
-    return [b"".join(map(ids.__getitem__, one)) for one in runs]
+    marked = {r: known[core] + known[tail] for r, (core, tail) in parts.items() if tail}
+    if not marked:
+        return [b"".join(map(known.__getitem__, one)) for one in runs]
+    get = {**known, **marked}.__getitem__
+    return [b"".join(map(get, one)) for one in runs]
 
 
 def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
@@ -113,7 +118,7 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACI
     end = int(end_id).to_bytes(4, "little")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 2_000_000):
+        for batch in slices(batches, "text"):
             owner, number, start, length, ids = [], [], [], [], []
             coded = token_bytes([t or "" for t in batch.column(1).to_pylist()], path)
             for doc_id, data in zip(batch.column(0).to_pylist(), coded, strict=True):
