@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from voxelframe.functions.config import DataSettings, DecodeSettings
-from voxelframe.operators import affinity, assignment, components, instances, metrics, morphology, points, skeleton, splits, tiles, volume, watershed
+from voxelframe.operators import affinity, assignment, components, grid_graph, instances, metrics, morphology, points, skeleton, splits, tiles, volume, watershed
 from voxelframe.sources import pairing, volumes
 
 
@@ -83,7 +83,8 @@ def test_affinities(spark):
 
 
 def test_tiles(spark):
-    assert tiles.axis_offsets(20, 8) == [0, 8, 12] and tiles.axis_offsets(5, 8) == [0] and tiles.axis_offsets(16, 8) == [0, 8]
+    for n, overlap, want in ((20, False, [0, 8, 12]), (5, False, [0]), (16, False, [0, 8]), (20, True, [0, 4, 8, 12]), (5, True, [0])):
+        assert spark.range(1).select(tiles.starts(F.lit(n), 8, overlap)).first()[0] == want
     rows = volume.grid(spark, (9, 8, 10)).withColumn("p", F.lit(3.5))
     out = tiles.blend(tiles.with_tiles(rows, (9, 8, 10), 4), 4)
     assert out.count() == 720 and out.where("abs(val - 3.5) > 1e-9").count() == 0
@@ -103,6 +104,57 @@ def test_morphology_and_distance(spark):
     assert filled.count() == 27
 
 
+def test_components_across_tiles(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    shape = (5, 7, 9)
+    mask = rng.random(shape) < 0.4
+    kinds = rng.integers(0, 2, shape)
+    rows = [(*map(int, p), int(np.ravel_multi_index(p, shape)), int(kinds[p])) for p in map(tuple, np.argwhere(mask).tolist())]
+    table = spark.createDataFrame(rows, "z long, y long, x long, lin long, kind long")
+
+    def brute(offsets, same):
+        root = {r[3]: r[3] for r in rows}
+        kind = {r[3]: r[4] for r in rows}
+        moved = True
+        while moved:
+            moved = False
+            for z, y, x, lin, _ in rows:
+                for d in offsets:
+                    at = (z + d[0], y + d[1], x + d[2])
+                    if all(0 <= c < n for c, n in zip(at, shape)) and mask[at]:
+                        other = int(np.ravel_multi_index(at, shape))
+                        if (not same or kind[lin] == kind[other]) and root[lin] != root[other]:
+                            root[lin] = root[other] = min(root[lin], root[other])
+                            moved = True
+        return root
+
+    for side in (48, 3):
+        monkeypatch.setattr(grid_graph, "TILE", side)
+        for offsets, same in ((grid_graph.FACES, None), (grid_graph.FULL, None), (grid_graph.FACES, "kind")):
+            assert {r.lin: r.component for r in grid_graph.components_of(table, offsets, same).collect()} == brute(offsets, same)
+
+
+@pytest.mark.parametrize("side", [48, 1])
+def test_hard_affinities(spark, monkeypatch, side):
+    monkeypatch.setattr(grid_graph, "TILE", side)
+    # A line of five: 0 -> 1, 1 only reached, 2 alone and unset, 3 unset, 4 set at the far border.
+    rows = [(0, 0, x, x, False, False, x in (0, 4)) for x in range(5)]
+    found = grid_graph.hard_affinity_components(spark.createDataFrame(rows, "z long, y long, x long, lin long, az boolean, ay boolean, ax boolean"))
+    assert {r.lin: r.component for r in found.collect()} == {0: 1, 1: 1, 4: 2}
+
+
+def test_distance_options(spark):
+    rng = np.random.default_rng(4)
+    shape = (3, 20, 6)
+    mask = rng.random(shape) < 0.8
+    rows = cube(spark, mask.astype(int), "v").where("v = 1").select("z", "y", "x")
+    step = np.array([2.0, 1.0, 0.5])
+    wide = np.pad(mask, 1)
+    out = np.argwhere(~wide) - 1
+    got = {(r.z, r.y, r.x): r.dist2 for r in morphology.distance_squared(rows, shape, tuple(step), True).collect()}
+    assert len(got) == mask.sum() and all(np.isclose(d, (((out - p) * step) ** 2).sum(axis=1).min()) for p, d in got.items())
+
+
 def test_watershed_splits_and_stays_inside(spark):
     line = np.zeros((1, 1, 9), int)
     line[0, 0, :] = 1

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxelframe.storage import materialise
-
-from .grid_graph import FACES, mask_components
+from .grid_graph import FACES, components_of
 from .volume import AXES, grid
 
 BALL = [(0, 0, 0), *FACES, *(tuple(-c for c in d) for d in FACES)]
@@ -27,11 +27,11 @@ def dilate(mask: DataFrame, shape, times: int = 1) -> DataFrame:
     return mask.select(*AXES)
 
 
-def erode(mask: DataFrame, shape, times: int = 1) -> DataFrame:
-    """Voxels whose whole ball, as far as it lies inside the volume, is in the mask."""
+def erode(mask: DataFrame, shape, times: int = 1, outside: bool = True) -> DataFrame:
+    """Voxels whose whole ball is in the mask; places outside the volume count as ``outside`` says."""
     inside = F.lit(7)
     for a, n in zip(AXES, shape, strict=True):
-        inside = inside - (F.col(a) == 0).cast("int") - (F.col(a) == n - 1).cast("int")
+        inside = inside - (F.col(a) == 0).cast("int") - (F.col(a) == n - 1).cast("int") if outside else inside
     for _ in range(times):
         mask = _spread(mask.select(*AXES), shape).groupBy(*AXES).agg(F.count("*").alias("_n")).where(F.col("_n") == inside).select(*AXES)
     return mask.select(*AXES)
@@ -43,6 +43,11 @@ def open_close(mask: DataFrame, shape) -> DataFrame:
     return erode(dilate(opened, shape), shape)
 
 
+def opened(mask: DataFrame, shape) -> DataFrame:
+    """Opening in which places outside the volume are not in the mask."""
+    return dilate(erode(mask, shape, outside=False), shape)
+
+
 def grey_dilate(labels: DataFrame, shape, times: int = 1) -> DataFrame:
     """Labels over zero grow by the ball; the largest label wins."""
     for _ in range(times):
@@ -57,7 +62,7 @@ def _lin(shape) -> Column:
 def fill_holes(mask: DataFrame, shape) -> DataFrame:
     """The mask with every background component (over faces) that touches no border."""
     empty = grid(mask.sparkSession, shape).join(mask.select(*AXES), list(AXES), "left_anti").select(*AXES, _lin(shape))
-    found = mask_components(empty).join(empty, "lin")
+    found = components_of(empty, FACES)
     edge = F.lit(False)
     for a, n in zip(AXES, shape, strict=True):
         edge = edge | (F.col(a) == 0) | (F.col(a) == n - 1)
@@ -66,22 +71,35 @@ def fill_holes(mask: DataFrame, shape) -> DataFrame:
     return mask.select(*AXES).unionByName(holes)
 
 
+#: Lines along the side of a group of lines.
+LINES = 16
+
+
 def distance_squared(mask: DataFrame, shape, weights: tuple[float, float, float] = (1, 1, 1), black_border: bool = False) -> DataFrame:
     """(z, y, x, dist2) from each voxel of the mask to the nearest voxel outside it, one axis after the other.
 
-    A pass joins the voxels that share a line and keeps the least d + step * offset^2 of each, with partial minima
-    before the shuffle: the work is the number of voxels times the length of a line.
+    A pass groups neighbouring lines, bounded by LINES and the length of the axis, and takes the least
+    d + step * offset^2 along each: one shuffle of the voxels an axis, and no join.
     """
     full = grid(mask.sparkSession, shape).join(mask.select(*AXES).withColumn("_in", F.lit(True)), list(AXES), "left")
     rows = full.select(*AXES, F.when(F.col("_in"), F.lit(float(FAR))).otherwise(F.lit(0.0)).alias("d"))
     for k, axis in enumerate(AXES):
         others = [a for a in AXES if a != axis]
-        step, n = float(weights[k]) ** 2, shape[k]
-        there = rows.select(*others, F.col(axis).alias("_at"), "d")
-        offset = F.col(axis) - F.col("_at")
-        least = rows.select(*AXES).join(there, others).groupBy(*AXES).agg(F.min(F.col("d") + offset * offset * F.lit(step)).alias("d"))
-        if black_border:
-            edge = F.least(F.col(axis) + 1, F.lit(n) - F.col(axis))
-            least = least.withColumn("d", F.least("d", edge * edge * F.lit(step)))
-        rows = materialise(least, "distance")
+        rows = rows.groupBy(*(F.expr(f"{a} div {LINES}") for a in others)).applyInPandas(line_pass(axis, others, shape[k], float(weights[k]) ** 2, black_border), "z long, y long, x long, d double")
     return rows.where("d > 0").select(*AXES, F.col("d").alias("dist2"))
+
+
+def line_pass(axis: str, others: list[str], n: int, step: float, black_border: bool):
+    """Least distances along whole lines of ``axis``."""
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values([*others, axis], ignore_index=True)
+        lines = frame["d"].to_numpy().reshape(-1, n).T
+        at = np.arange(n)
+        edge = np.minimum(at + 1, n - at).astype(float)
+        least = np.repeat((edge * edge * step)[:, None], lines.shape[1], axis=1) if black_border else np.full(lines.shape, np.inf)
+        for j in range(n):
+            np.minimum(least, lines[j] + (step * (at - j) ** 2)[:, None], out=least)
+        return frame[list(AXES)].assign(d=least.T.ravel())
+
+    return run

@@ -1,7 +1,7 @@
 """Seeded watershed and the decoding chains built on it.
 
-Flooding is sequential, but voxels of different foreground components never meet: each component is one group. Ties
-are flooded in order of (height, arrival).
+Flooding is sequential, but voxels of different foreground components never meet: each component is one group, so the
+largest component must fit into one task (about 200 bytes a voxel). Ties are flooded in order of (height, arrival).
 """
 
 from __future__ import annotations
@@ -12,10 +12,16 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from voxelframe.storage import materialise
+
 from . import grid_graph, instances, morphology
 from .volume import AXES
 
 
+#: Voxels that a group of components holds on average.
+GROUP_VOXELS = 100_000
+
+
 def flood(frame: pd.DataFrame) -> dict[tuple[int, int, int], int]:
     """Labels of the voxels (z, y, x, height, seed) reached from the seeds, lowest height first."""
     height = {(z, y, x): h for z, y, x, h in zip(frame["z"], frame["y"], frame["x"], frame["height"], strict=True)}
@@ -42,7 +48,10 @@ def flood(frame: pd.DataFrame) -> dict[tuple[int, int, int], int]:
 def watershed(mask: DataFrame, heights: DataFrame, seeds: DataFrame, shape) -> DataFrame:
     """(z, y, x, label) of mask voxels reached by the seeds (z, y, x, label) over the heights (z, y, x, height)."""
     fg = mask.select(*AXES, morphology._lin(shape))
-    parts = grid_graph.mask_components(fg).join(fg, "lin").select("component", *AXES)
+    parts = grid_graph.components_of(fg, grid_graph.FACES).select("component", *AXES)
+    # Small components share a group: floods that never meet do not change each other's order.
+    groups = max(int(mask.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-parts.count() // GROUP_VOXELS))
+    parts = parts.withColumn("component", F.pmod(F.xxhash64("component"), F.lit(groups)))
     rows = parts.join(heights.select(*AXES, "height"), list(AXES)).join(seeds.select(*AXES, F.col("label").alias("seed")), list(AXES), "left")
     rows = rows.withColumn("seed", F.coalesce("seed", F.lit(0)).cast("long"))
 
@@ -81,22 +90,27 @@ def light_decode(voxels: DataFrame, shape, foreground: float, seed: float, min_s
     return keep_large(watershed(mask, _heights(mask, shape), seeds, shape), min_size)
 
 
-def two_stage_decode(voxels: DataFrame, shape, foreground: float, seed: float, min_size: int = 1) -> DataFrame:
-    """Seeds grow in the dilated skeleton first, are clipped to the foreground, grow again, and what touches is one."""
-    core = voxels.where(F.col("val") > F.lit(seed).cast("float")).select(*AXES)
-    filled = morphology.fill_holes(core, shape)
-    seeds = _seeds(filled, shape, grid_graph.FACES)
-    wide = morphology.dilate(filled, shape, 3)
-    first = watershed(wide, _heights(wide, shape), seeds, shape)
+def two_stage_decode(voxels: DataFrame, shape, foreground: float, seed: float, min_size: int = 1, skeleton: str = "val") -> DataFrame:
+    """Seeds grow in the dilated skeleton first, are clipped to the foreground, grow again, and what touches is one.
+
+    The column ``skeleton`` gives the seeds and ``val`` the foreground; both masks have their holes filled and are
+    opened. Without a seed in the foreground nothing is labelled.
+    """
+    core = voxels.where(F.col(skeleton) > F.lit(seed).cast("float")).select(*AXES)
+    core = materialise(morphology.opened(morphology.fill_holes(core, shape), shape), "decode-core")
+    wide = materialise(morphology.dilate(core, shape, 3), "decode-wide")
+    first = watershed(wide, _heights(wide, shape), _seeds(core, shape, grid_graph.FACES), shape)
     mask = morphology.fill_holes(voxels.where(F.col("val") > F.lit(foreground).cast("float")).select(*AXES), shape)
-    clipped = first.join(mask, list(AXES), "left_semi")
+    mask = materialise(morphology.opened(mask, shape), "decode-mask")
+    clipped = materialise(first.join(mask, list(AXES), "left_semi"), "decode-clipped")
     second = keep_large(watershed(mask, _heights(mask, shape), clipped, shape), min_size)
-    return _seeds(second, shape, grid_graph.FACES)
+    return _seeds(materialise(second, "decode-second"), shape, grid_graph.FACES)
 
 
-def refine(mask: DataFrame, coarse: DataFrame, shape, min_size: int = 200, grow: int = 2) -> DataFrame:
-    """Binary mask refined by coarse instances: small ones go, seeds grow, flood the mask, small go, ids 1..N."""
-    seeds = morphology.grey_dilate(keep_large(coarse, min_size), shape, grow).join(mask.select(*AXES), list(AXES), "left_semi")
+def refine(mask: DataFrame, coarse: DataFrame, shape, min_size: int = 200, grow: int = 1, min_seed: int = 50) -> DataFrame:
+    """Binary mask refined by coarse instances: those under ``min_seed`` go, seeds grow, flood the mask, regions under
+    ``min_size`` go, ids 1..N."""
+    seeds = morphology.grey_dilate(keep_large(coarse, min_seed), shape, grow).join(mask.select(*AXES), list(AXES), "left_semi")
     found = keep_large(watershed(mask, _heights(mask, shape), seeds, shape), min_size)
     ids = instances.relabel_dense(instances.sizes(found))
     return instances.apply_map(found, ids).select(*AXES, F.col("new_label").alias("label"))

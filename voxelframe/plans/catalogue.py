@@ -13,6 +13,7 @@ from voxelframe.operators.sweep import best_thresholds, sweep_thresholds
 from voxelframe.plans import fixtures as fx
 from voxelframe.plans import report
 from voxelframe.sources import pairing
+from voxelframe.storage import materialise
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -34,7 +35,8 @@ def r(*names: str):
 
 
 def table(spark, sf):
-    return metrics.contingency(metrics.exclude_unlabelled(fx.label_pair(spark, sf)))
+    """The contingency table, written once: every score reads it several times."""
+    return materialise(metrics.contingency(metrics.exclude_unlabelled(fx.label_pair(spark, sf))), "contingency")
 
 
 # --- label pairs -------------------------------------------------------------------------------------------------
@@ -347,8 +349,8 @@ TILES = f"{axis_sql('z', fx.SHAPE)}, {axis_sql('y', '20')}, {axis_sql('x', '64')
 @query("with o as (select unnest([5, 8, 20, 64, 70]) as big), "
        "r as (select big, cast(unnest(range(0, greatest(big - 7, 1), 8)) as bigint) as start from o union select big, cast(greatest(big - 8, 0) as bigint) from o) select cast(big as bigint) as big, start from r")
 def axis_offsets(spark, sf):
-    rows = [(n, o) for n in (5, 8, 20, 64, 70) for o in tiles.axis_offsets(n, 8)]
-    return spark.createDataFrame(rows, "big long, start long")
+    rows = spark.range(1).select(F.explode(F.array(*(F.lit(n).cast("long") for n in (5, 8, 20, 64, 70)))).alias("big"))
+    return rows.select("big", F.explode(tiles.starts(F.col("big"), 8)).alias("start"))
 
 
 @query(f"with {TILES} select z0, y0, x0 from tile")
@@ -403,6 +405,19 @@ def connected_components_6(spark, sf):
     return grid_graph.affinity_components(fx.voxel(spark, sf), 0.1)
 
 
+HARD = f"""{fx.VOXEL}, hv as (select z, y, x, lin, val > cast(0.1 as float) as az, val < cast(-0.15 as float) as ay, abs(val) > cast(0.2 as float) as ax from voxel)"""
+
+
+@query(f"""with recursive {HARD}, n as (select lin as a, lin + 1280 as b from hv where az and z < {fx.SHAPE} - 1 union all select lin, lin + 64 from hv where ay and y < 19 union all select lin, lin + 1 from hv where ax and x < 63),
+e as (select a, b from n union select b, a from n), v as (select lin from hv where az or ay or ax union select b from n),
+walk as (select lin, lin as comp from v union select e.b, walk.comp from walk join e on e.a = walk.lin where walk.comp < e.b),
+root as (select lin, min(comp) as root from walk group by 1) select lin, dense_rank() over (order by root) as component from root""")
+def hard_affinity_components(spark, sf):
+    v = F.col("val")
+    rows = fx.voxel(spark, sf).select("z", "y", "x", "lin", (v > F.lit(0.1).cast("float")).alias("az"), (v < F.lit(-0.15).cast("float")).alias("ay"), (F.abs(v) > F.lit(0.2).cast("float")).alias("ax"))
+    return grid_graph.hard_affinity_components(rows)
+
+
 @query(component_sql(grid_graph.FACES, True, "select lin, component from c"))
 def mask_components_6(spark, sf):
     return grid_graph.mask_components(foreground(spark, sf))
@@ -495,7 +510,7 @@ def seeded_watershed(spark, sf):
 
 @query()
 def two_stage_decode(spark, sf):
-    return labelled(watershed.two_stage_decode(fx.voxel(spark, sf), fx.shape(spark, sf), 0.1, 0.3, 2))
+    return labelled(watershed.two_stage_decode(fx.voxel(spark, sf), fx.shape(spark, sf), -0.1, 0.0, 2))
 
 
 @query()
@@ -507,7 +522,7 @@ def sdt_decode(spark, sf):
 def refine_instances(spark, sf):
     rows = fx.voxel_label(spark, sf)
     mask = rows.where(F.col("val") > F.lit(0.1).cast("float"))
-    return labelled(watershed.refine(mask, rows.where("label > 4").select("z", "y", "x", "label"), fx.shape(spark, sf), 5, 1))
+    return labelled(watershed.refine(mask, rows.where("label > 4").select("z", "y", "x", "label"), fx.shape(spark, sf), 5, 1, 5))
 
 
 # --- skeletons ---------------------------------------------------------------------------------------------------
