@@ -63,6 +63,38 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digests(media.media_index(stored))
 
 
+#: Words of a text by the white space of all rules.
+WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+
+def quality_sql() -> str:
+    """The counts by unnested words, windows and lines; the threshold table as conditions."""
+    stops = ", ".join(f"'{w}'" for w in quality.STOP_WORDS)
+    counted = lambda marks: f"length(t) - length(translate(t, '{marks}', ''))"
+    rules = []
+    for _, ratio, least, most in quality.THRESHOLDS:
+        top, _, bottom = ratio.partition(" / ")
+        value = f"({top}) / nullif({bottom}, 0)" if bottom else ratio
+        rules += [f"coalesce({value} {sign} {bound}, false)" for sign, bound in ((">=", least), ("<=", most)) if bound is not None]
+    return f"""
+with docs as (select row_number() over () as r, doc_id, coalesce(text, '') as t, {WORDS} as w, string_split(coalesce(text, ''), chr(10)) as l from documents),
+words as (select r, i, w[i] as x from docs, range(1, len(w) + 1) q(i)),
+windows as (select r, i, list_aggregate(w[i:i + 7], 'string_agg', ' ') as x from docs, range(1, len(w) - 6) q(i)),
+again as (select r, i from windows qualify count(*) over (partition by r, x) > 1),
+covered as (select r, count(distinct i + k) as n from again, range(8) q(k) group by r),
+lines as (select r, x from (select r, unnest(l) as x from docs) where regexp_matches(x, '[^\x20\x09-\x0D]')),
+lined as (select r, count(*) as n, count(*) - count(distinct x) as d from lines group by r),
+worded as (select r, sum(length(x)) as chars, count(*) filter (where x = before) as stutter, count(*) filter (where lower(x) in ({stops})) as stops
+    from (select r, x, lag(x) over (partition by r order by i) as before from words) group by r),
+counts as (select doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(chars, 0) as bigint) as word_chars, cast({counted('#*$%&|<>')} as bigint) as n_symbols,
+    cast({counted('!?')} as bigint) as n_marks, cast(length(regexp_replace(t, '[^\p{{L}}]+', '', 'g')) as bigint) as n_letters, cast(coalesce(lined.n, 0) as bigint) as n_lines,
+    cast(coalesce(d, 0) as bigint) as n_dup_lines, cast(coalesce(covered.n, 0) as bigint) as n_repeat_words, cast(coalesce(stutter, 0) as bigint) as n_stutter,
+    cast(coalesce(stops, 0) as bigint) as n_stop_words
+    from docs left join lined using (r) left join covered using (r) left join worded using (r)),
+based as (select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed from counts)
+select *, not base_failed and {' and '.join(rules)} as kept from based"""
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -97,5 +129,30 @@ with lines as (
 select doc_id, cast(count(*) as bigint) as n_lines, cast(count(*) filter (where gone) as bigint) as n_dropped,
     sha256(coalesce(string_agg(line, chr(10) order by i) filter (where not gone), '')) as kept_sha256
 from marked group by doc_id
+""",
+    # Base 32 of the digest: of 160 bits, five at a time from two hexadecimal digits on.
+    "op5_warc": r"""
+with p as (select page_id, encode(coalesce(html, '')) as data from pages),
+d as (select page_id, octet_length(data) as n, sha1(data) || '00' as h from p),
+b as (select page_id, n, array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    1 + (((strpos('0123456789abcdef', substr(h, 1 + (5 * i) // 4, 1)) - 1) * 16 + strpos('0123456789abcdef', substr(h, 2 + (5 * i) // 4, 1)) - 1)
+    >> (3 - (5 * i) % 4)) % 32, 1) for i in range(32)], '') as digest from d),
+f as (select *, min(page_id) over (partition by digest) as first from b)
+select page_id, cast(n as bigint) as payload_bytes, digest as payload_digest,
+    case when page_id > first then 'revisit' else 'response' end as record_type, case when page_id > first then first end as refers_to from f
+""",
+    "op6_quality_rules": quality_sql(),
+    "op8_ngram_jaccard_join": r"""
+with recursive w as (
+    select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents
+), s as (
+    select distinct doc_id, array_to_string(w[i:i + 3], ' ') as x from w, range(1, greatest(2, len(w) - 2)) q(i) where len(w) > 0
+), n as (select doc_id, count(*) as n from s group by doc_id),
+c as (select a.doc_id as a, b.doc_id as b, count(*) as shared from s a join s b on a.x = b.x and a.doc_id < b.doc_id group by 1, 2),
+e as (select a, b from c join n x on a = x.doc_id join n y on b = y.doc_id where 100 * shared >= 85 * (x.n + y.n - shared)),
+g as (select a, b from e union all select b, a from e),
+walk as (select doc_id as a, doc_id as low from documents union select g.b, walk.low from walk join g on g.a = walk.a where walk.low < g.b)
+select documents.doc_id, cast(coalesce(n.n, 0) as bigint) as n_shingles, low as component_id
+from documents left join n on n.doc_id = documents.doc_id join (select a, min(low) as low from walk group by a) m on m.a = documents.doc_id
 """,
 }
