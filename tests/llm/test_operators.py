@@ -701,6 +701,28 @@ def test_pii_regions_like_whole_decoding():
         assert pii.added_spans(text, [], field) == pii.decode(text, words, pii.long_chains(text), field), text
 
 
+def test_pii_recall_on_the_corpus():
+    """Spans against the personal data and secrets that plain forms find in the test documents."""
+    import glob
+
+    import pyarrow.parquet as pq
+
+    files = glob.glob("/root/testdata/sf0.01/documents.parquet")
+    if not files:
+        pytest.skip("no test tables")
+    field, found, every = pii.trained(), 0, 0
+    form = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+|(?<=token = \")[0-9a-f]{20,}|(?<=TOKEN = \")[0-9A-F]{20,}|\+[0-9]{1,2} \([0-9]{3}\) [0-9]{3}-[0-9]{4}|(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?![\d.])")
+    for text in pq.read_table(files[0], columns=["text"]).column(0).to_pylist():
+        if not text:
+            continue
+        base = pii.base_spans(text)
+        spans = base + pii.added_spans(text, base, field)
+        for m in form.finditer(text):
+            every += 1
+            found += any(a < m.end() and m.start() < b for _, a, b in spans)
+    assert every > 30 and found >= 0.9 * every, (found, every)
+
+
 # --- pipeline ----------------------------------------------------------------------------------------------------
 
 
@@ -719,3 +741,45 @@ def test_pipeline_stages_handle_odd_rows(spark, docs, none, tmp_path):
             now = after
         assert "sequence_id" in now.columns
         now.count()
+
+
+def test_pipeline_like_brute_force(spark, tmp_path):
+    """run() on a small corpus against each stage's rule, applied in plain Python to what the stage before kept."""
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline
+
+    rng = np.random.default_rng(3)
+    words = {"en": [f"the{c}" for c in "abcdefghijklmnop"], "de": [f"und{c}ung" for c in "abcdefghijklmnop"]}
+    repeated = "This very line is repeated in a number of documents of the corpus."
+    rows, labels = [], []
+    for i in range(160):
+        lang = "en" if i % 2 else "de"
+        text = " ".join(rng.choice(words[lang], rng.integers(60, 120)))
+        bad = i % 8 == 5
+        if bad:
+            text += " vile scumbag vile scumbag"
+        if i % 10 == 0:
+            text += "\n" + repeated
+        rows.append((i, text, lang, "s", len(text)))
+        labels.append((i, 1, int(bad)))
+    rows += [(500 + k, rows[k][1], rows[k][2], "s", rows[k][4]) for k in range(1, 20, 6)]
+    rows += [(600, "12 34 !!", "en", "s", 8), (601, None, None, None, None), (602, repeated, "en", "s", len(repeated))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    found = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    kept = {i: t for i, t, *_ in rows if t and re.search(r"[^\W\d_]", t)}
+    lines = brute_lines(sorted(kept.items()))
+    kept = {i: "\n".join(x) for i, x in lines.items() if "\n".join(x).strip() or not kept[i].strip()}
+    groups = brute_components(sorted(kept.items()))
+    kept = {i: t for i, t in kept.items() if groups[i][1] == i}
+    kept = {i: t for i, t in kept.items() if "scumbag" not in t}
+    tokenizer = Tokenizer.from_file(packing.default_tokenizer())
+    want = {i: [*tokenizer.encode(t, add_special_tokens=False).ids, 1] for i, t in kept.items()}
+    assert {(r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in found} == {(i, 0, 0, len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for i, x in want.items()}
+    fill = defaultdict(int)
+    for r in sorted(found, key=lambda r: r.offset):
+        assert r.offset == fill[r.sequence_id]
+        fill[r.sequence_id] += r.length
+    assert len(fill) == packing.lower_bound([len(x) for x in want.values()], 4096)
