@@ -308,12 +308,7 @@ def test_ngram_join_odd_rows(docs, none):
     assert 2 not in {r.doc_id for r in ngram_join.one_of_each(docs).collect()}
 
 
-@pytest.mark.parametrize("hot", [False, True])
-def test_ngram_join_repeated_ids(spark, monkeypatch, hot):
-    if hot:
-        # Every token that two sampled sets hold counts as one of very many sets.
-        for name, value in (("SAMPLE", 1), ("SEEN", 2)):
-            monkeypatch.setattr(ngram_join, name, value)
+def test_ngram_join_repeated_ids(spark):
     a, b = (" ".join(f"{x}{k}" for k in range(60)) for x in "ab")
     near = " ".join([*a.split()[:-2], "other", "words"])
     rows = [(5, a), (1, a), (5, b), (9, b), (5, a), (20, near), (21, "quite another text of its own"), (21, "quite another text of its own"), (22, None), (22, a + " x")]

@@ -44,8 +44,6 @@ PERCENT, WORDS = 85, 4
 #: Survivors up to this many are sent to every task as ids (8 bytes each); beyond, texts are joined by doc_id.
 BROADCAST_IDS = 1_000_000
 STAR_ROUNDS = 3
-#: One of this many sets is looked at for tokens of very many sets: those seen this often, at most so many tokens.
-SAMPLE, SEEN, HOT = 64, 64, 100_000
 #: Bits of a set's parity bitmap, in longs.
 LONGS = 8
 MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
@@ -174,22 +172,15 @@ def prefixes(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n, the prefixes a and b under orders 2 and 3, and how common the set's tokens are; sets without shared
     prefix tokens go."""
     rows = sets.select("doc_id", "n", F.explode("tokens").alias("token"))
-    some = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(SAMPLE)) == 0).groupBy("token").agg(F.count("*").alias("seen"))
-    hot = materialise(some.where(F.col("seen") >= SEEN).orderBy(F.desc("seen"), "token").limit(HOT).select("token"), "ngram-hot")
-    counted = Window.partitionBy("token")
-    if hot.isEmpty():
-        rows = rows.withColumn("holders", F.count("*").over(counted))
-    else:
-        # Tokens of very many sets, at most HOT, are counted in each task first and their counts sent to every task, so
-        # their rows never meet; the sample only says which, the counts are exact.
-        exact = rows.join(F.broadcast(hot), "token", "left_semi").groupBy("token").agg(F.count("*").alias("holders"))
-        told = rows.join(F.broadcast(materialise(exact, "ngram-hot")), "token", "left")
-        cold = told.where("holders is null").drop("holders").withColumn("holders", F.count("*").over(counted))
-        rows = cold.unionByName(told.where("holders is not null"))
-    rows = rows.where("holders > 1")
-    order_a = F.struct("holders", F.xxhash64("token", F.lit(2)).alias("h"), "token")
-    order_b = F.struct(F.floor(F.log2("holders")).alias("holders"), F.xxhash64("token", F.lit(3)).alias("h"), "token")
-    by = rows.groupBy("doc_id", "n").agg(F.sort_array(F.collect_list(order_a)).alias("a"), F.sort_array(F.collect_list(order_b)).alias("b"), (F.sum("holders") / F.first("n")).alias("common"))
+    # Counted in each task first and joined back, so the rows of a token of very many sets can be split over tasks.
+    counts = rows.groupBy("token").agg(F.count("*").alias("holders")).where("holders > 1")
+    held = rows.join(counts, "token").groupBy("doc_id", "n").agg(F.collect_list(F.struct("holders", "token")).alias("held"))
+
+    def order(rank, seed: int) -> Column:
+        return F.sort_array(F.transform("held", lambda x: F.struct(rank(x["holders"]).alias("rank"), F.xxhash64(x["token"], F.lit(seed)).alias("h"), x["token"].alias("token"))))
+
+    common = F.aggregate("held", F.lit(0).cast("long"), lambda total, x: total + x["holders"]) / F.col("n")
+    by = held.select("doc_id", "n", order(lambda c: c, 2).alias("a"), order(lambda c: F.floor(F.log2(c)), 3).alias("b"), common.alias("common"))
     # Tokens that no other set holds come first in both orders and fill the prefix without being kept.
     take = F.expr(f"(n * {100 - percent}) div 100 + 1") - (F.col("n") - F.size("a"))
     by = by.where(take > 0)
