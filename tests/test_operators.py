@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from voxelframe.functions.config import DataSettings, DecodeSettings
-from voxelframe.operators import affinity, assignment, components, grid_graph, instances, metrics, morphology, points, skeleton, splits, tiles, volume, watershed
+from voxelframe.operators import affinity, assignment, components, datasets, grid_graph, instances, metrics, morphology, points, skeleton, splits, tiles, volume, watershed
 from voxelframe.sources import pairing, volumes
 
 
@@ -213,6 +213,33 @@ def test_settings():
         DecodeSettings().update(nothing=1)
 
 
+def test_dataset_draws(spark):
+    # Starts are inclusive at both ends; a negative quotient rounds down.
+    assert datasets.draw_range(100, 9, 3, 4) == (3 + max(-9 // 4, -3), 100 - 9 - 3 + min(3, 9 // 4))
+    with pytest.raises(ValueError):
+        datasets.patch_starts(spark.range(1).withColumnRenamed("id", "draw"), (4, 4, 4), 9)
+    draws = spark.range(2000).withColumnRenamed("id", "draw")
+    found = datasets.choose_weighted(draws, [1, 0, 3], 1).groupBy("dataset").count().collect()
+    counts = {r["dataset"]: r["count"] for r in found}
+    assert set(counts) == {0, 2} and abs(counts[0] - 500) < 100
+    starts = datasets.patch_starts(draws, (20, 12, 9), 9, seed=2)
+    assert starts.agg(F.min("z0"), F.max("z0"), F.min("y0"), F.max("y0"), F.max("x0")).first() == (0, 11, 0, 3, 0)
+    moments = draws.select(datasets.normal(3, F.col("draw")).alias("n")).agg(F.avg("n"), F.stddev("n")).first()
+    assert abs(moments[0]) < 0.1 and abs(moments[1] - 1) < 0.1
+
+
+def test_voxel_pairs_and_masks(spark):
+    a, b = cube(spark, np.array([[[1, 1, 2]]]), "label"), cube(spark, np.array([[[5, 6, 6]]]), "label").where("x < 2")
+    assert {tuple(r) for r in datasets.pair_voxels(a, b).collect()} == {(1, 5), (1, 6)}
+    nodes = spark.createDataFrame([(1, 0.0, 0.0, 2.9), (2, 0.0, 0.0, 7.0)], "node_id long, z double, y double, x double")
+    assert {r.node_id: r.pred_id for r in datasets.node_labels(nodes, a).collect()} == {1: 2, 2: 0}
+    three, two = cube(spark, np.array([[[0, 1, 5]]]), "val"), cube(spark, np.array([[[0, 5, 5]]]), "val")
+    assert sorted(r.val for r in datasets.binary_mask(three).collect()) == [0, 1, 1]
+    assert [r.val for r in datasets.binary_mask(two).collect()] == [0, 0, 0]
+    cases = spark.createDataFrame([("a", 0.5, None), ("b", 0.0, None), ("c", None, "no file")], "name string, dice double, error string")
+    assert datasets.batch_stats(cases).first()[:4] == (3, 1, 2, 0.25) and datasets.batch_stats(cases, False).first()[:4] == (3, 1, 1, 0.5)
+
+
 def test_entry_imports_without_optional_modules(tmp_path):
     """A copy of the repository without the corpus modules still gives the other queries."""
     import os
