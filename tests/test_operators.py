@@ -11,8 +11,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from voxelframe.functions.config import DataSettings, DecodeSettings
-from voxelframe.operators import affinity, assignment, components, datasets, grid_graph, instances, metrics, morphology, points, skeleton, splits, tiles, volume, watershed
-from voxelframe.sources import pairing, volumes
+from voxelframe.operators import affinity, assignment, batches, components, datasets, grid_graph, instances, metrics, morphology, points, skeleton, splits, tiles, volume, watershed
+from voxelframe.sources import pairing, sinks, volumes
 
 
 def pairs(spark, rows):
@@ -181,6 +181,11 @@ def test_splits_points_and_pairs(spark):
     preds = spark.createDataFrame([("a_RibFrac1.zarr",), ("x_22.zarr",), ("none.zarr",)], "pred string")
     gts = spark.createDataFrame([("RibFrac1-rib.nii.gz",), ("x_22_gt.zarr",)], "gt string")
     assert {r.pred: r.rule for r in pairing.with_priority(preds, gts).collect()} == {"a_RibFrac1.zarr": 1, "x_22.zarr": 3}
+    names = [("pred_liver.zarr",), ("case12.zarr",), ("same.zarr",), ("lone.zarr",)]
+    gts = spark.createDataFrame([("liver.nii.gz",), ("case123.nii.gz",), ("same.nii.gz",), ("ground_truth_same.nii.gz",)], "gt string")
+    found = pairing.with_priority(spark.createDataFrame(names, "pred string"), gts)
+    assert {tuple(r) for r in found.collect()} == {("pred_liver.zarr", "liver.nii.gz", 3), ("case12.zarr", "case123.nii.gz", 3), ("same.zarr", "same.nii.gz", 2)}
+    assert pairing.with_priority(spark.createDataFrame(names, "pred string"), gts.limit(0)).count() == 0
 
 
 def test_volume_readers(spark, tmp_path):
@@ -205,6 +210,81 @@ def test_volume_readers(spark, tmp_path):
         volumes.read_volume(spark, "x.h5")
 
 
+def keyed(spark, volume, vol_id, name="label"):
+    return cube(spark, volume, name, "double" if volume.dtype == float else "long").withColumn("vol_id", F.lit(vol_id))
+
+
+def test_batches_score_each_volume_alone(spark):
+    rng = np.random.default_rng(5)
+    gts = [rng.integers(0, 4, (2, 4, 5)) for _ in range(3)]
+    preds = [rng.integers(0, 4, (2, 4, 5)), np.zeros((2, 4, 5), int)]
+    gt, pred = (keyed(spark, v[0], "v0").unionByName(keyed(spark, v[1], "v1")) for v in (gts, preds))
+    gt = gt.unionByName(keyed(spark, gts[2], "v2"))
+    got = {r.vol_id: r for r in batches.dice(gt, pred).collect()}
+    n, m = [range(1, 4)] * 2
+    score = lambda a, b: 2 * ((gts[0] == a) & (preds[0] == b)).sum() / ((gts[0] == a).sum() + (preds[0] == b).sum())
+    iou = lambda a, b: ((gts[0] == a) & (preds[0] == b)).sum() / ((gts[0] == a) | (preds[0] == b)).sum()
+    best = max(permutations(m), key=lambda p: sum(iou(a, b) for a, b in zip(n, p, strict=True)))
+    assert np.isclose(got["v0"].dice, np.mean([score(a, b) for a, b in zip(n, best, strict=True)]))
+    assert [(got[v].dice, got[v].error, got[v].total_gt_labels) for v in ("v1", "v2")] == [(0.0, "no prediction", 3)] * 2
+    rows = batches.instance_scores(gt, pred, [0.2])
+    alone = metrics.instance_metrics(batches.overlaps(gt, pred).where("vol_id = 'v0'").drop("vol_id"), [0.2]).first()
+    assert rows.where("vol_id = 'v0'").first().f1 == alone.f1 and rows.count() == 3
+    assert batches.dice(gt.limit(0), pred).count() == 0
+
+
+def test_batches_extract_across_no_border(spark):
+    full = np.ones((2, 1, 3))
+    weak = np.array([[[0.4, 0.4, 0.0]], [[0.0, 0.0, 0.0]]])
+    rows = keyed(spark, full, "a", "val").unionByName(keyed(spark, weak, "b", "val")).unionByName(keyed(spark, full, "c", "val"))
+    found = batches.extract(rows, (2, 1, 3), 0.5)
+    assert {(r.vol_id, r.label): r["count"] for r in found.groupBy("vol_id", "label").count().collect()} == {("a", 1): 6, ("b", 1): 2, ("c", 1): 6}
+    assert batches.extract(rows, (2, 1, 3), 0.5, 3).where("vol_id = 'b'").count() == 0
+
+
+def test_clean_chain(spark):
+    labels = np.zeros((5, 5, 9), int)
+    labels[:, :, :4] = 1
+    labels[:, :, 5:] = 2
+    labels[2, 2, 4] = 3
+    rows = cube(spark, labels, "label")
+    assert batches.clean(rows, labels.shape, 2, None).agg(F.count_distinct("label")).first()[0] == 2
+    whole = batches.clean(rows, labels.shape, 2, 1, True)
+    assert whole.agg(F.count("*"), F.max("label")).first() == (100, 1)
+
+
+def test_sinks(spark, tmp_path):
+    rng = np.random.default_rng(6)
+    data = rng.integers(0, 3, (5, 6, 7))
+    rows = cube(spark, data, "val")
+    path = f"file://{tmp_path}/a.zarr"
+    sinks.write_zarr(rows, path, data.shape, kind="<i4", chunks=(2, 4, 4))
+    back = {(r.z, r.y, r.x): r.val for r in volumes.read_volume(spark, path).where("val <> 0").collect()}
+    assert back == {at: float(v) for at, v in np.ndenumerate(data) if v}
+    with pytest.raises(FileExistsError):
+        sinks.write_zarr(rows, path, data.shape)
+    assert sinks.output_suffix("auto", "x/y.nii.gz") == ".nii.gz" and sinks.output_suffix("zarr", "a.h5") == ".zarr"
+    assert sinks.narrowed(rows, "val").schema["val"].dataType.simpleString() == "tinyint"
+    images = [keyed(spark, data, f"s{i}", "val").withColumnRenamed("vol_id", "sample_id") for i in range(3)]
+    images = images[0].unionByName(images[1]).unionByName(images[2])
+    labels = images.withColumnRenamed("val", "label")
+    samples = sinks.converted(images, labels, images.where("x > 0").withColumn("val", F.lit(1)))
+    sinks.write_dataset(samples, f"file://{tmp_path}/out", "d", 0.34, 0.33)
+    read = spark.read.parquet(f"file://{tmp_path}/out/d")
+    assert {r.split for r in read.select("split").distinct().collect()} == {"train", "val", "test"} and read.count() == 3 * data.size
+    assert read.where("x = 0 and label <> -1").count() == 0
+    with pytest.raises(Exception, match="differ in shape"):
+        sinks.write_dataset(sinks.converted(images, labels.where("z < 4")), f"file://{tmp_path}/bad", "d")
+    best = sinks.write_best(spark.createDataFrame([(0.5, 0.9), (0.4, 0.9), (0.1, 0.2)], "thr double, nerl double"), f"file://{tmp_path}/best", lambda t: rows)
+    assert best == 0.4 and spark.read.text(f"file://{tmp_path}/best/best_thr").first()[0] == "0.4"
+    points_of = spark.createDataFrame([("m/a.nii", 1, 0.0), ("m/a.nii", 2, 0.0)], "name string, label long, x double")
+    files = spark.createDataFrame([("m/a.nii", True), ("m/b.nii", False)], "name string, success boolean")
+    sinks.write_clouds(points_of, f"file://{tmp_path}/clouds", files)
+    assert spark.read.option("header", True).csv(f"file://{tmp_path}/clouds/neuron_ids.csv").collect() == [("a", "rib_frac")]
+    assert sinks.cloud_totals(points_of, files).first() == (2, 2, 1, 1)
+    assert [t.count() for t in sinks.empty_skeletons(spark)] == [0, 0]
+
+
 def test_settings():
     assert DataSettings.load({"name": "a", "unknown": 1}).name == "a"
     with pytest.raises(ValueError):

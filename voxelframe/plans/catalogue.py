@@ -636,8 +636,8 @@ def pair_left(spark, sf):
     return pairing.left_with_truth(fx.pred_file(spark, sf), fx.gt_file(spark, sf))
 
 
-@query("""with f as (select 'vol_' || doc_id || '.zarr' as pred, cast(doc_id as varchar) as d from documents), g as (select 'vol_' || doc_id || '_gt.zarr' as gt, cast(doc_id as varchar) as d from labels)
-select pred, gt, cast(3 as bigint) as rule from f join g using (d)""")
+@query("""with f as (select 'vol_' || doc_id as p from documents), g as (select 'vol_' || doc_id || '_gt' as t from labels)
+select p || '.zarr' as pred, min(t || '.zarr') as gt, cast(3 as bigint) as rule from f join g on contains(t, p) or contains(p, t) or contains(p, replace(t, 'gt_', '')) group by 1""")
 def pair_priority(spark, sf):
     preds = fx.read(spark, sf, "documents").select(F.concat(F.lit("vol_"), F.col("doc_id").cast("string"), F.lit(".zarr")).alias("pred"))
     gts = fx.read(spark, sf, "labels").select(F.concat(F.lit("vol_"), F.col("doc_id").cast("string"), F.lit("_gt.zarr")).alias("gt"))

@@ -24,24 +24,46 @@ def stem(name: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(name, r"^.*/", ""), r"(\.nii)?\.[A-Za-z0-9]+$", "")
 
 
-def with_priority(preds: DataFrame, gts: DataFrame, pattern: str = r"RibFrac(\d+)") -> DataFrame:
-    """(pred, gt, rule): the first rule with a hit wins: equal id (1), equal stem (2), a stem inside the other (3).
+#: Marks that names of predictions and truths carry (fixed values).
+PRED_MARKS = ("pred_", "prediction_", "refined_")
+GT_MARKS = ("gt_", "ground_truth_", "-rib-seg")
+
+
+def without_marks(name: Column, marks: tuple[str, ...]) -> Column:
+    for mark in marks:
+        name = F.replace(name, F.lit(mark), F.lit(""))
+    return name
+
 
-    Rule 3 is only tried for predictions the equi-joins leave, and matches on a shared numeric token first, so no
-    rule compares all names with all.
+def contained(inner: DataFrame, outer: DataFrame) -> DataFrame:
+    """(pred, gt) where the name of ``inner`` (i) lies within that of ``outer`` (o).
+
+    An equi-join on whole names: outer names are cut into their substrings of those lengths that inner names have, so a
+    part that all names share joins nothing. Empty names lie within none.
     """
+    inner = inner.where("i <> ''")
+    sizes = [r[0] for r in inner.select(F.length("i").alias("n")).distinct().collect()]  # at most the longest name
+    each = F.explode(F.array(*(F.lit(n) for n in sorted(sizes))).cast("array<int>")).alias("_n")
+    cut = outer.select("*", each).where(F.length("o") >= F.col("_n"))
+    cut = cut.withColumn("i", F.explode(F.expr("transform(sequence(1, length(o) - _n + 1), k -> substring(o, k, _n))"))).drop("o", "_n")
+    return inner.join(cut.distinct(), "i").drop("i")
+
+
+def with_priority(preds: DataFrame, gts: DataFrame, pattern: str = r"RibFrac(\d+)") -> DataFrame:
+    """(pred, gt, rule): the first rule with a hit wins, then the first name: equal id (1), equal stem (2), one stem inside
+    the other, with or without the inner one's marks (3). Rule 3 is only tried for predictions that the others leave."""
     left = preds.select("pred", case_id(F.col("pred"), pattern).alias("id"), stem(F.col("pred")).alias("stem"))
     right = gts.select("gt", case_id(F.col("gt"), pattern).alias("id"), stem(F.col("gt")).alias("stem"))
     one = left.join(right.select("gt", "id"), "id").select("pred", "gt", F.lit(1).alias("rule"))
     two = left.join(right.select("gt", "stem"), "stem").select("pred", "gt", F.lit(2).alias("rule"))
     rest = left.join(one.unionByName(two).select("pred"), "pred", "left_anti")
-    token = lambda c: F.explode(F.array_distinct(F.regexp_extract_all(c, F.lit(r"(\d+)"), F.lit(1))))
-    a = rest.select("pred", "stem", token(F.col("stem")).alias("t"))
-    b = right.select("gt", F.col("stem").alias("other"), token(F.col("stem")).alias("t"))
-    three = a.join(b, "t").where(F.col("other").contains(F.col("stem")) | F.col("stem").contains(F.col("other")))
-    every = one.unionByName(two).unionByName(three.select("pred", "gt", F.lit(3).alias("rule")))
-    order = Window.partitionBy("pred").orderBy("rule", "gt")
-    return every.withColumn("_k", F.row_number().over(order)).where("_k = 1").select("pred", "gt", F.col("rule").cast("long").alias("rule"))
+    names = lambda marks: F.explode(F.array_distinct(F.array("stem", without_marks(F.col("stem"), marks)))).alias("i")
+    ahead = contained(rest.select("pred", names(PRED_MARKS)), right.select("gt", F.col("stem").alias("o")))
+    behind = contained(right.select("gt", names(GT_MARKS)), rest.select("pred", F.col("stem").alias("o")))
+    three = ahead.select("pred", "gt").unionByName(behind.select("pred", "gt")).distinct()
+    every = one.unionByName(two).unionByName(three.withColumn("rule", F.lit(3)))
+    best = every.groupBy("pred").agg(F.min(F.struct("rule", "gt")).alias("b"))
+    return best.select("pred", F.col("b.gt").alias("gt"), F.col("b.rule").cast("long").alias("rule"))
 
 
 def left_with_truth(preds: DataFrame, gts: DataFrame, pattern: str = r"RibFrac(\d+)") -> DataFrame:
