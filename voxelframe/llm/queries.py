@@ -76,7 +76,7 @@ def quality_sql() -> str:
         top, _, bottom = ratio.partition(" / ")
         value = f"({top}) / nullif({bottom}, 0)" if bottom else ratio
         rules += [f"coalesce({value} {sign} {bound}, false)" for sign, bound in ((">=", least), ("<=", most)) if bound is not None]
-    return f"""
+    return rf"""
 with docs as (select row_number() over () as r, doc_id, coalesce(text, '') as t, {WORDS} as w, string_split(coalesce(text, ''), chr(10)) as l from documents),
 words as (select r, i, w[i] as x from docs, range(1, len(w) + 1) q(i)),
 windows as (select r, i, list_aggregate(w[i:i + 7], 'string_agg', ' ') as x from docs, range(1, len(w) - 6) q(i)),
