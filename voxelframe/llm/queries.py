@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_text, language, line_dedup, media, mixing, ngram_join, packing, pii, quality, warc
+from . import hmm, html_text, importance, language, line_dedup, media, mixing, ngram_join, packing, pii, quality, warc, whitening
 from .common import table
 
 
@@ -63,6 +63,20 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digests(media.media_index(stored))
 
 
+def op11_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    corpus = hmm.prepare(table(spark, sf_dir, "documents"))
+    return hmm.score(corpus, hmm.train(corpus))
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings")).withColumn("deviation", F.col("deviation").cast("long"))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 #: Words of a text by the white space of all rules.
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
@@ -108,6 +122,9 @@ QUERIES = {
         op8_ngram_jaccard_join,
         op9_pii,
         op10_media_columns,
+        op11_lm_scoring,
+        op12_embedding_whitening,
+        op13_importance_resampling,
     )
 }
 
