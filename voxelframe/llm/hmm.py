@@ -43,7 +43,7 @@ CHUNK = 4_000_000
 #: Tokens that a task sorts by length and that it holds in floating point at once.
 SORTED, AT_ONCE = 3_000_000, 200_000
 #: Pseudo-counts: an emission row leans on the unigram shares by this many tokens.
-LEAN = 200.0
+LEAN = 5000.0
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 FOLDS, HELD = 7, 2
 

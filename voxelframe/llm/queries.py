@@ -171,5 +171,25 @@ g as (select a, b from e union all select b, a from e),
 walk as (select doc_id as a, doc_id as low from documents union select g.b, walk.low from walk join g on g.a = walk.a where walk.low < g.b)
 select documents.doc_id, cast(coalesce(n.n, 0) as bigint) as n_shingles, low as component_id
 from documents left join n on n.doc_id = documents.doc_id join (select a, min(low) as low from walk group by a) m on m.a = documents.doc_id
+""",
+    # The CRC by a table of 256 remainders, which a recursion makes from the polynomial.
+    "op13_importance_resampling": r"""
+with recursive bits as (select i, i as c, 0 as k from range(256) q(i) union all select i, case when c % 2 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, k + 1 from bits where k < 8),
+crcs as (select list(c order by i) as t from bits where k = 8),
+texts as (select 0 as of, doc_id, coalesce(text, '') as t from documents union all select 1, item_id, coalesce(text, '') from benchmark),
+worded as (select row_number() over () as r, of, doc_id, regexp_extract_all(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from texts),
+runs as (select r, of, unnest(w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) as x from worded),
+features as (select distinct x from runs),
+bytes as (select x, list_transform(range(1, 1 + octet_length(encode(x))), lambda i: strpos('0123456789ABCDEF', hex(encode(x))[2 * i - 1]) * 16 + strpos('0123456789ABCDEF', hex(encode(x))[2 * i]) - 17) as b from features),
+hashed as (select x, xor(list_reduce(list_prepend(4294967295, b), lambda s, c: xor(s >> 8, t[1 + xor(s & 255, c)])), 4294967295) % 10000 as bucket from bytes, crcs),
+counts as (select bucket, count(*) filter (where of = 0) as s, count(*) filter (where of = 1) as t from runs join hashed using (x) group by bucket),
+sums as (select sum(s) as s, sum(t) as t from counts),
+gains as (select bucket, cast(floor(1000 * ln((counts.t + 1) * (sums.s + 10000) / ((counts.s + 1) * (sums.t + 10000)))) as bigint) as gain from counts, sums),
+weighed as (select r, cast(floor(sum(gain) / count(*)) as bigint) as weight, count(*) as n from runs join hashed using (x) join gains using (bucket) where of = 0 group by r),
+scored as (select doc_id, len(w) as n_words, coalesce(n, 0) as n_features, coalesce(weight, 0) as weight, coalesce(weight, 0) + cast(floor(-1000 * ln(-ln((
+    list_reduce(list_transform(range(1, 9), lambda i: strpos('0123456789abcdef', sha256('7:' || doc_id)[i]) - 1), lambda a, b: a * 16 + b) + 0.5) / 4294967296))) as bigint) as score
+    from worded left join weighed using (r) where of = 0),
+placed as (select *, n_words >= 20 as fit, row_number() over (partition by n_words >= 20 order by score desc, doc_id) as place, count(*) over (partition by n_words >= 20) as n_fit from scored)
+select doc_id, cast(n_features as bigint) as n_features, weight, score, case when fit and place <= 25 * n_fit // 100 then place end as rank from placed
 """,
 }
