@@ -4,7 +4,7 @@ Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kep
 and read again. All but the last return the columns of ``documents``.
 
 Defined cases: a null text has no letters and goes in the first stage; rows without doc_id hold no repeated lines, link
-with nothing and keep rate 1, so they stay; repeated rows of a doc_id share one fate in every stage; ties go to the
+with nothing and stay once in the fourth stage; repeated rows of a doc_id share one fate in every stage; ties go to the
 smallest doc_id in the third stage and to the largest in the second; an empty table gives no piece; extra columns, and
 columns named like those that the stages use, stay as they are.
 """
@@ -18,9 +18,9 @@ from voxelframe.llm import language, line_dedup, mixing, ngram_join, packing
 from voxelframe.llm.common import table, unused
 from voxelframe.storage import materialise
 
-#: The mixture, in multiples of what the documents that are not toxic hold: all of it, with the toxic mass that soft
-#: membership gives to them.
-MIX = {"good": 1.0, "poor": 1.0, "toxic": 1.0}
+#: The mixture, in multiples of the expected domain tokens: good and poor text as it is, a tenth of the toxic text. Clean
+#: documents hold about that much toxic mass by their soft membership, so toxic ones come out at rates near zero.
+MIX = {"good": 1.0, "poor": 1.0, "toxic": 0.1}
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,8 +43,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as their fitted rates say: toxic ones, whose rates fall to about zero, go, the others stay."""
-    return mixing.apply_rates(docs, mixing.mix(docs, table(spark, sf_dir, "labels"), MIX, away="toxic"))
+    """Documents as often as their fitted rates say: most toxic ones go, clean ones stay once but for a few hundredths."""
+    return mixing.apply_rates(docs, mixing.mix(docs, table(spark, sf_dir, "labels"), MIX))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -40,6 +40,8 @@ BLOCKS = frozenset(
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title iframe xmp".split())
+#: Raw elements that go on to the end of the page where they have no end tag; such a tag of the others is passed over.
+TO_THE_END = frozenset("script style".split())
 #: Elements of which only those with an end tag are opened.
 PAIRED = frozenset("noscript template svg math object".split())
 #: Elements that an opening tag of the same set ends.
@@ -49,9 +51,9 @@ REST = re.compile(r"""[^>"']*+(?:"[^"]*+"[^>"']*+|'[^']*+'[^>"']*+)*+>""")
 MARK = re.compile(r"""\b(class|id|role|hidden|style|aria-label)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+))?""", re.I)
 TOKEN = re.compile(r"[a-z]+")
 COMMENT = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))", re.S)
-#: Tags of paired elements (the last two groups), and what may hold such tags as plain text.
+#: Tags of paired elements (the last two groups), and what may hold such tags as plain text: comments, raw elements.
 PAIRS = re.compile(
-    rf"{COMMENT.pattern}|<(script|style|textarea|title|iframe|xmp)(?=[\s/>])[^>]*>(?:(?<=/>)|.*?(?:</\1\b|\Z))"
+    rf"{COMMENT.pattern}|<({'|'.join(sorted(RAW))})(?=[\s/>])[^>]*>"
     rf"|<(/?)({'|'.join(sorted(PAIRED))})(?=[\s/>])(?:{REST.pattern})?",
     re.I | re.S,
 )
@@ -125,11 +127,29 @@ class Open:
         return Block(text, self.sums[-1] + sum(self.weights.get(f, 0.0) for f in leaf), (), linked)
 
 
+class EndTags:
+    """End tags of raw elements, asked for at rising places: a name of which none is left is not searched again."""
+
+    def __init__(self, page: str):
+        self.page, self.none = page, set()
+
+    def next(self, name: str, at: int) -> re.Match | None:
+        found = None if name in self.none else re.compile(rf"</{re.escape(name)}\b[^>]*>?", re.I).search(self.page, at)
+        if not found:
+            self.none.add(name)
+        return found
+
+
 def paired(page: str, at: int) -> dict[int, int]:
     """Start of the tag and end of the end tag of every paired element from ``at`` on that has an end tag."""
     opened: dict[str, list[int]] = {}
-    ends = {}
-    for m in PAIRS.finditer(page, at):
+    ends, end_tags = {}, EndTags(page)
+    while m := PAIRS.search(page, at):
+        at = max(m.end(), at + 1)
+        if m.group(1) and not m.group().endswith("/>"):
+            name = m.group(1).lower()
+            close = end_tags.next(name, at)
+            at = close.end() if close else len(page) if name in TO_THE_END else at
         if not m.group(3):
             continue
         mine = opened.setdefault(m.group(3).lower(), [])
@@ -164,7 +184,7 @@ def blocks(page: str, weights: dict[str, float] | None = None) -> list[Block]:
             if opened.last("a") >= 0:
                 linked += len(text.strip())
 
-    at, n = 0, len(page)
+    at, n, end_tags = 0, len(page), EndTags(page)
     pairs: dict[int, int] | None = None
     while at < n:
         lt = page.find("<", at)
@@ -213,8 +233,13 @@ def blocks(page: str, weights: dict[str, float] | None = None) -> list[Block]:
         if name in RAW:
             foreign = opened.last("svg") >= 0 or opened.last("math") >= 0
             if not alone or not foreign and name in ("script", "style", "textarea", "title"):
-                close = re.compile(rf"</{re.escape(name)}\b[^>]*>?", re.I).search(page, at)
-                at = close.end() if close else n
+                close = end_tags.next(name, at)
+                if close and name == "xmp":
+                    # Shown as it stands: neither tags nor references are read in it.
+                    flush()
+                    add(page[at : close.start()].replace("&", "&amp;"))
+                    flush()
+                at = close.end() if close else n if name in TO_THE_END else at
             continue
         if name in PAIRED and not alone:
             if pairs is None:

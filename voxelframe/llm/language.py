@@ -213,8 +213,9 @@ def train(docs: DataFrame, train_docs: int = 400, train_lines: int = 600, train_
     """
     usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
     usable = usable.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    ids = usable.select("doc_id", "lang", F.xxhash64("doc_id").alias("order"))
-    ids = least_by(ids, train_docs, ["order", "doc_id"]).select("doc_id", "lang").distinct()
+    # Repeated rows of a doc_id are one document of the sample.
+    ids = usable.select("doc_id", "lang", F.xxhash64("doc_id").alias("order")).distinct()
+    ids = least_by(ids, train_docs, ["order", "doc_id"]).select("doc_id", "lang")
     # At most train_docs rows a language: small enough for every task.
     chosen = usable.join(F.broadcast(ids), ["doc_id", "lang"], "left_semi")
     lines = chosen.select("doc_id", "lang", F.posexplode(F.split("text", "\n", -1)).alias("line", "text"))

@@ -9,8 +9,9 @@ nothing else is kept. Each iteration tries a few step lengths at once, so the sq
 Defined cases: a null or empty text has no tokens and keeps rate 1; a null doc_id is kept; labels of absent documents
 and null labels are not used; repeated label rows count once (the largest values); without labelled rows every
 posterior is even; repeated documents get equal rates; an empty table gives no row; other columns pass through
-``apply_rates``. Targets that are not met, because no rates can or the iterations end, are told by a warning with the
-totals that are reached.
+``apply_rates``. Targets that are not met, because no rates can or the iterations end, are told by the column ``met``
+and by a warning with the totals that are reached. In the metric of the second moments the first step often meets them:
+with no rate at its bound the problem is a linear one; more steps are for rates that the bound stops.
 """
 
 from __future__ import annotations
@@ -144,8 +145,8 @@ def posteriors(docs: DataFrame, classifier: Classifier) -> DataFrame:
 Steps = list[tuple[np.ndarray, np.ndarray]]
 
 
-def rate(steps: Steps, held: Column | None = None) -> Column:
-    """The rate after the projected steps, from 1; ``held`` documents keep 1.
+def rate(steps: Steps) -> Column:
+    """The rate after the projected steps, from 1; documents without tokens keep 1.
 
     A step is the gradient by domain, g, and the move, s: a rate becomes max(0, rate - posterior . s), but one at zero
     whose gradient keeps it there stays.
@@ -156,8 +157,7 @@ def rate(steps: Steps, held: Column | None = None) -> Column:
         pairs = ", ".join(f"struct({told(g)} as g, {told(s)} as s)" for g, s in steps)
         dot = lambda v: " + ".join(f"p_{d} * x.{v}[{j}]" for j, d in enumerate(DOMAINS))
         moved = F.expr(f"aggregate(array({pairs}), 1.0D, (w, x) -> if(w <= 0 and {dot('g')} >= 0, 0.0D, greatest(0.0D, w - ({dot('s')}))))")
-    free = F.col("n_tokens") > 0
-    return F.when(free if held is None else free & ~held, moved).otherwise(F.lit(1.0))
+    return F.when(F.col("n_tokens") > 0, moved).otherwise(F.lit(1.0))
 
 
 @dataclass
@@ -171,15 +171,15 @@ class Fit:
 
 
 def fit_rates(
-    members: DataFrame, weights: dict[str, float], total: float | None = None, iterations: int = 25, tolerance: float = 1e-4, held: Column | None = None
+    members: DataFrame, weights: dict[str, float], total: float | None = None, iterations: int = 25, tolerance: float = 1e-4
 ) -> Fit:
     """Fit the rates by projected gradients.
 
     ``weights`` are multiples of the domains' expected totals; with ``total`` their tokens are scaled to that sum. A
     step is the projected gradient, plain or in the metric of the second moments of the documents that are free to move;
     of several lengths the one that leaves the least distance is taken, and the plain step always brings it nearer.
-    With ``held``, those documents keep rate 1 and the totals are those that they hold. The fit ends when every total is
-    within ``tolerance`` of its target, when no step brings it nearer, or after ``iterations``.
+    The fit ends when every total is within ``tolerance`` of its target, when no step brings it nearer, or after
+    ``iterations``.
     """
     members = members.where("n_tokens > 0")
     k = len(DOMAINS)
@@ -189,25 +189,23 @@ def fit_rates(
         return [x or 0.0 for x in rows.agg(*(c.alias(f"s{i}") for i, c in enumerate(sums))).first()]
 
     def totals_of(tried: list[Steps]) -> np.ndarray:
-        rates = members.select("n_tokens", *p, *(rate(steps, held).alias(f"w{c}") for c, steps in enumerate(tried)))
+        rates = members.select("n_tokens", *p, *(rate(steps).alias(f"w{c}") for c, steps in enumerate(tried)))
         return np.array(asked([F.sum(F.col(f"w{c}") * n * x) for c in range(len(tried)) for x in p], rates)).reshape(len(tried), k)
 
     def moments(steps: Steps, off: np.ndarray) -> np.ndarray:
         """Second moments of the documents that a step may move."""
         push = sum((x * float(g) for x, g in zip(p, off, strict=True)), F.lit(0.0))
-        free = (rate(steps, held) > 0) | (push < 0)
-        weight = F.when(free if held is None else free & ~held, n).otherwise(0.0)
+        free = (rate(steps) > 0) | (push < 0)
+        weight = F.when(free, n).otherwise(0.0)
         found = dict(zip([(i, j) for i in range(k) for j in range(i, k)], asked([F.sum(weight * p[i] * p[j]) for i in range(k) for j in range(i, k)]), strict=True))
         return np.array([[found[min(i, j), max(i, j)] for j in range(k)] for i in range(k)])
 
     steps: Steps = []
     totals = totals_of([steps])[0]
-    base = totals if held is None else np.array(asked([F.sum(F.when(held, n * x)) for x in p]))
-    target = np.array([weights.get(d, 1.0) for d in DOMAINS]) * base
+    target = np.array([weights.get(d, 1.0) for d in DOMAINS]) * totals
     if total is not None and target.sum() > 0:
         target = target * (total / target.sum())
-    # A few documents of a large corpus count as much as many when they alone may move.
-    scale = max(1.0, target.sum()) if held is None else max(1.0, np.abs(totals - base).sum())
+    scale = max(1.0, target.sum())
     steepest = None
     for _ in range(iterations):
         off = totals - target
@@ -231,15 +229,11 @@ def fit_rates(
     return Fit(steps, target, totals, met)
 
 
-def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float], total: float | None = None, away: str | None = None) -> DataFrame:
-    """doc_id, n_tokens, posteriors and rate of every document.
-
-    Only documents that are ``away`` by half their posterior give way, where it is set: the others are held at rate 1
-    and the targets are multiples of what they hold, so a document's fate is not set by the rest of the corpus.
-    """
-    held = F.col(f"p_{away}") < 0.5 if away else None
+def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float], total: float | None = None) -> DataFrame:
+    """doc_id, n_tokens, posteriors and rate of every document, and whether the targets are ``met``."""
     members = materialise(posteriors(docs, train(docs, labels)), "mix-members")
-    return members.withColumn("rate", rate(fit_rates(members, weights, total, held=held).steps, held))
+    fitted = fit_rates(members, weights, total)
+    return members.withColumn("rate", rate(fitted.steps)).withColumn("met", F.lit(fitted.met))
 
 
 def apply_rates(docs: DataFrame, mixed: DataFrame) -> DataFrame:

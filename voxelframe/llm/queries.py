@@ -17,7 +17,7 @@ MIX = {"good": 1.0, "poor": 0.5, "toxic": 0.2}
 def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     mixed = mixing.mix(docs, table(spark, sf_dir, "labels"), MIX)
-    return mixed.select("doc_id", "n_tokens", *(f"p_{d}" for d in mixing.DOMAINS), "rate")
+    return mixed.select("doc_id", "n_tokens", *(f"p_{d}" for d in mixing.DOMAINS), "rate", "met")
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
