@@ -6,6 +6,9 @@ import struct
 import zlib
 from itertools import permutations
 
+import heapq
+import itertools
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -161,10 +164,72 @@ def test_watershed_splits_and_stays_inside(spark):
     mask = cube(spark, line, "v").select("z", "y", "x")
     heights = mask.withColumn("height", -F.abs(F.col("x") - 4).cast("double"))
     seeds = spark.createDataFrame([(0, 0, 0, 1), (0, 0, 8, 2)], "z long, y long, x long, label long")
-    got = {r.x: r.label for r in watershed.watershed(mask, heights, seeds, (1, 1, 9)).collect()}
+    got = {r.x: r.label for r in watershed.watershed(mask, heights, seeds).collect()}
     assert got[0] == got[3] == 1 and got[8] == got[5] == 2 and len(got) == 9
 
 
+def queue_flood(heights, seeds):
+    """A flood by one queue, the lowest voxel first and then the one that came first."""
+    label, queue, count = dict(seeds), [], itertools.count()
+    for at in sorted(seeds):
+        heapq.heappush(queue, (heights[at], next(count), at))
+    while queue:
+        _, _, at = heapq.heappop(queue)
+        for step in watershed.STEPS:
+            to = tuple(a + b for a, b in zip(at, step, strict=True))
+            if to in heights and to not in label:
+                label[to] = label[at]
+                heapq.heappush(queue, (heights[to], next(count), to))
+    return label
+
+
+def plain_states(heights, seeds):
+    """The least (cost, cost before, label) of every voxel's neighbours, until none changes."""
+    state = {at: (heights[at], 0, label) for at, label in seeds.items()}
+    while True:
+        now = dict(state)
+        for at, h in heights.items():
+            if at in seeds:
+                continue
+            near = [state[to] for step in watershed.STEPS if (to := tuple(a + b for a, b in zip(at, step, strict=True))) in state]
+            if near:
+                best = min((*((h, 0) if h > level else (level, n + 1)), level, n, label) for level, n, label in near)
+                now[at] = (best[0], best[1], best[4])
+        if now == state:
+            return {at: s[2] for at, s in state.items()}
+        state = now
+
+
+@pytest.mark.parametrize("distinct", [True, False])
+def test_watershed_by_tiles(spark, distinct):
+    rng, shape = np.random.default_rng(4), (4, 9, 11)
+    inside = [at for at in itertools.product(*map(range, shape)) if rng.random() < 0.8]
+    values = rng.permutation(len(inside)) if distinct else rng.integers(0, 4, len(inside))
+    heights = {at: float(v) for at, v in zip(inside, values, strict=True)}
+    seeds = {inside[i]: k for k, i in enumerate(rng.choice(len(inside), 9, replace=False).tolist(), 1)}
+    want = queue_flood(heights, seeds) if distinct else plain_states(heights, seeds)
+    assert want == plain_states(heights, seeds)
+    mask = spark.createDataFrame([(*at, h) for at, h in heights.items()], "z long, y long, x long, height double")
+    given = [(*at, k) for at, k in seeds.items()] + [(*next(iter(seeds)), 99), (0, 0, 50, 7), (*inside[-1], 0)]
+    told = spark.createDataFrame(given, "z long, y long, x long, label long")
+    for size in (3, 5, 48):
+        assert {(r.z, r.y, r.x): r.label for r in watershed.watershed(mask, mask, told, size).collect()} == want, size
+    assert watershed.watershed(mask.limit(0), mask, told).count() == watershed.watershed(mask, mask, told.limit(0)).count() == 0
+
+
+def test_watershed_along_a_winding_way(spark):
+    """One seed at the end of a way that crosses tiles many times, and places left of the origin."""
+    way, y = [], 0
+    for turn in range(6):
+        way += [(-1, y, x) for x in (range(-7, 8) if turn % 2 == 0 else range(7, -8, -1))]
+        way.append((-1, y + 1, 7 if turn % 2 == 0 else -7))
+        y += 2
+    rows = spark.createDataFrame([(*at, float(k % 3)) for k, at in enumerate(way)], "z long, y long, x long, height double")
+    seeds = spark.createDataFrame([(*way[0], 4)], "z long, y long, x long, label long")
+    found = watershed.watershed(rows, rows, seeds, 4).collect()
+    assert {(r.z, r.y, r.x) for r in found} == set(way) and {r.label for r in found} == {4}
+
+
 def test_skeleton_bounds(spark):
     nodes = spark.createDataFrame([(1, i, 10 if i < 3 else 11) for i in range(6)], "skel_id long, node_id long, pred_id long")
     edges = spark.createDataFrame([(1, i, i + 1, 1.0) for i in range(5)], "skel_id long, u long, v long, edge_length double")

@@ -1,13 +1,19 @@
-"""Seeded watershed and the decoding chains built on it.
-
-Flooding is sequential, but voxels of different foreground components never meet: each component is one group, so the
-largest component must fit into one task (about 200 bytes a voxel). Ties are flooded in order of (height, arrival).
+"""Seeded watershed by tiles, and the decoding chains built on it.
+
+A voxel's cost is the pair (level, steps): the least possible highest voxel on a way to it from a seed, and the steps on
+that way since the level was reached. Its label is that of its neighbour of the least (cost, label). Where heights
+differ that is the order of a flood from the lowest voxel up; on a plateau labels meet half way, as a queue would have
+them, and what is still equal goes to the smaller label. The rule asks for no global queue, so volumes are flooded in
+tiles: each tile is one row, flooded alone; what its rim has got goes to the neighbouring tiles, and only tiles whose
+halo has changed are flooded again, until none has.
 """
 
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,49 +23,125 @@ from voxelframe.storage import materialise
 from . import grid_graph, instances, morphology
 from .volume import AXES
 
+#: Voxels along the side of a tile: what a task floods at once.
+TILE = 48
+STEPS = morphology.BALL[1:]
+#: What is known of a voxel: cost and label.
+STATE = ("level", "steps", "label")
+TILES = [f"t{a}" for a in AXES]
 
-#: Voxels that a group of components holds on average.
-GROUP_VOXELS = 100_000
 
+def flood(height: dict, seed: dict, halo: dict) -> dict:
+    """(level, steps, label) of the voxels of ``height`` that the seeds or the halo's states reach.
 
-def flood(frame: pd.DataFrame) -> dict[tuple[int, int, int], int]:
-    """Labels of the voxels (z, y, x, height, seed) reached from the seeds, lowest height first."""
-    height = {(z, y, x): h for z, y, x, h in zip(frame["z"], frame["y"], frame["x"], frame["height"], strict=True)}
-    label: dict[tuple[int, int, int], int] = {}
-    queue: list[tuple] = []
-    order = 0
-    for z, y, x, s in sorted(zip(frame["z"], frame["y"], frame["x"], frame["seed"], strict=True)):
-        if s > 0:
-            label[z, y, x] = int(s)
-            queue.append((height[z, y, x], order, (z, y, x)))
-            order += 1
+    Voxels are final in the order of (cost, cost before, label), so each gets its least neighbour's label.
+    """
+    found: dict[tuple, tuple] = {}
+    queue = [(height[at], 0, -np.inf, 0, label, at) for at, label in seed.items()]
+
+    def spread(at: tuple, level: float, steps: int, label: int) -> None:
+        for step in STEPS:
+            to = (at[0] + step[0], at[1] + step[1], at[2] + step[2])
+            h = height.get(to)
+            if h is not None and to not in found and to not in seed:
+                cost = (h, 0) if h > level else (level, steps + 1)
+                heapq.heappush(queue, (*cost, level, steps, label, to))
+
+    for at, state in halo.items():
+        spread(at, *state)
     heapq.heapify(queue)
     while queue:
-        _, _, (z, y, x) = heapq.heappop(queue)
-        for dz, dy, dx in morphology.BALL[1:]:
-            at = (z + dz, y + dy, x + dx)
-            if at in height and at not in label:
-                label[at] = label[z, y, x]
-                heapq.heappush(queue, (height[at], order, at))
-                order += 1
-    return label
+        level, steps, _, _, label, at = heapq.heappop(queue)
+        if at not in found:
+            found[at] = (level, steps, label)
+            spread(at, level, steps, label)
+    return found
+
+
+def _keys(z, y, x) -> list[tuple]:
+    return list(zip(np.asarray(z).tolist(), np.asarray(y).tolist(), np.asarray(x).tolist(), strict=True))
+
+
+def _flooded(tile: pd.DataFrame, halos: pd.DataFrame) -> dict:
+    """The states of the tile (one row) given those of the voxels around it."""
+    row = tile.iloc[0]
+    at = _keys(row["z"], row["y"], row["x"])
+    seed = {p: s for p, s in zip(at, np.asarray(row["seed"]).tolist(), strict=True) if s > 0}
+    states = zip(halos["level"].tolist(), halos["steps"].tolist(), halos["label"].tolist(), strict=True)
+    return flood(dict(zip(at, np.asarray(row["height"]).tolist(), strict=True)), seed, dict(zip(_keys(halos["z"], halos["y"], halos["x"]), states, strict=True)))
+
 
+def _table(found: dict, size: int | None = None) -> pd.DataFrame:
+    """The states as rows; with ``size``, only those at a face of their tile."""
+    rows = [(*at, *state) for at, state in found.items() if size is None or any(c % size in (0, size - 1) for c in at)]
+    return pd.DataFrame(rows, columns=[*AXES, *STATE])
 
-def watershed(mask: DataFrame, heights: DataFrame, seeds: DataFrame, shape) -> DataFrame:
-    """(z, y, x, label) of mask voxels reached by the seeds (z, y, x, label) over the heights (z, y, x, height)."""
-    fg = mask.select(*AXES, morphology._lin(shape))
-    parts = grid_graph.components_of(fg, grid_graph.FACES).select("component", *AXES)
-    # Small components share a group: floods that never meet do not change each other's order.
-    groups = max(int(mask.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-parts.count() // GROUP_VOXELS))
-    parts = parts.withColumn("component", F.pmod(F.xxhash64("component"), F.lit(groups)))
-    rows = parts.join(heights.select(*AXES, "height"), list(AXES)).join(seeds.select(*AXES, F.col("label").alias("seed")), list(AXES), "left")
-    rows = rows.withColumn("seed", F.coalesce("seed", F.lit(0)).cast("long"))
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        found = sorted(flood(frame).items())
-        return pd.DataFrame([(*at, s) for at, s in found], columns=[*AXES, "label"])
+STATES = ", ".join(f"{a} long" for a in AXES) + ", level double, steps long, label long"
 
-    return rows.groupBy("component").applyInPandas(run, "z long, y long, x long, label long")
+
+def _tile_of(size: int) -> list:
+    return [F.expr(f"floor({a} / {size})").alias(t) for a, t in zip(AXES, TILES, strict=True)]
+
+
+def _halos(rims: DataFrame, size: int) -> DataFrame:
+    """Each state at the faces of a tile, for every tile that it touches from outside."""
+    sides = []
+    for a, t in zip(AXES, TILES, strict=True):
+        for place, step in ((0, -1), (size - 1, 1)):
+            to = F.struct(*((F.col(u) + (step if u == t else 0)).alias(u) for u in TILES))
+            sides.append(F.when(F.pmod(F.col(a), F.lit(size)) == place, to))
+    told = rims.select(*AXES, *STATE, *_tile_of(size)).withColumn("_to", F.explode(F.array_compact(F.array(*sides))))
+    return told.select(*(F.col(f"_to.{t}").alias(t) for t in TILES), *AXES, *STATE)
+
+
+def watershed(mask: DataFrame, heights: DataFrame, seeds: DataFrame, size: int = TILE) -> DataFrame:
+    """(z, y, x, label) of mask voxels reached by the seeds (z, y, x, label) over the heights (z, y, x, height).
+
+    Seeds count inside the mask and over zero; of several in a place the smallest counts. A round shuffles the tiles
+    that are flooded again and the rims of all; there are about as many rounds as tiles on the longest way of a label.
+    """
+    first = seeds.where("label > 0").groupBy(*AXES).agg(F.min("label").cast("long").alias("seed"))
+    rows = mask.select(*AXES).distinct().join(heights.select(*AXES, F.col("height").cast("double")), list(AXES)).join(first, list(AXES), "left")
+    rows = rows.select(*(F.col(a).cast("long").alias(a) for a in AXES), "height", F.coalesce("seed", F.lit(0)).cast("long").alias("seed"))
+    cells = F.sort_array(F.collect_list(F.struct(*AXES, "height", "seed"))).alias("cells")
+    packed = rows.groupBy(*_tile_of(size)).agg(cells).select(*TILES, *(F.col(f"cells.{c}").alias(c) for c in (*AXES, "height", "seed")))
+    tiles = materialise(packed, "flood-tiles")
+
+    def rims_of(some: DataFrame, halos: DataFrame) -> DataFrame:
+        def run(key: tuple, tile: pd.DataFrame, near: pd.DataFrame) -> pd.DataFrame:
+            return _table(_flooded(tile, near) if len(tile) else {}, size)
+
+        return some.groupBy(*TILES).cogroup(halos.groupBy(*TILES)).applyInPandas(run, STATES)
+
+    def alone(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        nothing = pd.DataFrame(columns=[*AXES, *STATE])
+        for batch in batches:
+            for k in range(len(batch)):
+                yield _table(_flooded(batch.iloc[k : k + 1], nothing), size)
+
+    rims = materialise(tiles.mapInPandas(alone, STATES), "flood-rims")
+    changed = rims
+    while True:
+        # Of the tiles around what has changed, those that have voxels are flooded again with their whole halo.
+        again = _halos(changed, size).select(*TILES).distinct()
+        some = materialise(tiles.join(again, TILES, "left_semi"), "flood-again")
+        if some.isEmpty():
+            break
+        anew = materialise(rims_of(some, _halos(rims, size).join(some.select(*TILES), TILES, "left_semi")), "flood-anew")
+        placed = rims.select("*", *_tile_of(size))
+        before = placed.join(some.select(*TILES), TILES, "left_semi").select(*AXES, *STATE)
+        changed = materialise(anew.exceptAll(before), "flood-changed")
+        if changed.isEmpty():
+            break
+        rims = materialise(placed.join(some.select(*TILES), TILES, "left_anti").select(*AXES, *STATE).unionByName(anew), "flood-rims")
+
+    def whole(key: tuple, tile: pd.DataFrame, near: pd.DataFrame) -> pd.DataFrame:
+        found = _table(_flooded(tile, near) if len(tile) else {})
+        return found[[*AXES, "label"]]
+
+    last = tiles.groupBy(*TILES).cogroup(_halos(rims, size).groupBy(*TILES))
+    return last.applyInPandas(whole, "z long, y long, x long, label long")
 
 
 def _seeds(mask: DataFrame, shape, offsets) -> DataFrame:
@@ -80,14 +162,14 @@ def sdt_decode(voxels: DataFrame, shape, threshold: float, min_size: int = 1) ->
     """Seeds over the threshold (26-connected), foreground over zero, one watershed on the distance."""
     mask = voxels.where("val > 0").select(*AXES)
     seeds = _seeds(voxels.where(F.col("val") > F.lit(threshold).cast("float")), shape, grid_graph.FULL)
-    return keep_large(watershed(mask, _heights(mask, shape), seeds, shape), min_size)
+    return keep_large(watershed(mask, _heights(mask, shape), seeds), min_size)
 
 
 def light_decode(voxels: DataFrame, shape, foreground: float, seed: float, min_size: int = 1) -> DataFrame:
     """Seeds and foreground by thresholds, one watershed, small regions dropped, no relabelling."""
     mask = voxels.where(F.col("val") > F.lit(foreground).cast("float")).select(*AXES)
     seeds = _seeds(voxels.where(F.col("val") > F.lit(seed).cast("float")), shape, grid_graph.FULL)
-    return keep_large(watershed(mask, _heights(mask, shape), seeds, shape), min_size)
+    return keep_large(watershed(mask, _heights(mask, shape), seeds), min_size)
 
 
 def two_stage_decode(voxels: DataFrame, shape, foreground: float, seed: float, min_size: int = 1, skeleton: str = "val") -> DataFrame:
@@ -99,11 +181,11 @@ def two_stage_decode(voxels: DataFrame, shape, foreground: float, seed: float, m
     core = voxels.where(F.col(skeleton) > F.lit(seed).cast("float")).select(*AXES)
     core = materialise(morphology.opened(morphology.fill_holes(core, shape), shape), "decode-core")
     wide = materialise(morphology.dilate(core, shape, 3), "decode-wide")
-    first = watershed(wide, _heights(wide, shape), _seeds(core, shape, grid_graph.FACES), shape)
+    first = watershed(wide, _heights(wide, shape), _seeds(core, shape, grid_graph.FACES))
     mask = morphology.fill_holes(voxels.where(F.col("val") > F.lit(foreground).cast("float")).select(*AXES), shape)
     mask = materialise(morphology.opened(mask, shape), "decode-mask")
     clipped = materialise(first.join(mask, list(AXES), "left_semi"), "decode-clipped")
-    second = keep_large(watershed(mask, _heights(mask, shape), clipped, shape), min_size)
+    second = keep_large(watershed(mask, _heights(mask, shape), clipped), min_size)
     return _seeds(materialise(second, "decode-second"), shape, grid_graph.FACES)
 
 
@@ -111,6 +193,6 @@ def refine(mask: DataFrame, coarse: DataFrame, shape, min_size: int = 200, grow:
     """Binary mask refined by coarse instances: those under ``min_seed`` go, seeds grow, flood the mask, regions under
     ``min_size`` go, ids 1..N."""
     seeds = morphology.grey_dilate(keep_large(coarse, min_seed), shape, grow).join(mask.select(*AXES), list(AXES), "left_semi")
-    found = keep_large(watershed(mask, _heights(mask, shape), seeds, shape), min_size)
+    found = keep_large(watershed(mask, _heights(mask, shape), seeds), min_size)
     ids = instances.relabel_dense(instances.sizes(found))
     return instances.apply_map(found, ids).select(*AXES, F.col("new_label").alias("label"))

@@ -503,22 +503,74 @@ def labelled(found: DataFrame) -> DataFrame:
     return found.select(((F.col("z") * 20 + F.col("y")) * 64 + F.col("x")).alias("lin"), "label")
 
 
-@query()
+def parts_sql(p: str, source: str, corners: bool) -> str:
+    """CTEs named from ``p``: ``{p}s`` (lin, label) has the components of ``source`` in raster order, over faces or with
+    ``corners``: runs along x are joined to the runs of the rows around theirs."""
+    rows = [(z, y) for z in (-1, 0, 1) for y in (-1, 0, 1) if (z or y) and (corners or not (z and y))]
+    step = f"(select unnest([{', '.join(str(z) for z, _ in rows)}]) as dz, unnest([{', '.join(str(y) for _, y in rows)}]) as dy)"
+    return f"""{p}l as materialized (select z, y, x, (z * 20 + y) * 64 + x as lin, x - row_number() over (partition by z, y order by x) as g from {source}),
+{p}r as materialized (select z, y, g, min(x) as x0, max(x) as x1, min(lin) as lin from {p}l group by 1, 2, 3),
+{p}e as materialized (select p.lin as a, q.lin as b from {p}r p cross join {step} s join {p}r q on q.z = p.z + s.dz and q.y = p.y + s.dy where q.x0 <= p.x1 + {int(corners)} and q.x1 >= p.x0 - {int(corners)}),
+{p}w(lin, comp) using key (lin) as (select lin, lin from {p}r
+    union select e.b, min(w.comp) from {p}w w join {p}e e on e.a = w.lin join recurring.{p}w o on o.lin = e.b where w.comp < o.comp group by e.b),
+{p}s as (select l.lin, dense_rank() over (order by comp) as label from {p}w w join {p}r r on r.lin = w.lin join {p}l l on l.z = r.z and l.y = r.y and l.g = r.g)"""
+
+
+def flood_sql(p: str, mask: str, seeds: str) -> str:
+    """CTEs named from ``p``: ``{p}f`` (lin, label) floods ``mask`` by its distance transform from ``seeds`` (lin, label).
+
+    A voxel is the least (cost, cost before, label) of its neighbours, until none changes.
+    """
+    return f"""{p}d0 as (select v.z, v.y, v.x, case when m.z is null then 0.0 else {float(morphology.FAR)} end::double as d from voxel v left join {mask} m on m.z = v.z and m.y = v.y and m.x = v.x),
+{p}d1 as ({edt_pass(p + "d0", "z")}), {p}d2 as ({edt_pass(p + "d1", "y")}), {p}d3 as ({edt_pass(p + "d2", "x")}),
+{p}h as materialized (select (z * 20 + y) * 64 + x as lin, z, y, x, -sqrt(d) as h from {p}d3 where d > 0),
+{p}n as materialized (select p.lin as a, q.lin as b, q.h from {p}h p cross join {BOTH6} s join {p}h q on q.z = p.z + s.dz and q.y = p.y + s.dy and q.x = p.x + s.dx where q.lin not in (select lin from {seeds})),
+{p}f(lin, level, steps, label) using key (lin) as (
+    select s.lin, h, cast(0 as bigint), label from {seeds} s join {p}h h on h.lin = s.lin
+    union select n.lin, n.best.l, n.best.s, n.best.label from (
+        select e.b as lin, min({{'l': greatest(e.h, u.level), 's': case when e.h > u.level then 0 else u.steps + 1 end, 'l0': u.level, 's0': u.steps, 'label': u.label}}) as best
+        from (select distinct e.b from {p}f w join {p}n e on e.a = w.lin) c join {p}n e on e.b = c.b join recurring.{p}f u on u.lin = e.a group by e.b) n
+    left join recurring.{p}f o on o.lin = n.lin where o.lin is null or o.level <> n.best.l or o.steps <> n.best.s or o.label <> n.best.label)"""
+
+
+def kept_sql(source: str, least: int) -> str:
+    return f"select * from {source} where label in (select label from {source} group by 1 having count(*) >= {least})"
+
+
+def filled_sql(p: str, source: str) -> str:
+    """CTEs named from ``p``: ``{p}o`` is ``source`` with its holes filled, eroded and dilated (outside is not mask)."""
+    return f"""{p}b as materialized (select v.z, v.y, v.x from voxel v left join {source} m on v.z = m.z and v.y = m.y and v.x = m.x where m.z is null),
+{p}u as (select z, y, x from {p}b where {EDGE} union select b.z, b.y, b.x from {p}u o cross join {BOTH6} s join {p}b b on b.z = o.z + s.dz and b.y = o.y + s.dy and b.x = o.x + s.dx),
+{p}i as (select z, y, x from voxel except select z, y, x from {p}u),
+{p}r as (select z, y, x from (select z, y, x, count(*) as n from ({spread_sql(p + "i")}) group by 1, 2, 3) where n = 7), {p}o as materialized ({dilate_sql(p + "r")})"""
+
+
+def over_sql(value: float) -> str:
+    return f"select z, y, x from voxel where val > cast({value} as float)"
+
+
+@query(f"with recursive {fx.VOXEL}, m as ({over_sql(0.05)}), k as ({over_sql(0.25)}), {parts_sql('c', 'k', True)}, {flood_sql('g', 'm', 'cs')} select lin, label from gf")
 def seeded_watershed(spark, sf):
     return labelled(watershed.light_decode(fx.voxel(spark, sf), fx.shape(spark, sf), 0.05, 0.25))
 
 
-@query()
+@query(f"""with recursive {fx.VOXEL}, k0 as materialized ({over_sql(0.0)}), {filled_sql('k', 'k0')}, w1 as materialized ({dilate_sql('ko')}), w2 as materialized ({dilate_sql('w1')}), w3 as materialized ({dilate_sql('w2')}),
+{parts_sql('c', 'ko', False)}, {flood_sql('g', 'w3', 'cs')}, m0 as materialized ({over_sql(-0.1)}), {filled_sql('m', 'm0')},
+q as materialized (select lin, label from gf join mo on gf.lin = (mo.z * 20 + mo.y) * 64 + mo.x), {flood_sql('j', 'mo', 'q')}, t as materialized ({kept_sql('jf', 2)}),
+u as materialized (select z, y, x from voxel join t on t.lin = voxel.lin), {parts_sql('v', 'u', False)} select lin, label from vs""")
 def two_stage_decode(spark, sf):
     return labelled(watershed.two_stage_decode(fx.voxel(spark, sf), fx.shape(spark, sf), -0.1, 0.0, 2))
 
 
-@query()
+@query(f"with recursive {fx.VOXEL}, m as ({over_sql(0.0)}), k as ({over_sql(0.25)}), {parts_sql('c', 'k', True)}, {flood_sql('g', 'm', 'cs')} select lin, label from ({kept_sql('gf', 2)})")
 def sdt_decode(spark, sf):
     return labelled(watershed.sdt_decode(fx.voxel(spark, sf), fx.shape(spark, sf), 0.25, 2))
 
 
-@query()
+@query(f"""with recursive {fx.LABEL}, m as ({over_sql(0.1)}), k0 as (select z, y, x, label from vl where label > 4), k as ({kept_sql('k0', 5)}),
+k1 as (select z, y, x, max(label) as label from ({spread_sql('k', ', label')}) group by 1, 2, 3),
+k2 as (select (k1.z * 20 + k1.y) * 64 + k1.x as lin, label from k1 join m on k1.z = m.z and k1.y = m.y and k1.x = m.x),
+{flood_sql('g', 'm', 'k2')}, t as ({kept_sql('gf', 5)}) select lin, dense_rank() over (order by label) as label from t""")
 def refine_instances(spark, sf):
     rows = fx.voxel_label(spark, sf)
     mask = rows.where(F.col("val") > F.lit(0.1).cast("float"))
