@@ -108,20 +108,20 @@ def test_hmm_each_iteration_explains_more(spark, docs):
 
 def test_lm_scoring_odd_rows(spark, docs, none):
     corpus = hmm.prepare(docs)
-    model = hmm.train(corpus, states=2, iterations=2)
+    model = hmm.train(corpus, states=2, sweeps=1)
     found, order = rows_of(hmm.score(corpus, model)), sorted(TEXTS, key=lambda r: (r[0] is None, r[0] or 0))
     for r, (i, t), want in zip(found, order, brute_base(order), strict=True):
         assert (r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (i, *want[:4])
         assert math.isclose(r["base_score"], want[4], rel_tol=1e-12) and r["score"] < 0
     assert found[0]["score"] == pytest.approx(found[1]["score"]) and found[2]["score"] == pytest.approx(found[3]["score"])
     empty = hmm.prepare(none)
-    assert hmm.score(empty, hmm.train(empty, iterations=1)).count() == 0
+    assert hmm.score(empty, hmm.train(empty, sweeps=1)).count() == 0
 
 
 def test_lm_without_training_documents(spark):
     rows = spark.createDataFrame([(i, "a b") for i in range(60) if zlib.crc32(str(i).encode()) % 7 == 2], "doc_id long, text string")
     corpus = hmm.prepare(rows)
-    for r in hmm.score(corpus, hmm.train(corpus, iterations=1)).collect():
+    for r in hmm.score(corpus, hmm.train(corpus, sweeps=1)).collect():
         assert (r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.held_out) == (3, 0, 0, 0, True) and r.score < 0
 
 
@@ -129,7 +129,7 @@ def test_lm_probabilities_sum_to_one(spark):
     """Of all words in all buckets, known or one unknown each, a state emits a whole."""
     rows = spark.createDataFrame([(0, "a b c a"), (1, "b d"), (4, "e e e")], "doc_id long, text string")
     corpus = hmm.prepare(rows)
-    model = hmm.train(corpus, states=2, iterations=1)
+    model = hmm.train(corpus, states=2, sweeps=1)
     c = Counter(w for r in rows.collect() if zlib.crc32(str(r.doc_id).encode()) % 7 != 2 for w in r.text.split())
     size = np.ones(hmm.BUCKETS)
     for w, n in c.items():
@@ -239,14 +239,19 @@ def brute_resampling(rows, target, percent=25, seed=7, min_words=20, buckets=10_
     return [tuple(r[:5]) for r in out]
 
 
-def test_trie_is_folded_without_loss():
-    words = [w.encode() for w in "a b a b c a b é a b c d".split()]
-    trie, totals = importance.Trie(3), np.zeros(50, np.int64)
-    for start in range(0, len(words), 5):
-        trie.add(words[start : start + 7], min(5, len(words) - start))
-        trie.fold(totals)
-    want = Counter(zlib.crc32(b" ".join(words[i : i + k])) % 50 for k in (1, 2, 3) for i in range(len(words) - k + 1))
-    assert {b: n for b, n in enumerate(totals.tolist()) if n} == want and not trie.nodes
+@pytest.mark.parametrize("longest", [1, 2, 4])
+def test_trie_counts_and_states(longest):
+    words = [w.encode() for w in ["a", "b", "a", "b", "c", "é" * 40, "a", "b", "c", "x" * 70_000, "a", "b"]]
+    left = np.array([5, 4, 3, 2, 1, 7, 6, 5, 4, 3, 2, 0])
+    levels = importance.trie(words, left, longest)
+    want = [Counter(b" ".join(words[i : i + k]) for i in range(12) if left[i] >= k) for k in range(1, longest + 1)]
+    names = [b""]
+    for level, runs in zip(levels, want, strict=True):
+        names = [(names[p] + b" " + list(dict.fromkeys(words))[w]).strip() for p, w in zip(level.parent, level.word, strict=True)]
+        assert dict(zip(names, level.count.tolist(), strict=True)).items() >= runs.items() and sum(level.count) == sum(runs.values())
+        assert [zlib.crc32(x) for x in names] == level.state.tolist()
+        assert [names[n] for n in level.path if n >= 0] == [b" ".join(words[i : i + names[level.path[i]].count(b" ") + 1]) for i in range(12) if level.path[i] >= 0]
+    assert [len(x.count) for x in importance.trie([], np.zeros(0, int), 2)] == [0, 0]
 
 
 @pytest.mark.parametrize("longest", [1, 2, 3])
@@ -256,6 +261,12 @@ def test_runs_across_blocks(longest, monkeypatch):
     want = Counter(tuple(text.encode().split()[i : i + k]) for k in range(1, longest + 1) for i in range(200 - k + 1))
     found = Counter(tuple(words[i : i + k]) for words, n in importance.spans(text.encode(), longest) for i in range(n) for k in range(1, longest + 1) if i + k <= len(words))
     assert found == want
+    monkeypatch.setattr(importance, "BLOCK", 13)
+    parts = list(importance.blocks(importance.pa.array([text, None, "", text]), longest))
+    assert len(parts) > 10
+    for i in (0, 3):
+        found = Counter(tuple(w[j : j + k]) for w, left, owner in parts for k in range(1, longest + 1) for j in np.flatnonzero((left >= k) & (owner == i)))
+        assert found == want
     assert list(importance.spans(None, longest)) == [] and [w for b in word_blocks(b"  \n ", 2) for w in b] == []
 
 

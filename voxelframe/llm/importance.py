@@ -1,12 +1,13 @@
 """Importance resampling of documents towards a target distribution, with word tries local to a partition.
 
 Features are all runs of 1 to ``longest`` consecutive words; a feature's bucket is the CRC of its bytes modulo
-``buckets``. A partition counts features in a trie of words: a node stands for a run of words, holds its count and the
-CRC state after its bytes, and a child's state goes on from its parent's, so no run is ever joined or hashed as a
-whole. Tries are folded into bucket totals whenever they hold ``NODES`` nodes, so memory is bounded and the totals are
-exact; only ``buckets`` totals a task are shuffled. Merged totals give every bucket a gain, the log ratio of the
-smoothed target and corpus shares. A second pass walks the documents along tries whose nodes hold the gain of their
-bucket. The draw is Gumbel top-k by a hash of doc_id, and ranks come from range partitions, never from one task.
+``buckets``. A partition lays the words of about ``BLOCK`` words of its documents out as a trie, level by level: a node
+is a parent and a word, and has a count and a CRC state, which goes on from its parent's by the word's bytes, so no run
+is ever joined or hashed as a whole. Counts are added to bucket totals and the next block starts anew, so memory is
+bounded and the totals are exact; only ``buckets`` totals a task are shuffled. Merged totals give every bucket a gain,
+the log ratio of the smoothed target and corpus shares. A second pass attaches the gains to the nodes and adds them up
+along each document's paths. The draw is Gumbel top-k by a hash of doc_id, and ranks come from range partitions, never
+from one task.
 
 Defined cases: null, empty and wordless texts have no features and weight 0; rows without doc_id have no score and are
 never drawn or counted; repeated rows are documents of their own with equal scores and neighbouring ranks; ties go to
@@ -18,7 +19,10 @@ from __future__ import annotations
 
 import math
 import zlib
+from collections import defaultdict
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,59 +33,68 @@ from voxelframe.storage import materialise
 
 from .common import mapped, slices, word_blocks
 
-#: Nodes of a trie before it is folded into bucket totals (counting) or started anew (scoring).
-NODES = 300_000
+#: Words of a trie; a document of more is walked in parts.
+BLOCK = 200_000
 #: Bytes to words: A-Z lower-cased; digits, a-z and all bytes beyond ASCII stay, and the rest separates.
 LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
-class Trie:
-    """Runs of words. A node is [count or gain, CRC state, children by word]."""
-
-    def __init__(self, longest: int):
-        self.longest, self.nodes, self.root = longest, 0, {}
-
-    def add(self, words: list[bytes], starts: int) -> None:
-        """Count the runs that start at the first ``starts`` words."""
-        crc, made = zlib.crc32, 0
-        for i in range(starts):
-            kids, state = self.root, None
-            for w in words[i : i + self.longest]:
-                node = kids.get(w)
-                if node is None:
-                    node = kids[w] = [1, crc(w) if state is None else crc(b" " + w, state), {}]
-                    made += 1
-                else:
-                    node[0] += 1
-                state, kids = node[1], node[2]
-        self.nodes += made
-
-    def total(self, words: list[bytes], starts: int, gains: list[int]) -> int:
-        """The sum of the gains of the runs that start at the first ``starts`` words."""
-        crc, made, found, n = zlib.crc32, 0, 0, len(gains)
-        for i in range(starts):
-            kids, state = self.root, None
-            for w in words[i : i + self.longest]:
-                node = kids.get(w)
-                if node is None:
-                    c = crc(w) if state is None else crc(b" " + w, state)
-                    node = kids[w] = [gains[c % n], c, {}]
-                    made += 1
-                gain, state, kids = node
-                found += gain
-        self.nodes += made
-        return found
-
-    def fold(self, totals: np.ndarray) -> None:
-        """Add the counts to the totals of their buckets and start anew."""
-        counts, states, level = [], [], [self.root]
-        while level:
-            nodes = [node for kids in level for node in kids.values()]
-            counts += [node[0] for node in nodes]
-            states += [node[1] for node in nodes]
-            level = [node[2] for node in nodes if node[2]]
-        np.add.at(totals, np.array(states, np.int64) % len(totals), np.array(counts, np.int64))
-        self.root, self.nodes = {}, 0
+@cache
+def zero_bytes(power: int) -> np.ndarray:
+    """What 2 ** power zero bytes make of a CRC register, by each of its four bytes."""
+    if power:
+        half = zero_bytes(power - 1)
+        return after(half, half)
+    one = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        one = np.where(one & 1, (one >> 1) ^ np.uint32(0xEDB88320), one >> 1)
+    return np.stack([one, *(np.arange(256, dtype=np.uint32) << np.uint32(8 * k) for k in range(3))])
+
+
+def after(tables: np.ndarray, states: np.ndarray) -> np.ndarray:
+    """The states that such tables make of ``states``."""
+    return tables[0][states & 255] ^ tables[1][states >> 8 & 255] ^ tables[2][states >> 16 & 255] ^ tables[3][states >> 24]
+
+
+def gone_on(states: np.ndarray, words: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """CRC states after further words, given these words' own CRCs and lengths: a CRC is linear in what came before."""
+    states = states.copy()
+    for power in range(int(lengths.max(initial=0)).bit_length()):
+        here = np.flatnonzero(lengths >> power & 1)
+        states[here] = after(zero_bytes(power), states[here])
+    return states ^ words
+
+
+@dataclass
+class Level:
+    """The nodes of one depth, their parents a depth above, and the node of the run at each place (-1: no run there)."""
+
+    parent: np.ndarray
+    word: np.ndarray
+    count: np.ndarray
+    state: np.ndarray
+    path: np.ndarray
+
+
+def trie(words: list[bytes], left: np.ndarray, longest: int) -> list[Level]:
+    """The runs of ``words``, a level for each length; ``left`` tells how many words a run at each place may have."""
+    places: dict[bytes, int] = defaultdict()
+    places.default_factory = places.__len__
+    ids = np.fromiter(map(places.__getitem__, words), np.int64, len(words))
+    v = len(places)
+    own = np.fromiter(map(zlib.crc32, places), np.uint32, v)
+    lengths = np.fromiter(map(len, places), np.int64, v) + 1
+    spaced = gone_on(np.full(v, zlib.crc32(b" "), np.uint32), own, lengths - 1)
+    here = left >= 1
+    levels = [Level(np.zeros(v, np.int64), np.arange(v), np.bincount(ids[here], minlength=v), own, np.where(here, ids, -1))]
+    for k in range(2, longest + 1):
+        up, at = levels[-1], np.flatnonzero(left >= k)
+        nodes, place, count = np.unique(up.path[at] * v + ids[at + k - 1], return_inverse=True, return_counts=True)
+        parent, word = nodes // max(1, v), nodes % max(1, v)
+        path = np.full(len(words), -1)
+        path[at] = place
+        levels.append(Level(parent, word, count, gone_on(up.state[parent], spaced[word], lengths[word]), path))
+    return levels
 
 
 def spans(data: bytes | None, longest: int) -> Iterator[tuple[list[bytes], int]]:
@@ -98,18 +111,35 @@ def spans(data: bytes | None, longest: int) -> Iterator[tuple[list[bytes], int]]
         yield held, len(held)
 
 
+def blocks(texts: pa.Array, longest: int) -> Iterator[tuple[list[bytes], np.ndarray, np.ndarray]]:
+    """The words of several texts, how many a run at each may have, and the text of each: about ``BLOCK`` words."""
+    words: list[bytes] = []
+    left, owner = [], []
+
+    def whole() -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        return words, np.concatenate(left), np.concatenate(owner)
+
+    for i, text in enumerate(texts.cast(pa.binary())):
+        for some, starts in spans(text.as_py(), longest):
+            words += some
+            left.append(np.where(np.arange(len(some)) < starts, np.arange(len(some), 0, -1), 0))
+            owner.append(np.full(len(some), i))
+            if len(words) >= BLOCK:
+                yield whole()
+                words, left, owner = [], [], []
+    if words:
+        yield whole()
+
+
 def bucket_totals(texts: DataFrame, buckets: int, longest: int) -> DataFrame:
     """(bucket, n): the features of all ``texts`` by bucket; a bucket without features has no row."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, totals = Trie(longest), np.zeros(buckets, np.int64)
+        totals = np.zeros(buckets, np.int64)
         for batch in slices(batches, "text"):
-            for text in batch.column(0).cast(pa.binary()):
-                for words, starts in spans(text.as_py(), longest):
-                    trie.add(words, starts)
-                    if trie.nodes >= NODES:
-                        trie.fold(totals)
-        trie.fold(totals)
+            for words, left, _ in blocks(batch.column(0), longest):
+                for level in trie(words, left, longest):
+                    np.add.at(totals, level.state % buckets, level.count)
         at = np.flatnonzero(totals)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(totals[at], pa.int64())], ["bucket", "n"])
 
@@ -132,19 +162,18 @@ def weigh(docs: DataFrame, by_bucket: list[int], longest: int = 2) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(by_bucket)  # a number for each bucket
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, own = Trie(longest), shared.value
+        own = np.array(shared.value, np.int64)
         for batch in slices(batches, "text"):
-            rows = []
-            for text in batch.column(1).cast(pa.binary()):
-                n, sum_ = 0, 0
-                for words, starts in spans(text.as_py(), longest):
-                    n += starts
-                    sum_ += trie.total(words, starts, own)
-                    if trie.nodes >= NODES:
-                        trie = Trie(longest)
-                features = sum(max(0, n - k) for k in range(longest))
-                rows.append((n, features, sum_ // features if features else 0))
-            columns = [pa.array(c, pa.int64()) for c in zip(*rows, strict=True)]
+            n, features, sums = (np.zeros(batch.num_rows, np.int64) for _ in range(3))
+            for words, left, owner in blocks(batch.column(1), longest):
+                for k, level in enumerate(trie(words, left, longest)):
+                    at = np.flatnonzero(level.path >= 0)
+                    np.add.at(sums, owner[at], own[level.state % len(own)][level.path[at]])
+                    held = np.bincount(owner[at], minlength=len(n))
+                    features += held
+                    n += 0 if k else held
+            # Of whole numbers, // goes down.
+            columns = [pa.array(c, pa.int64()) for c in (n, features, sums // np.maximum(1, features))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "n_words", "n_features", "weight"])
 
     schema = "doc_id long, n_words long, n_features long, weight long"
