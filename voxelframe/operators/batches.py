@@ -138,12 +138,12 @@ def affinity_segmentation(channels: DataFrame, threshold: float = 0.5) -> DataFr
 
 def clean(labels: DataFrame, shape: tuple[int, int, int], min_size: int = 200, largest: int | None = None, cleanup: bool = False) -> DataFrame:
     """(z, y, x, label) over zero after the size filter, the choice of the largest and, if asked for, opening and closing
-    of the mask, whose components are the instances from there on."""
+    of the mask, whose components over all 26 neighbours are the instances from there on."""
     found = datasets.postprocess(labels, min_size, largest).where("label > 0").select(*AXES, "label")
     if not cleanup:
         return found
     mask = materialise(morphology.open_close(found.select(*AXES), shape), "cleaned")
-    parts = grid_graph.mask_components(mask.withColumn("lin", _raster(shape)))
+    parts = grid_graph.mask_components(mask.withColumn("lin", _raster(shape)), grid_graph.FULL)
     return parts.select(*_at(shape), F.col("component").alias("label"))
 
 

@@ -28,7 +28,9 @@ def align(voxels: DataFrame, shape: tuple[int, int, int], fill: float = 0, value
 
 
 def center_pad(voxels: DataFrame, shape: tuple[int, int, int], target: tuple[int, int, int], fill: float = -1, value: str = "val") -> DataFrame:
-    """Shift a smaller volume to the middle of ``target`` and fill around it."""
+    """Shift a smaller volume to the middle of ``target`` and fill around it; a target smaller on an axis is an error."""
+    if any(t < n for n, t in zip(shape, target, strict=True)):
+        raise ValueError(f"a volume of {tuple(shape)} does not fit into {tuple(target)}")
     moved = voxels.select(*((F.col(a) + (t - n) // 2).alias(a) for a, n, t in zip(AXES, shape, target, strict=True)), value)
     return _on_grid(moved, target, fill, value)
 

@@ -125,16 +125,15 @@ def watershed(mask: DataFrame, heights: DataFrame, seeds: DataFrame, size: int =
     while True:
         # Of the tiles around what has changed, those that have voxels are flooded again with their whole halo.
         again = _halos(changed, size).select(*TILES).distinct()
-        some = materialise(tiles.join(again, TILES, "left_semi"), "flood-again")
-        if some.isEmpty():
-            break
-        anew = materialise(rims_of(some, _halos(rims, size).join(some.select(*TILES), TILES, "left_semi")), "flood-anew")
-        placed = rims.select("*", *_tile_of(size))
-        before = placed.join(some.select(*TILES), TILES, "left_semi").select(*AXES, *STATE)
-        changed = materialise(anew.exceptAll(before), "flood-changed")
+        again = materialise(tiles.select(*TILES).join(again, TILES, "left_semi"), "flood-again")
+        near = _halos(rims, size).join(again, TILES, "left_semi")
+        anew = rims_of(tiles.join(again, TILES, "left_semi"), near).withColumn("new", F.lit(True))
+        kept = rims.select("*", *_tile_of(size)).join(again, TILES, "left_anti").select(*AXES, *STATE, F.lit(False).alias("new"))
+        told = materialise(kept.unionByName(anew), "flood-rims")
+        changed = materialise(told.where("new").drop("new").join(rims, [*AXES, *STATE], "left_anti"), "flood-changed")
+        rims = told.drop("new")
         if changed.isEmpty():
             break
-        rims = materialise(placed.join(some.select(*TILES), TILES, "left_anti").select(*AXES, *STATE).unionByName(anew), "flood-rims")
 
     def whole(key: tuple, tile: pd.DataFrame, near: pd.DataFrame) -> pd.DataFrame:
         found = _table(_flooded(tile, near) if len(tile) else {})

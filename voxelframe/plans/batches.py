@@ -8,7 +8,7 @@ from voxelframe.operators import batches
 from voxelframe.plans import fixtures as fx
 from voxelframe.sources import pairing, sinks
 
-from .catalogue import ORACLES, axis_sql, query, r
+from .catalogue import ORACLES, axis_sql, dilate_sql, erode_sql, labelled, parts_sql, query, r
 
 #: Halves of the voxel volume along y as volumes of their own.
 HALF = f"{fx.VOXEL}, hv as (select y // 10 as vol_id, z, y % 10 as y, x, lin, val from voxel)"
@@ -84,6 +84,15 @@ def affinity_segmentation(spark, sf):
     return batches.affinity_segmentation(rows.withColumn("ch", F.array(*(F.expr(v) for v in LOGIT.values()))), 0.51)
 
 
+@query(f"""with recursive {fx.LABEL}, p0 as (select z, y, x, label from vl where label > 0), p as (select z, y, x from p0 where label in (select label from p0 group by 1 having count(*) >= 40)),
+a as materialized ({erode_sql('p')}), b as materialized ({dilate_sql('a')}), c as materialized ({dilate_sql('b')}), d as materialized ({erode_sql('c')}),
+{parts_sql('k', 'd', True)} select lin, label from ks""")
+def clean_components(spark, sf):
+    """Size filter, opening and closing, and the components over corners of what is left."""
+    shape = fx.shape(spark, sf)
+    return labelled(batches.clean(fx.voxel_label(spark, sf).select("z", "y", "x", "label"), shape, 40, None, True))
+
+
 @query(f"select * from ({ORACLES['voi_nodes']}) v, ({ORACLES['erl']}) e, ({ORACLES['merge_split_counts']}) m")
 def skeleton_report(spark, sf):
     nodes = fx.node(spark, sf)
