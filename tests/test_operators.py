@@ -57,8 +57,10 @@ def test_hungarian_is_optimal():
         assert np.isclose(got, best)
 
 
-def test_components(spark):
+@pytest.mark.parametrize("small", [0, 1_000_000])
+def test_components(spark, monkeypatch, small):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (103, 102), (102, 101), (7, 7), (200, 200)]
+    monkeypatch.setattr(components, "SMALL", small)
     found = {r.node: r.component for r in components.connected_components(spark.createDataFrame(edges, "src long, dst long")).collect()}
     assert {found[i] for i in range(41)} == {0} and {found[i] for i in range(100, 104)} == {100} and found[200] == 200 and len(found) == 46
     assert components.connected_components(spark.createDataFrame([], "src long, dst long")).count() == 0

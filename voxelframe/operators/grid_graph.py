@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from voxelframe.storage import materialise
 
-from .components import connected_components
+from .components import connected_components, settle
 from .instances import dense_rank_global
 from .volume import AXES
 
@@ -38,18 +38,6 @@ def neighbour_edges(voxels: DataFrame, offsets, same: str | None = None) -> Data
 TILE = 48
 
 
-def settle(src: np.ndarray, dst: np.ndarray, n: int) -> np.ndarray:
-    """The least node reachable from each of n nodes over undirected edges: minima over edges and pointer jumps."""
-    least = np.arange(n)
-    while True:
-        a, b = least[src], least[dst]
-        if (a == b).all():
-            return least
-        np.minimum.at(least, np.maximum(a, b), np.minimum(a, b))
-        while not (least == (jumped := least[least])).all():
-            least = jumped
-
-
 def tile_roots(voxels: DataFrame, offsets, same: str | None = None, flags: list[str] | None = None) -> DataFrame:
     """``voxels`` with root, the least lin of their component within their tile.
 
