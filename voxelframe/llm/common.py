@@ -22,6 +22,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a table in the shared folder that nothing reads any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def slices(batches: Iterable[pa.RecordBatch], column: str, budget: int = 4_000_000) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that ``column`` holds about ``budget`` bytes in each: bounds a task's memory.
 

@@ -2,16 +2,19 @@
 
 Words are dealt to ``BUCKETS`` buckets by CRC, and the end of a text has a code of its own. A hidden state emits a
 bucket; the word within its bucket follows the smoothed counts of the training words, so the model knows every word
-that the corpus has while its own tables stay small. Baum-Welch: each iteration, tasks sum the expected counts of
-their training sequences in one narrow pass, the sums meet by a group-by, and the driver makes the next model from
-states x buckets numbers. The scaled forward recursion gives the exact likelihood of every whole text.
+that the corpus has while its own tables stay small. Baum-Welch: tasks sum the expected counts of their training
+sequences in a narrow pass, the sums meet by a group-by, and the driver makes the next model from states x buckets
+numbers. The sequences are dealt to ``SHARDS`` shards and each step renews one shard's counts within the sum over all
+(incremental expectation maximisation), so a few sweeps over the corpus make many steps. The scaled forward recursion
+gives the exact likelihood of every whole text.
 
 1. One pass cuts the documents into chunks of about ``CHUNK`` bytes: each has its own dictionary with training counts,
    and its documents are numbers of words in it.
-2. Counts of words meet by word; only the distinct words of a chunk are shuffled, never all tokens.
+2. A chunk's distinct words, never all tokens, are dealt out by word once; the sums go back to the rows they are of. A
+   word has at most a row a chunk.
 3. The counts of a chunk's words go back to the chunk (cogroup, bounded by the chunk), which gives each document its
    unigram score and its sequence of buckets.
-4. Iterations and scores read these sequences.
+4. Steps and scores read these sequences.
 
 Defined cases: null and empty texts are the end alone; rows without doc_id are training documents and are scored;
 repeated rows count and are scored each; without training documents every token is unknown, with probability 1; an
@@ -24,6 +27,7 @@ import zlib
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -31,17 +35,17 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxelframe.storage import materialise
+from voxelframe.storage import materialise, scratch_path
 
-from .common import mapped, slices, word_blocks
+from .common import mapped, remove, slices, word_blocks
 
 #: Buckets of words; the end of a text is the code after them. Codes fit in 16 bits.
 BUCKETS = 16_384
-STATES, ITERATIONS = 8, 10
+STATES, SHARDS, SWEEPS = 8, 8, 2
 #: Bytes of text that share a dictionary.
-CHUNK = 4_000_000
+CHUNK = 32_000_000
 #: Tokens that a task sorts by length and that it holds in floating point at once.
-SORTED, AT_ONCE = 3_000_000, 200_000
+SORTED, AT_ONCE = 3_000_000, 300_000
 #: Pseudo-counts: an emission row leans on the unigram shares by this many tokens.
 LEAN = 5000.0
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -171,32 +175,42 @@ def steps_of(sequences: list[np.ndarray]) -> Iterator[tuple[list[int], Steps]]:
         at = end
 
 
+def planes(ids: np.ndarray) -> bytes:
+    """32-bit numbers with their first bytes together, then their second bytes, and so on: small ones compress."""
+    return ids.astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def from_planes(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, np.uint8).reshape(4, -1).T.copy().view("<i4").ravel()
+
+
 def encode(docs: DataFrame, held: Column) -> DataFrame:
     """Chunks: rows (chunk, doc_id, held, ids) of documents and (chunk, local, word, c) of their distinct words, with the
     counts of the training documents."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, chunks = TaskContext.get().partitionId(), 0
+        # Of a chunk's number, the lower 20 bits count within the task.
+        name = TaskContext.get().partitionId() << 20
         names = ["chunk", "doc_id", "held", "ids", "local", "word", "c"]
 
         def flush(rows: list, places: dict) -> Iterator[pa.RecordBatch]:
-            name, n = f"{task}-{chunks}", len(places)
+            n = len(places)
             counts = np.zeros(n, np.int64)
             for _, out, ids in rows:
                 if not out:
-                    counts += np.bincount(ids, minlength=n)
+                    np.add.at(counts, ids, 1)
             for at in range(0, len(rows), 1000):
                 i, h, ids = zip(*rows[at : at + 1000], strict=True)
                 none = [pa.nulls(len(i), t) for t in (pa.int32(), pa.string(), pa.int64())]
-                columns = [pa.array([name] * len(i)), pa.array(i, pa.int64()), pa.array(h, pa.bool_()), pa.array([x.tobytes() for x in ids], pa.binary())]
+                columns = [pa.array(np.full(len(i), name)), pa.array(i, pa.int64()), pa.array(h, pa.bool_()), pa.array(map(planes, ids), pa.binary())]
                 yield pa.RecordBatch.from_arrays([*columns, *none], names)
-            words = list(places)
+            words = iter(places)
             for at in range(0, n, 50_000):
-                some = words[at : at + 50_000]
+                some = list(islice(words, 50_000))
                 k = len(some)
                 none = [pa.nulls(k, t) for t in (pa.int64(), pa.bool_(), pa.binary())]
                 told = [pa.array(np.arange(at, at + k, dtype=np.int32)), pa.array(some, pa.binary()).cast(pa.string()), pa.array(counts[at : at + k])]
-                yield pa.RecordBatch.from_arrays([pa.array([name] * k), *none, *told], names)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(k, name)), *none, *told], names)
 
         def fresh() -> tuple[list, dict, int]:
             places: dict[bytes, int] = defaultdict()
@@ -207,23 +221,22 @@ def encode(docs: DataFrame, held: Column) -> DataFrame:
         for batch in slices(batches, "text"):
             for i, text, out in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), batch.column(2).to_pylist(), strict=True):
                 data = (text.as_py() or b"").translate(LOWER)
-                ids = [np.array(list(map(places.__getitem__, words)), np.int32) for words in word_blocks(data)]
+                ids = [np.fromiter(map(places.__getitem__, words), np.int32, len(words)) for words in word_blocks(data)]
                 rows.append((i, out, np.concatenate(ids) if ids else np.zeros(0, np.int32)))
                 size += len(data)
                 if size >= CHUNK:
                     yield from flush(rows, places)
-                    chunks += 1
+                    name += 1
                     rows, places, size = fresh()
         if rows:
             yield from flush(rows, places)
 
-    schema = "chunk string, doc_id long, held boolean, ids binary, local int, word string, c long"
+    schema = "chunk long, doc_id long, held boolean, ids binary, local int, word string, c long"
     return mapped(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), held.alias("held")), run, schema)
 
 
-def code() -> Column:
-    """The bucket of ``word``."""
-    return (F.crc32(F.col("word").cast("binary")) % BUCKETS).cast("int")
+#: Columns of a document that its score is returned with.
+COLUMNS = ["doc_id", "held_out", "n_tokens", "n_known", "base_score"]
 
 
 @dataclass
@@ -236,25 +249,30 @@ class Corpus:
 
 
 def prepare(docs: DataFrame, held: Column | None = None) -> Corpus:
-    """``sequences`` has doc_id, held_out, n_tokens, n_known, base_score, inside (log10 of the words' shares within their
-    buckets) and codes."""
-    chunks = materialise(encode(docs, held_out() if held is None else held), "lm-chunks")
+    """``sequences`` has shard, doc_id, held_out, n_tokens, n_known, base_score, inside (log10 of the words' shares within
+    their buckets) and codes."""
+    spark = docs.sparkSession
+    path = scratch_path(spark, "lm-chunks")
+    encode(docs, held_out() if held is None else held).write.parquet(path)
+    chunks = spark.read.parquet(path)
     words, texts = chunks.where("word is not null"), chunks.where("word is null")
-    counts = materialise(words.groupBy("word").agg(F.sum("c").alias("c")).where("c > 0"), "lm-counts")
+    # Dealt out once: the sums and the rows they go back to are in the same place.
+    dealt = words.select("chunk", "local", "word", "c").repartition("word")
+    sums = dealt.groupBy("word").agg(F.sum("c").alias("all"), F.min("chunk").alias("owner"))
+    bucket = (F.crc32(F.col("word").cast("binary")) % BUCKETS).cast("int").alias("code")
+    counted = dealt.join(sums.hint("shuffle_merge"), "word").select("chunk", "local", F.col("all").alias("c"), bucket, (F.col("chunk") == F.col("owner")).alias("own"))
+    counted = materialise(counted, "lm-counted")
     ends = texts.where("not held").count()
     # c of all words, and words, by bucket: at most BUCKETS rows.
     totals = np.zeros((2, BUCKETS + 1), np.int64)
-    for r in counts.groupBy(code().alias("code")).agg(F.sum("c").alias("c"), F.count("*").alias("v")).collect():
+    for r in counted.where("own and c > 0").groupBy("code").agg(F.sum("c").alias("c"), F.count("*").alias("v")).collect():
         totals[:, r["code"]] = r["c"], r["v"]
     totals[:, BUCKETS] = ends, ends > 0
     tokens, distinct = (int(x) for x in totals.sum(axis=1))
     # A bucket holds its words, one added to each count, and one word that is not known; the end's holds the end alone.
     weights = totals.sum(axis=0) + 1
     weights[BUCKETS] = ends + 1
-    shared = docs.sparkSession.sparkContext.broadcast(np.log10(weights))  # a number for each bucket
-
-    counted = words.select("chunk", "local", "word").join(counts, "word", "left")
-    counted = counted.select(F.col("chunk").alias("of"), "local", F.coalesce("c", F.lit(0)).alias("c"), code().alias("code"))
+    shared = spark.sparkContext.broadcast(np.log10(weights))  # a number for each bucket
     all_log = float(np.log10(tokens + distinct + 1))
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -267,16 +285,19 @@ def prepare(docs: DataFrame, held: Column | None = None) -> Corpus:
         ended = float(np.log10(ends + 1.0)) - all_log
         out = []
         for blob in left.column("ids").to_pylist():
-            ids = np.frombuffer(blob, np.int32)
-            told = np.append(codes[ids], np.uint16(BUCKETS))
-            out.append((len(ids) + 1, int(known[ids].sum()) + (ends > 0), float(base[ids].sum()) + ended, float(within[ids].sum()), told.tobytes()))
-        columns = [pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary()), strict=True)]
-        names = ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "inside", "codes"]
-        return pa.Table.from_arrays([left.column("doc_id"), left.column("held"), *columns], names=names)
+            ids = from_planes(blob)
+            told = np.append(codes[ids], np.uint16(BUCKETS)).tobytes()
+            out.append((zlib.crc32(told) % SHARDS, len(ids) + 1, int(known[ids].sum()) + (ends > 0), float(base[ids].sum()) + ended, float(within[ids].sum()), told))
+        kinds = (pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary())
+        shard, *columns = (pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True))
+        return pa.Table.from_arrays([shard, left.column("doc_id"), left.column("held"), *columns], names=["shard", *COLUMNS, "inside", "codes"])
 
-    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, inside double, codes binary"
-    told = texts.select("chunk", "doc_id", "held", "ids").groupBy("chunk").cogroup(counted.groupBy("of")).applyInArrow(run, schema)
-    return Corpus(materialise(told, "lm-sequences"), weights / weights.sum(), tokens)
+    schema = "shard int, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, inside double, codes binary"
+    given = counted.select(F.col("chunk").alias("of"), "local", "c", "code")
+    told = texts.select("chunk", "doc_id", "held", "ids").groupBy("chunk").cogroup(given.groupBy("of")).applyInArrow(run, schema)
+    told = materialise(told, "lm-sequences")
+    remove(spark, path)
+    return Corpus(told, weights / weights.sum(), tokens)
 
 
 def gathered_codes(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[list[pa.RecordBatch], list[np.ndarray]]]:
@@ -305,11 +326,11 @@ def iterate(sequences: DataFrame, model: Model) -> Expected:
         for _, some in gathered_codes(batches):
             for _, steps in steps_of(some):
                 steps.expect(m, into)
-        rows = into.rows()
-        at = np.flatnonzero(rows.any(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), *(pa.array(rows[at, k]) for k in range(states))], ["row", *(f"s{k}" for k in range(states))])
+        rows = into.rows().astype(np.float32)
+        at = np.flatnonzero(rows.any(axis=1)).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(at), *(pa.array(rows[at, k]) for k in range(states))], ["row", *(f"s{k}" for k in range(states))])
 
-    found = mapped(sequences.select("codes"), run, "row long, " + ", ".join(f"s{k} double" for k in range(states)))
+    found = mapped(sequences.select("codes"), run, "row int, " + ", ".join(f"s{k} float" for k in range(states)))
     summed = found.groupBy("row").agg(*(F.sum(f"s{k}").alias(f"s{k}") for k in range(states)))
     rows = np.zeros((len(model.emit) + states + 2, states))
     for r in summed.collect():  # at most one row for each code and state
@@ -318,18 +339,19 @@ def iterate(sequences: DataFrame, model: Model) -> Expected:
     return Expected.of(rows)
 
 
-def train(corpus: Corpus, states: int = STATES, iterations: int = ITERATIONS) -> Model:
-    """Baum-Welch over all training documents."""
-    model, learned = initial(corpus.shares, states), corpus.sequences.where("not held_out")
-    for _ in range(iterations):
-        model = iterate(learned, model).model(corpus.shares)
+def train(corpus: Corpus, states: int = STATES, sweeps: int = SWEEPS) -> Model:
+    """Baum-Welch over all training documents, a shard a step; the counts of all shards make the next model."""
+    model, learned, counts = initial(corpus.shares, states), corpus.sequences.where("not held_out"), {}
+    for step in range(sweeps * SHARDS):
+        shard = step % SHARDS
+        counts[shard] = iterate(learned.where(F.col("shard") == shard), model).rows()
+        model = Expected.of(sum(counts.values())).model(corpus.shares)
     return model
 
 
 def score(corpus: Corpus, model: Model) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score, the log10 probability of the text."""
     shared = corpus.sequences.sparkSession.sparkContext.broadcast(model)
-    names = ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for held, sequences in gathered_codes(batches):
@@ -339,9 +361,9 @@ def score(corpus: Corpus, model: Model) -> DataFrame:
             at = 0
             for batch in held:
                 own = batch.column(5).to_numpy() + found[at : at + batch.num_rows] / np.log(10)
-                yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(own)], names)
+                yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(own)], [*COLUMNS, "score"])
                 at += batch.num_rows
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
-    told = mapped(corpus.sequences.select("doc_id", "held_out", "n_tokens", "n_known", "base_score", "inside", "codes"), run, schema)
-    return told.withColumn("train_tokens", F.lit(corpus.tokens).cast("long")).select(*names[:4], "train_tokens", *names[4:])
+    told = mapped(corpus.sequences.select(*COLUMNS, "inside", "codes"), run, schema)
+    return told.withColumn("train_tokens", F.lit(corpus.tokens).cast("long")).select(*COLUMNS[:4], "train_tokens", "base_score", "score")
