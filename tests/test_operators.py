@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from voxelframe.functions.config import DataSettings, DecodeSettings
-from voxelframe.operators import affinity, assignment, batches, components, datasets, grid_graph, instances, metrics, morphology, points, skeleton, splits, tiles, volume, watershed
+from voxelframe.operators import affinity, assignment, batches, components, datasets, grid_graph, instances, metrics, morphology, points, skeleton, splits, sweep, tiles, volume, watershed
 from voxelframe.sources import pairing, sinks, volumes
 
 
@@ -400,3 +400,54 @@ def test_entry_imports_without_optional_modules(tmp_path):
     code = "import __spark_entry__ as e; q, o = e.queries(), e.oracle_sql(); assert 'instance_metrics' in q and set(o) <= set(q); assert not any(k[:2] == 'op' and k[2].isdigit() or k == 'pipeline' for k in q)"
     env = {**os.environ, "PYTHONPATH": str(tmp_path)}
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, check=True, timeout=120)
+
+
+@pytest.mark.parametrize("tile", [3, 64])
+def test_affinities_across_tiles_by_one_shuffle(spark, monkeypatch, tile):
+    monkeypatch.setattr(affinity, "TILE", tile)
+    labels = np.random.default_rng(5).integers(-1, 3, (7, 5, 8))
+    found = affinity.all_affinities(cube(spark, labels, "label"), [1, 2])
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    got = {(r.axis, r.distance, r.z, r.y, r.x): (r.aff, r.mask) for r in found.collect()}
+    assert len(got) == 6 * labels.size
+    for (axis, d, *at), (aff, mask) in got.items():
+        to = list(at)
+        to["zyx".index(axis)] += d
+        there = all(c < n for c, n in zip(to, labels.shape, strict=True))
+        a, b = labels[tuple(at)], labels[tuple(to)] if there else None
+        assert aff == (there and a == b != 0) and mask == (there and a != -1 and b != -1), (axis, d, at)
+
+
+def test_scores_at_many_thresholds_are_those_of_each(spark):
+    rng = np.random.default_rng(9)
+    nodes = spark.createDataFrame([(i // 20, i, int(rng.integers(0, 6)), float(rng.random())) for i in range(120)], "skel_id long, node_id long, pred_id long, nm double")
+    edges = spark.createDataFrame([(i // 20, i, i + 1, float(rng.random())) for i in range(119) if i % 20 != 19], "skel_id long, u long, v long, edge_length double")
+    sizes = (0, 2, 5, 1000)
+    found = {r.ignored: r for r in skeleton.expected_run_length(skeleton.classify_sizes(edges, nodes, sizes), ["ignored"]).collect()}
+    for n in sizes:
+        one = skeleton.expected_run_length(skeleton.classify(edges, nodes, n)).first()
+        assert np.allclose([found[n].erl, found[n].max_erl, found[n].nerl], [one.erl, one.max_erl, one.nerl])
+    cut = lambda t: F.when(F.col("nm") < t, 0).otherwise(F.col("pred_id")).cast("long")
+    rows = {r.thr: r for r in sweep.sweep(nodes, edges, cut, [0.1, 0.5, 2.0]).collect()}
+    assert set(rows) == {0.1, 0.5, 2.0} and rows[2.0].n_non0_mergers == 0
+    for t, r in rows.items():
+        one = nodes.withColumn("pred_id", cut(t))
+        pairs = one.select(F.col("skel_id").alias("gt"), F.col("pred_id").alias("pred"))
+        assert np.isclose(r.nerl, skeleton.expected_run_length(skeleton.classify(edges, one)).first().nerl)
+        assert np.isclose(r.voi, metrics.voi(metrics.contingency(pairs)).first().voi_sum)
+        assert r.n_non0_mergers == skeleton.merge_split_counts(one).first().n_non0_mergers
+
+
+def test_centre_padding_does_not_crop(spark):
+    with pytest.raises(ValueError, match="does not fit"):
+        volume.center_pad(cube(spark, np.ones((2, 6, 8), int), "val"), (2, 6, 8), (4, 4, 4))
+
+
+def test_clean_joins_corners(spark):
+    """Two crosses that touch along an edge are one instance."""
+    labels = np.zeros((5, 9, 9), int)
+    for y, x in ((3, 3), (4, 5)):
+        for step in morphology.BALL:
+            labels[2 + step[0], y + step[1], x + step[2]] = 1 + (x == 5)
+    found = batches.clean(cube(spark, labels, "label"), labels.shape, 1, None, True).collect()
+    assert {r.label for r in found} == {1}

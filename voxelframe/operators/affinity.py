@@ -2,31 +2,51 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .volume import AXES
 
 
-def affinities(labels: DataFrame, distance: int = 1) -> DataFrame:
-    """(axis, z, y, x, aff, mask) along each axis of a dense volume.
+#: Voxels along the side of a tile; more where a distance is longer.
+TILE = 64
+
+
+def all_affinities(labels: DataFrame, distances: Sequence[int]) -> DataFrame:
+    """(axis, distance, z, y, x, aff, mask) along each axis of a dense volume, at each distance.
 
     aff: the voxel and the one ``distance`` further hold the same label and not 0; false beyond the border.
-    mask: the neighbour exists and neither is unlabelled. Lines of the volume are the partitions; a line's length is
-    bounded by the axis, so no task holds more than a line at a time.
+    mask: the neighbour exists and neither is unlabelled. A voxel goes to its tile, and from the first places of a tile
+    to the one before as well; the lines of all axes lie whole within these tiles, so the volume is shuffled once.
     """
-    out = None
+    far = max(distances)
+    size = max(TILE, far)
+    own = [F.floor(F.col(a) / size).alias(f"t{a}") for a in AXES]
+    to = [F.struct(*own, F.lit(True).alias("own"))]
     for axis in AXES:
-        line = Window.partitionBy(*(a for a in AXES if a != axis)).orderBy(axis)
-        other = F.lead("label", distance).over(line)
-        one = labels.withColumn("_o", other).select(
-            F.lit(axis).alias("axis"),
-            *AXES,
-            F.coalesce((F.col("label") == F.col("_o")) & (F.col("label") != 0), F.lit(False)).alias("aff"),
-            F.coalesce((F.col("label") != -1) & (F.col("_o") != -1), F.lit(False)).alias("mask"),
-        )
-        out = one if out is None else out.unionByName(one)
-    return out
+        back = [(t - 1).alias(f"t{a}") if a == axis else t for a, t in zip(AXES, own, strict=True)]
+        to.append(F.when(F.pmod(F.col(axis), F.lit(size)) < far, F.struct(*back, F.lit(False).alias("own"))))
+    rows = labels.select(*AXES, "label", F.explode(F.array_compact(F.array(*to))).alias("_t")).select(*AXES, "label", "_t.*")
+    tile = [f"t{a}" for a in AXES]
+    rows = rows.repartition(*tile)
+    found = []
+    for axis in AXES:
+        line = Window.partitionBy(*tile, *(a for a in AXES if a != axis)).orderBy(axis)
+        for d in distances:
+            other = f"_{axis}{d}"
+            rows = rows.withColumn(other, F.lead("label", d).over(line))
+            same = F.coalesce((F.col("label") == F.col(other)) & (F.col("label") != 0), F.lit(False))
+            known = F.coalesce((F.col("label") != -1) & (F.col(other) != -1), F.lit(False))
+            found.append(F.struct(F.lit(axis).alias("axis"), F.lit(d).alias("distance"), same.alias("aff"), known.alias("mask")))
+    rows = rows.where("own").select(*AXES, F.explode(F.array(*found)).alias("_a"))
+    return rows.select("_a.axis", "_a.distance", *AXES, "_a.aff", "_a.mask")
+
+
+def affinities(labels: DataFrame, distance: int = 1) -> DataFrame:
+    """(axis, z, y, x, aff, mask) at one distance."""
+    return all_affinities(labels, [distance]).drop("distance")
 
 
 def encoded(aff: DataFrame) -> DataFrame:

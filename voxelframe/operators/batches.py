@@ -157,8 +157,9 @@ def skeleton_report(nodes: DataFrame, edges: DataFrame, ignored: tuple[int, ...]
     lengths without mergers of at most each ignored size."""
     pairs = nodes.select(F.col("skel_id").alias("gt"), F.col("pred_id").alias("pred"))
     parts = [metrics.voi(metrics.contingency(pairs)), skeleton.expected_run_length(skeleton.classify(edges, nodes)), skeleton.merge_split_counts(nodes)]
-    for size in ignored:
-        parts.append(skeleton.expected_run_length(skeleton.classify(edges, nodes, size)).select(F.col("nerl").alias(f"nerl_{size}")))
+    if ignored:
+        by = skeleton.expected_run_length(skeleton.classify_sizes(edges, nodes, ignored), ["ignored"])
+        parts.append(by.agg(*(F.max(F.when(F.col("ignored") == float(n), F.col("nerl"))).alias(f"nerl_{n}") for n in ignored)))
     out = parts[0].withColumn("_k", F.lit(1))
     for part in parts[1:]:
         out = out.join(part.withColumn("_k", F.lit(1)), "_k")

@@ -107,15 +107,16 @@ def binary_metrics(rows: DataFrame, true: Column, pred: Column) -> DataFrame:
     return counts.select("tp", "fp", "fn", p.alias("precision"), r.alias("recall"), ratio(2 * p * r, p + r).alias("f1"), ratio(F.col("tp"), F.col("tp") + F.col("fp") + F.col("fn")).alias("accuracy"))
 
 
-def voi(table: DataFrame) -> DataFrame:
+def voi(table: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Variation of information in bits, nothing excluded: split = H(pred | gt), merge = H(gt | pred)."""
-    gt = table.groupBy("gt").agg(F.sum("n").alias("a"))
-    pred = table.groupBy("pred").agg(F.sum("n").alias("b"))
-    joined = table.join(gt, "gt").join(pred, "pred")
+    by = by or []
+    gt = table.groupBy(*by, "gt").agg(F.sum("n").alias("a"))
+    pred = table.groupBy(*by, "pred").agg(F.sum("n").alias("b"))
+    joined = table.join(gt, [*by, "gt"]).join(pred, [*by, "pred"])
     total = F.sum("n")
     split = -F.sum(F.col("n") * F.log2(F.col("n") / F.col("a"))) / total
     merge = -F.sum(F.col("n") * F.log2(F.col("n") / F.col("b"))) / total
-    return joined.agg(split.alias("voi_split"), merge.alias("voi_merge"), (split + merge).alias("voi_sum"))
+    return joined.groupBy(*by).agg(split.alias("voi_split"), merge.alias("voi_merge"), (split + merge).alias("voi_sum"))
 
 
 def micro_macro(rows: DataFrame, scores: list[str]) -> DataFrame:

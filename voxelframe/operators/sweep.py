@@ -17,17 +17,19 @@ def sweep_thresholds() -> list[float]:
 
 
 def sweep(nodes: DataFrame, edges: DataFrame, segment: Callable[[float], Column], thresholds: list[float], ignored_size: float = 0) -> DataFrame:
-    """(thr, nerl, voi, n_non0_mergers) for the segmentation that ``segment(threshold)`` gives the nodes."""
-    out = None
-    for t in thresholds:
-        one = nodes.withColumn("pred_id", segment(t))
-        runs = skeleton.expected_run_length(skeleton.classify(edges, one, ignored_size)).select("nerl", F.lit(1).alias("_k"))
-        pairs = one.select(F.col("skel_id").alias("gt"), F.col("pred_id").alias("pred"))
-        voi = metrics.voi(metrics.contingency(pairs)).select(F.col("voi_sum").alias("voi"), F.lit(1).alias("_k"))
-        merged = skeleton.merging(one, ignored_size).agg(F.count_if(F.col("pred_id") != 0).alias("n_non0_mergers")).withColumn("_k", F.lit(1))
-        row = runs.join(voi, "_k").join(merged, "_k").select(F.lit(float(t)).alias("thr"), "nerl", "voi", "n_non0_mergers")
-        out = row if out is None else out.unionByName(row)
-    return out
+    """(thr, nerl, voi, n_non0_mergers) for the segmentation that ``segment(threshold)`` gives the nodes.
+
+    The thresholds are rows of one plan: every node has a segment at each, and each score is grouped by thr.
+    """
+    each = F.explode(F.array(*(F.struct(F.lit(float(t)).alias("thr"), segment(t).alias("pred_id")) for t in thresholds)))
+    one = nodes.withColumn("_at", each).drop("pred_id").select("*", "_at.thr", "_at.pred_id").drop("_at")
+    by = ["thr"]
+    runs = skeleton.expected_run_length(skeleton.classify(edges, one, ignored_size, by), by).select("thr", "nerl")
+    pairs = one.select("thr", F.col("skel_id").alias("gt"), F.col("pred_id").alias("pred"))
+    voi = metrics.voi(metrics.contingency(pairs, by), by).select("thr", F.col("voi_sum").alias("voi"))
+    merged = skeleton.merging(one, ignored_size, by).groupBy("thr").agg(F.count_if(F.col("pred_id") != 0).alias("n_non0_mergers"))
+    rows = runs.join(voi, "thr").join(merged, "thr", "left")
+    return rows.select("thr", "nerl", "voi", F.coalesce("n_non0_mergers", F.lit(0)).cast("long").alias("n_non0_mergers"))
 
 
 def best_thresholds(nodes: DataFrame, edges: DataFrame, segment: Callable[[float], Column], thresholds: list[float]) -> DataFrame:

@@ -93,11 +93,12 @@ def clean_components(spark, sf):
     return labelled(batches.clean(fx.voxel_label(spark, sf).select("z", "y", "x", "label"), shape, 40, None, True))
 
 
-@query(f"select * from ({ORACLES['voi_nodes']}) v, ({ORACLES['erl']}) e, ({ORACLES['merge_split_counts']}) m")
+@query(f"""select v.*, e.*, m.*, max(n.nerl) filter (where ignored = 5) as nerl_5, max(n.nerl) filter (where ignored = 20) as nerl_20
+from ({ORACLES['voi_nodes']}) v, ({ORACLES['erl']}) e, ({ORACLES['merge_split_counts']}) m, ({ORACLES['nerl_ignore']}) n group by all""")
 def skeleton_report(spark, sf):
     nodes = fx.node(spark, sf)
-    found = batches.skeleton_report(nodes, fx.edge(nodes), ())
-    return found.select(*r("voi_split", "voi_merge", "voi_sum", "erl", "max_erl", "nerl"), "n_mergers", "n_non0_mergers", "n_splits")
+    found = batches.skeleton_report(nodes, fx.edge(nodes), (5, 20))
+    return found.select(*r("voi_split", "voi_merge", "voi_sum", "erl", "max_erl", "nerl", "nerl_5", "nerl_20"), "n_mergers", "n_non0_mergers", "n_splits")
 
 
 @query(f"""with {HALF}, {TRUTH}, s as (select vol_id, label, count(*) as n from tv where label > 0 group by all)

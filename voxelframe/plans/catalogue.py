@@ -612,11 +612,8 @@ def nerl_part(k: str, n: float) -> str:
 @query(f"with {fx.NODE} {' union all '.join(nerl_part(f'cast({n} as bigint)', n) for n in (5, 20, 100, 1000000000))}")
 def nerl_ignore(spark, sf):
     nodes = fx.node(spark, sf)
-    edges, out = fx.edge(nodes), None
-    for size in (5, 20, 100, 1_000_000_000):
-        one = skeleton.expected_run_length(skeleton.classify(edges, nodes, size)).select(F.lit(size).cast("long").alias("ignored"), *r("erl", "nerl"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    found = skeleton.expected_run_length(skeleton.classify_sizes(fx.edge(nodes), nodes, (5, 20, 100, 1_000_000_000)), ["ignored"])
+    return found.select(F.col("ignored").cast("long").alias("ignored"), *r("erl", "nerl"))
 
 
 @query(f"""with {fx.NODE}, {class_sql('0')} select (select count(*) from mg) as n_mergers, (select count(*) from mg where pred_id <> 0) as n_non0_mergers,
