@@ -226,6 +226,20 @@ def test_line_dedup_is_reversible(spark):
     assert back.refs.count() == 0
 
 
+def test_line_dedup_insert_replaces(spark):
+    """A known doc_id is not held twice: its new lines take the place of the earlier ones, and those come back."""
+    line, other = "a line of more than forty characters, held by six", "another line of more than forty characters here"
+    frame = lambda x: spark.createDataFrame(x, "doc_id long, text string")
+    rows = [(i, line) for i in range(6)]
+    index = line_dedup.LineIndex.build(frame(rows))
+    told = lambda x: [(r.n_docs, r.max_doc) for r in x.refs.collect()]
+    assert told(index) == [(6, 5)]
+    assert told(index.insert(frame(rows[:2] + rows[:1]))) == [(6, 5)]
+    grown = index.insert(frame([(5, other), (None, other)]))
+    assert told(grown) == [(5, 4)]
+    assert told(grown.delete(frame(rows[5:]))) == [(5, 4)] and told(grown.insert(frame(rows[5:]))) == [(6, 5)]
+
+
 def test_line_dedup_shards_follow_the_keys(spark, monkeypatch):
     monkeypatch.setattr(line_dedup, "SHARD_KEYS", 4)
     monkeypatch.setattr(line_dedup, "GROUP_KEYS", 5)
@@ -237,7 +251,8 @@ def test_line_dedup_shards_follow_the_keys(spark, monkeypatch):
     assert index.shards == 4
     grown = index.insert(frame(rows[8:12])).insert(frame(rows[12:]))
     assert grown.shards == 8 and grown.changes == 0
-    for limit in (line_dedup.BROADCAST_BYTES, -1):
+    # All that is needed for every task, the filters alone, and neither.
+    for limit in (line_dedup.BROADCAST_BYTES, grown._bytes(), -1):
         monkeypatch.setattr(line_dedup, "BROADCAST_BYTES", limit)
         want = brute_lines(rows)
         assert {r.doc_id: (r.text or "").split("\n") for r in grown.apply(frame(rows)).collect()} == {i: x or [""] for i, x in want.items()}

@@ -2,11 +2,13 @@
 
 The state of a corpus is two tables in the shared folder: ``postings`` (key, doc_id), the exact holders of every
 eligible line key, and ``filters`` (shard, capacity, table), one cuckoo filter a shard with the keys that at least
-``min_docs`` documents hold. ``insert`` adds documents and ``delete`` takes them back: both recount only the keys they
-touch and add to or delete from the filters, so a deletion restores the earlier result; postings are added or struck
-out beside the earlier ones and rewritten only after ``CHANGES`` changes. The number of shards follows the number of
-keys in the filters, so a shard is of bounded size. ``apply`` tests each line against its shard's filter; only the lines
-that pass go to the exact table, which decides.
+``min_docs`` documents hold. ``insert`` adds documents, each in place of what is known of its doc_id, and ``delete``
+takes documents away: both recount only the keys they touch and add to or delete from the filters, so deleting new
+documents restores the earlier result (documents that an insert replaced are inserted again to restore theirs); postings
+are added or struck out beside the earlier ones and rewritten only after ``CHANGES`` changes. The number of shards
+follows the number of keys in the filters, so a shard is of bounded size. ``apply`` tests each line against its shard's
+filter; only the lines that pass are looked up in the exact table, which decides. Where filters and table are small
+enough for every task both happen where the text is, in one narrow pass.
 
 Defined cases: null and empty texts are one empty line; keys shorter than ``min_chars`` code points are never
 dropped; repeated rows of a doc_id are one document; rows without doc_id hold no line and keep all of theirs; a line
@@ -34,8 +36,11 @@ from .common import BLANKS, mapped, slices, unused, without
 #: Slots of a bucket and bits of a fingerprint in a cuckoo filter.
 SLOTS, FINGER = 4, 16
 KICKS = 500
-#: Filters up to this many bytes in all go to every task; beyond, line keys go to the filters' shards.
+#: Filters, and with them the exact table, up to this many bytes in all go to every task; beyond, line keys go to the
+#: filters' shards, and doomed keys to the texts.
 BROADCAST_BYTES = 32 << 20
+#: Bytes of a row of the exact table: key and largest doc_id.
+REF_BYTES = 24
 #: Keys a shard's filter is meant for, line keys tested in one group beyond the broadcast, changes until postings are rewritten.
 SHARD_KEYS, GROUP_KEYS, CHANGES = 100_000, 200_000, 16
 
@@ -145,9 +150,13 @@ class LineIndex:
         return cls(docs.sparkSession, postings, refs, filters, min_docs, min_chars, shards)
 
     def insert(self, docs: DataFrame) -> LineIndex:
-        """The state with the keys of further documents."""
+        """The state with the keys of further documents; one with a known doc_id takes that document's place."""
+        docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+        given = materialise(docs.select("doc_id").distinct(), "line-given")
         new = materialise(line_keys(docs, self.min_chars), "line-postings")
-        return self._after(self.postings.unionByName(new), new.select("key").distinct())
+        before = self.postings.join(given, "doc_id", "left_semi").select("key")
+        touched = materialise(before.unionByName(new.select("key")).distinct(), "line-touched")
+        return self._after(self.postings.join(given, "doc_id", "left_anti").select("key", "doc_id").unionByName(new), touched)
 
     def delete(self, doc_ids: DataFrame) -> LineIndex:
         """The state without these documents (a column doc_id)."""
@@ -178,17 +187,44 @@ class LineIndex:
     def apply(self, docs: DataFrame, before: str = "n_lines", dropped: str = "n_dropped") -> DataFrame:
         """``docs`` with the doomed lines gone from ``text``, and the number of lines before and of those dropped."""
         docs = without(docs, before, dropped)
+        size, refs = self._bytes(), self.refs.count()
+        if size + refs * REF_BYTES <= BROADCAST_BYTES:
+            return drop_lines(docs, None, self.min_chars, before, dropped, self._lookup())
         name = unused(docs.columns, "_doomed")
         doomed = self.candidates(docs).join(self.refs.select("key", "max_doc"), "key")
         doomed = doomed.where(F.col("doc_id") < F.col("max_doc")).groupBy("doc_id").agg(F.collect_set("key").alias(name))
         return drop_lines(docs.join(doomed, "doc_id", "left"), name, self.min_chars, before, dropped)
 
+    def _bytes(self) -> int:
+        return self.filters.agg(F.sum(F.length("table"))).first()[0] or 0
+
+    def _tables(self) -> dict[int, bytes]:
+        return {r["shard"]: bytes(r["table"]) for r in self.filters.collect()}
+
+    def _lookup(self) -> Callable[[list[bytes], list[int]], np.ndarray]:
+        """Which (key, doc_id) are doomed: the filters first, and what they pass by the exact table. Both are of a size
+        that was checked against ``BROADCAST_BYTES``."""
+        rows = self.refs.select("key", "max_doc").toArrow().sort_by("key")
+        last = rows["max_doc"].to_numpy().astype(np.int64)
+        sent = self.spark.sparkContext.broadcast((ordered(rows["key"].to_pylist()), last))
+        passes = tester(self.spark.sparkContext.broadcast(self._tables()), self.shards)
+
+        def doomed(keys: list[bytes], ids: list[int]) -> np.ndarray:
+            out = np.zeros(len(keys), bool)
+            if len(sent.value[1]) and keys:
+                near = np.flatnonzero(passes(keys))
+                told, last = sent.value
+                wanted = ordered([keys[i] for i in near])
+                at = np.minimum(np.searchsorted(told, wanted), len(told) - 1)
+                out[near] = (told[at] == wanted) & (np.array(ids, np.int64)[near] < last[at])
+            return out
+
+        return doomed
+
     def candidates(self, docs: DataFrame) -> DataFrame:
         """(key, doc_id) of the lines that their shard's filter passes: all that are in ``refs``, and few others."""
-        size = self.filters.agg(F.sum(F.length("table"))).first()[0] or 0
-        if size <= BROADCAST_BYTES:
-            held = {r["shard"]: bytes(r["table"]) for r in self.filters.collect()}
-            return line_keys(docs, self.min_chars, tester(self.spark.sparkContext.broadcast(held), self.shards))
+        if self._bytes() <= BROADCAST_BYTES:
+            return line_keys(docs, self.min_chars, tester(self.spark.sparkContext.broadcast(self._tables()), self.shards))
         # Too large for every task: each shard's keys are tested where its filter is, in salted groups of bounded size.
         keys = materialise(line_keys(docs, self.min_chars), "line-keys")
         salts = max(1, -(-keys.count() // (self.shards * GROUP_KEYS)))
@@ -209,8 +245,13 @@ def shards_for(refs: DataFrame, now: int = 1) -> int:
     return max(now, 1 << max(0, -(-refs.count() // SHARD_KEYS) - 1).bit_length())
 
 
+def ordered(keys: list[bytes]) -> np.ndarray:
+    """Keys of 16 bytes as pairs of numbers that sort as the keys do."""
+    return np.array(raw_keys(keys).view(">u8"), "u8").reshape(-1, 2).view([("a", "u8"), ("b", "u8")])[:, 0]
+
+
 def raw_keys(keys: Iterable[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(keys), np.uint8).reshape(-1, 16)
+    return np.frombuffer(b"".join(keys), np.uint8).reshape(-1, 16).copy()
 
 
 def passing(slots: np.ndarray, raw: np.ndarray) -> np.ndarray:
@@ -289,18 +330,34 @@ def update_filters(filters: DataFrame, changes: DataFrame) -> DataFrame:
     return filters.groupBy("shard").cogroup(changes.groupBy("shard")).applyInPandas(run, FILTERS)
 
 
-def drop_lines(docs: DataFrame, name: str, min_chars: int, n_lines: str, n_dropped: str) -> DataFrame:
-    """Drop the lines whose key is in the column ``name``; counts the lines before and those dropped."""
+def drop_lines(docs: DataFrame, name: str | None, min_chars: int, n_lines: str, n_dropped: str, doomed: Callable[[list[bytes], list[int]], np.ndarray] | None = None) -> DataFrame:
+    """Drop the lines whose key is in the column ``name`` or that ``doomed`` tells; counts the lines before and those
+    dropped."""
     names = [c for c in docs.columns if c != name]
-    text, doomed = docs.columns.index("text"), docs.columns.index(name)
+    text, told, own = docs.columns.index("text"), docs.columns.index(name) if name else -1, docs.columns.index("doc_id")
     rest = [i for i, c in enumerate(docs.columns) if c != name]
 
+    def gone_of(batch: pa.RecordBatch, lines: list[list[str]]) -> list[set[bytes]]:
+        if doomed is None:
+            return [set(keys or ()) for keys in batch.column(told).to_pylist()]
+        keys, ids, at = [], [], []
+        for i, (doc_id, some) in enumerate(zip(batch.column(own).cast(pa.int64()).to_pylist(), lines, strict=True)):
+            if doc_id is not None:
+                mine = {line_key(x, min_chars) for x in set(some)} - {None}
+                keys += mine
+                ids += [doc_id] * len(mine)
+                at += [i] * len(mine)
+        gone: list[set[bytes]] = [set() for _ in lines]
+        for k in np.flatnonzero(doomed(keys, ids)).tolist():
+            gone[at[k]].add(keys[k])
+        return gone
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 8_000_000):
             texts, before, dropped = [], [], []
-            for t, keys in zip(batch.column(text).to_pylist(), batch.column(doomed).to_pylist(), strict=True):
-                lines = (t or "").split("\n")
-                gone = set(keys or ())
+            whole = batch.column(text).to_pylist()
+            split = [(t or "").split("\n") for t in whole]
+            for t, lines, gone in zip(whole, split, gone_of(batch, split), strict=True):
                 kept = [x for x in lines if line_key(x, min_chars) not in gone] if gone else lines
                 texts.append("\n".join(kept) if gone else t)
                 before.append(len(lines))
