@@ -1,7 +1,8 @@
 """Volume files as voxel tables, read through Spark's ``binaryFile`` source so that any file system works.
 
 NumPy arrays, NIfTI files and Zarr v2 arrays (raw, zlib or gzip chunks) are decoded in parallel, a file or chunk a row.
-HDF5, TIFF and other codecs need libraries that are not part of this package; asking for them is an error.
+TIFF stacks and Zarr groups have data sources of their own (``tiff.py``, ``zarr.py``). HDF5 and other codecs need
+libraries that are not part of this package; asking for them is an error.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from pyspark.sql import functions as F
 
 from voxelframe.operators.volume import AXES
 
+from . import tiff
+
 VOXELS = "path string, z long, y long, x long, val double"
 #: NIfTI data type codes.
 NIFTI = {2: "u1", 4: "i2", 8: "i4", 16: "f4", 64: "f8", 256: "i1", 512: "u2", 768: "u4", 1024: "i8", 1280: "u8"}
@@ -36,7 +39,10 @@ def read_volume(spark: SparkSession, path: str) -> DataFrame:
         return _decoded(spark, path, decode_npy)
     if bare.endswith((".nii", ".nii.gz")):
         return _decoded(spark, path, decode_nifti)
-    raise ValueError(f"no decoder for {path!r}: supported are .parquet, .npy, .nii, .nii.gz and .zarr")
+    if bare.lower().endswith((".tif", ".tiff")):
+        spark.dataSource.register(tiff.TiffVolume)
+        return spark.read.format("tiff_volume").load(path)
+    raise ValueError(f"no decoder for {path!r}: supported are .parquet, .npy, .nii, .nii.gz, .tif, .tiff and .zarr")
 
 
 def _decoded(spark: SparkSession, path: str, decode) -> DataFrame:
@@ -61,6 +67,28 @@ def decode_npy(data: bytes) -> np.ndarray:
     return np.load(io.BytesIO(data), allow_pickle=False)
 
 
+def geometry(spark: SparkSession, path: str) -> DataFrame:
+    """(path, shape, spacing, origin) of NIfTI files in (z, y, x) order, from their headers: the table that
+    ``sinks.volume_meta`` writes for computed volumes."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for name, content in zip(frame["path"], frame["head"], strict=True):
+                head = bytes(content)
+                head = zlib.decompressobj(31).decompress(head, 352) if head[:2] == b"\x1f\x8b" else head
+                order = "<" if struct.unpack_from("<i", head)[0] == 348 else ">"
+                shape = struct.unpack_from(f"{order}8h", head, 40)[3:0:-1]
+                spacing = struct.unpack_from(f"{order}8f", head, 76)[3:0:-1]
+                origin = struct.unpack_from(f"{order}3f", head, 268)[::-1]
+                rows.append((name, list(shape), list(map(float, spacing)), list(map(float, origin))))
+            yield pd.DataFrame(rows, columns=["path", "shape", "spacing", "origin"])
+
+    # Of a compressed file too, the first bytes hold the header.
+    heads = spark.read.format("binaryFile").load(path).select("path", F.expr("substring(content, 1, 4096)").alias("head"))
+    return heads.mapInPandas(run, "path string, shape array<long>, spacing array<double>, origin array<double>")
+
+
 def decode_nifti(data: bytes) -> np.ndarray:
     """The array in (z, y, x) order, scaled by the header's slope and intercept."""
     data = gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
