@@ -77,6 +77,16 @@ def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drawn.select("doc_id", "n_features", "weight", "score", "rank")
 
 
+def pii_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op9 that are set by the base patterns alone, which SQL can follow."""
+    return op9_pii(spark, sf_dir).select("doc_id", *(f"n_{k}" for k in pii.BASE), "base_sha256")
+
+
+def media_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op10 that are set by the text alone, which SQL can follow."""
+    return op10_media_columns(spark, sf_dir).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32")
+
+
 #: Words of a text by the white space of all rules.
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
@@ -109,6 +119,35 @@ based as (select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_
 select *, not base_failed and {' and '.join(rules)} as kept from based"""
 
 
+#: A CRC by a table of 256 remainders, which a recursion makes from the polynomial; ``b`` is a list of bytes.
+CRCS = """bits as (select i, i as c, 0 as k from range(256) q(i) union all select i, case when c % 2 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, k + 1 from bits where k < 8),
+crcs as (select list(c order by i) as t from bits where k = 8)"""
+CRC = "xor(list_reduce(list_prepend(4294967295, b), lambda s, c: xor(s >> 8, t[1 + xor(s & 255, c)])), 4294967295)"
+BYTES = "list_transform(range(1, 1 + octet_length({x})), lambda i: strpos('0123456789ABCDEF', hex({x})[2 * i - 1]) * 16 + strpos('0123456789ABCDEF', hex({x})[2 * i]) - 17)"
+
+#: The base patterns, and what a match of each must pass (x: the match, d: its digits).
+BASE_PATTERNS = {
+    "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "true"),
+    "ip": (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "len(list_filter(string_split(x, '.'), lambda q: length(ltrim(q, '0')) > 3 or lpad(right(q, 3), 3, '0') > '255')) = 0"),
+    "card": (r"[0-9]([\x20-]?[0-9])+", """length(d) between 12 and 19 and list_sum(list_transform(range(1, length(d) + 1),
+        lambda i: (strpos('0123456789', d[length(d) - i + 1]) - 1) * (1 + (i - 1) % 2) - case when (strpos('0123456789', d[length(d) - i + 1]) - 1) * (1 + (i - 1) % 2) > 9 then 9 else 0 end)) % 10 = 0"""),
+    "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", "length(d) between 9 and 15"),
+}
+
+
+def pii_sql() -> str:
+    """Matches of each pattern; their places follow from the pieces between them."""
+    found = " union all ".join(f"select r, '{k}' as kind, {i} as rank, regexp_extract_all(t, '{p}') as m, string_split_regex(t, '{p}') as p from docs" for i, (k, (p, _)) in enumerate(BASE_PATTERNS.items()))
+    passes = " or ".join(f"kind = '{k}' and {test}" for k, (_, test) in BASE_PATTERNS.items())
+    counts = ", ".join(f"count(*) filter (where kind = '{k}') as n_{k}" for k in BASE_PATTERNS)
+    return f"""with docs as (select row_number() over () as r, doc_id, coalesce(text, '') as t from documents), found as ({found}),
+each as (select r, kind, rank, m[i] as x, regexp_replace(m[i], '[^0-9]', '', 'g') as d,
+    cast(list_sum(list_transform(p[1:i], lambda s: length(s))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda s: length(s))), 0) as bigint) as a from found, range(1, len(m) + 1) q(i)),
+kept as (select * from each where {passes})
+select doc_id, {counts}, sha256(coalesce(string_agg(kind || ':' || a || ':' || (a + length(x)), ',' order by a, rank) filter (where kind is not null), '')) as base_sha256
+from docs left join kept using (r) group by r, doc_id"""
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -125,6 +164,8 @@ QUERIES = {
         op11_lm_scoring,
         op12_embedding_whitening,
         op13_importance_resampling,
+        pii_base,
+        media_payload,
     )
 }
 
@@ -172,16 +213,14 @@ walk as (select doc_id as a, doc_id as low from documents union select g.b, walk
 select documents.doc_id, cast(coalesce(n.n, 0) as bigint) as n_shingles, low as component_id
 from documents left join n on n.doc_id = documents.doc_id join (select a, min(low) as low from walk group by a) m on m.a = documents.doc_id
 """,
-    # The CRC by a table of 256 remainders, which a recursion makes from the polynomial.
     "op13_importance_resampling": r"""
-with recursive bits as (select i, i as c, 0 as k from range(256) q(i) union all select i, case when c % 2 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, k + 1 from bits where k < 8),
-crcs as (select list(c order by i) as t from bits where k = 8),
+with recursive """ + CRCS + r""",
 texts as (select 0 as of, doc_id, coalesce(text, '') as t from documents union all select 1, item_id, coalesce(text, '') from benchmark),
 worded as (select row_number() over () as r, of, doc_id, regexp_extract_all(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from texts),
 runs as (select r, of, unnest(w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) as x from worded),
 features as (select distinct x from runs),
-bytes as (select x, list_transform(range(1, 1 + octet_length(encode(x))), lambda i: strpos('0123456789ABCDEF', hex(encode(x))[2 * i - 1]) * 16 + strpos('0123456789ABCDEF', hex(encode(x))[2 * i]) - 17) as b from features),
-hashed as (select x, xor(list_reduce(list_prepend(4294967295, b), lambda s, c: xor(s >> 8, t[1 + xor(s & 255, c)])), 4294967295) % 10000 as bucket from bytes, crcs),
+bytes as (select x, """ + BYTES.format(x="encode(x)") + """ as b from features),
+hashed as (select x, """ + CRC + """ % 10000 as bucket from bytes, crcs),
 counts as (select bucket, count(*) filter (where of = 0) as s, count(*) filter (where of = 1) as t from runs join hashed using (x) group by bucket),
 sums as (select sum(s) as s, sum(t) as t from counts),
 gains as (select bucket, cast(floor(1000 * ln((counts.t + 1) * (sums.s + 10000) / ((counts.s + 1) * (sums.t + 10000)))) as bigint) as gain from counts, sums),
@@ -192,4 +231,9 @@ scored as (select doc_id, len(w) as n_words, coalesce(n, 0) as n_features, coale
 placed as (select *, n_words >= 20 as fit, row_number() over (partition by n_words >= 20 order by score desc, doc_id) as place, count(*) over (partition by n_words >= 20) as n_fit from scored)
 select doc_id, cast(n_features as bigint) as n_features, weight, score, case when fit and place <= 25 * n_fit // 100 then place end as rank from placed
 """,
+    "pii_base": pii_sql(),
+    "media_payload": f"""with recursive {CRCS}, sized as (select row_number() over () as r, doc_id, encode(coalesce(text, '')) as e from documents),
+padded as (select r, doc_id, octet_length(e) as n, e || from_hex(repeat('00', cast(64 * greatest(1, (octet_length(e) + 63) // 64) - octet_length(e) as integer))) as p from sized),
+tails as (select *, right(hex(p), 128) as h from padded), bytes as (select *, {BYTES.format(x="from_hex(h)")} as b from tails)
+select doc_id, n as n_bytes, octet_length(p) as payload_bytes, sha256(p) as payload_sha256, {CRC} as tail_crc32 from bytes, crcs""",
 }
