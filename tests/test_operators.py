@@ -47,14 +47,35 @@ def test_relabelling_changes_no_score(spark):
     assert scores(spark, rows, 0.1).f1 == scores(spark, moved, 0.1).f1
 
 
-def test_hungarian_is_optimal():
+def most_by_all_choices(weights):
+    """The largest sum over all one-to-one choices."""
+    rows = sorted(weights)
+
+    def most(k, taken):
+        if k == len(rows):
+            return 0.0
+        return max([most(k + 1, taken), *(w + most(k + 1, taken | {j}) for j, w in weights[rows[k]].items() if j not in taken)])
+
+    return most(0, frozenset())
+
+
+def test_assignment_is_optimal():
     rng = np.random.default_rng(2)
-    for n, m in [(1, 1), (3, 3), (4, 6), (6, 4), (5, 5)]:
-        cost = rng.random((n, m))
-        got = sum(cost[i, j] for i, j in assignment.hungarian(cost))
-        small, wide = (cost, m) if n <= m else (cost.T, n)
-        best = min(sum(small[i, p[i]] for i in range(len(small))) for p in permutations(range(wide), len(small)))
-        assert np.isclose(got, best)
+    for case in range(200):
+        n, m = rng.integers(1, 7, 2)
+        weights = {i: {int(j): float(rng.integers(1, 9) if case % 2 else rng.random()) for j in range(m) if rng.random() < 0.6} for i in range(n)}
+        found = assignment.best_pairs(weights)
+        assert len({i for i, _ in found}) == len({j for _, j in found}) == len(found)
+        assert np.isclose(sum(weights[i][j] for i, j in found), most_by_all_choices(weights)), (case, weights)
+
+
+def test_assignment_of_a_long_chain():
+    """100,000 labels in one block, each of which overlaps the next one's partner more than its own."""
+    n = 100_000
+    weights = {i: {i: 0.5, i + 1: 0.6} for i in range(n)}
+    weights[n // 2][n // 2] = 0.9
+    found = dict(assignment.best_pairs(weights))
+    assert len(found) == n and np.isclose(sum(weights[i][j] for i, j in found.items()), 0.6 * n - 0.6 + 0.9)
 
 
 @pytest.mark.parametrize("small", [0, 1_000_000])

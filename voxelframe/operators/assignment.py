@@ -1,8 +1,10 @@
-"""Optimal one-to-one assignment of predicted to true labels."""
+"""Optimal one-to-one assignment of predicted to true labels, on the sparse graph of their overlaps."""
 
 from __future__ import annotations
 
-import numpy as np
+import heapq
+from collections import defaultdict
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,50 +12,72 @@ from pyspark.sql import functions as F
 from .components import connected_components
 
 
-def hungarian(cost: np.ndarray) -> list[tuple[int, int]]:
-    """Pairs of a least-cost assignment of rows to columns (shortest augmenting paths with potentials)."""
-    flip = cost.shape[0] > cost.shape[1]
-    c = cost.T if flip else cost
-    n, m = c.shape
-    u, v = np.zeros(n + 1), np.zeros(m + 1)
-    match = np.zeros(m + 1, dtype=int)
-    for row in range(1, n + 1):
-        match[0], col = row, 0
-        slack, way, used = np.full(m + 1, np.inf), np.zeros(m + 1, dtype=int), np.zeros(m + 1, dtype=bool)
-        while match[col]:
-            used[col] = True
-            reduced = c[match[col] - 1] - u[match[col]] - v[1:]
-            better = ~used[1:] & (reduced < slack[1:])
-            slack[1:][better] = reduced[better]
-            way[1:][better] = col
-            free = np.where(used, np.inf, slack)
-            free[0] = np.inf
-            nxt = int(free.argmin())
-            delta = free[nxt]
-            u[match[used]] += delta
-            v[used] -= delta
-            slack[~used] -= delta
-            col = nxt
-        while col:
-            match[col], col = match[way[col]], way[col]
-    pairs = [(match[j] - 1, j - 1) for j in range(1, m + 1) if match[j]]
-    return [(j, i) for i, j in pairs] if flip else pairs
+def best_pairs(weights: dict[int, dict[int, float]]) -> list[tuple[int, int]]:
+    """The pairs (row, column) of a one-to-one choice of the largest sum of positive weights, given by row and column.
+
+    Rows are added one at a time by a shortest augmenting path over reduced costs, which ends at the nearest free column
+    or at a row that is better left alone. Memory follows the overlaps, not rows times columns, and a search looks only
+    at what lies nearer than its end.
+    """
+    row_of: dict[int, int] = {}
+    column_of: dict[int, int] = {}
+    u: dict[int, float] = {}
+    v: dict[int, float] = defaultdict(float)
+    for start in sorted(weights):
+        u[start] = min([0.0, *(-w - v[j] for j, w in weights[start].items())])
+        at_row, at_column, before, done = {start: 0.0}, {}, {}, set()
+        # Places: (distance, 0, row) is that row left alone, (distance, 1, column) a column.
+        queue = [(-u[start], 0, start)]
+        row = start
+        while True:
+            near = at_row[row]
+            for j, w in weights[row].items():
+                d = near - w - u[row] - v[j]
+                if j not in done and d < at_column.get(j, float("inf")):
+                    at_column[j], before[j] = d, row
+                    heapq.heappush(queue, (d, 1, j))
+            end, kind, place = heapq.heappop(queue)
+            while kind and place in done:
+                end, kind, place = heapq.heappop(queue)
+            if not kind or place not in row_of:
+                break
+            done.add(place)
+            row = row_of[place]
+            at_row[row] = end
+            heapq.heappush(queue, (end - u[row], 0, row))
+        for i, d in at_row.items():
+            u[i] += end - d
+        for j in done:
+            v[j] += at_column[j] - end
+        # The last row takes the free column, or stays alone and gives its own to the row before it.
+        if kind:
+            column, row = place, before[place]
+        else:
+            row, column = place, None
+        while True:
+            freed = column_of.pop(row, None)
+            if column is not None:
+                column_of[row], row_of[column] = column, row
+            if row == start:
+                break
+            column, row = freed, before[freed]
+    return sorted(column_of.items())
 
 
 def assign(iou: DataFrame) -> DataFrame:
     """The 1-1 pairs (gt, pred, iou > 0) of the largest total IoU.
 
     Labels that overlap nothing in common are independent, so each connected block of the overlap graph is a group of
-    its own; a block's matrix is as large as the labels it chains together.
+    its own: its overlaps, a few for each label that it chains together.
     """
     edges = iou.select((F.col("gt") * 2).alias("src"), (F.col("pred") * 2 + 1).alias("dst"))
     blocks = connected_components(edges).where("node % 2 = 0").select((F.expr("node div 2")).alias("gt"), "component")
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        gts, preds = np.unique(frame["gt"]), np.unique(frame["pred"])
-        scores = np.zeros((len(gts), len(preds)))
-        scores[np.searchsorted(gts, frame["gt"]), np.searchsorted(preds, frame["pred"])] = frame["iou"]
-        found = [(gts[i], preds[j], scores[i, j]) for i, j in hungarian(-scores) if scores[i, j] > 0]
-        return pd.DataFrame(found, columns=["gt", "pred", "iou"])
+        weights: dict[int, dict[int, float]] = defaultdict(dict)
+        for gt, pred, w in zip(frame["gt"].tolist(), frame["pred"].tolist(), frame["iou"].tolist(), strict=True):
+            if w > 0:
+                weights[gt][pred] = w
+        return pd.DataFrame([(g, p, weights[g][p]) for g, p in best_pairs(weights)], columns=["gt", "pred", "iou"])
 
     return iou.join(blocks, "gt").select("component", "gt", "pred", "iou").groupBy("component").applyInPandas(run, "gt long, pred long, iou double")
