@@ -47,6 +47,28 @@ def batch_dice(spark, sf):
     return batches.dice(truth(spark, sf), guess(spark, sf)).select("vol_id", *r("dice"), "matched", "total_gt_labels", "error", *r("match_rate"))
 
 
+#: Predictions that several true labels would take: coarser steps, a few voxels a step higher.
+RIVAL = "gv as (select vol_id, z, y, x, cast(floor(abs(cast(val as double)) * 7) as bigint) + case when (z + 2 * x + y) % 4 = 0 then 1 else 0 end as label from hv)"
+
+
+@query(f"""with recursive {DICE.replace(GUESS, RIVAL)[5:]}, gl as (select vol_id, gt, row_number() over (partition by vol_id order by gt) as i from ga),
+pr as (select vol_id, pred, 1 << (row_number() over (partition by vol_id order by pred) - 1) as bit from pa),
+w as (select vol_id, i, bit, iou, 2.0 * n / (a + b) as dice from io join gl using (vol_id, gt) join pr using (vol_id, pred)),
+best(vol_id, i, taken, total, dice, matched) using key (vol_id, i, taken) as (
+    select vol_id, cast(0 as bigint), cast(0 as bigint), 0.0::double, 0.0::double, cast(0 as bigint) from gl group by 1
+    union select vol_id, i, taken, top.total, top.dice, top.matched from (select vol_id, i, taken, max({{'total': total, 'dice': dice, 'matched': matched}}) as top from (
+        select b.vol_id, b.i + 1 as i, taken, total, dice, matched from best b join gl on gl.vol_id = b.vol_id and gl.i = b.i + 1
+        union all select b.vol_id, b.i + 1, taken | bit, total + iou, b.dice + w.dice, matched + 1 from best b join w on w.vol_id = b.vol_id and w.i = b.i + 1 where taken & bit = 0) group by all)),
+ends as (select vol_id, i, max({{'total': total, 'dice': dice, 'matched': matched}}) as top from best group by all)
+select vol_id, round(cast(top.dice / i as double), 6) as dice, top.matched as matched, i as total_gt_labels, cast(null as varchar) as error, round(top.matched / i, 6) as match_rate
+from ends qualify row_number() over (partition by vol_id order by i desc) = 1""")
+def batch_dice_conflicts(spark, sf):
+    """The best assignment where true labels compete for predictions; the oracle tries all choices of labels in turn."""
+    label = F.floor(F.abs(F.col("val").cast("double")) * 7) + F.when((F.col("z") + 2 * F.col("x") + F.col("y")) % 4 == 0, 1).otherwise(0)
+    found = batches.dice(truth(spark, sf), halves(spark, sf).withColumn("label", label.cast("long")))
+    return found.select("vol_id", *r("dice"), "matched", "total_gt_labels", "error", *r("match_rate"))
+
+
 @query(f"""with recursive {HALF}, fg as (select vol_id, lin, z, y, x from hv where val > cast(0.1 as float)),
 e as (select p.lin as a, q.lin as b from fg p join fg q on p.vol_id = q.vol_id and abs(p.z - q.z) + abs(p.y - q.y) + abs(p.x - q.x) = 1 and p.z between q.z - 1 and q.z + 1),
 walk as (select lin, lin as comp from fg where lin in (select a from e) union select e.b, walk.comp from walk join e on e.a = walk.lin where walk.comp < e.b),
