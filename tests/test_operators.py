@@ -1,6 +1,7 @@
 """Core operators on micro volumes and properties."""
 
 import gzip
+import hashlib
 import json
 import struct
 import zlib
@@ -472,3 +473,23 @@ def test_clean_joins_corners(spark):
             labels[2 + step[0], y + step[1], x + step[2]] = 1 + (x == 5)
     found = batches.clean(cube(spark, labels, "label"), labels.shape, 1, None, True).collect()
     assert {r.label for r in found} == {1}
+
+
+def test_orient_as_by_arrays(spark):
+    n, seed = 3, 4
+    cube_ = np.arange(n**3).reshape(n, n, n)
+    rows = [(d, *map(int, at), float(v)) for d in range(12) for at, v in np.ndenumerate(cube_)]
+    found = datasets.orient(spark.createDataFrame(rows, "draw long, z long, y long, x long, val double"), n, seed).collect()
+    u = lambda *keys: int(hashlib.md5(":".join(map(str, (seed, *keys))).encode()).hexdigest()[:8], 16) / 2**32
+    orders = [(0, 1, 2), (0, 2, 1), (1, 0, 2), (1, 2, 0), (2, 0, 1), (2, 1, 0)]
+    for d in range(12):
+        want = cube_.transpose(orders[int(u(d, "order") * 6)])
+        for a, b in (("x", "y"), ("x", "z"), ("y", "z")):
+            want = np.rot90(want, int(u(d, f"turn {a}{b}") * 4), ("zyx".index(a), "zyx".index(b)))
+        for k, a in enumerate("zyx"):
+            want = np.flip(want, k) if u(d, f"mirror {a}") < 0.5 else want
+        got = np.zeros_like(cube_)
+        for r in found:
+            if r.draw == d:
+                got[r.z, r.y, r.x] = r.val
+        assert np.array_equal(got, want), d

@@ -167,6 +167,64 @@ def intensity(voxels: DataFrame, scale: float, shift: float, noise: float = 0.0,
     return voxels.withColumn(value, v + noise * normal(seed, *(F.col(a) for a in AXES)) if noise else v)
 
 
+def _draw(seed: int, name: str, *keys: Column) -> Column:
+    """A number of the sample of a row (column draw)."""
+    return uniform(seed, F.col("draw"), F.lit(name), *keys)
+
+
+def orient(voxels: DataFrame, size: int, seed: int = 0) -> DataFrame:
+    """Cubes (draw, z, y, x, ...) of ``size`` with their axes in any order, turned by any number of quarters in each of
+    the three planes and mirrored along each axis with chance one half: a projection, whatever else a row holds."""
+    orders = [(0, 1, 2), (0, 2, 1), (1, 0, 2), (1, 2, 0), (2, 0, 1), (2, 1, 0)]
+    which = F.floor(_draw(seed, "order") * 6)
+    # New axis k is old axis order[k].
+    at = [F.element_at(F.array(*(F.col(AXES[o[k]]) for o in orders)), (which + 1).cast("int")) for k in range(3)]
+    rows = voxels.select(*(c for c in voxels.columns if c not in AXES), *(c.alias(a) for c, a in zip(at, AXES, strict=True)))
+    for a, b in (("x", "y"), ("x", "z"), ("y", "z")):
+        turns, p, q = F.floor(_draw(seed, f"turn {a}{b}") * 4), F.col(a), F.col(b)
+        first = F.when(turns == 1, size - 1 - q).when(turns == 2, size - 1 - p).when(turns == 3, q).otherwise(p)
+        second = F.when(turns == 1, p).when(turns == 2, size - 1 - q).when(turns == 3, size - 1 - p).otherwise(q)
+        rows = rows.withColumns({a: first, b: second})
+    return rows.withColumns({a: F.when(_draw(seed, f"mirror {a}") < 0.5, size - 1 - F.col(a)).otherwise(F.col(a)) for a in AXES}).select(*voxels.columns)
+
+
+def _axis(seed: int, name: str) -> Column:
+    """One of the axes, by its number."""
+    return F.floor(_draw(seed, f"{name} axis") * 3)
+
+
+def _slice(seed: int, name: str) -> Column:
+    return F.element_at(F.array(*AXES), (_axis(seed, name) + 1).cast("int"))
+
+
+def drop_drawn(voxels: DataFrame, chance: float, seed: int = 0, value: str = "val") -> DataFrame:
+    """In half of the samples (column draw) slices along one axis, drawn for the sample, are set to 0 with a chance."""
+    gone = (_draw(seed, "drop") < 0.5) & (_draw(seed, "dropped", _slice(seed, "drop")) < chance)
+    return multiply_mask(voxels, ~gone, value)
+
+
+def shift_drawn(voxels: DataFrame, size: int, chance: float, most: int, seed: int = 0) -> DataFrame:
+    """In half of the samples slices along one axis, drawn for the sample, are rolled with a chance by up to ``most``
+    places along the two others. Of images alone: what else is at a place must be joined afterwards."""
+    at = _slice(seed, "shift")
+    moved = (_draw(seed, "shift") < 0.5) & (_draw(seed, "shifted", at) < chance)
+    to = {}
+    for k, a in enumerate(AXES):
+        step = F.floor(_draw(seed, f"by {a}", at) * (2 * most + 1)).cast("long") - most
+        to[a] = F.when(moved & (_axis(seed, "shift") != k), F.pmod(F.col(a) + step, F.lit(size).cast("long"))).otherwise(F.col(a))
+    return voxels.withColumns(to)
+
+
+def intensity_drawn(voxels: DataFrame, scale: float, shift: float, noise: float = 0.0, seed: int = 0, value: str = "val") -> DataFrame:
+    """In half of the samples values times a factor within ``scale`` of 1 and plus a number within ``shift`` of 0; in half
+    of them, drawn apart, normal noise of a strength up to ``noise``."""
+    v = F.col(value).cast("double")
+    between = lambda name, a, b: a + _draw(seed, name) * (b - a)
+    v = F.when(_draw(seed, "intensity") < 0.5, v * between("scale", 1 - scale, 1 + scale) + between("add", -shift, shift)).otherwise(v)
+    told = normal(seed, F.col("draw"), *(F.col(a) for a in AXES)) * _draw(seed, "strength") * noise
+    return voxels.withColumn(value, F.when(_draw(seed, "noise") < 0.5, v + told).otherwise(v) if noise else v)
+
+
 # --- statistics ----------------------------------------------------------------------------------------------------
 
 

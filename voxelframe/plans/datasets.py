@@ -152,6 +152,56 @@ def intensity(spark, sf):
     return datasets.intensity(fx.voxel(spark, sf), 1.2, -0.1, 0.05, 8).select("lin", *r("val"))
 
 
+#: Cubes of 20 along x, as samples: places beyond the volume are absent.
+CUBES = "cu as (select x // 20 as draw, z, y, x % 20 as x, val from voxel where z < 20)"
+
+
+def cubes(spark, sf):
+    rows = fx.voxel(spark, sf).where("z < 20")
+    return rows.select(F.expr("x div 20").alias("draw"), "z", "y", (F.col("x") % 20).alias("x"), "val")
+
+
+def d(name: str, *keys: str) -> str:
+    return u(9, "draw", f"'{name}'", *keys)
+
+
+def oriented_sql() -> str:
+    orders = ("zyx", "zxy", "yzx", "yxz", "xzy", "xyz")
+    first = ", ".join(f"[{', '.join(o[k] for o in orders)}][1 + cast(floor({d('order')} * 6) as bigint)] as {a}" for k, a in enumerate("zyx"))
+    out = f"select draw, {first}, val from cu"
+    for a, b in ("xy", "xz", "yz"):
+        rest = next(c for c in "zyx" if c not in (a, b))
+        t = f"cast(floor({d(f'turn {a}{b}')} * 4) as bigint)"
+        one = f"case {t} when 1 then 19 - {b} when 2 then 19 - {a} when 3 then {b} else {a} end as {a}"
+        two = f"case {t} when 1 then {a} when 2 then 19 - {b} when 3 then 19 - {a} else {b} end as {b}"
+        out = f"select draw, {rest}, {one}, {two}, val from ({out})"
+    return f"select draw, {', '.join(f'case when {d(f"mirror {a}")} < 0.5 then 19 - {a} else {a} end as {a}' for a in 'zyx')}, val from ({out})"
+
+
+@query(f"with {fx.VOXEL}, {CUBES} {oriented_sql()}")
+def orient_cubes(spark, sf):
+    return datasets.orient(cubes(spark, sf), 20, 9)
+
+
+SLICE = "[z, y, x][1 + cast(floor({}) as bigint)]"
+ROLLED = ", ".join(
+    f"case when {d('shift')} < 0.5 and {d('shifted', SLICE.format(d('shift axis') + ' * 3'))} < 0.4 and floor({d('shift axis')} * 3) <> {k} "
+    f"then ({a} + cast(floor({d(f'by {a}', SLICE.format(d('shift axis') + ' * 3'))} * 7) as bigint) - 3 + 20) % 20 else {a} end as {a}"
+    for k, a in enumerate("zyx")
+)
+
+
+@query(f"""with {fx.VOXEL}, {CUBES}, dr as (select draw, z, y, x, case when {d('drop')} < 0.5 and {d('dropped', SLICE.format(d('drop axis') + ' * 3'))} < 0.3 then 0 else val end as val from cu),
+sh as (select draw, {ROLLED}, val from dr),
+it as (select *, case when {d('intensity')} < 0.5 then val::double * (0.8 + {d('scale')} * 0.4) - 0.1 + {d('add')} * 0.2 else val::double end as v from sh)
+select draw, z, y, x, round(case when {d('noise')} < 0.5 then v + sqrt(-2 * ln(1 - {u(9, 'draw', 'z', 'y', 'x', repr('u'))})) * cos(2 * pi() * {u(9, 'draw', 'z', 'y', 'x', repr('v'))}) * {d('strength')} * 0.3 else v end, 5) as val from it""")
+def augment_cubes(spark, sf):
+    """Slices dropped and shifted, intensities and noise, each in half of the samples."""
+    rows = datasets.shift_drawn(datasets.drop_drawn(cubes(spark, sf), 0.3, 9), 20, 0.4, 3, 9)
+    found = datasets.intensity_drawn(rows, 0.2, 0.1, 0.3, 9)
+    return found.select("draw", "z", "y", "x", F.round("val", 5).alias("val"))
+
+
 @query(f"""with {fx.LABEL}, s as (select label, count(*) as n from vl where label > 0 group by 1), k as (select label, n from s where n >= 5 order by n desc, label limit 4),
 m as (select label, row_number() over (order by label) as id from k) select coalesce(id, 0) as label, count(*) as n from vl left join m using (label) group by 1""")
 def postprocess(spark, sf):
