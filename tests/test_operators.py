@@ -465,6 +465,15 @@ def test_centre_padding_does_not_crop(spark):
         volume.center_pad(cube(spark, np.ones((2, 6, 8), int), "val"), (2, 6, 8), (4, 4, 4))
 
 
+@pytest.mark.parametrize("n", [7, 8])
+def test_centre_padding_crops_if_asked(spark, n):
+    values = np.arange(n * 2 * 3).reshape(n, 2, 3)
+    found = volume.center_pad(cube(spark, values, "val"), values.shape, (4, 4, 3), -1, "val", crop=True).collect()
+    want = np.full((4, 4, 3), -1)
+    want[:, 1:3] = values[(n - 4) // 2 :][:4]
+    assert {(r.z, r.y, r.x): r.val for r in found} == {tuple(p): want[tuple(p)] for p in np.argwhere(want >= -1).tolist()}
+
+
 def test_clean_joins_corners(spark):
     """Two crosses that touch along an edge are one instance."""
     labels = np.zeros((5, 9, 9), int)
