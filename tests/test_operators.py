@@ -460,6 +460,15 @@ def test_scores_at_many_thresholds_are_those_of_each(spark):
         assert r.n_non0_mergers == skeleton.merge_split_counts(one).first().n_non0_mergers
 
 
+def test_sweep_broadcasts_nothing_that_grows(spark):
+    """Nodes at many thresholds are far more than their file lets Spark expect."""
+    nodes = spark.range(50).select(F.lit(1).alias("skel_id"), F.col("id").alias("node_id"), F.col("id").alias("seq"), F.col("id").cast("double").alias("nm"), F.lit(7).cast("long").alias("pred_id"))
+    edges = spark.range(49).select(F.lit(1).alias("skel_id"), F.col("id").alias("u"), (F.col("id") + 1).alias("v"), F.lit(1.0).alias("edge_length"))
+    one = nodes.withColumn("thr", F.explode(F.array(F.lit(0.1), F.lit(0.2))))
+    plans = [skeleton.classify(edges, one, 0, ["thr"]), metrics.voi(metrics.contingency(one.select("thr", F.col("skel_id").alias("gt"), F.col("pred_id").alias("pred")), ["thr"]), ["thr"])]
+    assert all("Broadcast" not in p._jdf.queryExecution().executedPlan().toString() for p in plans)
+
+
 def test_centre_padding_does_not_crop(spark):
     with pytest.raises(ValueError, match="does not fit"):
         volume.center_pad(cube(spark, np.ones((2, 6, 8), int), "val"), (2, 6, 8), (4, 4, 4))

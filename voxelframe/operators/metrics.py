@@ -112,7 +112,7 @@ def voi(table: DataFrame, by: list[str] | None = None) -> DataFrame:
     by = by or []
     gt = table.groupBy(*by, "gt").agg(F.sum("n").alias("a"))
     pred = table.groupBy(*by, "pred").agg(F.sum("n").alias("b"))
-    joined = table.join(gt, [*by, "gt"]).join(pred, [*by, "pred"])
+    joined = table.join(gt.hint("merge"), [*by, "gt"]).join(pred.hint("merge"), [*by, "pred"])
     total = F.sum("n")
     split = -F.sum(F.col("n") * F.log2(F.col("n") / F.col("a"))) / total
     merge = -F.sum(F.col("n") * F.log2(F.col("n") / F.col("b"))) / total

@@ -1,4 +1,8 @@
-"""Skeleton graphs against a segmentation: edge classes, run lengths, mergers and splits."""
+"""Skeleton graphs against a segmentation: edge classes, run lengths, mergers and splits.
+
+Tables that grow with the nodes are joined by shuffles: what a row gives for many segmentations is more than its size on
+disk lets Spark expect, and a broadcast of it would go through the driver.
+"""
 
 from __future__ import annotations
 
@@ -15,7 +19,7 @@ By = Sequence[str]
 
 def with_segments(edges: DataFrame, nodes: DataFrame, by: By = ()) -> DataFrame:
     """Edges (skel_id, u, v, edge_length) with the predicted segments of both ends, of each segmentation ``by``."""
-    pred = nodes.select("node_id", "pred_id", *by)
+    pred = nodes.select("node_id", "pred_id", *by).hint("merge")
     out = edges.join(pred.select(F.col("node_id").alias("u"), F.col("pred_id").alias("pu"), *by), "u")
     return out.join(pred.select(F.col("node_id").alias("v"), F.col("pred_id").alias("pv"), *by), ["v", *by])
 
@@ -28,7 +32,7 @@ def pair_sizes(nodes: DataFrame, by: By = ()) -> DataFrame:
 def merging_pairs(pairs: DataFrame, by: By = ()) -> DataFrame:
     """Those of the pairs (skel_id, pred_id) whose segment is in several."""
     many = pairs.groupBy(*by, "pred_id").agg(F.count("*").alias("k")).where("k > 1").select(*by, "pred_id")
-    return pairs.join(many, [*by, "pred_id"]).select(*by, "skel_id", "pred_id")
+    return pairs.join(many.hint("merge"), [*by, "pred_id"]).select(*by, "skel_id", "pred_id")
 
 
 def merging(nodes: DataFrame, ignored_size: float, by: By = ()) -> DataFrame:
@@ -39,7 +43,7 @@ def merging(nodes: DataFrame, ignored_size: float, by: By = ()) -> DataFrame:
 def _classes(rows: DataFrame, found: DataFrame, by: By) -> DataFrame:
     skeletons = found.select(*by, "skel_id").distinct().withColumn("_s", F.lit(True))
     segments = found.select(*by, F.col("pred_id").alias("pu")).distinct().withColumn("_m", F.lit(True))
-    rows = rows.join(skeletons, [*by, "skel_id"], "left").join(segments, [*by, "pu"], "left")
+    rows = rows.join(skeletons.hint("merge"), [*by, "skel_id"], "left").join(segments.hint("merge"), [*by, "pu"], "left")
     kind = (
         F.when((F.col("pu") == 0) | (F.col("pv") == 0), "omitted")
         .when(F.col("pu") != F.col("pv"), "split")
