@@ -128,12 +128,12 @@ def decode_and_score(voxels: DataFrame, gt: DataFrame, decode: Callable[[DataFra
     return instance_scores(one(gt), one(materialise(decode(voxels), "decoded")), thresholds).drop("vol_id")
 
 
-def affinity_segmentation(channels: DataFrame, threshold: float = 0.5) -> DataFrame:
+def affinity_segmentation(channels: DataFrame, threshold: float = 0.5, shape: tuple[int, int, int] | None = None) -> DataFrame:
     """(lin, component) of a dense volume (z, y, x, lin, ch) of logits: sigmoids of the first three channels over the
-    threshold, as affinities along the axes."""
+    threshold, as affinities along the axes. With ``shape``, places that have no row are voxels with no affinity set."""
     flags = {f"a{a}": scaled_sigmoid(F.get("ch", F.lit(i))) > threshold for i, a in enumerate(AXES)}
     rows = channels.select(*AXES, "lin", *(c.alias(k) for k, c in flags.items()))
-    return grid_graph.hard_affinity_components(rows, tuple(flags))
+    return grid_graph.hard_affinity_components(rows, tuple(flags), shape)
 
 
 def clean(labels: DataFrame, shape: tuple[int, int, int], min_size: int = 200, largest: int | None = None, cleanup: bool = False) -> DataFrame:

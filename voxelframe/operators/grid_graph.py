@@ -17,7 +17,7 @@ from voxelframe.storage import materialise
 
 from .components import connected_components, settle
 from .instances import dense_rank_global
-from .volume import AXES
+from .volume import AXES, grid
 
 FACES = [(1, 0, 0), (0, 1, 0), (0, 0, 1)]
 #: The 13 neighbours that come later in raster order.
@@ -116,12 +116,17 @@ def affinity_components(voxels: DataFrame, threshold: float) -> DataFrame:
     return numbered(found.join(more, "component", "left_semi"))
 
 
-def hard_affinity_components(voxels: DataFrame, flags: tuple[str, str, str] = ("az", "ay", "ax")) -> DataFrame:
+def hard_affinity_components(voxels: DataFrame, flags: tuple[str, str, str] = ("az", "ay", "ax"), shape: tuple[int, int, int] | None = None) -> DataFrame:
     """Components of a dense volume (z, y, x, lin) with three boolean affinities to the next voxel along each axis.
 
     A voxel is joined to its neighbour if its own affinity says so. One with an affinity set belongs to a component even
     if the neighbour lies outside the volume; one with none belongs to that of a neighbour that points at it, if any.
+    With ``shape``, places that have no row are voxels with no affinity set, and lin is the place in raster order.
     """
+    if shape is not None:
+        lin = (F.col("z") * shape[1] + F.col("y")) * shape[2] + F.col("x")
+        voxels = grid(voxels.sparkSession, shape).join(voxels.select(*AXES, *flags).hint("merge"), list(AXES), "left").withColumn("lin", lin)
+        voxels = voxels.select(*AXES, "lin", *(F.coalesce(f, F.lit(False)).alias(f) for f in flags))
     own = F.lit(False)
     for f in flags:
         own = own | F.col(f)

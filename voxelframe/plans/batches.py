@@ -103,7 +103,7 @@ walk as (select lin, lin as comp from v union select e.b, walk.comp from walk jo
 root as (select lin, min(comp) as root from walk group by 1) select lin, dense_rank() over (order by root) as component from root""")
 def affinity_segmentation(spark, sf):
     rows = fx.voxel(spark, sf).withColumn("val", F.col("val").cast("double"))
-    return batches.affinity_segmentation(rows.withColumn("ch", F.array(*(F.expr(v) for v in LOGIT.values()))), 0.51)
+    return batches.affinity_segmentation(rows.withColumn("ch", F.array(*(F.expr(v) for v in LOGIT.values()))), 0.51, fx.shape(spark, sf))
 
 
 @query(f"""with recursive {fx.LABEL}, p0 as (select z, y, x, label from vl where label > 0), p as (select z, y, x from p0 where label in (select label from p0 group by 1 having count(*) >= 40)),
