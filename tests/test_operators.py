@@ -521,6 +521,14 @@ def test_decoding_of_a_volume_that_is_not_whole(spark):
     assert two.join(rows, ["z", "y", "x"], "left_anti").count() == 0
 
 
+def test_names_are_paired_by_shuffles(spark):
+    """Substrings of names are many times the names, so no side of their join may be broadcast."""
+    preds, gts = spark.createDataFrame([("pred_scan1.zarr",), ("vol_2.zarr",)], "pred string"), spark.createDataFrame([("scan1_b.nii.gz",), ("vol_2_gt.zarr",)], "gt string")
+    found = pairing.with_priority(preds, gts)
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {tuple(r) for r in found.collect()} == {("pred_scan1.zarr", "scan1_b.nii.gz", 3), ("vol_2.zarr", "vol_2_gt.zarr", 3)}
+
+
 def test_centre_padding_does_not_crop(spark):
     with pytest.raises(ValueError, match="does not fit"):
         volume.center_pad(cube(spark, np.ones((2, 6, 8), int), "val"), (2, 6, 8), (4, 4, 4))

@@ -39,14 +39,15 @@ def contained(inner: DataFrame, outer: DataFrame) -> DataFrame:
     """(pred, gt) where the name of ``inner`` (i) lies within that of ``outer`` (o).
 
     An equi-join on whole names: outer names are cut into their substrings of those lengths that inner names have, so a
-    part that all names share joins nothing. Empty names lie within none.
+    part that all names share joins nothing. Empty names lie within none. The substrings are many times what their file
+    lets Spark expect, so they meet the names by a shuffle; a broadcast would go through the driver.
     """
     inner = inner.where("i <> ''")
     sizes = [r[0] for r in inner.select(F.length("i").alias("n")).distinct().collect()]  # at most the longest name
     each = F.explode(F.array(*(F.lit(n) for n in sorted(sizes))).cast("array<int>")).alias("_n")
     cut = outer.select("*", each).where(F.length("o") >= F.col("_n"))
     cut = cut.withColumn("i", F.explode(F.expr("transform(sequence(1, length(o) - _n + 1), k -> substring(o, k, _n))"))).drop("o", "_n")
-    return inner.join(cut.distinct(), "i").drop("i")
+    return inner.hint("merge").join(cut.distinct(), "i").drop("i")
 
 
 def with_priority(preds: DataFrame, gts: DataFrame, pattern: str = r"RibFrac(\d+)") -> DataFrame:
@@ -54,9 +55,9 @@ def with_priority(preds: DataFrame, gts: DataFrame, pattern: str = r"RibFrac(\d+
     the other, with or without the inner one's marks (3). Rule 3 is only tried for predictions that the others leave."""
     left = preds.select("pred", case_id(F.col("pred"), pattern).alias("id"), stem(F.col("pred")).alias("stem"))
     right = gts.select("gt", case_id(F.col("gt"), pattern).alias("id"), stem(F.col("gt")).alias("stem"))
-    one = left.join(right.select("gt", "id"), "id").select("pred", "gt", F.lit(1).alias("rule"))
-    two = left.join(right.select("gt", "stem"), "stem").select("pred", "gt", F.lit(2).alias("rule"))
-    rest = left.join(one.unionByName(two).select("pred"), "pred", "left_anti")
+    one = left.join(right.select("gt", "id").hint("merge"), "id").select("pred", "gt", F.lit(1).alias("rule"))
+    two = left.join(right.select("gt", "stem").hint("merge"), "stem").select("pred", "gt", F.lit(2).alias("rule"))
+    rest = left.join(one.unionByName(two).select("pred").hint("merge"), "pred", "left_anti")
     names = lambda marks: F.explode(F.array_distinct(F.array("stem", without_marks(F.col("stem"), marks)))).alias("i")
     ahead = contained(rest.select("pred", names(PRED_MARKS)), right.select("gt", F.col("stem").alias("o")))
     behind = contained(right.select("gt", names(GT_MARKS)), rest.select("pred", F.col("stem").alias("o")))
