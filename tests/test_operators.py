@@ -495,6 +495,14 @@ def test_distance_in_a_volume_that_is_not_whole(spark):
     assert got == {p: float(((out - p) ** 2).sum(axis=1).min()) for p in held if values[p] < 0.9}
 
 
+def test_no_group_holds_the_longest_axis(spark):
+    """Lines of the longest axis go by windows; a group in Python is bounded by the shorter two."""
+    rows = volume.grid(spark, (60, 4, 3))
+    plan = morphology.distance_squared(rows.where("z % 50 <> 3"), (60, 4, 3), within=rows)._jdf.queryExecution().optimizedPlan().toString()
+    groups = [line for line in plan.splitlines() if "FlatMapGroupsInPandas" in line]
+    assert len(groups) == 2 and "Window" in plan
+
+
 def test_holes_of_a_volume_that_is_not_whole(spark):
     """Background beside places that do not exist is a hole, and such places are in no result."""
     values, held, rows = ragged(spark)
