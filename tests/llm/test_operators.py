@@ -3,6 +3,8 @@
 import base64
 import hashlib
 import re
+import sys
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 from itertools import combinations
@@ -461,6 +463,36 @@ def test_runs_encode_like_whole_texts():
         assert np.frombuffer(data, "<u4").tolist() == tokenizer.encode(t, add_special_tokens=False).ids
 
 
+def test_encoding_makes_no_python_object_for_each_word(monkeypatch):
+    path = packing.default_tokenizer()
+    packing._encoder.cache_clear()
+    packing.token_bytes(["to load it"], path)
+    rng = np.random.default_rng(12)
+    words = ["".join(w) for w in rng.choice(list("abcdefgh"), (20_000, 9))]
+    texts = [" ".join(words[i : i + 100]) for i in range(0, len(words), 100)]
+    before = sys.getallocatedblocks()
+    first = packing.token_bytes(texts, path)
+    assert sys.getallocatedblocks() - before < len(words) / 4
+    # The same ids whether the words are known, unknown or no longer kept.
+    assert packing.token_bytes(texts, path) == first
+    monkeypatch.setattr(packing, "KEPT", 50)
+    packing._encoder.cache_clear()
+    assert [d for i in range(0, len(texts), 20) for d in packing.token_bytes(texts[i : i + 20], path)] == first
+    packing._encoder.cache_clear()
+
+
+def test_fillings_keep_no_more_sums_than_differ():
+    sizes = list(range(25, 2025))
+    tracemalloc.start()
+    try:
+        found = packing.fillings(4000, sizes, dict.fromkeys(sizes, 3), 10)
+        assert sum(next(found)) == 4000
+        # 2,000 masks of 4,000 bits are 1 MB, and the search holds a filling for each open bin.
+        assert tracemalloc.get_traced_memory()[1] < 300_000
+    finally:
+        tracemalloc.stop()
+
+
 # --- mixing ------------------------------------------------------------------------------------------------------
 
 

@@ -19,15 +19,15 @@ piece; a null doc_id is kept, and rows without one are dealt like others; furthe
 from __future__ import annotations
 
 import os
-import re
-import struct
 from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -48,68 +48,98 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-#: Letters that lower-case to one letter each, so that a run of them is one word, and marks that this vocabulary splits
-#: off such a run.
-LETTERS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
-TAIL = ".,;:!?%$&#*|"
+#: A run of letters that the normaliser of this tokenizer leaves as they are, so that it is one word, and the same with
+#: marks after it that this vocabulary splits off.
+LETTERS = "[a-zß-öø-ÿ]+"
+MARKED = f"^(?P<core>{LETTERS})(?P<tail>[.,;:!?%$&#*|]*)$"
 #: Words whose ids a Python worker keeps, with the tokenizer, from task to task.
 KEPT = 200_000
 
 
+def _binaries(ids: np.ndarray, stops: np.ndarray) -> pa.Array:
+    """Little-endian 32-bit ids, cut at ``stops``."""
+    offsets = np.concatenate(([0], 4 * stops)).astype(np.int64)
+    return pa.Array.from_buffers(pa.large_binary(), len(stops), [None, pa.py_buffer(offsets), pa.py_buffer(ids)])
+
+
+class _Encoder:
+    """A tokenizer, and the words that it has encoded with their ids."""
+
+    def __init__(self, path: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+        self.whole, self.plain = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        # Letters alone need no normaliser, and splitting only at blanks.
+        self.plain.normalizer = normalizers.Sequence([])
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence(
+            [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
+        )
+        vocab = self.whole.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        self.words, self.ids = pa.array([], pa.large_string()), pa.array([], pa.large_binary())
+
+    def encode(self, words: pa.Array) -> pa.Array:
+        """Ids of distinct words. Unknown ones are encoded and kept; where that would be too many, only these words are."""
+        at = pc.index_in(words, value_set=self.words)
+        unknown = words.filter(at.is_null())
+        plain = pc.match_substring_regex(unknown, f"^{LETTERS}$").to_numpy(zero_copy_only=False)
+        # Neighbours in a sorted list share most of their merges.
+        order = pc.sort_indices(unknown).to_numpy()
+        letters, others = order[plain[order]], order[~plain[order]]
+        known = pa.concat_arrays([self.words, unknown.take(pa.array(letters)), unknown.take(pa.array(others))])
+        start = len(self.words)
+        ids = pa.concat_arrays([self.ids, *self._letters(known[start : start + len(letters)]), *self._others(known[start + len(letters) :].to_pylist())])
+        place = np.empty(len(unknown), np.int32)
+        place[np.concatenate((letters, others))] = np.arange(start, len(known))
+        found = ids.take(pc.replace_with_mask(at, at.is_null(), pa.array(place)))
+        self.words, self.ids = (known, ids) if len(known) <= KEPT else (words, found)
+        return found
+
+    def _letters(self, words: pa.Array, most: int = 500) -> Iterator[pa.Array]:
+        """Many at a time: each is one word, so its ids stop at the first that ends one."""
+        for at in range(0, len(words), most):
+            part = words.slice(at, most)
+            text = pc.binary_join(pa.ListArray.from_arrays([0, len(part)], part), pa.scalar(" ", pa.large_string()))[0].as_py()
+            ids = np.array(self.plain.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) != len(part):
+                raise ValueError("a word of letters has no end of its own in this vocabulary")
+            yield _binaries(ids, stops)
+
+    def _others(self, words: list[str], most: int = 10_000) -> Iterator[pa.Array]:
+        for at in range(0, len(words), most):
+            ids = [e.ids for e in self.whole.encode_batch_fast(words[at : at + most], add_special_tokens=False)]
+            yield _binaries(np.array(list(chain.from_iterable(ids)), "<u4"), np.cumsum([len(i) for i in ids]))
+
+
 @lru_cache(maxsize=2)
-def _encoder(path: str) -> tuple:
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    encoder = Tokenizer.from_file(path)
-    ends = np.zeros(max(encoder.get_vocab().values()) + 1, bool)
-    ends[[i for t, i in encoder.get_vocab().items() if t.endswith("</w>")]] = True
-    return encoder, {"": b""}, ends
-
-
-def _encode(encoder, ends: np.ndarray, runs: list[str], known: dict[str, bytes]) -> None:
-    """Encode runs; those of plain letters many at a time: each is one word, so its ids stop at the first that ends one."""
-    words = [r for r in runs if LETTERS.fullmatch(r)]
-    for at in range(0, len(words), 500):
-        part = words[at : at + 500]
-        ids = np.array(encoder.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
-        stops = (4 * (np.flatnonzero(ends[ids]) + 1)).tolist()
-        if len(stops) != len(part):
-            raise ValueError("a word of letters has no end of its own in this vocabulary")
-        data = ids.tobytes()
-        known.update(zip(part, map(data.__getitem__, map(slice, [0, *stops], stops)), strict=False))
-    runs = [r for r in runs if r not in known]
-    for at in range(0, len(runs), 10_000):
-        part = runs[at : at + 10_000]
-        for run, code in zip(part, encoder.encode_batch_fast(part, add_special_tokens=False), strict=True):
-            known[run] = struct.pack(f"<{len(code.ids)}I", *code.ids)
+def _encoder(path: str) -> _Encoder:
+    return _Encoder(path)
 
 
 def token_bytes(texts: list[str], path: str) -> list[bytes]:
     """Little-endian 32-bit ids of each text, equal to encoding it whole.
 
     Blanks end every token of this vocabulary and it has no upper case, so each distinct lower-case run of other
-    characters is encoded once: plain letters apart from the marks after them, any other run as it is.
+    characters is encoded once: plain letters apart from the marks after them, any other run as it is. Runs stay in Arrow
+    arrays: a Python object for each takes longer than its tokens.
     """
-    encoder, known, ends = _encoder(path)
-    # bytes.lower acts on A-Z alone; texts that may spell a special token stay as they are.
-    lowered = [t if "<|" in t else t.encode().lower().decode() for t in texts]
-    runs = [t.replace("\n", " ").split(" ") for t in lowered]
-    if len(known) > KEPT:
-        known.clear()
-        known[""] = b""
-    parts = {}
-    plain = LETTERS.fullmatch
-    for r in set().union(*runs):
-        if r not in known:
-            core = r.rstrip(TAIL)
-            parts[r] = (core, r[len(core) :]) if plain(core) else (r, "")
-    _encode(encoder, ends, list({x for pair in parts.values() for x in pair} - known.keys()), known)
-    marked = {r: known[core] + known[tail] for r, (core, tail) in parts.items() if tail}
-    if not marked:
-        return [b"".join(map(known.__getitem__, one)) for one in runs]
-    get = {**known, **marked}.__getitem__
-    return [b"".join(map(get, one)) for one in runs]
+    given = pa.array(texts, pa.large_string())
+    # ascii_lower acts on A-Z alone; texts that may spell a special token stay as they are.
+    lowered = pc.if_else(pc.match_substring(given, "<|"), given, pc.ascii_lower(given))
+    runs = pc.split_pattern(pc.replace_substring(lowered, "\n", " "), " ")
+    dealt = runs.values.dictionary_encode()
+    core, tail = pc.extract_regex(dealt.dictionary, MARKED).flatten()
+    parts = pa.concat_arrays([pc.coalesce(core, dealt.dictionary), pc.fill_null(tail, "")]).dictionary_encode()
+    coded = _encoder(path).encode(parts.dictionary).take(parts.indices)
+    half = len(dealt.dictionary)
+    ids = pc.binary_join_element_wise(coded[:half], coded[half:], pa.scalar(b"", pa.large_binary())).take(dealt.indices)
+    _, offsets, data = ids.buffers()
+    at = np.frombuffer(offsets, np.int64)[runs.offsets.to_numpy()].tolist()
+    data = memoryview(data or b"")
+    return [bytes(data[x:y]) for x, y in zip(at, at[1:], strict=False)]
 
 
 def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
@@ -200,7 +230,8 @@ def fillings(room: int, sizes: list[int], counts: dict[int, int], waste: int, le
     full = (1 << room + 1) - 1
     sums = [1]
     for s in sizes:
-        if s > room or sums[-1] == full:
+        # Where all sums from s on are reached, pieces of s or more reach no other.
+        if s > room or sums[-1] >> s == full >> s:
             break
         reach, more, step = sums[-1], counts[s], 1
         while more:
